@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, substring_dedup, suffix_dedup, token_counts
+from . import packing, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op8_simhash": simhash.op8_simhash,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
