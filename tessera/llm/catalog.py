@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring_dedup, suffix_dedup, token_counts
+from . import decontamination, packing, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
