@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, substring_dedup, suffix_dedup, token_counts
+from . import decontamination, language_id, packing, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_language_id": language_id.op3_language_id,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
