@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, simhash, substring_dedup, suffix_dedup, token_counts
+from . import decontamination, language_id, packing, quality_knn, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_language_id": language_id.op3_language_id,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_quality_classifier": quality_knn.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
