@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, quality_knn, simhash, substring_dedup, suffix_dedup, token_counts
+from . import decontamination, language_id, packing, quality_knn, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_language_id": language_id.op3_language_id,
+    "op4_warc": warc.op4_warc,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_classifier": quality_knn.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
@@ -16,4 +17,4 @@ QUERIES = {
 }
 
 #: Only where SQL can express the operator on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.OP4_SQL}
