@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, quality_knn, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from . import decontamination, fertility, language_id, packing, quality_knn, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_fertility_rules": fertility.op6_fertility_rules,
     "op7_quality_classifier": quality_knn.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,

@@ -120,18 +120,37 @@ def best_overlap(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
     return start, to, int(same[start:to].sum())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and block of the benchmark: (doc_id, row, overlaps) with the verified overlaps, empty arrays included."""
-    spark = docs.sparkSession
+def overlaps_in(texts, index: Index, min_match: int, penalty: float) -> list[list[dict]]:
+    """Verified overlaps of each text with the items of a block."""
+    words, first = hashed_words(texts)
+    here, there = index.hits(words, first)
+    out = [[] for _ in range(len(texts))]
+    if len(here):
+        doc, item = np.searchsorted(first, here, "right") - 1, np.searchsorted(index.first, there, "right") - 1
+        for d, i, shift in np.unique(np.stack([doc, item, here - there]), axis=1).T:
+            a, z = max(index.first[i], first[d] - shift), min(index.first[i + 1], first[d + 1] - shift)
+            start, to, matched = best_overlap(index.words[a:z] == words[a + shift : z + shift], penalty)
+            if matched >= min(min_match, index.first[i + 1] - index.first[i]):
+                at = int(a + shift - first[d])
+                out[d].append({"item_id": index.ids[i], "word_from": at + start, "word_to": at + to, "matched": matched})
+    return out
+
+
+def blocks_of(benchmark: DataFrame, block_mb: float, item_col: str, item_text: str):
+    """Broadcast blocks of (item_id, text), each about block_mb of text, one after the other."""
+    spark = benchmark.sparkSession
     ship(spark)
     blocks = int(total_bytes(benchmark, item_text) / (block_mb * 1e6)) + 1
     asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null and item_id is not null").distinct()
-    penalty = similarity / (1 - similarity)
+    for block in range(blocks):
+        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()])
 
-    def one(block: int) -> DataFrame:
-        items = [(r[0], r[1]) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()]  # about block_mb of text
-        sent = spark.sparkContext.broadcast(items)
 
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, overlaps) for each document and block of the benchmark with a verified overlap."""
+    penalty = similarity / (1 - similarity)
+
+    def one(sent) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
@@ -140,22 +159,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_wor
             for b in batches:
                 for lo in range(0, b.num_rows, 512):
                     part = b.slice(lo, 512)
-                    words, first = hashed_words(part.column(1))
-                    here, there = index.hits(words, first)
-                    out = [[] for _ in range(part.num_rows)]
-                    if len(here):
-                        doc, item = np.searchsorted(first, here, "right") - 1, np.searchsorted(index.first, there, "right") - 1
-                        for d, i, shift in np.unique(np.stack([doc, item, here - there]), axis=1).T:
-                            a, z = max(index.first[i], first[d] - shift), min(index.first[i + 1], first[d + 1] - shift)
-                            start, to, matched = best_overlap(index.words[a:z] == words[a + shift : z + shift], penalty)
-                            if matched >= min(min_match, index.first[i + 1] - index.first[i]):
-                                at = int(a + shift - first[d])
-                                out[d].append({"item_id": index.ids[i], "word_from": at + start, "word_to": at + to, "matched": matched})
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["doc_id", "overlaps"])
-
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "doc_id long, overlaps array<struct<item_id:long,word_from:int,word_to:int,matched:int>>").where(F.size("overlaps") > 0)
-
-    return reduce(DataFrame.union, map(one, range(blocks)))
+                    out = overlaps_in(part.column(1), index, min_match, penalty)
+                    hit = [k for k, x in enumerate(out) if x]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit, pa.int64())), pa.array([out[k] for k in hit], kind)], names=["doc_id", "overlaps"])
+
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "doc_id long, overlaps array<struct<item_id:long,word_from:int,word_to:int,matched:int>>")
+
+    return reduce(DataFrame.union, map(one, blocks_of(benchmark, block_mb, item_col, item_text)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have no verified overlap with the benchmark."""
+    penalty, place = similarity / (1 - similarity), docs.columns.index(text_col)
+    for sent in blocks_of(benchmark, block_mb, item_col, item_text):
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            index = Index(sent.value, min_words)
+            for b in batches:
+                for lo in range(0, b.num_rows, 512):
+                    part = b.slice(lo, 512)
+                    yield part.filter(pa.array([not x for x in overlaps_in(part.column(place), index, min_match, penalty)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

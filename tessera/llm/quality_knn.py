@@ -162,6 +162,24 @@ def classify(docs: DataFrame, space: Space | None, k: int = 15, threshold: float
     return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, space: Space | None, k: int = 15, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least threshold."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent, place = spark.sparkContext.broadcast(space), docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        s = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                yield b.filter(pa.array(s.score(term_counts(b.column(place)), k) >= threshold)) if s is not None else b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
