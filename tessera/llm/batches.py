@@ -17,12 +17,12 @@ from .common import flat, total_bytes
 NO_ID = np.iinfo(np.int64).max
 
 
-def dealt(docs: DataFrame, batch_mb: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(batch, doc_id, text) and the number of bytes. Rows go by a hash of id and text, so repeated ids spread out."""
+def dealt(docs: DataFrame, batch_mb: float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(batch, doc_id, text), the columns to carry as c0, c1, ..., and the number of bytes. Rows go by a hash of id and text, so repeated ids spread out."""
     n = total_bytes(docs, text_col)
     batches = max(1, int(n / (batch_mb * 1e6)) + 1)
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(batches)).cast("int")
-    return docs.select(key.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n
+    return docs.select(key.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), n
 
 
 class Batch:
@@ -36,6 +36,7 @@ class Batch:
         if len(ids) > 1 and (np.diff(ids[order]) == 0).any():
             texts = table.column("text").to_pylist()
             order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] is not None, texts[i] or "")))
+        self.table, self.order = table, order
         self.ids, self.null = ids[order], self.null[order]
         self.data, self.ends = flat(table.column("text"), order)
 
@@ -47,6 +48,10 @@ class Batch:
 
         return pa.array(self.ids, mask=self.null)
 
+    def carried(self) -> dict:
+        """The carried columns, in the batch's order."""
+        return {c: self.table.column(c).take(self.order) for c in self.table.column_names if c[0] == "c"}
+
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         """The number in the batch of the document that holds each byte position."""
         return np.searchsorted(self.ends, positions, "right") - 1
@@ -54,9 +59,10 @@ class Batch:
 
 def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """True for each of n places inside a range [start, stop)."""
-    step = np.bincount(starts, minlength=n + 1)[: n + 1].astype(np.int32)
-    step -= np.bincount(stops, minlength=n + 1)[: n + 1].astype(np.int32)
-    return np.cumsum(step[:n]) > 0
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.add.at(step, stops, -1)
+    return np.cumsum(step[:n], out=step[:n]) > 0
 
 
 def sha256(data) -> str:

@@ -18,12 +18,13 @@ to `match` bytes from the anchor on, then up to `match - seed` bytes before it,
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .batches import NO_ID, Batch, covered, dealt, pack_bits, parts_of, sha256, unpack_bits
-from .common import mix, planes, ship, unplanes, window_hash
+from .common import K1, mix, planes, ship, unplanes, window_hash
 
 SEED_BASE = 0xC2B2AE3D27D4EB4F
 
@@ -37,26 +38,30 @@ def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, match: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of anchors and the 64-bit hashes of their seeds."""
-    n = len(data)
-    if n < match:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = mix(window_hash(data.astype(np.uint64) + np.uint64(1), seed, SEED_BASE))
-    rank = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)  # 0 stands for no string
-    width = match - seed + 1
-    least = sliding(rank, width, np.minimum)  # one for each place where a string of `match` bytes starts
-    inside = np.zeros(n + 1, np.int32)
+def anchors(data: np.ndarray, ends: np.ndarray, match: int, seed: int, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of anchors and the 64-bit hashes of their seeds, chunk by chunk."""
+    n, width = len(data), match - seed + 1
+    at, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    step = np.zeros(n + 1, np.int32)
     a, b = ends[:-1], ends[1:]
     long_ = b - a >= match
-    np.add.at(inside, a[long_], 1)
-    np.add.at(inside, b[long_] - match + 1, -1)
-    valid = np.cumsum(inside)[: len(least)] > 0
-    chosen = np.where(valid, least, 0)
-    padded = np.concatenate([np.zeros(width - 1, np.uint32), chosen, np.zeros(width - 1, np.uint32)])
-    reach = sliding(padded, width, np.maximum)[: len(rank)]
-    at = np.flatnonzero(reach == rank)
-    return at, hashes[at]
+    np.add.at(step, a[long_], 1)
+    np.add.at(step, b[long_] - match + 1, -1)
+    valid = np.cumsum(step, out=step) > 0  # where a string of `match` bytes starts that stays in one text
+    for s in range(0, n, chunk):
+        lo, hi = max(0, s - width + 1), min(n, s + chunk + match)
+        if hi - lo < match:
+            continue
+        hashes = mix(window_hash(data[lo:hi].astype(np.uint64) + np.uint64(1), seed, SEED_BASE))
+        rank = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)  # 0 stands for no string
+        least = sliding(rank, width, np.minimum)  # for each string
+        chosen = np.zeros(len(least) + 2 * (width - 1), np.uint32)
+        chosen[width - 1 : len(least) + width - 1] = np.where(valid[lo : lo + len(least)], least, 0)
+        found = np.flatnonzero(sliding(chosen, width, np.maximum)[: len(rank)] == rank)
+        found = found[(found >= s - lo) & (found < s + chunk - lo)]
+        at.append(found + lo)
+        seeds.append(mix(hashes[found] * K1))  # chosen for being small: spread them evenly again
+    return np.concatenate(at), np.concatenate(seeds)
 
 
 def contexts(data: np.ndarray, ends: np.ndarray, at: np.ndarray, doc: np.ndarray, match: int, seed: int) -> np.ndarray:
@@ -187,17 +192,17 @@ def ranges_to_remove(order_lcp: np.ndarray, rows: np.ndarray, smallest: np.ndarr
     return out
 
 
-def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 24, batch_mb: float = 8, bucket_anchors: int = 1_000_000, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: float = 6, bucket_anchors: int = 500_000, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a string of `match` bytes that also starts in a document with a smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte intervals) and, with
     keep_text, text (characters that a span cuts through go as a whole). Null text: no bytes.
     Rows with one id are one document: nothing is removed on account of each other. A null id
-    counts as larger than every other. An empty table gives an empty result; other columns are not
-    carried.
+    counts as larger than every other. An empty table gives an empty result; other columns come
+    along if carry names them.
     """
     ship(docs.sparkSession)
-    deal, n_bytes = dealt(docs, batch_mb, id_col, text_col)
+    deal, n_bytes = dealt(docs, batch_mb, id_col, text_col, carry)
     expected = max(1, n_bytes * 2 // (match - seed + 2))
     buckets = max(1, expected // bucket_anchors + 1)
     drop = np.uint64(max(0, 64 - (math.ceil(math.log2(expected + 1)) + 12)))
@@ -247,7 +252,9 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 24, batch_mb: flo
     def runs(texts, replies):
         """One sorted, front-coded run for each range of seed hashes; members: documents and places of each entry."""
         import pyarrow as pa
+        import zstandard
 
+        small = zstandard.ZstdCompressor(level=3)
         number = texts.column("batch")[0].as_py()
         batch = Batch(texts)
         at, hashes, order, new, values, _ = seeds(batch)
@@ -259,20 +266,21 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 24, batch_mb: flo
         at, narrow = at[keep], hashes[keep] >> drop << drop
         cols = {c: [] for c in ("bucket", "shared", "rests", "members", "docs", "places")}
         doc = batch.doc_of(at)
+        every = contexts(batch.data, batch.ends, at, doc, match, seed)
         cuts = parts_of(narrow, buckets)  # keep is in the order of narrow hashes
         for k in range(buckets):
             i, j = cuts[k], cuts[k + 1]
             if i == j:
                 continue
-            rows = contexts(batch.data, batch.ends, at[i:j], doc[i:j], match, seed)
-            by = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+            rows = every[i:j]
+            by = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
             rows = rows[by]
             fresh = np.ones(len(rows), bool)
             fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
             shared, rests = front_coded(rows[fresh])
             cols["bucket"].append(k)
             cols["shared"].append(shared.tobytes())
-            cols["rests"].append(rests)
+            cols["rests"].append(small.compress(rests))
             cols["members"].append(np.diff(np.append(np.flatnonzero(fresh), len(rows))).astype(np.int32).tobytes())
             cols["docs"].append(np.ascontiguousarray(batch.ids[doc[i:j]][by].view(np.uint8).reshape(-1, 8).T).tobytes())
             cols["places"].append(np.ascontiguousarray(at[i:j][by].astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
@@ -281,26 +289,28 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 24, batch_mb: flo
 
     def merge(table):
         import pyarrow as pa
+        import zstandard
 
         t = {c: table.column(c).to_pylist() for c in ("batch", "shared", "rests", "members", "docs", "places")}
-        streams = [Run(s, r, width) for s, r in zip(t["shared"], t["rests"])]
+        whole = zstandard.ZstdDecompressor()
+        streams = [Run(s, whole.decompress(r), width) for s, r in zip(t["shared"], t["rests"])]
         members = [np.frombuffer(m, np.int32) for m in t["members"]]
         firsts = [np.concatenate([[0], np.cumsum(m)]) for m in members]
         ids = [np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for d in t["docs"]]
         places = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for p in t["places"]]
         base = np.concatenate([[0], np.cumsum([len(m) for m in members])])
-        entry, lcp, heads = [], [], []
+        entry, lcp, heads = array("q"), array("q"), bytearray()
         for k, place, shared in merged(streams, width):
             entry.append(base[k] + place)
             lcp.append(shared)
             if shared < width:
-                heads.append(streams[k].head)
-        entry, lcp = np.array(entry, np.int64), np.array(lcp, np.int64)
+                heads += streams[k].head
+        entry, lcp = np.frombuffer(entry, np.int64), np.frombuffer(lcp, np.int64)
         least = np.concatenate([np.minimum.reduceat(d, f[:-1]) if len(d) else d for d, f in zip(ids, firsts)])[entry]
         new = lcp < width
         at = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        rows = np.frombuffer(b"".join(heads), np.uint8).reshape(-1, width)
+        rows = np.frombuffer(heads, np.uint8).reshape(-1, width)
         smallest = np.minimum.reduceat(least, at)
         least_by_distance = ranges_to_remove(lcp[at], rows, smallest, match, seed)
         of = np.empty(len(entry), np.int64)
@@ -330,11 +340,11 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 24, batch_mb: flo
         n = len(batch.data)
         starts, stops = (np.concatenate([np.frombuffer(x, np.uint32) for x in removals.column(c).to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64) for c in ("starts", "stops"))
         gone = covered(n, starts, stops)
-        total = np.concatenate([[0], np.cumsum(gone)])
+        removed = [int(gone[i:j].sum()) for i, j in zip(batch.ends[:-1], batch.ends[1:])]
         spans, hashes, text = [], [], []
         for k in range(len(batch)):
             i, j = batch.ends[k], batch.ends[k + 1]
-            if total[j] == total[i]:
+            if not removed[k]:
                 kept = batch.data[i:j].tobytes()
                 spans.append([])
             else:
@@ -346,19 +356,21 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 24, batch_mb: flo
             if keep_text:
                 text.append(kept.decode("utf-8", "ignore"))
         cols = {
-            "doc_id": batch.id_array(), "n_bytes": pa.array(np.diff(batch.ends), pa.int64()), "n_removed": pa.array(total[batch.ends[1:]] - total[batch.ends[:-1]], pa.int64()),
+            "doc_id": batch.id_array(), "n_bytes": pa.array(np.diff(batch.ends), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept_sha256": pa.array(hashes, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))),
         }
         if keep_text:
             cols["text"] = pa.array(text, pa.string())
-        return pa.table(cols)
+        return pa.table(cols | batch.carried())
 
     sent = deal.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, several binary")
     told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary")
     sorted_ = deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(runs, "bucket int, batch int, shared binary, rests binary, members binary, docs binary, places binary")
     removals = sorted_.groupBy("bucket").applyInArrow(merge, "batch int, starts binary, stops binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:int,to:int>>" + (", text string" if keep_text else "")
-    return deal.groupBy("batch").cogroup(removals.groupBy("batch")).applyInArrow(cut, schema)
+    schema += "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = deal.groupBy("batch").cogroup(removals.groupBy("batch")).applyInArrow(cut, schema)
+    return out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(carry)})
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
