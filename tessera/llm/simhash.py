@@ -65,7 +65,7 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE  # of signed numbers it would count the absolute value's bits
 
 
 def forest(fps: np.ndarray, sides: np.ndarray | None, block: int = 1024) -> list[tuple[int, int]]:
