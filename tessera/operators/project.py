@@ -197,7 +197,7 @@ class JobsCursor:
 
     def __init__(self, project: Project, filter: Any = None, strict: bool = False):
         self.project, self.filter, self.strict = project, read_filter(filter), strict
-        self.df = project.jobs.where(compile_filter(self.filter, project.fields, strict)) if self.filter else project.jobs
+        self.df = project.jobs.where(compile_filter(self.filter, project.fields, strict, sure=False)) if self.filter else project.jobs
 
     def ids(self) -> DataFrame:
         return self.df.select("job_id")

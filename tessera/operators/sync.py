@@ -88,11 +88,8 @@ def document_plan(source: DataFrame, destination: DataFrame, how: Any) -> DataFr
         return both.withColumns({"json": F.col("dst_json"), "conflict": F.lit(False)})
     if how == DocSync.COPY:
         return both.withColumns({"json": F.col("src_json"), "conflict": F.lit(False)})
-    heads = lambda x, tag: x.select("job_id", F.explode(F.expr("transform(sequence(1, size(split(path, '[.]')) - 1), i -> array_join(slice(split(path, '[.]'), 1, i), '.'))")).alias("path")).distinct().withColumn(tag, F.lit(True))
-    with_dots = lambda x: x.where(F.col("path").contains("."))
-    both = both.join(heads(with_dots(d), "dst_deeper"), ["job_id", "path"], "left").join(heads(with_dots(s), "src_deeper"), ["job_id", "path"], "left")
-    differ = F.col("src_json").isNotNull() & F.col("dst_json").isNotNull() & (F.col("src_json") != F.col("dst_json"))
-    clash = differ | (F.col("src_json").isNotNull() & F.coalesce("dst_deeper", F.lit(False))) | (F.col("dst_json").isNotNull() & F.coalesce("src_deeper", F.lit(False)))
+    above = lambda least: F.expr(f"transform(sequence(1, size(split(path, '[.]')) - {least}), i -> array_join(slice(split(path, '[.]'), 1, i), '.'))")
+    inner = lambda x: x.where(F.col("path").contains(".")).select("job_id", F.explode(above(1)).alias("path")).distinct()
     if how == DocSync.UPDATE:
         wins = F.lit(True)
     elif how.keys is None:
@@ -101,10 +98,14 @@ def document_plan(source: DataFrame, destination: DataFrame, how: Any) -> DataFr
         wins = _key_test(how.keys)
     else:
         wins = F.rlike("path", F.lit(f"^(?:{re.sub(r'[(][?]P<', '(?<', how.keys)})"))
-    kept = F.when(differ & ~wins, F.col("dst_json")).otherwise(F.coalesce("src_json", "dst_json"))
-    shape = (F.col("src_json").isNotNull() & F.coalesce("dst_deeper", F.lit(False))) | (F.col("dst_json").isNotNull() & F.coalesce("src_deeper", F.lit(False)))
-    kept = F.when(shape & F.col("src_json").isNotNull() & ~wins, None).when(shape & F.col("dst_json").isNotNull() & wins & F.lit(how == DocSync.UPDATE), None).otherwise(kept)
-    return both.withColumns({"json": kept, "conflict": clash & ~wins}).drop("dst_deeper", "src_deeper")
+    # a leaf on one side that is a mapping on the other decides for all that lies at or below it
+    shapes = s.join(inner(d), ["job_id", "path"], "left_semi").union(d.join(inner(s), ["job_id", "path"], "left_semi")).select("job_id", "path", wins.alias("root_wins")).distinct()
+    below = both.select("job_id", "path", F.explode(above(0)).alias("root")).join(shapes.withColumnRenamed("path", "root"), ["job_id", "root"]).groupBy("job_id", "path").agg(F.min("root_wins").alias("root_wins"))
+    both = both.join(below, ["job_id", "path"], "left")
+    differ = F.col("src_json").isNotNull() & F.col("dst_json").isNotNull() & (F.col("src_json") != F.col("dst_json"))
+    kept = F.when(F.col("root_wins").isNotNull(), F.when(F.col("root_wins"), F.col("src_json")).otherwise(F.col("dst_json"))).when(differ & ~wins, F.col("dst_json")).otherwise(F.coalesce("src_json", "dst_json"))
+    conflict = F.coalesce(~F.col("root_wins"), differ & ~wins)
+    return both.withColumns({"json": kept, "conflict": conflict}).drop("root_wins")
 
 
 def _key_test(function: Callable[[str], bool]) -> Column:

@@ -2,8 +2,8 @@
 
 A filter is a mapping of keys to values or operator expressions, joined by and. Keys are dotted
 paths, by default below `sp`; a last component `$op` is an operator too. Logical operators are
-$and, $or (lists of filters) and $not (a filter). Every leaf is true or false, never null, so that
-$not selects rows without the key.
+$and, $or (lists of filters) and $not (a filter). What is negated is made false instead of null, so
+that $not selects rows without the key.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def _equal(f: Field, value: Any) -> Column:
     if value is None:
         return f.tag == "NoneType"
     if isinstance(value, (bool, int)) and abs(int(value)) > 1 << 53:
-        return f.exact == F.lit(str(int(value))).cast("decimal(38,0)")
+        same = f.exact == F.lit(str(int(value))).cast("decimal(38,0)")
+        return same | ((f.tag == "float") & (f.number == float(value))) if float(value) == value else same
     if isinstance(value, (bool, int, float)):
         return (f.number == float(value)) if value == value else F.lit(False)
     if isinstance(value, str):
@@ -192,8 +193,7 @@ def _one(f: Field, op: str, arg: Any, strict: bool) -> Column:
             raise ValueError("$where takes a callable; text is not evaluated")
         return f.exists & _call(arg, f)
     if op in ("$eq", "$ne"):
-        same = _sure(_equal(f, arg))
-        return same if op == "$eq" else f.exists & ~same
+        return _equal(f, arg) if op == "$eq" else f.exists & ~_sure(_equal(f, arg))
     if op in ("$gt", "$gte", "$lt", "$lte"):
         return _ordered(f, op, arg, strict)
     if op in ("$in", "$nin"):
@@ -201,7 +201,7 @@ def _one(f: Field, op: str, arg: Any, strict: bool) -> Column:
             found = F.instr(F.lit(arg), f.text) > 0
         else:
             found = _member(f, list(arg))
-        return _sure(found) if op == "$in" else f.exists & ~_sure(found)
+        return found if op == "$in" else f.exists & ~_sure(found)
     if op == "$regex":
         return F.rlike(f.text, F.lit(re.sub(r"\(\?P<", "(?<", arg)))
     if op == "$type":
@@ -221,31 +221,34 @@ def _member(f: Field, values: list) -> Column:
     """Numbers and texts in one test each, the rest one by one."""
     numbers = [float(v) for v in values if isinstance(v, (bool, int, float)) and abs(v) <= 1 << 53]
     texts = [v for v in values if isinstance(v, str)]
-    tests = [_sure(_equal(f, v)) for v in values if not isinstance(v, str) and not (isinstance(v, (bool, int, float)) and abs(v) <= 1 << 53)]
+    tests = [_equal(f, v) for v in values if not isinstance(v, str) and not (isinstance(v, (bool, int, float)) and abs(v) <= 1 << 53)]
     if numbers:
-        tests.append(_sure(f.number.isin(*numbers)))
+        tests.append(f.number.isin(*numbers))
     if texts:
-        tests.append(_sure(f.text.isin(*texts)))
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+        tests.append(f.text.isin(*texts))
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def compile_filter(given: Any, fields, strict: bool = False) -> Column:
-    """One boolean column, never null. All errors of form are raised here, before any job runs.
+def compile_filter(given: Any, fields, strict: bool = False, sure: bool = True) -> Column:
+    """One boolean column. All errors of form are raised here, before any job runs.
 
-    strict: ordering a value of another type raises when a row has one; else such a row does not match.
+    strict: ordering a value of another type raises when a row has one; else such a row does not
+    match. sure: false instead of null where nothing can be compared; a plain `where` does not need
+    it, and without it simple tests reach the source's statistics.
     """
     f = read_filter(given)
-    if not isinstance(f, Mapping):
-        raise ValueError(f"not a filter: {given!r}")
     tests = []
     for key, op, arg in conditions(f):
         if op != "$where":
             arg = json.loads(json.dumps(plain(arg)))
         if key == "sp._id":
-            tests.append(_sure(_one(Field(F.col("job_id").isNotNull(), F.lit("str"), F.lit(None).cast("double"), F.lit(None).cast("decimal(38,0)"), F.col("job_id"), F.lit(None).cast("string")), op, arg, strict)))
+            none = F.lit(None)
+            field = Field(F.col("job_id").isNotNull(), F.lit("str"), none.cast("double"), none.cast("decimal(38,0)"), F.col("job_id"), none.cast("string"))
         else:
-            tests.append(_sure(_one(fields.field(key), op, arg, strict)))
+            field = fields.field(key)
+        tests.append(_one(field, op, arg, strict))
     for op, parts in branches(f):
-        inner = [compile_filter(p, fields, strict) for p in parts]
+        inner = [compile_filter(p, fields, strict, sure=op == "$not") for p in parts]
         tests.append(~inner[0] if op == "$not" else reduce((lambda a, b: a & b) if op == "$and" else (lambda a, b: a | b), inner))
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+    out = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+    return _sure(out) if sure else out

@@ -363,4 +363,4 @@ def sync_transfer_stats(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events of one type whose document has k below 5: filter columns are pruned and pushed to the scan."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumns({"job_id": F.col("event_id").cast("string"), "k": F.get_json_object("props", "$.k").cast("bigint")})
-    return e.where(compile_filter({"event_type": "click", "doc.k.$lt": 5}, TypedFields({"sp.event_type": "event_type", "doc.k": "k"}, e.schema))).select("job_id", "event_type", "k")
+    return e.where(compile_filter({"event_type": "click", "doc.k.$lt": 5}, TypedFields({"sp.event_type": "event_type", "doc.k": "k"}, e.schema), sure=False)).select("job_id", "event_type", "k")
