@@ -9,6 +9,7 @@ a band on the bad side is rejected.
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -28,7 +29,7 @@ SCRIPTS = ((0x0, "Latn"), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "Zyyy"), (0x
 
 METRICS = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_share")
 STEP = 1000  # bins a unit in the histograms of metrics
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 def script(text: str | None) -> str:
@@ -50,21 +51,21 @@ class Vocabularies:
     def __init__(self, pieces: str | None, ranks: str | None):
         self.pieces, self.ranks = tokens.piece_bpe(pieces), tokens.byte_bpe(ranks)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[int, tuple[np.ndarray, int]] = {}
+        self.known: dict[int, tuple[bytes, int]] = {}
 
-    def of(self, hashes: np.ndarray, words) -> tuple[list[np.ndarray], np.ndarray]:
-        """Piece ids and the number of byte-level tokens of each word. words(i): the bytes of the i-th."""
+    def of(self, hashes: np.ndarray, buffer: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words at places in a buffer: all their piece ids in turn, how many each has, and their numbers of byte-level tokens."""
         keys = hashes.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known, new = {}, list(range(len(keys)))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            texts = [words(i).decode("utf-8", "replace") for i in some]
+            texts = [buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), stops[some].tolist())]
             for i, ids, text in zip(some, self.pieces.encode(texts, num_threads=1), texts):
-                self.known[keys[i]] = np.array(ids, np.int32), len(self.ranks.encode_ordinary(" " + text))
-        found = [self.known[k] for k in keys]
-        return [f[0] for f in found], np.array([f[1] for f in found], np.int64)
+                self.known[keys[i]] = array("i", ids).tobytes(), len(self.ranks.encode_ordinary(" " + text))
+        ids, byte_tokens = zip(*map(self.known.__getitem__, keys))
+        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.array(byte_tokens, np.int64)
 
 
 def per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -104,10 +105,9 @@ def measure(texts, vocabularies: Vocabularies) -> dict[str, np.ndarray]:
     }
     if len(hashes):
         values, where, of = np.unique(hashes, return_index=True, return_inverse=True)
-        ids, byte_tokens = vocabularies.of(values, lambda i: data[starts[where[i]] : stops[where[i]]].tobytes())
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        bad = np.fromiter((int(vocabularies.is_byte[i].sum()) for i in ids), np.int64, len(ids))
-        joined, begin = np.concatenate(ids), np.concatenate([[0], np.cumsum(count)])
+        joined, count, byte_tokens = vocabularies.of(values, data.tobytes(), starts[where], stops[where])
+        begin = np.concatenate([[0], np.cumsum(count)])
+        bad = per_text(vocabularies.is_byte[joined], begin)
         out["n_byte_tokens"], out["n_pieces"], out["n_fallback"] = (per_text(x[of], first) for x in (byte_tokens, count, bad))
         # pairs of text and word first, so that each is spread to its tokens once
         pair, times = np.unique(doc.astype(np.int64) * len(values) + of, return_counts=True)
@@ -136,8 +136,8 @@ def metrics(docs: DataFrame, pieces: str | None = None, ranks: str | None = None
 
         vocabularies = Vocabularies(pieces, ranks)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 1024):
+                b = batch.slice(lo, 1024)
                 m = measure(b.column(2), vocabularies)
                 lang = [x if x is not None else script(b.column(2)[k].as_py()) for k, x in enumerate(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), *(pa.array(m[c].astype(np.int64)) for c in longs), pa.array(m["entropy"])], names=["doc_id", "band", *longs, "entropy"])
