@@ -68,7 +68,7 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
                         info.size = len(text.encode())
                         archive.addfile(info, io.BytesIO(text.encode()))
         return at
-    if kind and not kind.strip(".").isdigit() and kind in (".7z", ".rar", ".Z"):
+    if kind in (".7z", ".rar", ".Z", ".zst"):
         raise TypeError(f"unknown archive {target}")
     folder = target if "://" in target else f"file://{os.path.abspath(target)}"
 
@@ -94,6 +94,7 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
 
 def members(spark: SparkSession, origin: str) -> DataFrame:
     """(path, content) of the files of a folder or of archives; archives are opened in the tasks."""
+    origin = origin if "://" in origin else os.path.abspath(origin)
     if origin.endswith(".zip") or os.path.splitext(origin)[1] in TAR_MODES:
         files = spark.read.format("binaryFile").load(origin)
 
