@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship  # noqa: F401 - for the operators
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
@@ -35,22 +33,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, wherever they run."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    at = Path(tempfile.mkdtemp(prefix="tessera-zip-")) / "tessera.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted((root / "tessera").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(at))
-    sc._tessera_shipped = True
-
-
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
