@@ -13,6 +13,10 @@ to `match` bytes from the anchor on, then up to `match - seed` bytes before it,
    winner: two suffixes are compared only behind the prefix they are known to share. The merged
    common prefixes show which documents share each string; what a smaller doc_id has too goes
    back to the batch as byte ranges.
+
+A seed that a great many batches have (the edge of a passage in a third of all documents) has as
+many different surroundings as documents. Such seeds are known from step 1 and are not merged:
+their strings go by 64-bit hash, one entry a batch, spread over ranges of string hashes.
 """
 
 from __future__ import annotations
@@ -192,7 +196,33 @@ def ranges_to_remove(order_lcp: np.ndarray, rows: np.ndarray, smallest: np.ndarr
     return out
 
 
-def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: float = 6, bucket_anchors: int = 500_000, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def string_hashes(data: np.ndarray, at: np.ndarray, match: int, chunk: int = 1 << 19) -> np.ndarray:
+    """64-bit hashes of the strings of `match` bytes at sorted places."""
+    out = [np.zeros(0, np.uint64)]
+    for s in range(0, len(data), chunk):
+        some = at[np.searchsorted(at, s) : np.searchsorted(at, s + chunk)] - s
+        if len(some):
+            out.append(mix(window_hash(data[s : s + chunk + match].astype(np.uint64) + np.uint64(1), match, SEED_BASE))[some])
+    return np.concatenate(out)
+
+
+def starts_of(at: np.ndarray, doc: np.ndarray, ends: np.ndarray, match: int, before: int) -> np.ndarray:
+    """Sorted places of all strings of `match` bytes inside one document that hold one of the anchors."""
+    first, last = np.maximum(at - before, ends[doc]), np.minimum(at, ends[doc + 1] - match)
+    n = np.maximum(last - first + 1, 0)
+    return np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+
+
+def by_planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(payload: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(payload, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: float = 6, bucket_anchors: int = 500_000, hot_batches: int = 1024, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a string of `match` bytes that also starts in a document with a smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte intervals) and, with
@@ -239,15 +269,54 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
 
         blocks = [unplanes(x.as_py()) for x in table.column("hashes")]
         every = np.sort(np.concatenate(blocks))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        replies = []
+        new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        n = np.diff(np.append(new, len(every)))
+        twice, hot = every[new[n > 1]], every[new[n > hot_batches]]
+        replies, hots = [], []
         for block, several in zip(blocks, table.column("several")):
             flags = unpack_bits(several.as_py(), len(block))
-            if len(twice):
-                k = np.searchsorted(twice, block)
-                flags |= twice[np.minimum(k, len(twice) - 1)] == block
+            for values, mark in ((twice, flags), (hot, is_hot := np.zeros(len(block), bool))):
+                if len(values):
+                    k = np.searchsorted(values, block)
+                    mark |= values[np.minimum(k, len(values) - 1)] == block
             replies.append(pack_bits(flags))
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array([len(b) for b in blocks], pa.int32()), "flags": pa.array(replies, pa.binary())})
+            hots.append(pack_bits(is_hot) if is_hot.any() else b"")
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array([len(b) for b in blocks], pa.int32()), "flags": pa.array(replies, pa.binary()), "hot": pa.array(hots, pa.binary())})
+
+    def hot_strings(batch: Batch, at: np.ndarray, cols: dict) -> None:
+        """Entries of the strings round hot anchors: hash, smallest and largest document."""
+        where = starts_of(at, batch.doc_of(at), batch.ends, match, before)
+        hashes, ids = string_hashes(batch.data, where, match), batch.ids[batch.doc_of(where)]
+        order = np.argsort(hashes, kind="stable")
+        hashes, ids = hashes[order], ids[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        least, most, values = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first), hashes[first]
+        cuts = parts_of(values, buckets)
+        for k in range(buckets):
+            i, j = cuts[k], cuts[k + 1]
+            if j > i:
+                for c, v in (("bucket", -1 - k), ("shared", b""), ("rests", planes(values[i:j])), ("members", b""), ("docs", by_planes(least[i:j])), ("places", by_planes(most[i:j]))):
+                    cols[c].append(v)
+
+    def hot_replies(table):
+        """For each batch the strings that a smaller document has than some document of the batch, and the smallest."""
+        import pyarrow as pa
+
+        blocks = [unplanes(x.as_py()) for x in table.column("rests")]
+        least, most = ([from_planes(x.as_py(), np.int64) for x in table.column(c)] for c in ("docs", "places"))
+        hashes, ids = np.concatenate(blocks), np.concatenate(least)
+        order = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+        values, smallest = hashes[order][first], np.minimum.reduceat(ids[order], first)
+        out = {"batch": [], "starts": [], "stops": []}
+        for number, block, last in zip(table.column("batch").to_pylist(), blocks, most):
+            s = smallest[np.searchsorted(values, block)]
+            some = s < last
+            if some.any():
+                out["batch"].append(number)
+                out["starts"].append(by_planes(block[some]))
+                out["stops"].append(by_planes(s[some]))
+        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "starts": pa.array(out["starts"], pa.binary()), "stops": pa.array(out["stops"], pa.binary()), "hot": pa.array([True] * len(out["batch"]), pa.bool_())})
 
     def runs(texts, replies):
         """One sorted, front-coded run for each range of seed hashes; members: documents and places of each entry."""
@@ -258,11 +327,14 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
         number = texts.column("batch")[0].as_py()
         batch = Batch(texts)
         at, hashes, order, new, values, _ = seeds(batch)
-        flags = [unpack_bits(f, n) for _, n, f in sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "n", "flags"))))]
-        flags = np.concatenate(flags) if flags else np.zeros(0, bool)
+        told = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "n", "flags", "hot"))))
+        flags = np.concatenate([unpack_bits(f, n) for _, n, f, _ in told] or [np.zeros(0, bool)])
+        hot = np.concatenate([unpack_bits(h, n) if h else np.zeros(n, bool) for _, n, _, h in told] or [np.zeros(0, bool)])
         if len(flags) != len(values):
             raise ValueError(f"a batch has {len(values)} hashes and {len(flags)} replies")
-        keep = order[flags[np.cumsum(new) - 1]] if len(new) else order
+        of = np.cumsum(new) - 1
+        hot_at = np.sort(at[order[hot[of]]]) if hot.any() else at[:0]
+        keep = order[(flags & ~hot)[of]] if len(new) else order
         at, narrow = at[keep], hashes[keep] >> drop << drop
         cols = {c: [] for c in ("bucket", "shared", "rests", "members", "docs", "places")}
         doc = batch.doc_of(at)
@@ -282,8 +354,10 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
             cols["shared"].append(shared.tobytes())
             cols["rests"].append(small.compress(rests))
             cols["members"].append(np.diff(np.append(np.flatnonzero(fresh), len(rows))).astype(np.int32).tobytes())
-            cols["docs"].append(np.ascontiguousarray(batch.ids[doc[i:j]][by].view(np.uint8).reshape(-1, 8).T).tobytes())
-            cols["places"].append(np.ascontiguousarray(at[i:j][by].astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+            cols["docs"].append(by_planes(batch.ids[doc[i:j]][by]))
+            cols["places"].append(by_planes(at[i:j][by].astype(np.uint32)))
+        if len(hot_at):
+            hot_strings(batch, hot_at, cols)
         n = len(cols["bucket"])
         return pa.table({"bucket": pa.array(cols.pop("bucket"), pa.int32()), "batch": pa.array([number] * n, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in cols.items()})
 
@@ -291,13 +365,15 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
         import pyarrow as pa
         import zstandard
 
+        if table.column("bucket")[0].as_py() < 0:
+            return hot_replies(table)
         t = {c: table.column(c).to_pylist() for c in ("batch", "shared", "rests", "members", "docs", "places")}
         whole = zstandard.ZstdDecompressor()
         streams = [Run(s, whole.decompress(r), width) for s, r in zip(t["shared"], t["rests"])]
         members = [np.frombuffer(m, np.int32) for m in t["members"]]
         firsts = [np.concatenate([[0], np.cumsum(m)]) for m in members]
-        ids = [np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for d in t["docs"]]
-        places = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for p in t["places"]]
+        ids = [from_planes(d, np.int64) for d in t["docs"]]
+        places = [from_planes(p, np.uint32) for p in t["places"]]
         base = np.concatenate([[0], np.cumsum([len(m) for m in members])])
         entry, lcp, heads = array("q"), array("q"), bytearray()
         for k, place, shared in merged(streams, width):
@@ -331,14 +407,25 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
                 out["batch"].append(t["batch"][k])
                 out["starts"].append(start.astype(np.uint32).tobytes())
                 out["stops"].append(stop.astype(np.uint32).tobytes())
-        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "starts": pa.array(out["starts"], pa.binary()), "stops": pa.array(out["stops"], pa.binary())})
+        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "starts": pa.array(out["starts"], pa.binary()), "stops": pa.array(out["stops"], pa.binary()), "hot": pa.array([False] * len(out["batch"]), pa.bool_())})
 
     def cut(texts, removals):
         import pyarrow as pa
 
         batch = Batch(texts)
         n = len(batch.data)
-        starts, stops = (np.concatenate([np.frombuffer(x, np.uint32) for x in removals.column(c).to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64) for c in ("starts", "stops"))
+        told = list(zip(*(removals.column(c).to_pylist() for c in ("starts", "stops", "hot"))))
+        starts, stops = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x[k], np.uint32) for x in told if not x[2])]).astype(np.int64) for k in (0, 1))
+        if any(x[2] for x in told):
+            values, least = np.concatenate([from_planes(x[0], np.uint64) for x in told if x[2]]), np.concatenate([from_planes(x[1], np.int64) for x in told if x[2]])
+            order = np.argsort(values)
+            values, least = values[order], least[order]
+            long_ = np.flatnonzero(np.diff(batch.ends) >= match)
+            where = starts_of(batch.ends[1:][long_] - match, long_, batch.ends, match, n)
+            hashes = string_hashes(batch.data, where, match)
+            k = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+            where = where[(values[k] == hashes) & (least[k] < batch.ids[batch.doc_of(where)])]
+            starts, stops = np.append(starts, where), np.append(stops, where + match)
         gone = covered(n, starts, stops)
         removed = [int(gone[i:j].sum()) for i, j in zip(batch.ends[:-1], batch.ends[1:])]
         spans, hashes, text = [], [], []
@@ -364,9 +451,9 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
         return pa.table(cols | batch.carried())
 
     sent = deal.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, several binary")
-    told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary")
+    told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary, hot binary")
     sorted_ = deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(runs, "bucket int, batch int, shared binary, rests binary, members binary, docs binary, places binary")
-    removals = sorted_.groupBy("bucket").applyInArrow(merge, "batch int, starts binary, stops binary")
+    removals = sorted_.groupBy("bucket").applyInArrow(merge, "batch int, starts binary, stops binary, hot boolean")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:int,to:int>>" + (", text string" if keep_text else "")
     schema += "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     out = deal.groupBy("batch").cogroup(removals.groupBy("batch")).applyInArrow(cut, schema)

@@ -25,7 +25,7 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "length long")
 
 
-def limits(histogram: DataFrame, bucket: int = 1024) -> DataFrame:
+def limits(histogram: DataFrame, bucket: int = 128) -> DataFrame:
     """histogram(length, n_docs) to one row per length taken as a context limit.
 
     Suffix sums go in two steps, over buckets of lengths and within each, so that no task holds

@@ -31,8 +31,8 @@ def test_against_brute_force(docs, words, odd):
     rows = odd + [(100 + i, words(10 + i * 9, i)) for i in range(12)] + [(50 - i, f"{words(3, i)} {p} {words(4, i + 9)} {q}") for i in range(4)]
     rows += [(60, "a" * 400), (61, "b" + "a" * 300), (62, words(40, 1)), (63, words(40, 1)), (64, "é" * 60), (65, "x" + "é" * 40), (66, p + "\0" * 80), (67, "\0" * 70 + p)]
     want = brute(rows)
-    for batch_mb, bucket in ((6, 500_000), (0.0015, 40)):
-        got = suffix_dedup(docs(rows), batch_mb=batch_mb, bucket_anchors=bucket).collect()
+    for batch_mb, bucket, hot in ((6, 500_000, 1024), (0.0015, 40, 1024), (0.0015, 40, 1), (0.004, 100, 2)):
+        got = suffix_dedup(docs(rows), batch_mb=batch_mb, bucket_anchors=bucket, hot_batches=hot).collect()
         assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
