@@ -99,6 +99,13 @@ class Project:
     def to_dataframe(self, **kw) -> DataFrame:
         return self.find_jobs().to_dataframe(**kw)
 
+    def suggestions(self, id: str, n: int = 3) -> DataFrame:
+        """(job_id, distance) of the ids most like one that is not there."""
+        return self.jobs.select("job_id", F.levenshtein("job_id", F.lit(id)).alias("distance")).orderBy("distance", "job_id").limit(n)
+
+    def _repr_html_(self) -> str:
+        return self.find_jobs()._repr_html_()
+
     def id_lengths(self) -> DataFrame:
         """(n): length of the shortest beginning of ids that tells all apart, at most 31."""
         k = self.jobs.select(F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k"), "job_id")
@@ -225,6 +232,11 @@ class JobsCursor:
             raise IndexError(at)
         return found[0][0]
 
+    def _repr_html_(self, most: int = 100) -> str:
+        """A table of up to 100 jobs, else their number."""
+        n = len(self)
+        return self.df.select(*(c for c in self.df.columns if c not in ("sp", "doc"))).limit(most).toPandas().to_html() if n <= most else f"{n} jobs"
+
     def __eq__(self, other) -> bool:
         return isinstance(other, JobsCursor) and self.project is other.project and self.filter == other.filter
 

@@ -155,6 +155,39 @@ def transfer_stats(plan: DataFrame) -> DataFrame:
     return plan.where("action = 'copy'").agg(F.count("*").alias("num_files"), F.coalesce(F.sum("src_length"), F.lit(0)).alias("volume"))
 
 
+def merge_mapping(source: dict, destination: dict, how: Any) -> dict:
+    """One document merged into another by the rules of document_plan (the project's own document)."""
+    if how in (DocSync.NO_SYNC, DocSync.COPY):
+        return dict(destination)
+    wins = (lambda k: True) if how == DocSync.UPDATE else (lambda k: False) if how.keys is None else how.keys if callable(how.keys) else re.compile(how.keys).match
+    conflicts: list[str] = []
+
+    def merge(a: dict, b: dict, above: str) -> dict:
+        out = dict(b)
+        for k, v in a.items():
+            if isinstance(v, dict) and isinstance(b.get(k), dict):
+                out[k] = merge(v, b[k], f"{above}{k}.")
+            elif k not in b or b[k] == v or wins(above + k):
+                out[k] = v
+            else:
+                conflicts.append(above + k)
+        return out
+
+    merged = merge(source, destination, "")
+    if conflicts and isinstance(how, DocSync.ByKey) and how.keys is None:
+        raise DocumentSyncConflict(sorted(conflicts))
+    return merged
+
+
+def sync_files(source: DataFrame, destination: DataFrame, root: str, strategy: Column | None = None, **kw) -> DataFrame:
+    """Copy what a file plan says into the workspace at root; returns the plan's (num_files, volume)."""
+    from ..sources.workspace import write_files
+
+    plan = file_plan(source, destination, strategy, **kw)
+    write_files(source.join(plan.where("action = 'copy'").select("job_id", "path"), ["job_id", "path"], "left_semi"), root)
+    return transfer_stats(plan)
+
+
 def sync_projects(source: Project, destination: Project, doc_sync: Any = None, selection: Iterable[str] | DataFrame | None = None, check_schema: bool = True) -> Project:
     """destination with the source's jobs: missing ones cloned, documents of common ones merged. selection: ids to take.
 
@@ -181,4 +214,4 @@ def sync_projects(source: Project, destination: Project, doc_sync: Any = None, s
     common = d.join(s.select("job_id"), "job_id", "left_semi").join(docs, "job_id", "left").select("job_id", "sp_json", F.coalesce("merged", "doc_json").alias("doc_json"))
     own = d.join(s.select("job_id"), "job_id", "left_anti")
     new = s.join(d.select("job_id"), "job_id", "left_anti")
-    return Project.of_canonical(common.union(own).union(new), destination.document)
+    return Project.of_canonical(common.union(own).union(new), merge_mapping(source.document, destination.document, how))

@@ -360,6 +360,142 @@ def sync_transfer_stats(spark, d):
     return transfer_stats(file_plan(pages, pages.where("cast(job_id as bigint) % 3 = 0")))
 
 
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE o_orderkey = 7")
+def find_id(spark, d):
+    return ids(orders(spark, d), {"_id": "7"})
+
+
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE instr('FO', o_orderstatus) > 0")
+def find_in_text(spark, d):
+    return ids(orders(spark, d), {"status.$in": "FO"})
+
+
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE o_totalprice < 5000 OR o_totalprice >= 400000 OR (o_orderpriority > '3' AND o_orderpriority <= '4')")
+def find_order(spark, d):
+    return ids(orders(spark, d), {"$or": [{"price.$lt": 5000}, {"price.$gte": 400000}, {"priority": {"$gt": "3", "$lte": "4"}}]})
+
+
+@registered("SELECT CAST(event_id AS VARCHAR) AS job_id FROM events WHERE event_id % 7 = 6")
+def find_variant_missing(spark, d):
+    return ids(mixed(spark, d), {"v.$exists": False})
+
+
+@registered("SELECT CAST(event_id AS VARCHAR) AS job_id FROM events WHERE event_id % 7 IN (2, 5)")
+def find_variant_where(spark, d):
+    return ids(mixed(spark, d), {"v.$where": lambda v: isinstance(v, (str, list))})
+
+
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders ORDER BY 1 LIMIT 20 OFFSET 30")
+def slice_jobs(spark, d):
+    return orders(spark, d).find_jobs().ids().orderBy("job_id").offset(30).limit(20)
+
+
+@registered("SELECT job_id, distance FROM (SELECT CAST(p_partkey AS VARCHAR) AS job_id, CAST(levenshtein(CAST(p_partkey AS VARCHAR), '1234') AS INTEGER) AS distance FROM part) ORDER BY distance, job_id LIMIT 3")
+def suggest_ids(spark, d):
+    return parts(spark, d).suggestions("1234")
+
+
+@registered("SELECT CASE WHEN event_id % 7 = 6 THEN '\"none\"' ELSE '\"some\"' END AS key, count(*) AS n_jobs FROM events GROUP BY 1")
+def groupby_callable(spark, d):
+    return mixed(spark, d).groupby(lambda sp, doc: "some" if "v" in sp else "none").counts()
+
+
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS job_id, count(*) AS n_jobs FROM part GROUP BY 1")
+def groupby_none(spark, d):
+    return parts(spark, d).groupby().counts()
+
+
+@registered("SELECT CAST(event_id AS VARCHAR) AS job_id, 'v' AS path, CASE event_id % 7 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'str' WHEN 3 THEN 'bool' WHEN 4 THEN 'NoneType' ELSE 'tuple' END AS type, CASE event_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN '\"1\"' WHEN 3 THEN 'true' WHEN 4 THEN 'null' ELSE '[1, 2]' END AS json FROM events WHERE event_id % 7 <> 6")
+def flatten_leaves(spark, d):
+    return mixed(spark, d).leaves().select("job_id", "path", "type", "json")
+
+
+@registered("SELECT p_size AS v, n FROM (SELECT p_size, row_number() OVER (ORDER BY p_size) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT p_size FROM part)) WHERE place <= 3 OR place > n - 2")
+def schema_ranges(spark, d):
+    from .operators.schema import ProjectSchema
+
+    p = spark.read.parquet(f"{d}/part.parquet")
+    jobs = Project.of_canonical(p.select(F.col("p_partkey").cast("string").alias("job_id"), canon.typed_json(size=F.col("p_size")).alias("sp_json"), F.lit(None).cast("string").alias("doc_json")))
+    return ProjectSchema.detect(jobs.leaves()).ranges().select(F.col("json").cast("int").alias("v"), "n")
+
+
+def small(spark, d) -> Project:
+    """Nations as jobs with exact JSON: the name only in some."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    sp = F.when(F.col("n_nationkey") < 20, canon.typed_json(key=F.col("n_nationkey"), region=F.col("n_regionkey"))).otherwise(canon.typed_json(key=F.col("n_nationkey"), name=F.col("n_name"), region=F.col("n_regionkey")))
+    return Project.of_canonical(n.select(F.md5(sp).alias("job_id"), sp.alias("sp_json"), F.when(F.col("n_nationkey") % 2 == 0, canon.typed_json(region=F.col("n_regionkey"))).alias("doc_json")))
+
+
+SMALL = """sm AS (SELECT *, md5(sp_json) AS job_id, CASE WHEN n_nationkey % 2 = 0 THEN '{"region": ' || n_regionkey || '}' END AS doc_json FROM (SELECT *, CASE WHEN n_nationkey < 20
+ THEN '{"key": ' || n_nationkey || ', "region": ' || n_regionkey || '}' ELSE '{"key": ' || n_nationkey || ', "name": "' || n_name || '", "region": ' || n_regionkey || '}' END AS sp_json FROM nation))"""
+
+
+@registered(f"WITH {SMALL} SELECT job_id, CASE WHEN n_nationkey < 20 THEN '' ELSE 'name/' || n_name || '/' END || 'region/' || n_regionkey || '/key/' || n_nationkey AS path FROM sm")
+def automatic_path(spark, d):
+    from .sources.paths import automatic_paths
+
+    return automatic_paths(small(spark, d).leaves().withColumn("path", F.col("path"))).select("job_id", "path")
+
+
+@registered("SELECT 'a/' || p_brand || '/b/' || p_size AS path FROM part WHERE p_size > 25 GROUP BY 1")
+def path_nested(spark, d):
+    from .sources.paths import nested_paths
+
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return nested_paths(p.select(F.concat_ws("/", F.lit("a"), "p_brand", F.when(F.col("p_size") > 25, F.concat(F.lit("b/"), F.col("p_size")))).alias("path")).distinct().union(p.select(F.concat_ws("/", F.lit("a"), "p_brand").alias("path")).distinct()).distinct())
+
+
+@registered("SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'new' WHEN b.p IS NULL THEN 'obsolete' WHEN a.t <> b.t THEN 'update' ELSE 'keep' END AS action FROM (SELECT 'x/' || p_partkey AS p, p_brand AS t FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT 'x/' || p_partkey AS p, CASE WHEN p_partkey % 5 = 0 THEN 'z' ELSE p_brand END AS t FROM part WHERE p_partkey % 2 = 0) b ON a.p = b.p")
+def view_changes(spark, d):
+    from .operators.views import view_plan
+
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("x/"), F.col("p_partkey")).alias("path"), F.col("p_brand").alias("target"), "p_partkey")
+    return view_plan(p.where("p_partkey % 3 <> 0"), p.where("p_partkey % 2 = 0").withColumn("target", F.when(F.col("p_partkey") % 5 == 0, "z").otherwise(F.col("target")))).select("path", "action")
+
+
+@registered(f"WITH {SMALL} SELECT md5(replace(sp_json, '}}', ', \"tag\": 1}}')) AS job_id FROM sm WHERE n_regionkey = 1 UNION ALL SELECT job_id FROM sm WHERE n_regionkey <> 1")
+def update_statepoints(spark, d):
+    return small(spark, d).update_statepoints({"tag": 1}, {"region": 1}).jobs.select("job_id")
+
+
+@registered(f"WITH {SMALL} SELECT job_id, CASE WHEN n_regionkey = 1 AND doc_json IS NULL THEN '{{\"tag\": 1}}' WHEN n_regionkey = 1 THEN replace(doc_json, '}}', ', \"tag\": 1}}') ELSE doc_json END AS doc_json FROM sm")
+def update_documents(spark, d):
+    return small(spark, d).update_documents({"tag": 1}, {"region": 1}).jobs.select("job_id", "doc_json")
+
+
+@registered(f"WITH {SMALL} SELECT job_id FROM sm WHERE n_nationkey < 15")
+def insert_missing(spark, d):
+    p = small(spark, d)
+    a, b = (Project(p.find_jobs(f).df, p.fields) for f in ({"key.$lt": 10}, {"key": {"$gte": 5, "$lt": 15}}))
+    return a.insert(b).jobs.select("job_id")
+
+
+@registered(f"WITH {SMALL} SELECT job_id, sp_json FROM sm")
+def repair_from_index(spark, d):
+    p = small(spark, d)
+    broken = p._plain().withColumn("sp_json", F.when(F.try_variant_get(F.try_parse_json("sp_json"), "$.key", "int") % 3 == 0, "{").otherwise(F.col("sp_json")))
+    return Project.of_canonical(broken).repair(p.jobs).jobs.select("job_id", "sp_json")
+
+
+@registered(f"WITH {SMALL} SELECT job_id, 'region' AS path, CASE WHEN n_nationkey % 4 = 0 THEN '9' ELSE CAST(n_regionkey AS VARCHAR) END AS json, n_nationkey % 4 = 0 AND n_regionkey <> 9 AS conflict FROM sm WHERE doc_json IS NOT NULL")
+def sync_documents(spark, d):
+    from .operators.sync import DocSync, document_plan
+
+    p = small(spark, d)._plain()
+    key = F.try_variant_get(F.try_parse_json("sp_json"), "$.key", "int")
+    other = p.withColumn("doc_json", F.when(key % 4 == 0, '{"region": 9}').otherwise(F.col("doc_json")))
+    return document_plan(p, other, DocSync.ByKey()).select("job_id", "path", "json", "conflict")
+
+
+@registered("SELECT CAST(page_id AS VARCHAR) AS job_id, CASE WHEN page_id % 3 <> 0 OR page_id % 2 = 0 THEN 'copy' ELSE 'keep' END AS action FROM pages")
+def sync_files(spark, d):
+    from .operators.sync import FileSync, file_plan
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("string").alias("job_id"), F.col("url").alias("path"), F.lit("2020-01-02").cast("timestamp").alias("mtime"), F.length("html").cast("bigint").alias("length"), F.encode("html", "UTF-8").alias("content"), "page_id")
+    old = pages.where("page_id % 3 = 0").withColumns({"content": F.when(F.col("page_id") % 2 == 0, F.encode(F.lit("old"), "UTF-8")).otherwise(F.col("content")), "mtime": F.lit("2020-01-01").cast("timestamp")})
+    return file_plan(pages, old, FileSync.update(), deep=True).select("job_id", "action")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events of one type whose document has k below 5: filter columns are pruned and pushed to the scan."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumns({"job_id": F.col("event_id").cast("string"), "k": F.get_json_object("props", "$.k").cast("bigint")})

@@ -42,14 +42,16 @@ def export_paths(project: Project, path: str | bool | Callable | None = None) ->
     return out
 
 
-def export_to(project: Project, target: str, path: str | bool | None = None, layout: Layout = Layout()) -> DataFrame:
-    """Write every job below its path; returns (job_id, path).
+def export_to(project: Project, target: str, path: str | bool | None = None, layout: Layout = Layout(), files: DataFrame | None = None) -> DataFrame:
+    """Write every job below its path; returns (job_id, path). files: (job_id, path, content) to go along.
 
     A folder is written by the executors. An archive is one file and so is written by one
-    writer, which streams jobs as they come and holds one at a time.
+    writer, which streams jobs as they come and holds one file at a time.
     """
     at = export_paths(project, path)
-    rows = project.jobs.select("job_id", "sp_json", "doc_json").join(at, "job_id").select("path", "sp_json", "doc_json")
+    jobs = project.jobs.select("job_id", F.explode(F.array(F.struct(F.lit(layout.statepoint).alias("name"), F.encode("sp_json", "UTF-8").alias("content")), F.struct(F.lit(layout.document).alias("name"), F.encode("doc_json", "UTF-8").alias("content")))).alias("f")).select("job_id", "f.*")
+    every = jobs if files is None else jobs.union(files.select("job_id", F.col("path").alias("name"), "content"))
+    rows = every.where("content is not null").join(at, "job_id").select(F.ltrim(F.concat_ws("/", F.nullif("path", F.lit("")), "name"), F.lit("/")).alias("member"), "content")
     kind = os.path.splitext(target)[1]
     if kind == ".zip" or kind in TAR_MODES:
         local = target.removeprefix("file://")
@@ -57,16 +59,12 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
             raise DestinationExistsError(local)
         with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) if kind == ".zip" else tarfile.open(local, TAR_MODES[kind]) as archive:
             for r in rows.toLocalIterator():
-                for name, text in ((layout.statepoint, r["sp_json"]), (layout.document, r["doc_json"])):
-                    if text is None:
-                        continue
-                    member = f"{r['path']}/{name}".lstrip("/")
-                    if kind == ".zip":
-                        archive.writestr(member, text)
-                    else:
-                        info = tarfile.TarInfo(member)
-                        info.size = len(text.encode())
-                        archive.addfile(info, io.BytesIO(text.encode()))
+                if kind == ".zip":
+                    archive.writestr(r["member"], bytes(r["content"]))
+                else:
+                    info = tarfile.TarInfo(r["member"])
+                    info.size = len(r["content"])
+                    archive.addfile(info, io.BytesIO(r["content"]))
         return at
     if kind in (".7z", ".rar", ".Z", ".zst"):
         raise TypeError(f"unknown archive {target}")
@@ -79,12 +77,10 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
         store, base = fs.FileSystem.from_uri(folder)
         n = 0
         for b in batches:
-            for where, sp, doc in zip(*(c.to_pylist() for c in b.columns)):
-                store.create_dir(f"{base}/{where}", recursive=True)
-                for name, text in ((layout.statepoint, sp), (layout.document, doc)):
-                    if text is not None:
-                        with store.open_output_stream(f"{base}/{where}/{name}") as f:
-                            f.write(text.encode())
+            for member, content in zip(*(c.to_pylist() for c in b.columns)):
+                store.create_dir(os.path.dirname(f"{base}/{member}"), recursive=True)
+                with store.open_output_stream(f"{base}/{member}", compression=None) as f:
+                    f.write(content)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
@@ -121,18 +117,20 @@ def members(spark: SparkSession, origin: str) -> DataFrame:
     return files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), f"^{base}/", "").alias("path"), "content")
 
 
-def import_from(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> Project:
-    """Jobs of an exported folder or archive.
+def _ancestors(df: DataFrame, column: str) -> DataFrame:
+    """df with each folder above (and of) column as `above`."""
+    return df.withColumn("above", F.explode(F.expr(f"transform(sequence(1, size(split({column}, '/'))), i -> array_join(slice(split({column}, '/'), 1, i), '/'))")))
 
-    State points come from their files; with schema (a path template) from paths, and where both
-    exist they must agree. Jobs inside another job's folder belong to that job.
-    """
-    files = members(spark, origin).withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "name": F.regexp_extract("path", "([^/]*)$", 1), "text": F.decode("content", "UTF-8")})
-    sp = files.where(F.col("name") == layout.statepoint).select("folder", canonical_json("text").alias("sp_json"))
-    doc = files.where(F.col("name") == layout.document).select("folder", canonical_json("text").alias("doc_json"))
+
+def job_folders(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> tuple[DataFrame, DataFrame]:
+    """((folder, job_id, sp_json, doc_json) of the jobs of an origin, its files)."""
+    files = members(spark, origin).withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "name": F.regexp_extract("path", "([^/]*)$", 1)})
+    text = F.decode("content", "UTF-8")
+    sp = files.where(F.col("name") == layout.statepoint).select("folder", canonical_json(text).alias("sp_json"))
+    doc = files.where(F.col("name") == layout.document).select("folder", canonical_json(text).alias("doc_json"))
     if schema is not None:
         parsed = parse_columns(schema, F.col("folder"))
-        folders = files.select("folder").distinct()
+        folders = _ancestors(files.select("folder").distinct(), "folder").select(F.col("above").alias("folder")).distinct()
         folders = folders.withColumns({f"f{i}": c for i, c in enumerate(parsed.values())})
         fits = F.lit(True)
         for i in range(len(parsed)):
@@ -144,11 +142,29 @@ def import_from(spark: SparkSession, origin: str, schema: str | None = None, lay
         sp = both.select("folder", F.col("path_json").alias("sp_json"))
     if sp.where("sp_json is null").take(1):
         raise StatepointParsingError("a state point file cannot be read")
-    jobs = sp.join(doc, "folder", "left").select(F.md5("sp_json").alias("job_id"), "sp_json", "doc_json")
+    inner = _ancestors(sp.select("folder"), "folder").where("above <> folder").join(sp.select(F.col("folder").alias("above")), "above", "left_semi").select("folder").distinct()
+    jobs = sp.join(inner, "folder", "left_anti").join(doc, "folder", "left").select("folder", F.md5("sp_json").alias("job_id"), "sp_json", "doc_json")
     twice = jobs.groupBy("job_id").agg(F.count("*").alias("n")).where("n > 1").take(1)
     if twice:
         raise StatepointParsingError(f"several folders give job {twice[0][0]}")
-    return Project.of_canonical(jobs)
+    return jobs, files
+
+
+def import_from(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> Project:
+    """Jobs of an exported folder or archive.
+
+    State points come from their files; with schema (a path template) from paths, and where both
+    exist they must agree. What lies inside another job's folder belongs to that job.
+    """
+    return Project.of_canonical(job_folders(spark, origin, schema, layout)[0].select("job_id", "sp_json", "doc_json"))
+
+
+def import_files(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> DataFrame:
+    """(job_id, path, content) of the other files of an origin's jobs, paths inside the job's folder."""
+    jobs, files = job_folders(spark, origin, schema, layout)
+    placed = _ancestors(files, "folder").join(jobs.select(F.col("folder").alias("above"), "job_id"), "above")
+    inside = F.when(F.col("above") == "", F.col("path")).otherwise(F.expr("substring(path, length(above) + 2)"))
+    return placed.select("job_id", inside.alias("path"), "content").where(~F.col("path").isin(layout.statepoint, layout.document))
 
 
 def _sp_json(columns: dict[str, str]):

@@ -69,6 +69,19 @@ def write_config(root: str, key: str, value) -> None:
     os.replace(part, at)
 
 
+def read_document(root: str, name: str = "document.json") -> dict:
+    """The project's own document; {} if there is none."""
+    at = Path(root) / name
+    return json.loads(at.read_text()) if at.exists() else {}
+
+
+def write_document(root: str, document: dict, name: str = "document.json") -> None:
+    at = Path(root) / name
+    part = at.with_suffix(".part")
+    part.write_text(json.dumps(document, sort_keys=True))
+    os.replace(part, at)
+
+
 def migrate(root: str) -> list[str]:
     """Bring a folder with a workspace to the present layout; returns what was done."""
     done = []

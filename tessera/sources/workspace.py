@@ -83,6 +83,31 @@ def write_project(project: Project, root: str, layout: Layout = Layout()) -> Non
     project.jobs.select("job_id", "sp_json", "doc_json").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def write_files(files: DataFrame, root: str, layout: Layout = Layout()) -> int:
+    """Write (job_id, path, content) into job folders that executors can reach; returns how many."""
+    folder = root if "://" in root else f"file://{root}"
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        n = 0
+        for b in batches:
+            for job, path, content in zip(*(c.to_pylist() for c in b.columns)):
+                at = f"{base}/{layout.workspace}/{job}/{path}"
+                store.create_dir(os.path.dirname(at), recursive=True)
+                with store.open_output_stream(f"{at}.part", compression=None) as f:
+                    f.write(content)
+                store.move(f"{at}.part", at)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("job_id", "path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 # ---- index -----------------------------------------------------------------------------------
 
 def write_index(project: Project, path: str) -> None:

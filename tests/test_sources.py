@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tessera.errors import DestinationExistsError, JobsCorruptedError, StatepointParsingError
 from tessera.operators.project import Project
 from tessera.operators.views import create_linked_view, dead_branches
-from tessera.sources.archives import export_paths, export_to, import_from
+from tessera.sources.archives import export_paths, export_to, import_files, import_from
 from tessera.sources.paths import check_paths, nested_paths, parse_columns
-from tessera.sources.workspace import read_files, read_index, read_project, update_index, write_project
+from tessera.sources.workspace import read_files, read_index, read_project, update_index, write_files, write_project
 from tessera.streaming.refresh import refresh
 
 
@@ -110,6 +110,30 @@ def test_import_by_path(spark, tmp_path):
         import_from(spark, str(tmp_path / "d"), "a/{n.a:int}/{s}")
 
 
+@pytest.mark.parametrize("kind", ["", ".zip", ".tar.gz"])
+def test_files_go_along_and_inner_folders_belong_to_the_outer_job(spark, project, tmp_path, kind):
+    ids = list(project)
+    files = spark.createDataFrame([(ids[0], "sub/x.bin", b"\0\1"), (ids[1], "y.txt", b"y"), (ids[1], "deep/statepoint.json", b'{"a": 77}')], "job_id string, path string, content binary")
+    target = str(tmp_path / f"out{kind}")
+    export_to(project, target, files=files)
+    assert table(import_from(spark, target)) == table(project)
+    got = {(r["job_id"], r["path"], bytes(r["content"])) for r in import_files(spark, target).collect()}
+    assert got == {(r["job_id"], r["path"], bytes(r["content"])) for r in files.collect()}
+
+
+def test_syncing_files_into_a_workspace(spark, project, tmp_path):
+    from tessera.operators.sync import FileSync, sync_files
+
+    for side in "ab":
+        write_project(project, str(tmp_path / side))
+    i = project.find_jobs()[0]
+    write_files(spark.createDataFrame([(i, "d/one", b"1"), (i, "two", b"22")], "job_id string, path string, content binary"), str(tmp_path / "a"))
+    write_files(spark.createDataFrame([(i, "two", b"old")], "job_id string, path string, content binary"), str(tmp_path / "b"))
+    a, b = (read_files(spark, str(tmp_path / side)) for side in "ab")
+    assert tuple(sync_files(a, b, str(tmp_path / "b"), FileSync.never()).first()) == (1, 1)
+    assert (tmp_path / f"b/workspace/{i}/d/one").read_bytes() == b"1" and (tmp_path / f"b/workspace/{i}/two").read_bytes() == b"old"
+
+
 def test_linked_view(spark, project, tmp_path):
     write_project(project, str(tmp_path / "p"))
     view, workspace = str(tmp_path / "view"), str(tmp_path / "p/workspace")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.errors import DocumentSyncConflict, FileSyncConflict, SchemaSyncConflict
 from tessera.functions.canon import calc_id
 from tessera.operators.project import Project
-from tessera.operators.sync import DocSync, FileSync, file_plan, sync_projects, transfer_stats
+from tessera.operators.sync import DocSync, FileSync, file_plan, merge_mapping, sync_projects, transfer_stats
 
 
 def docs(p):
@@ -60,6 +60,14 @@ def test_selection_schema_and_self(spark, two):
         sync_projects(two[0], two[0])
 
 
+def test_project_documents():
+    a, b = {"x": 1, "n": {"y": 2, "z": 3}}, {"x": 5, "n": {"y": 2, "w": 4}}
+    assert merge_mapping(a, b, DocSync.UPDATE) == {"x": 1, "n": {"y": 2, "z": 3, "w": 4}}
+    assert merge_mapping(a, b, DocSync.ByKey("n")) == {"x": 5, "n": {"y": 2, "z": 3, "w": 4}} and merge_mapping(a, b, DocSync.NO_SYNC) == b
+    with pytest.raises(DocumentSyncConflict):
+        merge_mapping(a, b, DocSync.ByKey())
+
+
 def test_files(spark):
     def files(rows):
         return spark.createDataFrame([(j, p, t, len(c), c.encode()) for j, p, t, c in rows], "job_id string, path string, mtime long, length long, content binary").withColumn("mtime", F.col("mtime").cast("timestamp"))
