@@ -184,11 +184,11 @@ def judged(docs: DataFrame, min_tokens: int = 200, spread: float = 2.0, entropy_
     """
     m = with_shares(stored(metrics(docs, **kw), "fertility"))
     b = stored(bands(m, min_tokens, spread, entropy_spread, min_docs), "bands")
-    star = b.where("band = '*'").drop("band")
-    star = star.select(*(F.col(c).alias(f"any_{c}") for c in star.columns))
-    joined = m.join(b.where("band <> '*'"), "band", "left").join(F.broadcast(star), F.lit(True), "left")  # one row
-    low = lambda c: F.col(c) < F.coalesce(f"low_{c}", f"any_low_{c}")
-    high = lambda c: F.col(c) > F.coalesce(f"high_{c}", f"any_high_{c}")
+    star = b.where("band = '*'").first()  # one row: the limits over all texts
+    joined = m.join(b.where("band <> '*'"), "band", "left")
+    limit = lambda side, c: F.coalesce(f"{side}_{c}", F.lit(star and star[f"{side}_{c}"]).cast("double"))
+    low = lambda c: F.col(c) < limit("low", c)
+    high = lambda c: F.col(c) > limit("high", c)
     wrong = reduce(lambda x, y: x | y, (F.coalesce(t, F.lit(False)) for t in (low("chars_per_piece"), low("chars_per_byte_token"), high("fallback_share"), low("entropy_share"))))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~((F.col("n_pieces") >= min_tokens) & wrong)).alias("kept"), "band", "n_pieces", "n_byte_tokens", "n_fallback", "entropy", *METRICS)
