@@ -496,6 +496,17 @@ def sync_files(spark, d):
     return file_plan(pages, old, FileSync.update(), deep=True).select("job_id", "action")
 
 
+LINES = {c.removeprefix("l_"): c for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")}
+
+
+@registered("SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS job_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1 AND l_discount >= 0.04 AND l_discount <= 0.06 AND l_tax < 0.05 AND l_quantity IN (10, 20, 30) AND l_orderkey > 5 AND l_partkey > 5 AND l_suppkey > 1 AND l_extendedprice > 100")
+def find_rich(spark, d):
+    """One condition on each of ten keys."""
+    p = Project.of_table(spark.read.parquet(f"{d}/lineitem.parquet"), LINES, job_id=F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    f = {"returnflag": "R", "linestatus": "F", "linenumber": 1, "discount": {"$gte": 0.04, "$lte": 0.06}, "tax.$lt": 0.05, "quantity.$in": [10, 20, 30], "orderkey.$gt": 5, "partkey.$gt": 5, "suppkey.$gt": 1, "extendedprice.$gt": 100}
+    return ids(p, f)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events of one type whose document has k below 5: filter columns are pruned and pushed to the scan."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumns({"job_id": F.col("event_id").cast("string"), "k": F.get_json_object("props", "$.k").cast("bigint")})
