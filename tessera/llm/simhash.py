@@ -74,7 +74,7 @@ def forest(fps: np.ndarray, sides: np.ndarray | None, block: int = 1024) -> list
     sides: only pairs of different sides are looked at (the others meet under the whole half).
     Blocks of pairs are verified at a time, so memory is bounded by the block.
     """
-    parent = np.arange(len(fps))
+    parent = np.arange(len(fps))  # the smallest member joined so far, kept flat between blocks
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -82,25 +82,30 @@ def forest(fps: np.ndarray, sides: np.ndarray | None, block: int = 1024) -> list
             i = parent[i]
         return int(i)
 
-    groups = [(np.arange(len(fps)), np.arange(len(fps)))] if sides is None else [(np.flatnonzero(~sides), np.flatnonzero(sides))]
+    def flatten() -> None:
+        nonlocal parent
+        while not ((up := parent[parent]) == parent).all():
+            parent = up
+
+    left, right = (np.arange(len(fps)),) * 2 if sides is None else (np.flatnonzero(~sides), np.flatnonzero(sides))
     links = []
-    for left, right in groups:
-        for i in range(0, len(left), block):
-            for j in range(i if sides is None else 0, len(right), block):
-                a, b = left[i : i + block], right[j : j + block]
-                x, y = np.nonzero(close(fps[a][:, None], fps[b][None, :]))
-                x, y = a[x], b[y]
-                while len(x):
-                    # the first link of each left fingerprint joins; links inside what is joined then fall away
-                    for k in np.unique(x, return_index=True)[1]:
-                        p, q = root(x[k]), root(y[k])
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-                            links.append((int(fps[x[k]]), int(fps[y[k]])))
-                    seen, back = np.unique(np.append(x, y), return_inverse=True)
-                    roots = np.array([root(k) for k in seen])[back]
-                    apart = roots[: len(x)] != roots[len(x) :]
-                    x, y = x[apart], y[apart]
+    for i in range(0, len(left), block):
+        for j in range(i if sides is None else 0, len(right), block):
+            a, b = left[i : i + block], right[j : j + block]
+            if (parent[a] == parent[b[0]]).all() and (parent[b] == parent[b[0]]).all():
+                continue  # all joined already: a dense group costs its first blocks only
+            x, y = np.nonzero(close(fps[a][:, None], fps[b][None, :]))
+            x, y = a[x], b[y]
+            while len(x):
+                # the first link of each left fingerprint joins; links inside what is joined then fall away
+                for k in np.unique(x, return_index=True)[1]:
+                    p, q = root(x[k]), root(y[k])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        links.append((int(fps[x[k]]), int(fps[y[k]])))
+                flatten()
+                apart = parent[x] != parent[y]
+                x, y = x[apart], y[apart]
     return links
 
 

@@ -90,3 +90,29 @@ def test_components_of_a_long_chain(spark):
 def test_fingerprint_of_long_text(words):
     t = words(3000, 4)
     assert fingerprint(t) % (1 << 64) == slow(t)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_joins_what_brute_force_joins(seed):
+    r = np.random.default_rng(seed)
+    centre = r.integers(0, 1 << 62, 5)
+    fps = np.unique(np.concatenate([c ^ (np.int64(1) << r.integers(0, 64, (80, k))).sum(axis=1) for c in centre for k in (1, 2, 3)]).astype(np.int64))
+    sides = (fps >> 5 & 1).astype(bool)
+    for s in (None, sides):
+        pairs = [(i, j) for i in range(len(fps)) for j in range(i) if ((int(fps[i]) ^ int(fps[j])) & (1 << 64) - 1).bit_count() <= 3 and (s is None or s[i] != s[j])]
+        label = list(range(len(fps)))
+        at = {int(f): i for i, f in enumerate(fps)}
+
+        def joined(edges):
+            lab = list(label)
+            changed = True
+            while changed:
+                changed = False
+                for a, b in edges:
+                    if lab[a] != lab[b]:
+                        lab[a] = lab[b] = min(lab[a], lab[b])
+                        changed = True
+            return lab
+
+        found = [(at[a], at[b]) for a, b in forest(fps, s, block=32)]
+        assert joined(found) == joined(pairs) and len(found) == len(fps) - len(set(joined(pairs)))
