@@ -255,13 +255,13 @@ STACKED = """st AS (SELECT job_id, 'p_brand' AS path, p_brand AS value, md5(p_si
  UNION ALL SELECT job_id, 'p_size', lpad(CAST(p_size AS VARCHAR), 4, '0'), md5(p_brand || '|' || p_type) FROM ps UNION ALL SELECT job_id, 'p_type', p_type, md5(p_brand || '|' || p_size) FROM ps)"""
 
 
-@registered(f"WITH {PS}, {STACKED}, three AS (SELECT job_id FROM ps ORDER BY job_id LIMIT 3), t AS (SELECT job_id, path, value FROM st WHERE job_id IN (SELECT job_id FROM three)) SELECT job_id, path, value FROM t WHERE (path, value) NOT IN (SELECT path, value FROM t GROUP BY 1, 2 HAVING count(*) = 3)")
+@registered(f"WITH {PS}, {STACKED}, t AS (SELECT job_id, path, value FROM st UNION ALL SELECT job_id, 'const', '1' FROM ps) SELECT job_id, path, value FROM t WHERE (path, value) NOT IN (SELECT path, value FROM t GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM ps))")
 def diff_jobs(spark, d):
-    s = stacked(points(spark, d))
-    three = s.select("job_id").distinct().orderBy("job_id").limit(3)
-    t = s.join(three, "job_id", "left_semi").select("job_id", "path", "value")
-    common = t.groupBy("path", "value").agg(F.count("*").alias("n")).where("n = 3").select("path", "value")
-    return t.join(common, ["path", "value"], "left_anti").select("job_id", "path", "value")
+    from .operators.diff import diff_leaves
+
+    ps = points(spark, d)
+    t = stacked(ps).select("job_id", "path", "value").union(ps.select("job_id", F.lit("const"), F.lit("1")))
+    return diff_leaves(t.select("job_id", "path", F.col("value").alias("same"), F.col("value").alias("json"))).withColumnRenamed("json", "value")
 
 
 @registered(f"WITH {PS}, {STACKED} SELECT job_id, path, lag(job_id) OVER w AS prev_job_id, lead(job_id) OVER w AS next_job_id FROM st WINDOW w AS (PARTITION BY path, rest ORDER BY value)")
@@ -282,12 +282,14 @@ def neighbors_ignore(spark, d):
 
 
 def sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("job_id"), "o_totalprice", "o_orderstatus")
-    return o.where("job_id % 2 = 0"), o.where("job_id % 3 = 0").withColumn("o_totalprice", F.when(F.col("job_id") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    """Two overlapping projects of orders; finished ones cost more in the second."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("job_id"), "o_totalprice", "o_orderstatus", "o_orderpriority")
+    changed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return o.where("o_orderstatus <> 'P'"), o.where("o_orderpriority <> '1-URGENT'").withColumn("o_totalprice", changed)
 
 
-SIDES = """a AS (SELECT o_orderkey AS job_id, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0),
-b AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)"""
+SIDES = """a AS (SELECT o_orderkey AS job_id, o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT')"""
 
 
 @registered(f"WITH {SIDES} SELECT coalesce(a.job_id, b.job_id) AS job_id, CASE WHEN b.job_id IS NULL THEN 'clone' WHEN a.job_id IS NULL OR a.o_totalprice = b.o_totalprice THEN 'keep' ELSE 'merge' END AS action FROM a FULL JOIN b ON a.job_id = b.job_id")
@@ -340,7 +342,7 @@ def store_array_stats(spark, d):
     return array_stats(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding").withColumn("total", F.round("total", 4))
 
 
-@registered("SELECT o_orderkey AS job_id, 'added' AS change FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'removed' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
+@registered(f"WITH {SIDES} SELECT job_id, 'added' AS change FROM a WHERE job_id NOT IN (SELECT job_id FROM b) UNION ALL SELECT job_id, 'removed' FROM b WHERE job_id NOT IN (SELECT job_id FROM a)")
 def cache_delta(spark, d):
     from .sources.workspace import index_delta
 
@@ -352,12 +354,12 @@ def remove_jobs(spark, d):
     return parts(spark, d).remove({"$or": [{"brand": "Brand#12"}, {"size.$in": [1, 2, 3]}]}).jobs.select("job_id")
 
 
-@registered("SELECT count(*) AS num_files, CAST(sum(length(html)) AS BIGINT) AS volume FROM pages WHERE page_id % 3 <> 0")
+@registered("SELECT count(*) AS num_files, CAST(sum(length(html)) AS BIGINT) AS volume FROM pages WHERE NOT starts_with(url, 'https')")
 def sync_transfer_stats(spark, d):
     from .operators.sync import file_plan, transfer_stats
 
     pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("string").alias("job_id"), F.col("url").alias("path"), F.lit("2020-01-01").cast("timestamp").alias("mtime"), F.length("html").cast("bigint").alias("length"), F.encode("html", "UTF-8").alias("content"))
-    return transfer_stats(file_plan(pages, pages.where("cast(job_id as bigint) % 3 = 0")))
+    return transfer_stats(file_plan(pages, pages.where("path like 'https%'")))
 
 
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE o_orderkey = 7")
@@ -445,12 +447,12 @@ def path_nested(spark, d):
     return nested_paths(p.select(F.concat_ws("/", F.lit("a"), "p_brand", F.when(F.col("p_size") > 25, F.concat(F.lit("b/"), F.col("p_size")))).alias("path")).distinct().union(p.select(F.concat_ws("/", F.lit("a"), "p_brand").alias("path")).distinct()).distinct())
 
 
-@registered("SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'new' WHEN b.p IS NULL THEN 'obsolete' WHEN a.t <> b.t THEN 'update' ELSE 'keep' END AS action FROM (SELECT 'x/' || p_partkey AS p, p_brand AS t FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT 'x/' || p_partkey AS p, CASE WHEN p_partkey % 5 = 0 THEN 'z' ELSE p_brand END AS t FROM part WHERE p_partkey % 2 = 0) b ON a.p = b.p")
+@registered("SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'new' WHEN b.p IS NULL THEN 'obsolete' WHEN a.t <> b.t THEN 'update' ELSE 'keep' END AS action FROM (SELECT 'x/' || p_partkey AS p, p_brand AS t FROM part WHERE p_size < 40) a FULL JOIN (SELECT 'x/' || p_partkey AS p, CASE WHEN p_retailprice > 1500 THEN 'z' ELSE p_brand END AS t FROM part WHERE p_size > 10) b ON a.p = b.p")
 def view_changes(spark, d):
     from .operators.views import view_plan
 
-    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("x/"), F.col("p_partkey")).alias("path"), F.col("p_brand").alias("target"), "p_partkey")
-    return view_plan(p.where("p_partkey % 3 <> 0"), p.where("p_partkey % 2 = 0").withColumn("target", F.when(F.col("p_partkey") % 5 == 0, "z").otherwise(F.col("target")))).select("path", "action")
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("x/"), F.col("p_partkey")).alias("path"), F.col("p_brand").alias("target"), "p_size", "p_retailprice")
+    return view_plan(p.where("p_size < 40"), p.where("p_size > 10").withColumn("target", F.when(F.col("p_retailprice") > 1500, "z").otherwise(F.col("target")))).select("path", "action")
 
 
 @registered(f"WITH {SMALL} SELECT md5(replace(sp_json, '}}', ', \"tag\": 1}}')) AS job_id FROM sm WHERE n_regionkey = 1 UNION ALL SELECT job_id FROM sm WHERE n_regionkey <> 1")
@@ -487,12 +489,12 @@ def sync_documents(spark, d):
     return document_plan(p, other, DocSync.ByKey()).select("job_id", "path", "json", "conflict")
 
 
-@registered("SELECT CAST(page_id AS VARCHAR) AS job_id, CASE WHEN page_id % 3 <> 0 OR page_id % 2 = 0 THEN 'copy' ELSE 'keep' END AS action FROM pages")
+@registered("SELECT CAST(page_id AS VARCHAR) AS job_id, CASE WHEN NOT starts_with(url, 'https') OR length(html) > 3000 THEN 'copy' ELSE 'keep' END AS action FROM pages")
 def sync_files(spark, d):
     from .operators.sync import FileSync, file_plan
 
-    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("string").alias("job_id"), F.col("url").alias("path"), F.lit("2020-01-02").cast("timestamp").alias("mtime"), F.length("html").cast("bigint").alias("length"), F.encode("html", "UTF-8").alias("content"), "page_id")
-    old = pages.where("page_id % 3 = 0").withColumns({"content": F.when(F.col("page_id") % 2 == 0, F.encode(F.lit("old"), "UTF-8")).otherwise(F.col("content")), "mtime": F.lit("2020-01-01").cast("timestamp")})
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("string").alias("job_id"), F.col("url").alias("path"), F.lit("2020-01-02").cast("timestamp").alias("mtime"), F.length("html").cast("bigint").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    old = pages.where("path like 'https%'").withColumns({"content": F.when(F.col("length") > 3000, F.encode(F.lit("old"), "UTF-8")).otherwise(F.col("content")), "mtime": F.lit("2020-01-01").cast("timestamp")})
     return file_plan(pages, old, FileSync.update(), deep=True).select("job_id", "action")
 
 
