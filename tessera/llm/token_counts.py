@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import ship
+from .common import ship, stored
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -58,7 +58,8 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     Null text counts as empty, length 0; repeated rows count each; an empty table gives no rows;
     other columns do not matter.
     """
-    return limits(lengths(docs, text_col, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs")))
+    counted = lengths(docs, text_col, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs"))
+    return limits(stored(counted, "histogram"))  # else both steps of the suffix sums would encode all texts
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
