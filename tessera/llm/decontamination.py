@@ -11,16 +11,21 @@ joined with all documents: its size is checked, however large the benchmark is.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, powers, ship, total_bytes, window_hash, word_hashes, words_of
+from .common import SPACE, flat, powers, ship, total_bytes, word_hashes, words_of
 
 #: Which of a window's words count, mask by mask.
 MASKS = ("110110111011", "111010110111", "101111011011", "111101101101")
+#: Least words of an item for them.
+LONG = 15
+#: (least words, masks) for items too short for those: each way to change every fifth word at most leaves one of them whole.
+SHORT_MASKS = ((10, ("1110111", "11011011", "111000111", "111111", "1101001011")), (8, ("111111", "11010111", "11101011")))
 SEED_BASE = 0x9FB21C651E98DF25
 
 #: ASCII letters and digits in lower case stay, other ASCII is white space, bytes of other characters stay.
@@ -64,26 +69,41 @@ def starts_inside(first: np.ndarray, n: int, span: int) -> np.ndarray:
     return np.cumsum(inside)[: max(0, n - span + 1)] > 0
 
 
+def needed(words: int, min_match: int, similarity: float) -> int:
+    """How many equal words an overlap with an item of so many words must have."""
+    return min(min_match, math.ceil(similarity * words - 1e-9))
+
+
+def sure_run(words: int, min_match: int, similarity: float) -> int:
+    """Every overlap with an item of so many words has a run of so many equal ones: k changed words leave k + 1 runs."""
+    need = needed(words, min_match, similarity)
+    return min(math.ceil(max(need, math.ceil(k * similarity / (1 - similarity) - 1e-6)) / (k + 1)) for k in range(max(1, words - need + 1)))
+
+
+def masks_of(words: int, min_match: int, similarity: float) -> tuple[str, ...]:
+    """The masks for items of so many words; runs where words, matches or similarity are below what the fixed masks are made for."""
+    if similarity >= 0.8 and words >= SHORT_MASKS[-1][0] and needed(words, min_match, similarity) >= needed(words, 13, 0.8):
+        return next((masks for least, masks in ((LONG, MASKS), *SHORT_MASKS) if words >= least))
+    return ("1" * sure_run(words, min_match, similarity),)
+
+
 class Index:
-    """Seed hashes of a block of benchmark items: masks for long items, whole items for those shorter than a mask."""
+    """Seed hashes of a block of benchmark items, mask by mask."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int):
+    def __init__(self, items: list[tuple[int, str]], min_words: int, min_match: int = 13, similarity: float = 0.8):
         import pyarrow as pa
 
         self.ids = [i for i, _ in items]
         self.words, self.first = hashed_words(pa.array([t for _, t in items], pa.string()))
         sizes = np.diff(self.first)
+        by_mask: dict[str, list[int]] = {}
+        for n in np.unique(sizes[sizes >= max(1, min_words)]).tolist():
+            for mask in masks_of(n, min_match, similarity):
+                by_mask.setdefault(mask, []).append(n)
         self.tables = []
-        span = len(MASKS[0])
-        for mask in [*MASKS, *range(min_words, span)]:
-            if isinstance(mask, str):
-                hashes, ok = seed_hashes(self.words, mask), starts_inside(self.first, len(self.words), span)
-                at = np.flatnonzero(ok)
-            else:
-                hashes = window_hash(self.words, mask, SEED_BASE)
-                at = self.first[:-1][sizes == mask]
-            if not len(at):
-                continue
+        for mask, of in by_mask.items():
+            hashes = seed_hashes(self.words, mask)
+            at = np.flatnonzero(starts_inside(self.first, len(self.words), len(mask)) & np.repeat(np.isin(sizes, of), sizes)[: len(hashes)])
             values = hashes[at]
             order = np.argsort(values, kind="stable")
             self.tables.append((mask, values[order], at[order], self.filter(values)))
@@ -98,12 +118,11 @@ class Index:
         """Pairs of places, in the documents and in the benchmark, with equal hashes."""
         here, there = [], []
         for mask, values, at, sieve in self.tables:
-            span = len(mask) if isinstance(mask, str) else mask
-            hashes = seed_hashes(words, mask) if isinstance(mask, str) else window_hash(words, mask, SEED_BASE)
+            hashes = seed_hashes(words, mask)
             if not len(hashes):
                 continue
             found = np.flatnonzero(sieve[hashes >> np.uint64(42)])
-            found = found[starts_inside(first, len(words), span)[found]]
+            found = found[starts_inside(first, len(words), len(mask))[found]]
             lo, hi = np.searchsorted(values, hashes[found]), np.searchsorted(values, hashes[found], "right")
             n = hi - lo
             here.append(np.repeat(found, n))
@@ -111,16 +130,20 @@ class Index:
         return (np.concatenate(here), np.concatenate(there)) if here else (np.zeros(0, np.int64),) * 2
 
 
-def best_overlap(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
-    """The stretch [from, to) of an alignment with the highest score, one a match and -penalty a substitution, and its matches."""
+def best_overlap(same: np.ndarray, penalty: float, need: int = 0) -> tuple[int, int, int]:
+    """Of the stretches [from, to) of an alignment with need matches, the one with the highest score, one a match and -penalty a substitution, and its matches; (0, 0, 0) if there is none."""
     score = np.concatenate([[0], np.cumsum(np.where(same, 1.0, -penalty))])
+    matches = np.concatenate([[0], np.cumsum(same)])
     lowest = np.minimum.accumulate(score)
-    to = int((score - lowest).argmax())
-    start = int(np.flatnonzero(score[: to + 1] == lowest[to])[-1])
-    return start, to, int(same[start:to].sum())
+    last = np.minimum(np.searchsorted(matches, matches - need, "right") - 1, np.arange(len(score)))  # the last start with need matches up to each end
+    if last[-1] < 0:
+        return 0, 0, 0
+    to = int(np.where(last >= 0, score - lowest[last], -np.inf).argmax())
+    start = int(np.flatnonzero(score[: last[to] + 1] == lowest[last[to]])[-1])
+    return start, to, int(matches[to] - matches[start])
 
 
-def overlaps_in(texts, index: Index, min_match: int, penalty: float) -> list[list[dict]]:
+def overlaps_in(texts, index: Index, min_match: int, similarity: float) -> list[list[dict]]:
     """Verified overlaps of each text with the items of a block."""
     words, first = hashed_words(texts)
     here, there = index.hits(words, first)
@@ -129,8 +152,9 @@ def overlaps_in(texts, index: Index, min_match: int, penalty: float) -> list[lis
         doc, item = np.searchsorted(first, here, "right") - 1, np.searchsorted(index.first, there, "right") - 1
         for d, i, shift in np.unique(np.stack([doc, item, here - there]), axis=1).T:
             a, z = max(index.first[i], first[d] - shift), min(index.first[i + 1], first[d + 1] - shift)
-            start, to, matched = best_overlap(index.words[a:z] == words[a + shift : z + shift], penalty)
-            if matched >= min(min_match, index.first[i + 1] - index.first[i]):
+            need = needed(int(index.first[i + 1] - index.first[i]), min_match, similarity)
+            start, to, matched = best_overlap(index.words[a:z] == words[a + shift : z + shift], similarity / (1 - similarity), need)
+            if matched >= max(need, similarity * (to - start) - 1e-6):
                 at = int(a + shift - first[d])
                 out[d].append({"item_id": index.ids[i], "word_from": at + start, "word_to": at + to, "matched": matched})
     return out
@@ -148,18 +172,17 @@ def blocks_of(benchmark: DataFrame, block_mb: float, item_col: str, item_text: s
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, overlaps) for each document and block of the benchmark with a verified overlap."""
-    penalty = similarity / (1 - similarity)
 
     def one(sent) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
-            index = Index(sent.value, min_words)
+            index = Index(sent.value, min_words, min_match, similarity)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("word_from", pa.int32()), ("word_to", pa.int32()), ("matched", pa.int32())]))
             for b in batches:
                 for lo in range(0, b.num_rows, 512):
                     part = b.slice(lo, 512)
-                    out = overlaps_in(part.column(1), index, min_match, penalty)
+                    out = overlaps_in(part.column(1), index, min_match, similarity)
                     hit = [k for k, x in enumerate(out) if x]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit, pa.int64())), pa.array([out[k] for k in hit], kind)], names=["doc_id", "overlaps"])
 
@@ -170,17 +193,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_wor
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that have no verified overlap with the benchmark."""
-    penalty, place = similarity / (1 - similarity), docs.columns.index(text_col)
+    place = docs.columns.index(text_col)
     for sent in blocks_of(benchmark, block_mb, item_col, item_text):
 
         def run(batches, sent=sent):
             import pyarrow as pa
 
-            index = Index(sent.value, min_words)
+            index = Index(sent.value, min_words, min_match, similarity)
             for b in batches:
                 for lo in range(0, b.num_rows, 512):
                     part = b.slice(lo, 512)
-                    yield part.filter(pa.array([not x for x in overlaps_in(part.column(place), index, min_match, penalty)], pa.bool_()))
+                    yield part.filter(pa.array([not x for x in overlaps_in(part.column(place), index, min_match, similarity)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
@@ -190,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that hold benchmark text: doc_id, n_overlaps, item_ids, longest (matched words), overlaps.
 
     An overlap is a stretch of a document and of an item, word by word with at least `similarity`
-    equal, with `min_match` equal words or the whole of a shorter item; items of fewer than
+    equal, with `min_match` equal words or that share of a shorter item's; items of fewer than
     `min_words` words are too common to prove anything and are not searched for. Null and empty
     texts overlap nothing. Repeated rows with one id give one row. Empty tables give an empty
     result. Other columns do not matter.

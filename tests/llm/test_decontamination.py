@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontamination as D
@@ -62,3 +64,46 @@ def test_best_overlap_against_brute_force():
         a, b, n = D.best_overlap(same, 4.0)
         score = lambda x, y: sum(1 if s else -4 for s in same[x:y])
         assert score(a, b) == max(score(x, y) for x in range(26) for y in range(x, 26)) and n == same[a:b].sum()
+
+
+def test_best_overlap_with_enough_matches_against_brute_force():
+    r = random.Random(3)
+    for _ in range(60):
+        same = np.array([r.random() < 0.8 for _ in range(24)])
+        for need in (0, 7, 13, 25):
+            a, b, n = D.best_overlap(same, 4.0, need)
+            score = {(x, y): sum(1 if s else -4 for s in same[x:y]) for x in range(25) for y in range(x, 25) if same[x:y].sum() >= need}
+            assert (a, b, n) == (0, 0, 0) if not score else score[a, b] == max(score.values()) and n == same[a:b].sum() >= need
+
+
+def held(words, item):
+    """Whether a copy of an item among other words is reported, and with how many equal words."""
+    index = D.Index([(1, " ".join(item))], 8)
+    text = " ".join(["some", "words", "before", *words, "and", "others", "behind"])
+    return max((x["matched"] for x in D.overlaps_in(pa.array([text]), index, 13, 0.8)[0]), default=0)
+
+
+@pytest.mark.parametrize("n", range(8, 25))
+def test_a_whole_copy_with_one_changed_word_is_found_wherever_it_is(n):
+    item = [f"w{i}" for i in range(n)]
+    assert held(item, item) == n
+    for k in range(n):
+        assert held([*item[:k], "other", *item[k + 1 :]], item) >= D.needed(n, 13, 0.8), k
+
+
+@pytest.mark.parametrize("n", range(8, 15))
+def test_short_items_are_found_with_every_fifth_word_changed(n):
+    item, k = [f"w{i}" for i in range(n)], n - D.needed(n, 13, 0.8)
+    for at in itertools.combinations(range(n), k):
+        assert held([w if i not in at else f"other{i}" for i, w in enumerate(item)], item), at
+    assert not held([w if i > k else f"other{i}" for i, w in enumerate(item)], item)
+
+
+def test_other_parameters_keep_seeds_that_find_all():
+    item = [f"w{i}" for i in range(12)]
+    for words, similarity, min_match in ((12, 0.6, 13), (6, 0.8, 13), (12, 0.8, 5)):
+        index = D.Index([(1, " ".join(item[:words]))], 5, min_match, similarity)
+        need = D.needed(words, min_match, similarity)
+        for at in itertools.combinations(range(words), words - D.needed(words, 99, similarity)):
+            text = " ".join(w if i not in at else f"other{i}" for i, w in enumerate(item[:words]))
+            assert any(x["matched"] >= need for x in D.overlaps_in(pa.array([text]), index, min_match, similarity)[0]), (words, at)
