@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks ignore some positions of a window of words, so a substituted word under a gap of some
-mask leaves that mask's hash unchanged. Hashes of all benchmark windows are joined with those of
-all training windows; round each hit the two texts are laid over each other and the overlap is
-verified word by word, with substitutions tolerated up to a rate.
+mask leaves that mask's hash unchanged. The masks are chosen so that whatever the verifier accepts
+has a hit. Hashes of all benchmark windows are joined with those of all training windows; round
+each hit the two texts are laid over each other and the overlap is verified word by word, with
+substitutions tolerated up to a rate.
 
 The benchmark side goes to the tasks in blocks of at most `block_mb` of text, each broadcast and
 joined with all documents: its size is checked, however large the benchmark is.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, flat, powers, ship, total_bytes, word_hashes, words_of
 
-#: Which of a window's words count, mask by mask.
-MASKS = ("110110111011", "111010110111", "101111011011", "111101101101")
+#: Which of a window's words count, mask by mask: every stretch of 13 equal words with at most a fifth of the words changed, of any length, leaves one of them whole, and so do 12 of 15.
+MASKS = ("111011011", "111000100111", "11001001000111", "11010100001101", "110001110101", "101101110001", "111100001011")
 #: Least words of an item for them.
 LONG = 15
 #: (least words, masks) for items too short for those: each way to change every fifth word at most leaves one of them whole.
@@ -109,7 +110,8 @@ class Index:
             self.tables.append((mask, values[order], at[order], self.filter(values)))
 
     @staticmethod
-    def filter(values: np.ndarray, bits: int = 22) -> np.ndarray:
+    def filter(values: np.ndarray) -> np.ndarray:
+        bits = min(22, max(10, len(values).bit_length() + 6))
         found = np.zeros(1 << bits, bool)
         found[values >> np.uint64(64 - bits)] = True
         return found
@@ -121,7 +123,7 @@ class Index:
             hashes = seed_hashes(words, mask)
             if not len(hashes):
                 continue
-            found = np.flatnonzero(sieve[hashes >> np.uint64(42)])
+            found = np.flatnonzero(sieve[hashes >> np.uint64(65 - len(sieve).bit_length())])
             found = found[starts_inside(first, len(words), len(mask))[found]]
             lo, hi = np.searchsorted(values, hashes[found]), np.searchsorted(values, hashes[found], "right")
             n = hi - lo

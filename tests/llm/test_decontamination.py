@@ -107,3 +107,43 @@ def test_other_parameters_keep_seeds_that_find_all():
         for at in itertools.combinations(range(words), words - D.needed(words, 99, similarity)):
             text = " ".join(w if i not in at else f"other{i}" for i, w in enumerate(item[:words]))
             assert any(x["matched"] >= need for x in D.overlaps_in(pa.array([text]), index, min_match, similarity)[0]), (words, at)
+
+
+def best_without_a_hit(masks, need, penalty=4):
+    """The highest score of a stretch of any length that has need matches and no mask's words all equal. A state is the last words, newest lowest."""
+    n = 1 << max(map(len, masks)) - 1
+    states, after = np.arange(n), np.arange(2 * n)
+    hit = np.any([after & int(m, 2) == int(m, 2) for m in masks], axis=0)
+    best = np.full((need + 1, n), -(10**6))
+    best[0, 0] = 0
+    for _ in range(1000):
+        new = best.copy()
+        for same in (0, 1):
+            to = states << 1 | same
+            for m in range(need + 1):
+                score = np.where(hit[to] & bool(same), -(10**6), best[m] + (1 if same else -penalty))
+                np.maximum.at(new[min(need, m + same)], to & n - 1, score)
+        if (new == best).all() or new[need].max() >= 0:
+            return new[need].max()
+        best = new
+    return 0
+
+
+def test_masks_hit_every_overlap_of_any_length():
+    assert best_without_a_hit(D.MASKS, 13) < 0
+    assert best_without_a_hit(("1" * 5,), 13) >= 0
+
+
+@pytest.mark.parametrize("n,changed", [(15, 3), (16, 3), (20, 4)])
+def test_long_items_are_found_however_the_changed_words_lie(n, changed):
+    item = np.arange(1, n + 1, dtype=np.uint64)
+    for at in itertools.combinations(range(n), changed):
+        other = item.copy()
+        other[list(at)] += np.uint64(1000)
+        assert any((D.seed_hashes(item, m) == D.seed_hashes(other, m)).any() for m in D.masks_of(n, 13, 0.8)), at
+
+
+def test_neighbouring_changed_words_do_not_hide_an_overlap():
+    for n, at in ((20, (9, 10)), (23, (10, 11)), (24, (5, 10, 11, 17))):
+        item = [f"w{i}" for i in range(n)]
+        assert held([w if i not in at else f"other{i}" for i, w in enumerate(item)], item) >= 13
