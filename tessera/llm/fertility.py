@@ -139,11 +139,12 @@ def metrics(docs: DataFrame, pieces: str | None = None, ranks: str | None = None
             for lo in range(0, batch.num_rows, 1024):
                 b = batch.slice(lo, 1024)
                 m = measure(b.column(2), vocabularies)
-                lang = [x if x is not None else script(b.column(2)[k].as_py()) for k, x in enumerate(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), *(pa.array(m[c].astype(np.int64)) for c in longs), pa.array(m["entropy"])], names=["doc_id", "band", *longs, "entropy"])
+                scripts = [script(x.as_py()) for x in b.column(2)]
+                lang = [x if x is not None else y for x, y in zip(b.column(1).to_pylist(), scripts)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(scripts, pa.string()), *(pa.array(m[c].astype(np.int64)) for c in longs), pa.array(m["entropy"])], names=["doc_id", "band", "script", *longs, "entropy"])
 
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, band string, {', '.join(f'{c} long' for c in longs)}, entropy double")
+    return docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, band string, script string, {', '.join(f'{c} long' for c in longs)}, entropy double")
 
 
 def with_shares(m: DataFrame) -> DataFrame:
@@ -154,44 +155,53 @@ def with_shares(m: DataFrame) -> DataFrame:
     })
 
 
-def bands(m: DataFrame, min_tokens: int, spread: float, entropy_spread: float, min_docs: int) -> DataFrame:
-    """(band, metric lows and highs): quartiles from exact histograms, widened by spread times their distance and 0.02.
+def length_class(min_tokens: int):
+    """0 for texts of min_tokens pieces or more, then 1, 2, 3 for those of half, a quarter and less: few tokens make the measures noisy."""
+    return F.when(F.col("n_pieces") >= min_tokens, 0).when(F.col("n_pieces") >= min_tokens / 2, 1).when(F.col("n_pieces") >= min_tokens / 4, 2).otherwise(3)
 
-    Texts of fewer than min_tokens pieces say little and are left out; a band of fewer than
-    min_docs texts takes the figures of all texts ('*').
+
+def bands(m: DataFrame, min_tokens: int, spread: float, entropy_spread: float) -> DataFrame:
+    """(level, name, class, total, metric lows, highs and margins): quartiles from exact histograms, per language and per script; margins are spread times their distance and 0.02.
+
+    Short texts of fewer than ten words, which the base rules reject, are left out.
     """
-    some = m.where(F.col("n_pieces") >= min_tokens)
-    long_ = some.select("band", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.round(F.col(c) * STEP).cast("long").alias("bin")) for c in METRICS))).alias("x")).select("band", "x.*")
-    counts = stored(long_.groupBy("band", "metric", "bin").agg(F.count("*").alias("n")), "bins")
-    counts = counts.union(counts.groupBy(F.lit("*"), "metric", "bin").agg(F.sum("n").alias("n")))
-    w = Window.partitionBy("band", "metric")
-    upto = counts.select("band", "metric", "bin", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
+    some = m.where((F.col("n_pieces") >= min_tokens) | (F.col("n_words") >= 10))
+    long_ = some.select("band", "script", "class", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.round(F.col(c) * STEP).cast("long").alias("bin")) for c in METRICS))).alias("x")).select("band", "script", "class", "x.*").where("bin is not null")
+    fine = stored(long_.groupBy("band", "script", "class", "metric", "bin").agg(F.count("*").alias("n")), "bins")
+    counts = reduce(DataFrame.union, (fine.groupBy(F.lit(c).alias("level"), F.col(c).alias("name"), "class", "metric", "bin").agg(F.sum("n").alias("n")) for c in ("band", "script")))
+    w = Window.partitionBy("level", "name", "class", "metric")
+    upto = counts.select("level", "name", "class", "metric", "bin", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / STEP)
-    quartiles = upto.groupBy("band", "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("total").alias("total")).where((F.col("total") >= min_docs) | (F.col("band") == "*"))
-    wide = F.when(F.col("metric") == "entropy_share", entropy_spread).otherwise(spread) * (F.col("q3") - F.col("q1")) + 0.02
-    limit = quartiles.select("band", "metric", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
-    return limit.groupBy("band").agg(*(F.max(F.when(F.col("metric") == c, F.col(side))).alias(f"{side}_{c}") for c in METRICS for side in ("low", "high")))
+    quartiles = upto.groupBy("level", "name", "class", "metric").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.max("total").alias("total"))
+    wide = F.when(F.col("metric") == "entropy_share", entropy_spread).otherwise(spread) * (F.col("high") - F.col("low")) + 0.02
+    limit = quartiles.withColumn("wide", wide)
+    return limit.groupBy("level", "name", "class").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == c, F.col(side))).alias(f"{side}_{c}") for c in METRICS for side in ("low", "high", "wide")))
 
 
 def judged(docs: DataFrame, min_tokens: int = 200, spread: float = 2.0, entropy_spread: float = 4.0, min_docs: int = 50, **kw) -> DataFrame:
     """Base counts, token measures, and whether to keep each document.
 
-    kept is false if base_failed, or if a text of min_tokens pieces or more has too few characters
-    per token in either vocabulary, too many byte-fallback tokens, or too low a token entropy for
-    its band. Null and empty texts have no words and fail the base rules. A null language falls to
+    kept is false if base_failed, or if a text has too few characters per token in either
+    vocabulary, too many byte-fallback tokens, or too low a token entropy for the usual of its
+    language and length class. A band of fewer than min_docs texts takes the script's figures, with margins
+    widened by the root of how many texts are missing, as one cannot know the usual from few.
+    Null and empty texts have no words and fail the base rules. A null language falls to
     the script. Repeated rows get equal verdicts. An empty table gives an empty result; other
     columns are not carried.
     """
-    m = with_shares(stored(metrics(docs, **kw), "fertility"))
-    b = stored(bands(m, min_tokens, spread, entropy_spread, min_docs), "bands")
-    star = b.where("band = '*'").first()  # one row: the limits over all texts
-    joined = m.join(b.where("band <> '*'"), "band", "left")
-    limit = lambda side, c: F.coalesce(f"{side}_{c}", F.lit(star and star[f"{side}_{c}"]).cast("double"))
+    m = with_shares(stored(metrics(docs, **kw), "fertility")).withColumn("class", length_class(min_tokens))
+    b = stored(bands(m, min_tokens, spread, entropy_spread), "bands")
+    figures = [f"{side}_{c}" for c in METRICS for side in ("low", "high", "wide")]
+    own, wider = (b.where(F.col("level") == level).select(F.col("name").alias(level), "class", F.col("total").alias(f"{level}_total"), F.struct(*figures).alias(f"{level}_figures")) for level in ("band", "script"))
+    joined = m.join(F.broadcast(own), ["band", "class"], "left").join(F.broadcast(wider), ["script", "class"], "left")
+    few = F.col("band_total") < min_docs
+    joined = joined.withColumns({"figures": F.when(few, F.col("script_figures")).otherwise(F.col("band_figures")), "widen": F.when(few, F.sqrt(min_docs / F.col("band_total"))).otherwise(1.0)})
+    limit = lambda side, c: F.col(f"figures.{side}_{c}") + (-1 if side == "low" else 1) * F.col("widen") * F.col(f"figures.wide_{c}")
     low = lambda c: F.col(c) < limit("low", c)
     high = lambda c: F.col(c) > limit("high", c)
     wrong = reduce(lambda x, y: x | y, (F.coalesce(t, F.lit(False)) for t in (low("chars_per_piece"), low("chars_per_byte_token"), high("fallback_share"), low("entropy_share"))))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~((F.col("n_pieces") >= min_tokens) & wrong)).alias("kept"), "band", "n_pieces", "n_byte_tokens", "n_fallback", "entropy", *METRICS)
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~wrong).alias("kept"), "band", "n_pieces", "n_byte_tokens", "n_fallback", "entropy", *METRICS)
     return out
 
 

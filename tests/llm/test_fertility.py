@@ -55,3 +55,12 @@ def test_a_text_outside_its_band_goes(docs, words):
 
 def test_scripts():
     assert [T.script(x) for x in ("abc é", "привет", "日本の", "한국", "", None, "12", "שלום")] == ["Latn", "Cyrl", "Hani", "Hang", "Zyyy", "Zyyy", "Zyyy", "Hebr"]
+
+
+def test_short_texts_and_small_bands_are_judged(docs, words):
+    rows = [(i, words(40, i), "xx") for i in range(80)] + [(500, " ".join(f"☃{i}☃" for i in range(14)), "xx"), (501, " ".join(f"слово{i % 7}а" for i in range(20)), "ru")]
+    got = {r["doc_id"]: r for r in T.judged(docs(rows)).collect()}
+    assert got[500]["n_pieces"] < 200 and not got[500]["base_failed"] and not got[500]["kept"]
+    assert sum(got[i]["kept"] for i in range(80)) >= 79
+    long_ = {r["doc_id"]: r for r in T.judged(docs([(i, words(300, i), "xx") for i in range(80)] + [(600, " ".join(f"μικρ{i}ό κείμ{i * 7}ενο" for i in range(120)), "el")])).collect()}
+    assert long_[600]["n_pieces"] >= 200 and long_[600]["kept"]
