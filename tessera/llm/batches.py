@@ -18,10 +18,15 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def dealt(docs: DataFrame, batch_mb: float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text), the columns to carry as c0, c1, ..., and the number of bytes. Rows go by a hash of id and text, so repeated ids spread out."""
+    """(batch, doc_id, text), the columns to carry as c0, c1, ..., and the number of bytes.
+
+    Rows go by a hash of their place in the table, so rows that are all alike spread out too. A
+    table scan gives the same places whenever a task runs again; the steps that use the deal raise
+    if it ever changed between them.
+    """
     n = total_bytes(docs, text_col)
     batches = max(1, int(n / (batch_mb * 1e6)) + 1)
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(batches)).cast("int")
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.octet_length(text_col)), F.lit(batches)).cast("int")
     return docs.select(key.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))), n
 
 

@@ -13,24 +13,50 @@ from ..functions.shipping import ship  # noqa: F401 - for the operators
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) a temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(f"file://{at}")
         at = f"file://{at}"
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends, and a lost executor costs nothing."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, read again, and its path: lineage ends, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slices(batch, text: int, rows: int = 512, mb: float = 2):
+    """An Arrow batch in slices of at most `rows` rows and about `mb` MB of the text column; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    limit = int(mb * 1e6)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = int(ends[at - 1]) if at else 0
+        to = min(max(int(np.searchsorted(ends, base + limit, "right")), at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -131,7 +157,7 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops, np.searchsorted(starts, ends)
 
 
-BYTE_BASE, BYTE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+BYTE_BASE = 0x9E3779B97F4A7C15
 
 
 def power_table(base: int, n: int) -> np.ndarray:
@@ -142,19 +168,20 @@ def power_table(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of words: polynomial in the bytes, then mixed with the length."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 20, base: int = BYTE_BASE) -> np.ndarray:
+    """64-bit hashes of words: polynomial in the bytes, then mixed with the length. Another odd base gives independent hashes."""
     out = np.empty(len(starts), np.uint64)
     if not len(starts):
         return out
     i = 0
-    table = power_table(BYTE_BASE, 0)
+    back = pow(base, -1, 1 << 64)
+    table = power_table(base, 0)
     inverse = table
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(stops, starts[i] + block, "right")))
         a, b = int(starts[i]), int(stops[j - 1])
         if b - a + 1 > len(table):
-            table, inverse = power_table(BYTE_BASE, b - a + 1), power_table(BYTE_INVERSE, b - a + 1)
+            table, inverse = power_table(base, b - a + 1), power_table(back, b - a + 1)
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * table[: b - a], out=sums[1:])
         s, e = starts[i:j] - a, stops[i:j] - a

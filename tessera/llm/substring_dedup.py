@@ -1,20 +1,26 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Texts are dealt into batches. A batch sends its sorted window hashes, one block for each range of
-hash values; per range the blocks are counted together and each block gets one bit per hash back.
-The batch computes the same hashes again, marks the repeated windows and merges them into maximal
-removal intervals. Hashes are 64 bits wide (a polynomial over mixed word hashes).
+Texts are dealt into batches. A batch sends the leading bits of its sorted window hashes, one block
+for each range of values; per range the blocks are counted together and each block gets one bit per
+hash back. Windows that may be repeated by those bits are sent again with 128 bits (two polynomials,
+each over word hashes of its own) and counted again: only those decide. The batch marks the repeated
+windows and merges them into maximal removal intervals.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .batches import Batch, covered, dealt, pack_bits, parts_of, sha256, unpack_bits
-from .common import planes, ship, unplanes, window_hash, word_hashes, words_of
+from .common import mix, planes, ship, unplanes, window_hash, word_hashes, words_of
 
 WINDOW_BASE = 0xD6E8FEB86659FD93
+#: Bases of the second hash, of words and of windows.
+OTHER_WORDS, OTHER_WINDOWS = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
+SPARE_BITS = 6  # of the first count: one window in 64 is asked about in vain
 
 
 def windows(batch: Batch, window: int):
@@ -27,70 +33,119 @@ def windows(batch: Batch, window: int):
     np.add.at(valid, first[:-1][long_], 1)
     np.add.at(valid, first[1:][long_] - window + 1, -1)
     places = np.flatnonzero(np.cumsum(valid)[: len(hashes)] > 0)
-    return starts, stops, first, places, hashes[places]
+    return starts, stops, first, places, mix(hashes[places])
+
+
+def second_hashes(batch: Batch, starts: np.ndarray, stops: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the windows at places, independent of the first ones."""
+    return window_hash(word_hashes(batch.data, starts, stops, base=OTHER_WORDS), window, OTHER_WINDOWS)[places]
 
 
-def unique_windows(hashes: np.ndarray):
-    order = np.argsort(hashes, kind="stable")
-    values = hashes[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
+def distinct(*keys: np.ndarray):
+    """Order by keys, where a new value begins in it, and which values occur more than once."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
     at = np.flatnonzero(new)
-    return order, new, values[at], np.diff(np.append(at, len(values))) > 1
+    return order, new, order[at], np.diff(np.append(at, len(order))) > 1
 
 
 def repeated_words(docs: DataFrame, window: int, batch_mb: float, bucket_windows: int, finish, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """finish(batch, starts, stops, first, removed flags per word) -> Arrow columns, for every batch."""
     ship(docs.sparkSession)
     deal, n_bytes = dealt(docs, batch_mb, id_col, text_col)
-    buckets = max(1, n_bytes // 6 // bucket_windows + 1)
+    expected = n_bytes // 6 + 1
+    buckets = max(1, expected // bucket_windows + 1)
+    drop = np.uint64(max(0, 64 - math.ceil(math.log2(expected + 1)) - SPARE_BITS))
 
-    def send(table):
+    def blocks_of(number: int, values: np.ndarray, many: np.ndarray, other: np.ndarray | None):
+        """Rows of a batch: one for each range that its sorted values (aligned to 64 bits) fall into."""
+        cuts = parts_of(values, buckets)
+        full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
+        part = [slice(cuts[k], cuts[k + 1]) for k in full]
+        shift = drop if other is None else np.uint64(0)
+        return {
+            "bucket": full, "batch": [number] * len(full), "hashes": [planes(values[s] >> shift) for s in part],
+            "other": [b"" if other is None else other[s].tobytes() for s in part], "many": [pack_bits(many[s]) for s in part],
+        }
+
+    def sent_table(rows: dict):
         import pyarrow as pa
 
-        number = table.column("batch")[0].as_py()
+        return pa.table({c: pa.array(v, pa.int32() if c in ("bucket", "batch") else pa.binary()) for c, v in rows.items()})
+
+    def flags_in(replies, n: int) -> np.ndarray:
+        """The bits that came back, in the order of the values that were sent."""
+        told = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "n", "flags"))))
+        flags = np.concatenate([unpack_bits(f, k) for b, k, f in told if b >= 0] or [np.zeros(0, bool)])
+        if len(flags) != n:
+            raise ValueError(f"a batch has {n} hashes and {len(flags)} replies")
+        return flags
+
+    def send(table):
         *_, hashes = windows(Batch(table), window)
-        _, _, values, many = unique_windows(hashes)
-        cuts = parts_of(values, buckets)
-        full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-        return pa.table({
-            "bucket": pa.array(full, pa.int32()), "batch": pa.array([number] * len(full), pa.int32()),
-            "hashes": pa.array([planes(values[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()),
-            "many": pa.array([pack_bits(many[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()),
-        })
+        narrow = hashes >> drop << drop
+        _, _, at, many = distinct(narrow)
+        return sent_table(blocks_of(table.column("batch")[0].as_py(), narrow[at], many, None))
 
     def count(table):
+        """Bits for each block: whether the value is in another block or more than once in this one."""
         import pyarrow as pa
 
+        number = table.column("bucket")[0].as_py()
+        if number < 0:  # a batch's note to itself
+            return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array([0] * table.num_rows, pa.int32()), "flags": table.column("many")})
         blocks = [unplanes(x.as_py()) for x in table.column("hashes")]
-        every = np.sort(np.concatenate(blocks))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        del every
-        replies = []
-        for block, many in zip(blocks, table.column("many")):
-            flags = unpack_bits(many.as_py(), len(block))
-            if len(twice):
-                k = np.searchsorted(twice, block)
-                flags |= twice[np.minimum(k, len(twice) - 1)] == block
-            replies.append(pack_bits(flags))
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array([len(b) for b in blocks], pa.int32()), "flags": pa.array(replies, pa.binary())})
+        sizes = [len(b) for b in blocks]
+        every, others = np.concatenate(blocks), b"".join(x.as_py() for x in table.column("other"))
+        if others:
+            del blocks
+            order, new, _, many = distinct(every, np.frombuffer(others, np.uint64))
+            twice = np.zeros(len(every), bool)
+            twice[order] = np.repeat(many, np.diff(np.append(np.flatnonzero(new), len(order))))
+            flags = np.split(twice, np.cumsum(sizes)[:-1])
+        else:
+            every.sort()
+            again = np.unique(every[1:][every[1:] == every[:-1]])
+            flags = [again[np.minimum(np.searchsorted(again, b), len(again) - 1)] == b if len(again) else np.zeros(len(b), bool) for b in blocks]
+        replies = [pack_bits(f | unpack_bits(m.as_py(), n)) for f, m, n in zip(flags, table.column("many"), sizes)]
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array(sizes, pa.int32()), "flags": pa.array(replies, pa.binary())})
+
+    def suspects(batch: Batch, flags):
+        """Numbers of the windows that the first count found, with both hashes. flags: of the distinct narrow values, from their number."""
+        starts, stops, first, places, hashes = windows(batch, window)
+        order, new, at, _ = distinct(hashes >> drop << drop)
+        told = flags(len(at))
+        some = np.sort(order[told[np.cumsum(new) - 1]]) if len(order) else order
+        return starts, stops, first, places[some], hashes[some], second_hashes(batch, starts, stops, places[some], window) if len(some) else hashes[:0], told
+
+    def ask(texts, replies):
+        number = texts.column("batch")[0].as_py()
+        batch = Batch(texts)
+        *_, hashes, others, told = suspects(batch, lambda n: flags_in(replies, n))
+        _, _, at, many = distinct(hashes, others)
+        rows = blocks_of(number, hashes[at], many, others[at])
+        for c, v in (("bucket", -1 - number), ("batch", number), ("hashes", b""), ("other", b""), ("many", pack_bits(told))):
+            rows[c].append(v)
+        return sent_table(rows)
 
     def apply(texts, replies):
         batch = Batch(texts)
-        starts, stops, first, places, hashes = windows(batch, window)
-        order, new, values, _ = unique_windows(hashes)
-        flags = [unpack_bits(f, n) for _, n, f in sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "n", "flags"))))]
-        flags = np.concatenate(flags) if flags else np.zeros(0, bool)
-        if len(flags) != len(values):
-            raise ValueError(f"a batch has {len(values)} hashes and {len(flags)} replies")
-        hit = np.zeros(len(hashes), bool)
-        hit[order] = flags[np.cumsum(new) - 1] if len(new) else False
+        own = next(f for b, f in zip(replies.column("bucket").to_pylist(), replies.column("flags").to_pylist()) if b < 0)
+        starts, stops, first, places, hashes, others, _ = suspects(batch, lambda n: unpack_bits(own, n))
+        order, new, at, _ = distinct(hashes, others)
+        hit = order[flags_in(replies, len(at))[np.cumsum(new) - 1]] if len(order) else order
         at = places[hit]
         return finish(batch, starts, stops, first, covered(len(starts), at, at + window))
 
-    sent = deal.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, many binary")
-    told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary")
-    return deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(apply, schema)
+    blocks, bits = "bucket int, batch int, hashes binary, other binary, many binary", "batch int, bucket int, n int, flags binary"
+    told = deal.groupBy("batch").applyInArrow(send, blocks).groupBy("bucket").applyInArrow(count, bits)
+    asked = deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask, blocks)
+    sure = asked.groupBy("bucket").applyInArrow(count, bits)
+    return deal.groupBy("batch").cogroup(sure.groupBy("batch")).applyInArrow(apply, schema)
 
 
 def kept_text(batch: Batch, starts, stops, first, removed):

@@ -38,3 +38,21 @@ def test_text_and_empty_table(docs, words):
     got = {r["doc_id"]: r["text"] for r in substring_dedup(docs([(1, f"a {p} b"), (2, f"c {p}")]), keep_text=True).collect()}
     assert got == {1: "a b", 2: "c"}
     assert substring_dedup(docs([]).where("false")).collect() == []
+
+
+def test_false_hits_of_the_first_count_change_nothing(docs, words, odd, monkeypatch):
+    monkeypatch.setattr("tessera.llm.substring_dedup.SPARE_BITS", -7)  # nearly every window is asked about
+    rows = rows_of(words, odd)
+    got = substring_dedup(docs(rows), batch_mb=0.002, bucket_windows=50).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute(rows, 35)
+
+
+def test_rows_that_are_all_alike_are_spread(docs, words):
+    from tessera.llm.batches import dealt
+
+    rows = [(7, words(60, 1))] * 60 + [(None, None)] * 20 + [(2**63 - 1, words(60, 1))]
+    deal, _ = dealt(docs(rows), 0.002)
+    sizes = [r["count"] for r in deal.groupBy("batch").count().collect()]
+    assert max(sizes) <= 3 * len(rows) / len(sizes)
+    got = substring_dedup(docs(rows), batch_mb=0.002).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute(rows, 35)
