@@ -14,9 +14,11 @@ to `match` bytes from the anchor on, then up to `match - seed` bytes before it,
    common prefixes show which documents share each string; what a smaller doc_id has too goes
    back to the batch as byte ranges.
 
-A seed that a great many batches have (the edge of a passage in a third of all documents) has as
-many different surroundings as documents. Such seeds are known from step 1 and are not merged:
-their strings go by 64-bit hash, one entry a batch, spread over ranges of string hashes.
+A seed that more batches have than one merge takes (the edge of a passage in a third of all
+documents) has as many different surroundings as documents. Such seeds are known from step 1. Round
+them the suffixes are cut to whole strings of `match` bytes, so that they spread over ranges of
+strings, and go through the same runs and loser trees in two levels: groups of batches first, whose
+runs of different strings are merged then. Equality is always that of bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .batches import NO_ID, Batch, covered, dealt, pack_bits, parts_of, sha256,
 from .common import K1, mix, planes, ship, unplanes, window_hash
 
 SEED_BASE = 0xC2B2AE3D27D4EB4F
+RANGES, STRINGS, MEMO, REPLY = range(4)  # kinds of rows between merges
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -179,15 +182,21 @@ def ranges_to_remove(order_lcp: np.ndarray, rows: np.ndarray, smallest: np.ndarr
     before, n = match - seed, len(rows)
     right, left = rows[:, -2], rows[:, -1]
     out = np.full((n, before + 1), NO_ID)
-    prefix = np.zeros(n, np.uint64)
+    backwards = np.ascontiguousarray(rows[:, match : match + before])
+    by_left = np.argsort(backwards.view(f"S{before}").ravel(), kind="stable")
+    backwards = backwards[by_left]
+    left_lcp = np.zeros(n, np.int64)
+    if n > 1:
+        differ = backwards[1:] != backwards[:-1]
+        left_lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), before)
+    same_left = np.empty(n, np.int64)
     for d in range(before + 1):
-        if d:
-            prefix = prefix * np.uint64(SEED_BASE) + rows[:, match + d - 1].astype(np.uint64) + np.uint64(1)
-        block = np.cumsum(order_lcp < match - d).astype(np.uint64)  # equal in the first match - d bytes
+        same_left[by_left] = np.cumsum(left_lcp < d)  # equal in the d bytes before
+        block = np.cumsum(order_lcp < match - d)  # equal in the first match - d bytes
         ok = np.flatnonzero((right >= match - d) & (left >= d))
         if not len(ok):
             continue
-        key = mix(prefix[ok]) ^ mix(block[ok] * np.uint64(0x9E3779B97F4A7C15))
+        key = same_left[ok] * (n + 1) + block[ok]
         order = np.argsort(key, kind="stable")
         first = np.ones(len(order), bool)
         first[1:] = key[order[1:]] != key[order[:-1]]
@@ -222,13 +231,14 @@ def from_planes(payload: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(payload, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: float = 6, bucket_anchors: int = 500_000, hot_batches: int = 1024, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: float = 6, bucket_anchors: int = 500_000, fan_in: int = 1024, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a string of `match` bytes that also starts in a document with a smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte intervals) and, with
     keep_text, text (characters that a span cuts through go as a whole). Null text: no bytes.
     Rows with one id are one document: nothing is removed on account of each other. A null id
-    counts as larger than every other. An empty table gives an empty result; other columns come
+    counts as 2**63 - 1, larger than every other. fan_in: from how many batches one merge takes a
+    seed or string; more go through two levels. An empty table gives an empty result; other columns come
     along if carry names them.
     """
     ship(docs.sparkSession)
@@ -271,7 +281,7 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
         every = np.sort(np.concatenate(blocks))
         new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
         n = np.diff(np.append(new, len(every)))
-        twice, hot = every[new[n > 1]], every[new[n > hot_batches]]
+        twice, hot = every[new[n > 1]], every[new[n > fan_in]]
         replies, hots = [], []
         for block, several in zip(blocks, table.column("several")):
             flags = unpack_bits(several.as_py(), len(block))
@@ -283,40 +293,28 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
             hots.append(pack_bits(is_hot) if is_hot.any() else b"")
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array([len(b) for b in blocks], pa.int32()), "flags": pa.array(replies, pa.binary()), "hot": pa.array(hots, pa.binary())})
 
-    def hot_strings(batch: Batch, at: np.ndarray, cols: dict) -> None:
-        """Entries of the strings round hot anchors: hash, smallest and largest document."""
+    def add_run(cols: dict, small, bucket: int, part: int, rows: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
+        """A sorted, front-coded run of the different rows, with the documents and places of each."""
+        by = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+        rows = rows[by]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        shared, rests = front_coded(rows[fresh])
+        for c, v in (("bucket", bucket), ("part", part), ("shared", shared.tobytes()), ("rests", small.compress(rests)), ("members", np.diff(np.append(np.flatnonzero(fresh), len(rows))).astype(np.int32).tobytes()), ("docs", by_planes(ids[by])), ("places", by_planes(places[by].astype(np.uint32)))):
+            cols[c].append(v)
+
+    def hot_strings(batch: Batch, at: np.ndarray, number: int, cols: dict, small) -> None:
+        """Runs of the strings round hot anchors, one for each range of string hashes."""
         where = starts_of(at, batch.doc_of(at), batch.ends, match, before)
-        hashes, ids = string_hashes(batch.data, where, match), batch.ids[batch.doc_of(where)]
+        hashes = string_hashes(batch.data, where, match)
         order = np.argsort(hashes, kind="stable")
-        hashes, ids = hashes[order], ids[order]
-        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        least, most, values = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first), hashes[first]
-        cuts = parts_of(values, buckets)
+        where = where[order]
+        cuts, doc = parts_of(hashes[order], buckets), batch.doc_of(where)
+        windows = np.lib.stride_tricks.sliding_window_view(batch.data, match) if len(where) else None
         for k in range(buckets):
             i, j = cuts[k], cuts[k + 1]
             if j > i:
-                for c, v in (("bucket", -1 - k), ("shared", b""), ("rests", planes(values[i:j])), ("members", b""), ("docs", by_planes(least[i:j])), ("places", by_planes(most[i:j]))):
-                    cols[c].append(v)
-
-    def hot_replies(table):
-        """For each batch the strings that a smaller document has than some document of the batch, and the smallest."""
-        import pyarrow as pa
-
-        blocks = [unplanes(x.as_py()) for x in table.column("rests")]
-        least, most = ([from_planes(x.as_py(), np.int64) for x in table.column(c)] for c in ("docs", "places"))
-        hashes, ids = np.concatenate(blocks), np.concatenate(least)
-        order = np.argsort(hashes, kind="stable")
-        first = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
-        values, smallest = hashes[order][first], np.minimum.reduceat(ids[order], first)
-        out = {"batch": [], "starts": [], "stops": []}
-        for number, block, last in zip(table.column("batch").to_pylist(), blocks, most):
-            s = smallest[np.searchsorted(values, block)]
-            some = s < last
-            if some.any():
-                out["batch"].append(number)
-                out["starts"].append(by_planes(block[some]))
-                out["stops"].append(by_planes(s[some]))
-        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "starts": pa.array(out["starts"], pa.binary()), "stops": pa.array(out["stops"], pa.binary()), "hot": pa.array([True] * len(out["batch"]), pa.bool_())})
+                add_run(cols, small, -1 - k, number // fan_in, windows[where[i:j]], batch.ids[doc[i:j]], where[i:j])
 
     def runs(texts, replies):
         """One sorted, front-coded run for each range of seed hashes; members: documents and places of each entry."""
@@ -336,7 +334,7 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
         hot_at = np.sort(at[order[hot[of]]]) if hot.any() else at[:0]
         keep = order[(flags & ~hot)[of]] if len(new) else order
         at, narrow = at[keep], hashes[keep] >> drop << drop
-        cols = {c: [] for c in ("bucket", "shared", "rests", "members", "docs", "places")}
+        cols = {c: [] for c in ("bucket", "part", "shared", "rests", "members", "docs", "places")}
         doc = batch.doc_of(at)
         every = contexts(batch.data, batch.ends, at, doc, match, seed)
         cuts = parts_of(narrow, buckets)  # keep is in the order of narrow hashes
@@ -344,89 +342,103 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
             i, j = cuts[k], cuts[k + 1]
             if i == j:
                 continue
-            rows = every[i:j]
-            by = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
-            rows = rows[by]
-            fresh = np.ones(len(rows), bool)
-            fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            shared, rests = front_coded(rows[fresh])
-            cols["bucket"].append(k)
-            cols["shared"].append(shared.tobytes())
-            cols["rests"].append(small.compress(rests))
-            cols["members"].append(np.diff(np.append(np.flatnonzero(fresh), len(rows))).astype(np.int32).tobytes())
-            cols["docs"].append(by_planes(batch.ids[doc[i:j]][by]))
-            cols["places"].append(by_planes(at[i:j][by].astype(np.uint32)))
+            add_run(cols, small, k, 0, every[i:j], batch.ids[doc[i:j]], at[i:j])
         if len(hot_at):
-            hot_strings(batch, hot_at, cols)
+            hot_strings(batch, hot_at, number, cols, small)
         n = len(cols["bucket"])
-        return pa.table({"bucket": pa.array(cols.pop("bucket"), pa.int32()), "batch": pa.array([number] * n, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in cols.items()})
+        return pa.table({c: pa.array(cols.pop(c), pa.int32()) for c in ("bucket", "part")} | {"batch": pa.array([number] * n, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in cols.items()})
 
-    def merge(table):
-        import pyarrow as pa
+    def tree(shared: list[bytes], rests: list[bytes], width: int, least: list[np.ndarray]):
+        """Runs merged: for every run the number of each entry among the different ones, those, their shared prefixes, and the smallest document of each."""
         import zstandard
 
-        if table.column("bucket")[0].as_py() < 0:
-            return hot_replies(table)
-        t = {c: table.column(c).to_pylist() for c in ("batch", "shared", "rests", "members", "docs", "places")}
         whole = zstandard.ZstdDecompressor()
-        streams = [Run(s, whole.decompress(r), width) for s, r in zip(t["shared"], t["rests"])]
-        members = [np.frombuffer(m, np.int32) for m in t["members"]]
-        firsts = [np.concatenate([[0], np.cumsum(m)]) for m in members]
-        ids = [from_planes(d, np.int64) for d in t["docs"]]
-        places = [from_planes(p, np.uint32) for p in t["places"]]
-        base = np.concatenate([[0], np.cumsum([len(m) for m in members])])
+        streams = [Run(s, whole.decompress(r), width) for s, r in zip(shared, rests)]
+        base = np.concatenate([[0], np.cumsum([s.n for s in streams])])
         entry, lcp, heads = array("q"), array("q"), bytearray()
-        for k, place, shared in merged(streams, width):
+        for k, place, common in merged(streams, width):
             entry.append(base[k] + place)
-            lcp.append(shared)
-            if shared < width:
+            lcp.append(common)
+            if common < width:
                 heads += streams[k].head
         entry, lcp = np.frombuffer(entry, np.int64), np.frombuffer(lcp, np.int64)
-        least = np.concatenate([np.minimum.reduceat(d, f[:-1]) if len(d) else d for d, f in zip(ids, firsts)])[entry]
         new = lcp < width
-        at = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        rows = np.frombuffer(heads, np.uint8).reshape(-1, width)
-        smallest = np.minimum.reduceat(least, at)
-        least_by_distance = ranges_to_remove(lcp[at], rows, smallest, match, seed)
         of = np.empty(len(entry), np.int64)
-        of[entry] = group
-        out = {"batch": [], "starts": [], "stops": []}
-        for k, m in enumerate(members):
-            which = np.repeat(of[base[k] : base[k + 1]], m)
-            gone = least_by_distance[which] < ids[k][:, None]
-            some = gone.any(axis=1)
-            gone, place = gone[some], places[k][some].astype(np.int64)
-            start = place - (before - gone[:, ::-1].argmax(axis=1))
-            stop = place - gone.argmax(axis=1) + match
-            by = np.argsort(start, kind="stable")
-            start, stop = start[by], np.maximum.accumulate(stop[by]) if len(by) else stop
-            if len(start):  # ranges that touch or overlap become one before they travel
-                first = np.append(True, start[1:] > stop[:-1])
-                start, stop = start[first], stop[np.append(np.flatnonzero(first)[1:] - 1, len(stop) - 1)]
-                out["batch"].append(t["batch"][k])
-                out["starts"].append(start.astype(np.uint32).tobytes())
-                out["stops"].append(stop.astype(np.uint32).tobytes())
-        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "starts": pa.array(out["starts"], pa.binary()), "stops": pa.array(out["stops"], pa.binary()), "hot": pa.array([False] * len(out["batch"]), pa.bool_())})
+        of[entry] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        smallest = np.minimum.reduceat(np.concatenate(least)[entry], at)
+        return np.split(of, base[1:-1]), np.frombuffer(heads, np.uint8).reshape(-1, width), lcp[at], smallest
+
+    def joined(start: np.ndarray, stop: np.ndarray) -> tuple[bytes, bytes]:
+        """Ranges that touch or overlap become one before they travel."""
+        by = np.argsort(start, kind="stable")
+        start, stop = start[by], np.maximum.accumulate(stop[by])
+        first = np.append(True, start[1:] > stop[:-1])
+        start, stop = start[first], stop[np.append(np.flatnonzero(first)[1:] - 1, len(stop) - 1)]
+        return start.astype(np.uint32).tobytes(), stop.astype(np.uint32).tobytes()
+
+    def rows_out(rows: list[tuple]):
+        """(key, kind, batch, x, y, z, w); kinds: ranges of a batch, a run of strings, what a group of batches remembers, a reply to it."""
+        import pyarrow as pa
+
+        types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table({c: pa.array([r[k] if k < len(r) else None for r in rows], t) for k, (c, t) in enumerate(zip(("key", "kind", "batch", "x", "y", "z", "w"), types))})
+
+    def merge(table):
+        import zstandard
+
+        t = {c: table.column(c).to_pylist() for c in table.column_names}
+        bucket, part = t["bucket"][0], t["part"][0]
+        members = [np.frombuffer(m, np.int32) for m in t["members"]]
+        ids, places = [from_planes(d, np.int64) for d in t["docs"]], [from_planes(p, np.uint32).astype(np.int64) for p in t["places"]]
+        least = [np.minimum.reduceat(d, np.cumsum(m) - m) for d, m in zip(ids, members)]
+        of, rows, lcp, smallest = tree(t["shared"], t["rests"], width if bucket >= 0 else match, least)
+        out = []
+        if bucket >= 0:
+            by_distance = ranges_to_remove(lcp, rows, smallest, match, seed)
+            for k, m in enumerate(members):
+                gone = by_distance[np.repeat(of[k], m)] < ids[k][:, None]
+                some = gone.any(axis=1)
+                gone, place = gone[some], places[k][some]
+                if len(place):
+                    out.append((t["batch"][k], RANGES, t["batch"][k], *joined(place - (before - gone[:, ::-1].argmax(axis=1)), place - gone.argmax(axis=1) + match)))
+            return rows_out(out)
+        group = -1 - buckets + bucket - buckets * part  # a key of its own for each range and group of batches
+        lcp = lcp.copy()
+        lcp[:1] = 0
+        rests = rows[np.arange(match) >= lcp[:, None]].tobytes()
+        out.append((bucket, STRINGS, part, lcp.astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=3).compress(rests), by_planes(smallest)))
+        out += [(group, MEMO, t["batch"][k], of[k].astype(np.int32).tobytes(), t["members"][k], t["docs"][k], t["places"][k]) for k in range(len(members))]
+        return rows_out(out)
+
+    def level(table):
+        """Runs of strings of one range merged, and the smallest documents told to every group of batches. Else rows go on."""
+        if table.column("kind")[0].as_py() != STRINGS:
+            return table
+        t = {c: table.column(c).to_pylist() for c in ("key", "batch", "x", "y", "z")}
+        of, _, _, smallest = tree(t["x"], t["y"], match, [from_planes(z, np.int64) for z in t["z"]])
+        return rows_out([(-1 - buckets + t["key"][k] - buckets * t["batch"][k], REPLY, t["batch"][k], by_planes(smallest[of[k]])) for k in range(len(of))])
+
+    def replied(table):
+        """Ranges of the strings that a smaller document has. Else rows go on."""
+        t = {c: table.column(c).to_pylist() for c in table.column_names}
+        if RANGES in t["kind"]:
+            return table
+        least = from_planes(t["x"][t["kind"].index(REPLY)], np.int64)
+        out = []
+        for kind, number, x, y, z, w in zip(*(t[c] for c in ("kind", "batch", "x", "y", "z", "w"))):
+            if kind == MEMO:
+                place = from_planes(w, np.uint32).astype(np.int64)[np.repeat(least[np.frombuffer(x, np.int32)], np.frombuffer(y, np.int32)) < from_planes(z, np.int64)]
+                if len(place):
+                    out.append((number, RANGES, number, *joined(place, place + match)))
+        return rows_out(out)
 
     def cut(texts, removals):
         import pyarrow as pa
 
         batch = Batch(texts)
-        n = len(batch.data)
-        told = list(zip(*(removals.column(c).to_pylist() for c in ("starts", "stops", "hot"))))
-        starts, stops = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x[k], np.uint32) for x in told if not x[2])]).astype(np.int64) for k in (0, 1))
-        if any(x[2] for x in told):
-            values, least = np.concatenate([from_planes(x[0], np.uint64) for x in told if x[2]]), np.concatenate([from_planes(x[1], np.int64) for x in told if x[2]])
-            order = np.argsort(values)
-            values, least = values[order], least[order]
-            long_ = np.flatnonzero(np.diff(batch.ends) >= match)
-            where = starts_of(batch.ends[1:][long_] - match, long_, batch.ends, match, n)
-            hashes = string_hashes(batch.data, where, match)
-            k = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-            where = where[(values[k] == hashes) & (least[k] < batch.ids[batch.doc_of(where)])]
-            starts, stops = np.append(starts, where), np.append(stops, where + match)
-        gone = covered(n, starts, stops)
+        starts, stops = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.as_py(), np.uint32) for x in removals.column(c))]).astype(np.int64) for c in ("x", "y"))
+        gone = covered(len(batch.data), starts, stops)
         removed = [int(gone[i:j].sum()) for i, j in zip(batch.ends[:-1], batch.ends[1:])]
         spans, hashes, text = [], [], []
         for k in range(len(batch)):
@@ -452,8 +464,10 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
 
     sent = deal.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, several binary")
     told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary, hot binary")
-    sorted_ = deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(runs, "bucket int, batch int, shared binary, rests binary, members binary, docs binary, places binary")
-    removals = sorted_.groupBy("bucket").applyInArrow(merge, "batch int, starts binary, stops binary, hot boolean")
+    sorted_ = deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(runs, "bucket int, part int, batch int, shared binary, rests binary, members binary, docs binary, places binary")
+    rows = "key long, kind int, batch int, x binary, y binary, z binary, w binary"
+    met = sorted_.groupBy("bucket", "part").applyInArrow(merge, rows)
+    removals = met.groupBy("key").applyInArrow(level, rows).groupBy("key").applyInArrow(replied, rows)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:int,to:int>>" + (", text string" if keep_text else "")
     schema += "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     out = deal.groupBy("batch").cogroup(removals.groupBy("batch")).applyInArrow(cut, schema)

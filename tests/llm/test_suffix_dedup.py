@@ -32,7 +32,7 @@ def test_against_brute_force(docs, words, odd):
     rows += [(60, "a" * 400), (61, "b" + "a" * 300), (62, words(40, 1)), (63, words(40, 1)), (64, "é" * 60), (65, "x" + "é" * 40), (66, p + "\0" * 80), (67, "\0" * 70 + p)]
     want = brute(rows)
     for batch_mb, bucket, hot in ((6, 500_000, 1024), (0.0015, 40, 1024), (0.0015, 40, 1), (0.004, 100, 2)):
-        got = suffix_dedup(docs(rows), batch_mb=batch_mb, bucket_anchors=bucket, hot_batches=hot).collect()
+        got = suffix_dedup(docs(rows), batch_mb=batch_mb, bucket_anchors=bucket, fan_in=hot).collect()
         assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
@@ -68,3 +68,13 @@ def test_equal_strings_have_equal_anchors(words):
             at, _ = anchors(data, np.array([0, len(data)]), 50, 20, chunk)
             found.append({int(a) - len(before) for a in at if len(before) + 30 <= a <= len(before) + len(p) - 50})
         assert found[0] == found[1] == found[2]
+
+
+def test_rows_that_are_all_alike_and_the_greatest_id(docs, words):
+    """2**63 - 1 and a null id are one document."""
+    t = words(30, 1)
+    rows = [(7, t)] * 40 + [(3, f"zz {t}")] + [(None, t), (2**63 - 1, f"{t} y")] + [(None, None)] * 9
+    for fan_in in (1024, 2):
+        got = suffix_dedup(docs(rows), batch_mb=0.002, fan_in=fan_in).collect()
+        want = brute([(d if d != 2**63 - 1 else None, x) for d, x in rows])
+        assert collections.Counter((r["doc_id"] if r["doc_id"] != 2**63 - 1 else None, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
