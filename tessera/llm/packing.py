@@ -165,14 +165,14 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_col: str =
     def run(batches):
         import pyarrow as pa
 
-        encode = tokens.byte_bpe(vocabulary).encode_ordinary
+        encoder = tokens.byte_bpe(vocabulary)
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             cols = [[] for _ in range(6)]
             ids = batch.column(0)
             source, which = batch.column(1), []
             for i in range(batch.num_rows):
-                encoded = np.array([*encode(source[i].as_py() or ""), end_id], "<u4")
+                encoded = np.append(tokens.byte_ids(encoder, source[i].as_py() or ""), np.uint32(end_id)).astype("<u4")
                 n = len(encoded)
                 cuts = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -17,10 +17,10 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
     def run(batches):
         import pyarrow as pa
 
-        encode = tokens.byte_bpe(vocabulary).encode_ordinary
+        encoder = tokens.byte_bpe(vocabulary)
         for batch in batches:
             text = batch.column(0)
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(text[i].as_py() or "")) for i in range(batch.num_rows)], pa.int64())], names=["length"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens.byte_ids(encoder, text[i].as_py() or "")) for i in range(batch.num_rows)], pa.int64())], names=["length"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "length long")
 
@@ -52,6 +52,29 @@ def limits(histogram: DataFrame, bucket: int = 128) -> DataFrame:
     )
 
 
+def at_limits(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """Answers for any context limits, column context of asked, from a table of token_counts.
+
+    Each limit takes the row of the longest length that it holds (as-of by a range sort, so neither
+    side is broadcast or gathered) and adds what longer documents keep beyond that length. Limits
+    below the shortest length give no documents within. Null and repeated limits: null limits are
+    left out, repeated ones are answered once. Without documents there are no rows.
+    """
+    docs, total = table.agg(F.max("total_docs"), F.max("total_tokens")).first()
+    known = table.select("context", F.struct(F.col("context").alias("length"), "docs_over", "truncated_total").alias("row"), F.lit(0).alias("q"))
+    wanted = asked.select(F.col("context").cast("long").alias("context")).where("context is not null").distinct().select("context", F.lit(None).cast(known.schema["row"].dataType).alias("row"), F.lit(1).alias("q"))
+    parts = table.sparkSession.sparkContext.defaultParallelism
+    laid = stored(known.unionByName(wanted).repartitionByRange(parts, "context").sortWithinPartitions("context", "q").withColumn("part", F.spark_partition_id()), "limits")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = laid.groupBy("part").agg(F.max("row").alias("last")).select("part", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("part").orderBy("context", "q").rowsBetween(Window.unboundedPreceding, 0)
+    met = laid.withColumn("met", F.max("row").over(inside)).where("q = 1").join(F.broadcast(carried), "part", "left").select("context", F.coalesce("met", "carried").alias("m"))
+    n, t = F.lit(docs).cast("long"), F.lit(total).cast("long")
+    over = F.coalesce("m.docs_over", n)
+    kept = F.coalesce(F.col("m.truncated_total") + (F.col("context") - F.col("m.length")) * F.col("m.docs_over"), F.greatest("context", F.lit(0)) * n)
+    return met.where(n.isNotNull()).select("context", over.alias("docs_over"), (n - over).alias("docs_within"), kept.alias("truncated_total"), (t - kept).alias("lost_tokens"), ((n - over) / n).alias("quantile"))
+
+
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Histogram of encoded lengths with answers for every context limit.
 

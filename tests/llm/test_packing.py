@@ -11,7 +11,6 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
@@ -40,7 +39,7 @@ def check(rows, packed, encode, capacity=1024):
 
 
 def test_pack_against_tokenizers(docs, words, odd, encode):
-    rows = odd + [(100 + i, words(5 + 37 * i % 900, i)) for i in range(60)] + [(300, words(4000, 1)), (301, "<|endoftext|> x")]
+    rows = odd + [(100 + i, words(5 + 37 * i % 900, i)) for i in range(60)] + [(300, words(4000, 1)), (301, "<|endoftext|> x"), (302, "a<|endoftext|><|endoftext|>  b\n<|endoftext|>")]
     packed = packing.pack(docs(rows)).collect()
     n = check(rows, packed, encode)
     assert n <= sum(r["length"] for r in packed) // 1024 + 2
@@ -77,3 +76,26 @@ def test_knapsack_finds_the_dearest_filling():
     for room in range(21):
         want = max(sum(n * p for n, p in zip(c, prices)) for c in itertools.product(range(7), range(5), range(3)) if sum(n * k for n, k in zip(c, lengths)) <= room)
         assert best[room] == pytest.approx(want)
+
+
+def test_ids_are_those_of_the_json_vocabulary_for_every_character(encode):
+    """Every code point in several surroundings, the added token, and texts that are cut into stretches."""
+    encoder = tokens.byte_bpe()
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for k in range(0, len(points), 997):
+        c = points[k]
+        text = f"a{c}b  {c}1 {c}{c}\n{c} <|endoftext|>{c} !{c}?"
+        assert [*tokens.byte_ids(encoder, text), 2] == encode(text)
+    for k in range(0, len(points), 20000):
+        text = " ".join(points[k : k + 20000])
+        assert [*tokens.byte_ids(encoder, text), 2] == encode(text)
+
+
+def test_stretches_change_no_token(words, encode):
+    text = words(900, 3).replace("co", "\n\n  co").replace("di", " \tdi ") + "  " + "x" * 500 + " \u00a0 y"
+    for size in (1, 7, 100):
+        parts = list(tokens.stretches(text, size))
+        assert "".join(parts) == text and (size > 50 or len(parts) > 100)
+        assert [i for p in parts for i in encode(p)[:-1]] == encode(text)[:-1]
+        p = tokens.piece_bpe()
+        assert [i for k, s in enumerate(parts) for i in p.encode(s if k == 0 else s[1:])] == p.encode(text)

@@ -23,3 +23,17 @@ def test_buckets_do_not_matter(spark):
 
 def test_empty_table(docs):
     assert token_counts.token_counts(docs([]).where("false")).collect() == []
+
+
+def test_any_limit(spark, docs, words):
+    rows = [(i, words(3 + i * 13 % 200, i)) for i in range(60)]
+    n = [len(tokens.byte_bpe().encode_ordinary(t)) for _, t in rows]
+    asked = [None, -3, 0, 1, min(n) - 1, min(n), 50, 77, 77, 128, max(n), 10**6]
+    table = token_counts.token_counts(docs(rows))
+    limits = spark.createDataFrame([(x,) for x in asked], "context long")
+    got = {r["context"]: r for r in token_counts.at_limits(table, limits).collect()}
+    assert set(got) == {x for x in asked if x is not None}
+    for c, r in got.items():
+        kept = sum(min(x, max(c, 0)) for x in n)
+        assert (r["docs_over"], r["docs_within"], r["truncated_total"], r["lost_tokens"]) == (sum(x > c for x in n), sum(x <= c for x in n), kept, sum(n) - kept)
+    assert token_counts.at_limits(token_counts.token_counts(docs([]).where("false")), limits).collect() == []
