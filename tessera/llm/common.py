@@ -70,9 +70,9 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """left outer equi-join where one key may hold a third of left; right has one row a key and is repeated per salt."""
+    """left outer equi-join where one key may hold a third of left; right has one row a key and is repeated per salt. Both grow with the input: a shuffle."""
     left = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("shuffle_merge")
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, written
 
 SALTS = 8
 
@@ -16,7 +16,8 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(_least(pairs), ["u", "salt"])
+    """Both sides grow with the nodes, so they meet by a shuffle."""
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(_least(pairs).hint("shuffle_merge"), ["u", "salt"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,11 +33,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(node, component): component is the smallest node reachable. Nodes without an edge to another node do not appear."""
-    now = stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
+    """(node, component): component is the smallest node reachable. Nodes without an edge to another node do not appear.
+
+    Each round's table replaces the one before, which is deleted once the next is whole.
+    """
+    spark = edges.sparkSession
+    now, at = written(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        now = stored(_small_star(_large_star(now)), "edges")
+        now, then = written(_small_star(_large_star(now)), "edges")
+        discard(spark, at)
+        at = then
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break

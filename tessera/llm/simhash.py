@@ -4,6 +4,11 @@ Fingerprints that differ in 3 bits at most have, of their two 32-bit halves, one
 one bit at most. So each distinct fingerprint is indexed under both halves and under every
 variant of a half with one bit deleted; equal keys meet in an equality join and are verified on
 all 64 bits. Links of a key are handed on as a forest, never as all pairs.
+
+Where a half's value is crowded, the keys that its fingerprints have are cut further: pairs there
+differ in 3 bits at most of the other half, so in one bit at most of one of its quarters, and meet
+under that quarter or a variant of it with one bit deleted. What shares a half and a quarter differs
+in 16 bits only, so such a group is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -15,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import salted_left_join, ship, stored
 from .components import components
 
-DISTANCE, HALF = 3, 32
+DISTANCE, HALF, QUARTER = 3, 32, 16
+CROWDED = 2048  # different fingerprints with one value of a half, from which on its keys are cut further
+BROADCAST_KEYS = 200_000  # so many crowded keys at most are broadcast; more are joined by a shuffle
 PAIRS_UPTO = 6  # keys with so few fingerprints hand on their links as they are
 
 
@@ -54,14 +61,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def deleted(value, bits: int, at):
+    """(bit, value without it) for each bit, and (bits, value): a struct column array at key places at(bit)."""
+    one = F.expr("bigint(1)")
+    return F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda i: at(i) + F.when(i == bits, value).otherwise(value.bitwiseAND(F.bitwise_not(one * F.pow(F.lit(2.0), i).cast("long")))))
+
+
+def half_keys(half, number: int):
+    """Keys of a half: its number, the deleted bit (32: none) and the other bits."""
+    return deleted(half, HALF, lambda i: F.lit(number * 64).bitwiseOR(i).cast("long") * F.lit(1 << HALF))
+
+
+def halves():
+    return F.shiftrightunsigned("fp", HALF), F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1))
+
+
 def variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): a key holds the half's number, the deleted bit (32: none) and the half's other bits."""
-    halves = F.array(F.shiftrightunsigned("fp", HALF), F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)))
+    """(key, fp) for both halves of each fingerprint."""
+    high, low = halves()
+    return fps.select("fp", F.explode(F.concat(half_keys(high, 0), half_keys(low, 1))).alias("key")).select("key", "fp")
+
+
+def crowded_keys(fps: DataFrame, crowded: int) -> DataFrame:
+    """(key): all keys of the values of halves that more than `crowded` fingerprints have."""
+    high, low = halves()
+    values = fps.select(F.explode(F.array(F.struct(F.lit(0).alias("number"), high.alias("half")), F.struct(F.lit(1).alias("number"), low.alias("half")))).alias("x")).select("x.*")
+    full = values.groupBy("number", "half").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    return full.select(F.explode(F.when(F.col("number") == 0, half_keys(F.col("half"), 0)).otherwise(half_keys(F.col("half"), 1))).alias("key")).distinct()
 
-    def keys(half, number):
-        return F.transform(F.sequence(F.lit(0), F.lit(HALF)), lambda i: F.lit(number * 64).bitwiseOR(i).cast("long") * F.lit(1 << HALF) + F.when(i == HALF, half).otherwise(half.bitwiseAND(F.bitwise_not(F.expr("bigint(1)") * F.pow(F.lit(2.0), i).cast("long")))))
 
-    return fps.select("fp", F.explode(F.concat(keys(halves[0], 0), keys(halves[1], 1))).alias("key")).select("key", "fp")
+def finer_keys(rows: DataFrame) -> DataFrame:
+    """(key, sub, fp): crowded (key, fp) under both quarters of the other half, whole and with one bit deleted."""
+    other = F.when(F.shiftrightunsigned("key", HALF + 6).bitwiseAND(F.lit(1)) == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", HALF))
+    quarters = (F.shiftrightunsigned(other, QUARTER).bitwiseAND(F.lit((1 << QUARTER) - 1)), other.bitwiseAND(F.lit((1 << QUARTER) - 1)))
+    subs = F.concat(*(deleted(q, QUARTER, lambda i, k=k: F.lit(k * 64).bitwiseOR(i).cast("long") * F.lit(1 << QUARTER)) for k, q in enumerate(quarters)))
+    return rows.select("key", F.explode(subs).alias("sub"), "fp")
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,29 +166,51 @@ def links_of(keys: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v): links between different fingerprints that join whatever lies within 3 bits of each other."""
+def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(u, v): links between different fingerprints that join whatever lies within 3 bits of each other. fps: a stored table of column fp."""
     ship(fps.sparkSession)
 
     def run(batches):
+        """Rows come sorted by key, or by key and sub: one group after the other."""
         import pyarrow as pa
 
-        kept_keys, kept_fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-        def out(keys, values):
-            for u, v in links_of(keys, values) if len(keys) else []:
+        kept = None
+
+        def found(columns):
+            *keys, values = columns
+            if len(keys) == 2:  # groups of crowded keys, numbered; all their pairs are looked at
+                new = np.append(True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))
+                keys = [(np.int64(HALF) << np.int64(HALF)) + (np.cumsum(new) - 1) % (1 << HALF)]
+            for u, v in links_of(keys[0], values) if len(values) else []:
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
         for b in batches:
-            keys, values = np.append(kept_keys, b.column(0).to_numpy()), np.append(kept_fps, b.column(1).to_numpy())
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            kept_keys, kept_fps = keys[cut:], values[cut:]
-            yield from out(keys[:cut], values[:cut])
-        yield from out(kept_keys, kept_fps)
-
-    return variants(fps).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+            columns = [c.to_numpy() for c in b.columns]
+            if kept is not None:
+                columns = [np.append(a, c) for a, c in zip(kept, columns)]
+            if not len(columns[0]):
+                continue
+            last = np.ones(len(columns[0]), bool)
+            for c in columns[:-1]:
+                last &= c == c[-1]
+            cut = len(last) - int((~last)[::-1].argmax()) if not last.all() else 0
+            kept = [c[cut:] for c in columns]
+            yield from found([c[:cut] for c in columns])
+        if kept is not None:
+            yield from found(kept)
+
+    rows = variants(fps)
+    crowd = stored(crowded_keys(fps, crowded), "crowded")
+    n = crowd.count()
+    if not n:
+        return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+    marked = crowd.withColumn("crowd", F.lit(True))
+    rows = rows.join(F.broadcast(marked) if n <= BROADCAST_KEYS else marked.hint("shuffle_merge"), "key", "left")
+    plain = rows.where("crowd is null").select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+    finer = finer_keys(rows.where("crowd").select("key", "fp")).repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(run, "u long, v long")
+    return plain.union(finer)
 
 
 def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,10 +224,11 @@ def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     made = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = components(links(distinct.select("fp")))
-    both = distinct.join(joined, distinct["fp"] == joined["node"])
+    # these grow with the fingerprints: shuffles, whatever their files' size looks like
+    both = distinct.join(joined.hint("shuffle_merge"), distinct["fp"] == joined["node"])
     of = both.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = joined.join(of, "component").select(F.col("node").alias("fp"), "component_id")
-    all_ = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    moved = joined.join(of.hint("shuffle_merge"), "component").select(F.col("node").alias("fp"), "component_id")
+    all_ = distinct.join(moved.hint("shuffle_merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return salted_left_join(made, all_, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -57,16 +57,19 @@ def test_empty_table(docs):
     assert simhash(docs([]).where("false")).collect() == []
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_join_all_within_three_bits(spark, seed):
+@pytest.mark.parametrize(("seed", "crowded"), [(0, 2048), (1, 2048), (0, 3), (1, 3), (2, 40)])
+def test_links_join_all_within_three_bits(spark, seed, crowded):
+    """Also where nearly every half is crowded, so that its keys are cut further."""
     r = random.Random(seed)
     fps = {0}
     for _ in range(6):
         centre = r.getrandbits(64)
         for _ in range(60):
             fps.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))))
+    shared = r.getrandbits(32)
+    fps |= {shared << 32 | r.getrandbits(9) << 11 for _ in range(60)} | {r.getrandbits(8) << 50 | shared for _ in range(60)}
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-    made = links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    made = links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowded).collect()
     assert all((int(np.int64(a).view(np.uint64)) ^ int(np.int64(b).view(np.uint64))).bit_count() <= 3 for a, b in made)
     comp = {n: c for n, c in components(spark.createDataFrame(made, "u long, v long")).collect()}
     got = [comp.get(f, f) for f in signed]
@@ -74,6 +77,18 @@ def test_links_join_all_within_three_bits(spark, seed):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_a_crowded_half_is_spread(spark):
+    """20,000 fingerprints with one half: no group of keys holds more than a small part of them."""
+    from tessera.llm.simhash import crowded_keys, finer_keys, variants
+
+    r = random.Random(4)
+    fps = spark.createDataFrame([(77 << 32 | v,) for v in r.sample(range(1 << 32), 20000)], "fp long")
+    crowd = crowded_keys(fps, 2048)
+    assert crowd.count() == 33
+    largest = finer_keys(variants(fps).join(crowd, "key", "left_semi")).groupBy("key", "sub").count().agg({"count": "max"}).first()[0]
+    assert largest < 40
+
+
 def test_forest_is_a_forest():
     centre = np.int64(12345)
     fps = np.unique(np.array([centre ^ np.int64(1 << a) ^ np.int64(1 << b) for a in range(60) for b in range(a)]))
