@@ -2,13 +2,16 @@
 
 Tasks write gzip members, one record each, straight into the shared folder; a file counts once it
 is in the manifest that the job returns, so a retried task leaves nothing behind that is read. The
-reader checks every record (framing, length, payload digest). After a failed check it searches for
-the next valid gzip member or version line, goes on there, and reports the bytes between as a gap.
+reader checks every record (framing, length, digests), goes through a file by a moving window and
+holds one record or gzip member at a time. After a failed check it searches for the next valid gzip
+member or version line, goes on there, and reports the bytes between as a gap.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import salted_left_join, shared_dir, ship, stored
 
 VERSION = b"WARC/1.1\r\n"
-VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION_LINE = re.compile(rb"WARC/[01]\.\d{1,2}\r\n")
 MAGIC = b"\x1f\x8b\x08"
+BEGINNING = re.compile(rb"WARC/[01]\.\d{1,2}\r\n|\x1f\x8b\x08")
+LONGEST_BEGINNING, LONGEST_HEADER = 16, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_END = b"\r\n\r\n"
 
@@ -48,92 +53,152 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return VERSION + head.encode("utf-8", "replace") + b"\r\n" + block + HTTP_END
 
 
-def parse(data: bytes, at: int) -> tuple[dict, int] | None:
+class Window:
+    """The bytes of a seekable file, through one window that moves on."""
+
+    def __init__(self, file, size: int, width: int = 1 << 20):
+        self.file, self.size, self.width = file, size, width
+        self.base, self.held = 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """n bytes at a place, fewer at the end of the file."""
+        n = max(0, min(n, self.size - at))
+        if not (self.base <= at and at + n <= self.base + len(self.held)):
+            self.file.seek(at)
+            self.base, self.held = at, self.file.read(max(n, min(self.width, self.size - at)))
+        return self.held[at - self.base : at - self.base + n]
+
+    def next_beginning(self, at: int) -> int:
+        """Where the next version line or gzip magic is; the file's size if there is none."""
+        while at < self.size:
+            block = self.get(at, self.width)
+            found = BEGINNING.search(block)
+            if found:
+                return at + found.start()
+            at = self.size if at + len(block) >= self.size else at + len(block) - LONGEST_BEGINNING
+        return self.size
+
+
+def of_bytes(data: bytes) -> Window:
+    return Window(io.BytesIO(data), len(data))
+
+
+def agrees(stated: str, data: bytes) -> bool:
+    """Whether a digest of a known algorithm, hexadecimal or base32, is that of data; unknown ones prove nothing."""
+    name, sep, value = stated.partition(":")
+    name = name.lower().replace("-", "")
+    if not sep or name not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(name, data, usedforsecurity=False)
+    return value.lower() == digest.hexdigest() or value.upper().rstrip("=") == base64.b32encode(digest.digest()).decode().rstrip("=")
+
+
+def parse(source: Window, at: int) -> tuple[dict, int] | None:
     """The record at a place and where it ends; None if any check fails."""
-    if not VERSION_LINE.match(data, at):
-        return None
-    end = data.find(HTTP_END, at)
-    if end < 0:
+    if not VERSION_LINE.match(source.get(at, LONGEST_BEGINNING)):
         return None
+    n = 4096
+    while (end := (head := source.get(at, n)).find(HTTP_END)) < 0:
+        if len(head) < n or n >= LONGEST_HEADER:
+            return None
+        n *= 4
     fields = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         k, sep, v = line.partition(":")
         if not sep:
             return None
         fields[k.strip().lower()] = v.strip()
     length = fields.get("content-length", "")
-    if not length.isdigit():
+    if not length.isdigit() or at + end + 8 + int(length) > source.size:
         return None
-    start, stop = end + 4, end + 4 + int(length)
-    if data[stop : stop + 4] != HTTP_END:
+    block = source.get(at + end + 4, int(length) + 4)
+    if block[-4:] != HTTP_END:
         return None
-    _, sep, payload = data[start:stop].partition(HTTP_END)
-    revisit = fields.get("warc-type") == "revisit"
-    digest, size = fields.get("warc-payload-digest", ""), fields.get("x-payload-length", "")
-    if not revisit and digest.startswith("sha256:") and hashlib.sha256(payload).hexdigest() != digest[7:]:
+    block = block[:-4]
+    kind, size = fields.get("warc-type"), fields.get("x-payload-length", "")
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(HTTP_END)[2] if http else block
+    revisit = kind == "revisit"
+    if not agrees(fields.get("warc-block-digest", ""), block) or (not revisit and not agrees(fields.get("warc-payload-digest", ""), payload)):
         return None
-    if not sep or (size and not size.isdigit()) or (size and not revisit and int(size) != len(payload)):
+    if size and (not size.isdigit() or (not revisit and int(size) != len(payload))):
         return None
     number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", fields.get(k, ""))) else None
+    stated = fields.get("warc-payload-digest")
     return {
-        "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": number("warc-refers-to"),
-        "payload_bytes": int(size) if size else len(payload), "payload_digest": digest[7:] if digest else hashlib.sha256(payload).hexdigest(), "payload": None if revisit else payload,
-    }, stop + 4
-
-
-def plain_records(data: bytes, base: int = 0):
-    """Records of uncompressed bytes, and gaps. base is added to places."""
-    at, bad = 0, None
-    while at < len(data):
-        got = parse(data, at)
-        if got is None:
-            bad = at if bad is None else bad
-            found = VERSION_LINE.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if bad is not None:
-            yield {"kind": "gap", "offset": base + bad, "length": at - bad}
-            bad = None
-        yield got[0] | {"kind": "record", "offset": base + at, "length": got[1] - at}
-        at = got[1]
-    if bad is not None:
-        yield {"kind": "gap", "offset": base + bad, "length": len(data) - bad}
-
+        "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"),
+        "payload_bytes": int(size) if size else len(payload), "payload_digest": (stated or "").removeprefix("sha256:") or None if revisit else hashlib.sha256(payload).hexdigest(),
+        "record_id": fields.get("warc-record-id"), "stated_digest": stated, "payload": None if revisit else payload,
+    }, at + end + 8 + int(length)
+
+
+def member(source: Window, at: int, most: int) -> tuple[bytes, int] | None:
+    """The gzip member at a place, checked by its CRC, and where it ends; fed piece by piece."""
+    z, out, size = zlib.decompressobj(31), [], 0
+    while not z.eof:
+        piece = source.get(at, 1 << 16)
+        if not piece:
+            return None
+        try:
+            out.append(z.decompress(piece))
+        except zlib.error:
+            return None
+        at += len(piece)
+        size += len(out[-1])
+        if size > most:
+            return None
+    return b"".join(out), at - len(z.unused_data)
 
-def member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at a place, checked by its CRC, and where it ends."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
 
+def salvage(source: Window | bytes, max_member_mb: float = 1024):
+    """Records and gaps of an archive that may mix gzip members and plain records, damaged or not.
 
-def salvage(data: bytes):
-    """Records and gaps of an archive that may mix gzip members and plain records, damaged or not."""
+    offset and length are places in the file. Of a member with several records or with damage
+    inside, they are the member's, and inner_offset and inner_length are places in what it holds.
+    A member that holds over max_member_mb is taken for damage, as one member is held in memory.
+    """
+    source = of_bytes(source) if isinstance(source, bytes) else source
     at, bad = 0, None
-    while at < len(data):
+    while at < source.size:
         found = None
-        if data.startswith(MAGIC, at):
-            got = member(data, at)
+        if source.get(at, 3) == MAGIC:
+            got = member(source, at, int(max_member_mb * 1e6))
             if got is not None:
                 inside = list(plain_records(got[0]))
-                found = [x | {"offset": at, "length": got[1] - at} if x["kind"] == "record" and len(inside) == 1 else x | {"offset": at} for x in inside], got[1]
+                place = {"offset": at, "length": got[1] - at}
+                found = [x | place | ({} if len(inside) == 1 and x["kind"] == "record" else {"inner_offset": x["offset"], "inner_length": x["length"]}) for x in inside], got[1]
         else:
-            got = parse(data, at)
+            got = parse(source, at)
             if got is not None:
                 found = [got[0] | {"kind": "record", "offset": at, "length": got[1] - at}], got[1]
         if found is None:
             bad = at if bad is None else bad
-            line, magic = VERSION_LINE.search(data, at + 1), data.find(MAGIC, at + 1)
-            at = min(line.start() if line else len(data), magic if magic >= 0 else len(data))
+            at = source.next_beginning(at + 1)
             continue
         if bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad}
             bad = None
         yield from found[0]
         at = found[1]
+    if bad is not None:
+        yield {"kind": "gap", "offset": bad, "length": source.size - bad}
+
+
+def plain_records(data: bytes):
+    """Records of uncompressed bytes, and gaps."""
+    source, at, bad = of_bytes(data), 0, None
+    while at < len(data):
+        got = parse(source, at)
+        if got is None:
+            bad = at if bad is None else bad
+            found = VERSION_LINE.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if bad is not None:
+            yield {"kind": "gap", "offset": bad, "length": at - bad}
+            bad = None
+        yield got[0] | {"kind": "record", "offset": at, "length": got[1] - at}
+        at = got[1]
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": len(data) - bad}
 
@@ -193,9 +258,12 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, fil
 def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
     """Records and gaps of the archives named in column path of files, damaged files included.
 
-    Columns: path, kind (record or gap), offset, length, page_id, url, record_type, refers_to,
-    payload_bytes, payload_digest and, with keep_payload, payload (null for revisits). Only the
-    first four are set for gaps.
+    Columns: path, kind (record or gap), offset, length, inner_offset, inner_length (places inside a
+    gzip member with several records or damage), page_id, url, record_type, refers_to,
+    payload_bytes, payload_digest (SHA-256; of revisits as stated), record_id and stated_digest as
+    they are written and, with keep_payload, payload (null for revisits). Only places are set for
+    gaps. The payload of an application/http record is what follows the HTTP header, of others the
+    whole block.
     """
     ship(files.sparkSession)
 
@@ -203,24 +271,29 @@ def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
         import pyarrow as pa
         from pyarrow import fs
 
-        names = ["path", "kind", "offset", "length", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * keep_payload
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["path", "kind", "offset", "length", "inner_offset", "inner_length", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "record_id", "stated_digest"] + ["payload"] * keep_payload
+        text, number = pa.string(), pa.int64()
+        types = [text, text, number, number, number, number, number, text, text, number, number, text, text, text, pa.binary()]
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types)], names=names)
+
         for b in batches:
             for path in b.column(0).to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(name, compression=None) as f:
-                    data = f.read()
-                rows = []
-                for x in salvage(data):
-                    if not keep_payload:
-                        x.pop("payload", None)
-                    rows.append(x | {"path": path})
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types)], names=names)
-                        rows = []
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types)], names=names)
-
-    schema = "path string, kind string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * keep_payload
+                rows, size = [], 0
+                with store.open_input_file(name) as f:
+                    for x in salvage(Window(f, f.size())):
+                        if not keep_payload:
+                            x.pop("payload", None)
+                        rows.append(x | {"path": path})
+                        size += len(x.get("payload") or b"")
+                        if len(rows) == 500 or size > 1 << 24:
+                            yield table(rows)
+                            rows, size = [], 0
+                yield table(rows)
+
+    schema = "path string, kind string, offset long, length long, inner_offset long, inner_length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, stated_digest string" + ", payload binary" * keep_payload
     return files.select("path").mapInArrow(run, schema)
 
 

@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import io
 import random
 
 import duckdb
@@ -44,6 +46,44 @@ def test_one_member_with_several_records_and_payloads_that_look_like_records():
     assert ids(W.salvage(inner + gzip.compress(rec(4)) + rec(5))) == [1, 4, 5]
 
 
+def test_damage_inside_a_member_has_both_places():
+    inner = rec(1) + b"#" * 500 + rec(2) + rec(3).replace(b"Content-Length", b"Content-Longth", 1)
+    packed = gzip.compress(inner)
+    found = list(W.salvage(b"??" + packed + gzip.compress(rec(9))))
+    assert ids(found) == [1, 2, 9]
+    inside = [(x["kind"], x["offset"], x["length"], x["inner_offset"], x["inner_length"]) for x in found if "inner_offset" in x]
+    n = len(rec(1))
+    assert inside == [("record", 2, len(packed), 0, n), ("gap", 2, len(packed), n, 500), ("record", 2, len(packed), n + 500, n), ("gap", 2, len(packed), 2 * n + 500, len(inner) - 2 * n - 500)]
+
+
+def other(kind, block, content="text/plain", **fields):
+    extra = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: {content}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_records_of_other_archives():
+    body = b"plain\r\n\r\ntext"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    good = [other("warcinfo", b"software: x"), other("conversion", body, WARC_Payload_Digest=f"sha1:{sha1}"), other("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, "application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{sha1}")]
+    found = list(W.salvage(b"".join(good)))
+    assert [(x["record_type"], x["payload"]) for x in found] == [("warcinfo", b"software: x"), ("conversion", body), ("response", body)]
+    assert found[1]["record_id"] == "<urn:uuid:1>" and found[1]["stated_digest"] == f"sha1:{sha1}" and found[1]["payload_digest"] == hashlib.sha256(body).hexdigest()
+    bad = good[1].replace(b"plain\r", b"plane\r")
+    assert gaps(W.salvage(good[0] + bad + good[2])) == [(len(good[0]), len(bad))]
+    assert gaps(W.salvage(other("resource", body, WARC_Block_Digest="sha256:" + "0" * 64))) and ids(W.salvage(other("resource", body, WARC_Block_Digest="other:1"))) == [None]
+
+
+def test_time_and_memory_grow_with_the_file_only():
+    """Small windows give what large ones give; a bomb of a member is a gap."""
+    whole = b"".join((gzip.compress if i % 3 else bytes)(rec(i, b"%d " % i * 300)) for i in range(40))
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 0xFF
+    for data in (whole, bytes(broken)):
+        for width in (64, 1000, 1 << 20):
+            assert list(W.salvage(W.Window(io.BytesIO(data), len(data), width))) == list(W.salvage(data))
+    assert gaps(W.salvage(gzip.compress(rec(1, b"z" * 3_000_000)) + rec(2), max_member_mb=1))[0][0] == 0
+
+
 def test_random_bytes_never_raise():
     r = random.Random(1)
     for _ in range(200):
