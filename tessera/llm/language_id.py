@@ -1,22 +1,26 @@
 """Language identification by prediction by partial matching.
 
 Per language, a byte context tree of orders 0 to 3 with escape probabilities (method C, with
-exclusion) is counted on a bounded sample of labelled texts and frozen. A text's exact code length
-under each tree is the sum over its bytes of minus log2 of the frozen probability; the language
-with the shortest code wins. Frozen, every (context, byte) has one cost per language, so tasks
-look costs up instead of walking trees.
+exclusion) is counted on a bounded sample of labelled texts and frozen, whole. A text's exact code
+length under each tree is the sum over its bytes of minus log2 of the frozen probability; the
+language with the shortest code wins.
+
+A tree is kept as it was counted: a cost for each (context, byte) that was seen, and for each
+context the cost of escaping from it, exclusion included, which does not depend on the byte. So the
+cost of a byte is that of the longest context that has seen it plus the escapes of the longer ones.
+Memory grows with the sample (a parameter) times the number of languages, by about 16 bytes for each
+different four bytes of a language's sample.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from uuid import uuid4
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, ship
+from .common import flat, held_out, ship, slices
 
 #: ASCII letters in lower case stay, other ASCII counts as a space, bytes of other characters stay.
 LETTERS = np.full(256, 0x20, np.uint8)
@@ -24,7 +28,7 @@ LETTERS[128:] = np.arange(128, 256)
 LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 ORDER = 3
-_ready: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+BLOCK = 1 << 20  # bytes whose costs are looked up at once
 
 
 def symbols(texts):
@@ -45,122 +49,116 @@ def symbols(texts):
     return data, ends, key
 
 
+class Tree:
+    """One language's frozen statistics, order by order: sorted (context, byte) numbers with costs in bits, sorted contexts with escape costs."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        """From the different numbers of (three bytes, byte) and how often each occurs."""
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.escape: list[tuple[np.ndarray, np.ndarray]] = []
+        for order in range(ORDER + 1):
+            mask = (1 << (8 * order)) - 1
+            pairs, back = np.unique(((gram >> 8) & mask) << 8 | (gram & 255), return_inverse=True)
+            times = np.bincount(back, n, len(pairs))
+            context, first, size = np.unique(pairs >> 8, return_index=True, return_counts=True)
+            if not len(pairs):
+                self.seen.append((pairs, times))
+                self.escape.append((context, np.zeros(0)))
+                continue
+            whole = np.add.reduceat(times, first) + size  # method C: as many escapes as different bytes
+            lower = np.exp2(-self.costs(pairs, order - 1))  # what the shorter contexts give to the bytes seen here
+            rest = np.maximum(1 - np.add.reduceat(lower, first), 1e-12)
+            self.seen.append((pairs, np.log2(np.repeat(whole, size)) - np.log2(times)))
+            self.escape.append((context, np.log2(whole) - np.log2(size) + np.log2(rest)))
+
+    def costs(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of each number of (context, byte) by the contexts of up to `order` bytes."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for k in range(order, -1, -1):
+            own = grams[left] & ((1 << (8 * (k + 1))) - 1)
+            (pairs, bits), (context, escape) = self.seen[k], self.escape[k]
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+                hit = pairs[at] == own
+                out[left[hit]] += bits[at[hit]]
+                left, own = left[~hit], own[~hit]
+                at = np.minimum(np.searchsorted(context, own >> 8), len(context) - 1)
+                there = context[at] == own >> 8
+                out[left[there]] += escape[at[there]]
+            if not len(left):
+                return out
+        out[left] += 8  # below order 0 all bytes are alike
+        return out
+
+    def bytes_held(self) -> int:
+        return sum(a.nbytes for table in (*self.seen, *self.escape) for a in table)
+
+
 @dataclass
 class Model:
-    """Frozen statistics. contexts: (order, context number) of each row; costs: bits for (row, byte) per language."""
+    """Frozen statistics of all languages."""
 
     languages: list[str]
-    contexts: np.ndarray
-    costs: np.ndarray
-    name: str = field(default_factory=lambda: uuid4().hex)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row of the longest kept context for every three bytes, and costs language by language. Made once a worker."""
-        if self.name not in _ready:
-            _ready.clear()
-            rows = np.zeros((256, 256, 256), np.int32)
-            for row, (order, context) in enumerate(self.contexts):
-                c = [(int(context) >> (8 * k)) & 255 for k in range(order)]  # c[0] is the nearest byte
-                if order == 1:
-                    rows[:, :, c[0]] = row
-                elif order == 2:
-                    rows[:, c[1], c[0]] = row
-                elif order == 3:
-                    rows[c[2], c[1], c[0]] = row
-            _ready[self.name] = rows.ravel(), np.ascontiguousarray(self.costs.astype(np.float32).reshape(-1, len(self.languages)).T)
-        return _ready[self.name]
+    trees: list[Tree]
 
     def code_lengths(self, texts) -> np.ndarray:
-        """Bits of each text under each language, (texts, languages)."""
+        """Bits of each text under each language, (texts, languages): block by block, each different number of four bytes looked up once."""
         data, ends, key = symbols(texts)
         out = np.zeros((len(ends) - 1, len(self.languages)))
-        if not len(data):
-            return out
-        rows, costs = self.tables()
-        place = rows[key].astype(np.int64) * 256 + data
-        full = np.flatnonzero(np.diff(ends) > 0)
-        for k in range(len(self.languages)):
-            out[full, k] = np.add.reduceat(costs[k][place], ends[:-1][full], dtype=np.float64)
+        for s in range(0, len(data), BLOCK):
+            z = min(s + BLOCK, len(data))
+            grams, back = np.unique(key[s:z].astype(np.uint32) << np.uint32(8) | data[s:z], return_inverse=True)
+            first, last = np.searchsorted(ends, s, "right") - 1, np.searchsorted(ends, z, "left")
+            bounds = np.clip(ends[first : last + 1], s, z) - s
+            full = np.flatnonzero(np.diff(bounds) > 0)
+            for k, tree in enumerate(self.trees):
+                out[first + full, k] += np.add.reduceat(tree.costs(grams.astype(np.int64))[back], bounds[:-1][full])
         return out
 
 
-def freeze(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int) -> Model:
+def freeze(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """counts: per language the numbers of (three bytes, byte) and how often each occurs."""
     languages = sorted(counts)
-    contexts: list[tuple[int, int]] = []
-    row_of: dict[tuple[int, int], int] = {}
-    blocks: list[np.ndarray] = []  # (rows, languages, 256) probabilities
-    for order in range(ORDER + 1):
-        mask = (1 << (8 * order)) - 1
-        per, total = [], {}
-        for lang in languages:
-            gram, n = counts[lang]
-            pairs, back = np.unique(((gram >> 8) & mask) << 8 | (gram & 255), return_inverse=True)
-            per.append((pairs, np.bincount(back, n)))
-            for c, t in zip(*np.unique(pairs >> 8, return_inverse=True)[:1], np.bincount(np.unique(pairs >> 8, return_inverse=True)[1], per[-1][1])):
-                total[int(c)] = total.get(int(c), 0) + t
-        kept = sorted(sorted(total, key=lambda c: (-total[c], c))[:max_contexts])
-        index = {c: k for k, c in enumerate(kept)}
-        block = np.empty((len(kept), len(languages), 256))
-        for k, c in enumerate(kept):
-            if order == 0:
-                block[k] = 1 / 256
-            else:
-                parent = next((order - 1 - d, c & ((1 << (8 * (order - 1 - d))) - 1)) for d in range(order) if (order - 1 - d, c & ((1 << (8 * (order - 1 - d))) - 1)) in row_of)
-                at = row_of[parent]
-                for b in blocks:
-                    if at < len(b):
-                        block[k] = b[at]
-                        break
-                    at -= len(b)
-        for j, (pairs, n) in enumerate(per):
-            cuts = np.append(np.flatnonzero(np.append(True, (pairs[1:] >> 8) != (pairs[:-1] >> 8))), len(pairs)) if len(pairs) else [0]
-            for a, z in zip(cuts[:-1], cuts[1:]):
-                k = index.get(int(pairs[a] >> 8))
-                if k is None:
-                    continue
-                seen, times = pairs[a:z] & 255, n[a:z]
-                whole, lower = times.sum() + len(seen), block[k, j]
-                rest = max(1 - lower[seen].sum(), 1e-12)
-                row = lower / rest * (len(seen) / whole)
-                row[seen] = times / whole
-                block[k, j] = row
-        for c in kept:
-            row_of[(order, c)] = len(contexts)
-            contexts.append((order, c))
-        blocks.append(block)
-    costs = -np.log2(np.maximum(np.concatenate(blocks), 1e-9))
-    return Model(languages, np.array(contexts, np.int64), np.ascontiguousarray(costs.transpose(0, 2, 1)).astype(np.float16))
-
-
-def train(docs: DataFrame, mb_per_language: float = 4, max_contexts: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    return Model(languages, [Tree(*counts[k]) for k in languages])
+
+
+def train(docs: DataFrame, mb_per_language: float = 4, max_model_mb: float = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from whole texts with a language that are not held out.
 
-    The sample's bounds are parameters: about mb_per_language of text a language, picked by a
-    hash, and max_contexts contexts an order, the most frequent ones.
+    The sample's bound is a parameter: about mb_per_language of text a language, picked by a hash,
+    and the text with the smallest hash whatever its length, so that every language has one. All
+    statistics of the sample are kept. The model goes to every task: over max_model_mb ValueError is
+    raised (sample less, or give executors more memory and raise it).
     """
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").where(~held_out("doc_id"))
-    share = {r["lang"]: min(1.0, mb_per_language * 1e6 / max(1, r["n"])) for r in d.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = {r["lang"]: max(int(min(1.0, mb_per_language * 1e6 / max(1, r["n"])) * (1 << 30)), r["least"] + 1) for r in d.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(place).alias("least")).collect()}
     if not share:
         return None
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))))[F.col("lang")]
+    pick = place < F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, v)))[F.col("lang")]
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for b in batches:
-            for lang in pc.unique(b.column(1)).to_pylist():
-                data, _, key = symbols(b.column(0).filter(pc.equal(b.column(1), lang)))
-                gram, n = np.unique(key.astype(np.int64) << 8 | data, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        for batch in batches:
+            for b in slices(batch, 0):
+                for lang in pc.unique(b.column(1)).to_pylist():
+                    data, _, key = symbols(b.column(0).filter(pc.equal(b.column(1), lang)))
+                    gram, n = np.unique(key.astype(np.int64) << 8 | data, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     got = d.where(pick).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = np.array(got.column("lang").to_pylist()), got.column("gram").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(gram, kind="stable")
     lang, gram, n = lang[order], gram[order], n[order]
-    return freeze({k: (gram[lang == k], n[lang == k]) for k in share if (lang == k).any()}, max_contexts)
+    model = freeze({k: (gram[lang == k], n[lang == k]) for k in share})
+    held = sum(t.bytes_held() for t in model.trees)
+    if held > max_model_mb * 1e6:
+        raise ValueError(f"the model of {len(share)} languages takes {held / 1e6:.0f} MB, over max_model_mb")
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,8 +178,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
         m = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
+            for b in slices(batch, 2):
                 text = b.column(2)
                 known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if m is None:

@@ -47,7 +47,7 @@ def counts(texts):
 def test_code_lengths_against_walking_the_trees():
     """Method C with exclusion, written down as it is defined, byte by byte."""
     train = {k: [t * 2, t[5:40]] for k, t in TEXTS.items()}
-    model = L.freeze({k: counts(v) for k, v in train.items()}, 10**6)
+    model = L.freeze({k: counts(v) for k, v in train.items()})
     trees = {}
     for lang, texts in train.items():
         tree = {}
@@ -79,10 +79,37 @@ def test_code_lengths_against_walking_the_trees():
     for k, lang in enumerate(model.languages):
         b = bytes(L.LETTERS[np.frombuffer(text.lower().encode(), np.uint8)])
         want = -sum(math.log2(distribution(trees[lang], (b"   " + b[:i])[-3:])[s]) for i, s in enumerate(b))
-        assert got[0, k] == pytest.approx(want, rel=2e-3)
+        assert got[0, k] == pytest.approx(want, rel=1e-12)
     assert (got[1] == 0).all()
 
 
+def test_blocks_and_long_texts_change_nothing(monkeypatch):
+    model = L.freeze({k: counts([t]) for k, t in TEXTS.items()})
+    texts = pa.array(["", "the dog", None, "der Hund " * 300, "é", "", "où est le chien"])
+    want = model.code_lengths(texts)
+    monkeypatch.setattr(L, "BLOCK", 64)
+    assert np.allclose(model.code_lengths(texts), want, rtol=1e-12)
+    assert all(np.allclose(model.code_lengths(texts.slice(k, 1))[0], want[k]) for k in range(len(texts)))
+
+
+def test_every_context_counts_and_every_language_has_a_text(docs):
+    """One long text only, past any share of the sample; a context that occurs once decides."""
+    rows = [(i, f"{'abc def ' * 3000} qx{'yz'[i % 2]}", ("aa", "bb")[i % 2]) for i in range(10)]
+    d = docs(rows)
+    model = L.train(d, mb_per_language=0.0001)
+    assert model.languages == ["aa", "bb"]
+    bits = L.train(d).code_lengths(pa.array(["qxy", "qxz"]))
+    assert bits[0, 0] < bits[0, 1] and bits[1, 1] < bits[1, 0]
+    with pytest.raises(ValueError):
+        L.train(d, max_model_mb=0.001)
+
+
+def test_repeated_rows(docs):
+    rows = [(1, TEXTS["en"], "en"), (2, TEXTS["fr"], "fr")] * 5
+    got = L.identify(docs(rows), L.train(docs(rows))).collect()
+    assert len(got) == 10 and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in got}) == 2
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.identify(d, L.train(d)).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
