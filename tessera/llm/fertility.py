@@ -1,7 +1,7 @@
 """Quality rules by tokeniser fertility.
 
 Public vocabularies are read, never trained: a piece vocabulary with byte fallback and a
-byte-level one. Per text: characters per token of both, the share of byte-fallback tokens and the
+byte-level one. Both encode every whole text as it is. Per text: characters of words per token of both, the share of byte-fallback tokens and the
 entropy of the tokens (over its greatest possible value at that many tokens). Bands of the usual
 are taken per language (per script where no language is given) over all documents; a text outside
 a band on the bad side is rejected.
@@ -9,7 +9,6 @@ a band on the bad side is rejected.
 
 from __future__ import annotations
 
-from array import array
 from functools import reduce
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql.window import Window
 
 from . import tokens
 from .batches import covered
-from .common import SPACE, flat, mix, ship, stored, window_hash, word_hashes, words_of
+from .common import SPACE, flat, mix, ship, slices, stored, window_hash, word_hashes, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -29,16 +28,17 @@ SCRIPTS = ((0x0, "Latn"), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "Zyyy"), (0x
 
 METRICS = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_share")
 STEP = 1000  # bins a unit in the histograms of metrics
-CACHED_WORDS = 400_000
 
 
-def script(text: str | None) -> str:
+def script(text: str | None, block: int = 1 << 20) -> str:
     """The script of most characters that are not ASCII white space, digits or punctuation."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    points = points[(points > 127) | ((points >= 65) & (points <= 90)) | ((points >= 97) & (points <= 122))]
-    if not len(points):
+    which = np.zeros(len(SCRIPTS), np.int64)
+    for at in range(0, len(text or ""), block):
+        points = np.frombuffer(text[at : at + block].encode("utf-32-le", "replace"), np.uint32)
+        points = points[(points > 127) | ((points >= 65) & (points <= 90)) | ((points >= 97) & (points <= 122))]
+        which += np.bincount(np.searchsorted([s for s, _ in SCRIPTS], points, "right") - 1, minlength=len(SCRIPTS))
+    if not which.any():
         return "Zyyy"
-    which = np.bincount(np.searchsorted([s for s, _ in SCRIPTS], points, "right") - 1, minlength=len(SCRIPTS))
     totals: dict[str, int] = {}
     for n, (_, name) in zip(which.tolist(), SCRIPTS):
         totals[name] = totals.get(name, 0) + n
@@ -46,31 +46,26 @@ def script(text: str | None) -> str:
 
 
 class Vocabularies:
-    """Tokens of words, remembered by hash up to a bound."""
+    """Both vocabularies, and which piece ids are fallback bytes."""
 
-    def __init__(self, pieces: str | None, ranks: str | None):
+    def __init__(self, pieces: str | None = None, ranks: str | None = None):
         self.pieces, self.ranks = tokens.piece_bpe(pieces), tokens.byte_bpe(ranks)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[int, tuple[bytes, int]] = {}
 
-    def of(self, hashes: np.ndarray, buffer: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words at places in a buffer: all their piece ids in turn, how many each has, and their numbers of byte-level tokens."""
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(range(len(keys)))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            texts = [buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), stops[some].tolist())]
-            for i, ids, text in zip(some, self.pieces.encode(texts, num_threads=1), texts):
-                self.known[keys[i]] = array("i", ids).tobytes(), len(self.ranks.encode_ordinary(" " + text))
-        ids, byte_tokens = zip(*map(self.known.__getitem__, keys))
-        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.array(byte_tokens, np.int64)
+    def measure(self, text: str) -> tuple[int, int, int, float]:
+        """Pieces, fallback pieces, byte-level tokens and the entropy of the pieces in bits, of one whole text."""
+        ids = tokens.piece_ids(self.pieces, text)
+        n = np.bincount(ids, minlength=len(self.is_byte))
+        share = n[n > 0] / max(len(ids), 1)
+        return len(ids), int(n[self.is_byte].sum()), len(tokens.byte_ids(self.ranks, text)), float(-(share * np.log2(share)).sum())
 
 
-def per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return total[ends[1:]] - total[ends[:-1]]
+def per_text(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many flags each text has."""
+    out, full = np.zeros(len(ends) - 1, np.int64), np.flatnonzero(np.diff(ends) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(flags.view(np.uint8), ends[:-1][full], dtype=np.int64)
+    return out
 
 
 def repeated_words(words: np.ndarray, doc: np.ndarray, n: int, window: int = 5) -> np.ndarray:
@@ -99,30 +94,9 @@ def measure(texts, vocabularies: Vocabularies) -> dict[str, np.ndarray]:
     for k in range(n):
         full = [x for x in data[ends[k] : ends[k + 1]].tobytes().split(b"\n") if x.strip()]
         lines.append(len(full) - len(set(full)))
-    out = {
-        "n_words": sizes, "word_chars": chars, "n_symbols": per_text(SYMBOLS[data], ends), "n_dup_lines": np.array(lines, np.int64), "n_repeat_words": repeated_words(hashes, doc, n),
-        "n_pieces": np.zeros(n, np.int64), "n_fallback": np.zeros(n, np.int64), "n_byte_tokens": np.zeros(n, np.int64), "entropy": np.zeros(n),
-    }
-    if len(hashes):
-        values, where, of = np.unique(hashes, return_index=True, return_inverse=True)
-        joined, count, byte_tokens = vocabularies.of(values, data.tobytes(), starts[where], stops[where])
-        begin = np.concatenate([[0], np.cumsum(count)])
-        bad = per_text(vocabularies.is_byte[joined], begin)
-        out["n_byte_tokens"], out["n_pieces"], out["n_fallback"] = (per_text(x[of], first) for x in (byte_tokens, count, bad))
-        # pairs of text and word first, so that each is spread to its tokens once
-        pair, times = np.unique(doc.astype(np.int64) * len(values) + of, return_counts=True)
-        text, word = pair // len(values), pair % len(values)
-        each = count[word]
-        index = np.repeat(begin[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        key = np.repeat(text, each) << 20 | joined[index]
-        order = np.argsort(key, kind="stable")
-        key, weight = key[order], np.repeat(times, each)[order]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        if len(new):
-            c, t = np.add.reduceat(weight, new).astype(float), key[new] >> 20
-            share = c / out["n_pieces"][t]
-            out["entropy"] = np.bincount(t, -share * np.log2(share), minlength=n)
-    return out
+    told = [vocabularies.measure(t.as_py() or "") for t in texts]
+    measured = {c: np.array([t[k] for t in told]) for k, c in enumerate(("n_pieces", "n_fallback", "n_byte_tokens", "entropy"))}
+    return {"n_words": sizes, "word_chars": chars, "n_symbols": per_text(SYMBOLS[data], ends), "n_dup_lines": np.array(lines, np.int64), "n_repeat_words": repeated_words(hashes, doc, n)} | measured
 
 
 def metrics(docs: DataFrame, pieces: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -136,8 +110,7 @@ def metrics(docs: DataFrame, pieces: str | None = None, ranks: str | None = None
 
         vocabularies = Vocabularies(pieces, ranks)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                b = batch.slice(lo, 1024)
+            for b in slices(batch, 2, 1024):
                 m = measure(b.column(2), vocabularies)
                 scripts = [script(x.as_py()) for x in b.column(2)]
                 lang = [x if x is not None else y for x, y in zip(b.column(1).to_pylist(), scripts)]

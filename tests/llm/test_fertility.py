@@ -35,17 +35,52 @@ def test_base_counts(docs, words, odd):
 
 
 def test_measures_against_the_vocabularies(words):
-    texts = [words(50, 3) + " ☃ ☃", "", None, "one"]
-    m = T.measure(pa.array(texts), T.Vocabularies(None, None))
+    texts = [words(50, 3) + " ☃ ☃", "", None, "one", "alpha\n\n\n    beta\tgamma", "  "]
+    m = T.measure(pa.array(texts), T.Vocabularies())
     pieces, ranks = tokens.piece_bpe(), tokens.byte_bpe()
     for k, t in enumerate(texts):
-        ids = [i for w in (t or "").split() for i in pieces.encode(w)]
+        ids = pieces.encode(t or "")
         assert m["n_pieces"][k] == len(ids) and m["n_fallback"][k] == sum(pieces.is_byte(i) for i in ids)
-        assert m["n_byte_tokens"][k] == sum(len(ranks.encode_ordinary(" " + w)) for w in (t or "").split())
+        assert m["n_byte_tokens"][k] == len(ranks.encode_ordinary(t or ""))
         c = collections.Counter(ids)
         assert m["entropy"][k] == pytest.approx(-sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values()) if ids else 0)
 
 
+def quartiles(values):
+    """Least bins that a quarter and three quarters of the values lie in or below."""
+    bins = sorted(math.floor(v * T.STEP + 0.5) for v in values)
+    return tuple(next(b for k, b in enumerate(bins) if k + 1 >= q * len(bins)) / T.STEP for q in (0.25, 0.75))
+
+
+def test_bands_and_verdicts_as_they_are_defined(docs, words):
+    """Every verdict computed again from the measures: quartiles per language and length class, the script's for small bands."""
+    rows = [(i, words(4 + i * 7 % 260, i) + (" ☃" * (i % 9 == 0) * 30), ("xx", "yy")[i % 2]) for i in range(220)] + [(900 + i, words(90, 900 + i), "zz") for i in range(7)] + [(990, "ἄνθρωπος " * 3 + words(12, 1), None), (991, None, "xx"), (992, "", None)]
+    got = T.judged(docs(rows)).collect()
+    text = dict((i, (t, lang)) for i, t, lang in rows)
+    of = {}
+    for r in got:
+        t, lang = text[r["doc_id"]]
+        script = T.script(t)
+        size = next((k for k, part in enumerate((1, 2, 4)) if r["n_pieces"] >= 200 / part), 3)
+        of[r["doc_id"]] = (lang or script, script, size)
+    assert len(of) == len(rows)
+    judged = [r for r in got if r["n_pieces"] >= 200 or r["n_words"] >= 10]
+    for r in got:
+        band, script, size = of[r["doc_id"]]
+        wrong = False
+        for c, sign, spread in (("chars_per_piece", -1, 2), ("chars_per_byte_token", -1, 2), ("fallback_share", 1, 2), ("entropy_share", -1, 4)):
+            own = [x for x in judged if of[x["doc_id"]][0] == band and of[x["doc_id"]][2] == size]
+            wide = [x for x in judged if of[x["doc_id"]][1] == script and of[x["doc_id"]][2] == size]
+            if r[c] is None or not own:
+                continue
+            few = len(own) < 50
+            low, high = quartiles([x[c] for x in (wide if few else own)])
+            margin = (math.sqrt(50 / len(own)) if few else 1) * (spread * (high - low) + 0.02)
+            wrong |= r[c] < low - margin if sign < 0 else r[c] > high + margin
+        assert r["kept"] == (not r["base_failed"] and not wrong), r
+    assert 0 < sum(r["kept"] for r in got) < len(got)
+
+
 def test_a_text_outside_its_band_goes(docs, words):
     rows = [(i, words(300, i), "xx") for i in range(80)] + [(500, " ".join(f"☃{i}☃☃☃" for i in range(200)), "xx"), (501, words(300, 501), None)]
     got = {r["doc_id"]: r for r in T.judged(docs(rows)).collect()}
