@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, mix, ship, window_hash, word_hashes, words_of
+from .common import flat, held_out, mix, ship, slices, window_hash, word_hashes, words_of
 
 WORDS, SHAPES, MARKS = 512, 256, 24
 TERMS = WORDS + SHAPES + MARKS
@@ -46,7 +46,7 @@ def term_counts(texts) -> np.ndarray:
     classes = CLASS[data]
     keep = np.append(True, classes[1:] != classes[:-1])
     keep[starts] = True
-    before = np.cumsum(keep)
+    before = np.cumsum(keep, dtype=np.int32 if len(keep) < 1 << 31 else np.int64)
     shapes = word_hashes(classes[keep], before[starts] - 1, before[stops - 1])
     lower, lower_ends = flat(pc.utf8_lower(texts.cast(pa.large_string())))
     a, z, _ = words_of(lower, lower_ends)
@@ -106,7 +106,10 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4096, dimensions: int = 48, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Space | None:
-    """Learn from about max_rows labelled rows (picked by a hash of the id) that are not held out; whole texts."""
+    """Learn from about max_rows labelled ids (picked by a hash) that are not held out; whole texts.
+
+    Of rows that share an id, the one with the least hash of its text is learned from; of labels, the least.
+    """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("label").alias("label"))
     n = known.count()
@@ -117,11 +120,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4096, dimensions:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 2, 256)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in term_counts(b.column(2))], pa.binary())], names=["doc_id", "label", "terms"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got = d.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label int, terms binary").toArrow()
+    asked = d.join(F.broadcast(sample), "doc_id")
+    one = asked.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
+    got = one.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label int, terms binary").toArrow()
     if not got.num_rows:
         return None
     counts = np.stack([np.frombuffer(x.as_py(), np.float32) for x in got.column("terms")])
@@ -153,8 +158,7 @@ def classify(docs: DataFrame, space: Space | None, k: int = 15, threshold: float
 
         s = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
+            for b in slices(batch, 2, 256):
                 score = s.score(term_counts(b.column(2)), k) if s is not None else np.full(b.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -173,8 +177,7 @@ def keep_good(docs: DataFrame, space: Space | None, k: int = 15, threshold: floa
 
         s = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
+            for b in slices(batch, place, 256):
                 yield b.filter(pa.array(s.score(term_counts(b.column(place)), k) >= threshold)) if s is not None else b
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,3 +36,39 @@ def test_scores_against_a_plain_loop():
         z = space.project(counts[k : k + 1])[0]
         near = sorted(((float(z @ v), y) for v, y in zip(space.vectors, space.labels)), reverse=True)[:7]
         assert abs(got[k] - sum(s * y for s, y in near) / sum(s for s, _ in near)) < 1e-3
+
+
+def test_terms_as_they_are_defined(words):
+    """Sizes and marks counted by hand; words and shapes by their numbers and by which texts share them."""
+    import pyarrow as pa
+
+    texts = ["", None, "ab ab Ab x1 ??!", "one two three four five six one two three four five", words(70, 1)]
+    t = Q.term_counts(pa.array(texts, pa.string()))
+    for row, text in zip(t, texts):
+        w = (text or "").split()
+        assert row[: Q.WORDS].sum() == row[Q.WORDS : Q.WORDS + Q.SHAPES].sum() == len(w)
+        same = sum(a.lower() == b.lower() for a, b in zip(w[1:], w))
+        lower = [x.lower() for x in w]
+        again = [k for k in range(len(w) - 4) if sum(lower[k : k + 5] == lower[j : j + 5] for j in range(len(w) - 4)) > 1]
+        marks = row[Q.WORDS + Q.SHAPES :]
+        assert marks[2] == same and (marks[1] == len(again) or same) and marks[:8].sum() == len(w)
+        assert marks[8 + min(int(np.log2(len(w) + 1)), Q.MARKS - 9)] == 1 and marks[8:].sum() == 1
+    a, b = Q.term_counts(pa.array(["Haus haus HAUS", "haus haus haus"]))
+    assert (a[: Q.WORDS] == b[: Q.WORDS]).all() and not (a[Q.WORDS : Q.WORDS + Q.SHAPES] == b[Q.WORDS : Q.WORDS + Q.SHAPES]).all()
+
+
+def test_latent_space_and_repeated_ids(spark, docs, words):
+    """Directions are the leading singular vectors; an id that many rows repeat is learned from once."""
+    rows = [(i, words(30 + i, i)) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(7, 0)] * 5, "doc_id long, quality int")
+    space = Q.train(docs(rows), labels, dimensions=6)
+    again = Q.train(docs(rows + [(9, words(39, 9))] * 40), labels, dimensions=6)
+    assert len(space.labels) == len(again.labels) <= 30
+    assert np.allclose(np.sort(space.vectors, axis=0), np.sort(again.vectors, axis=0), atol=1e-4) or np.allclose(np.abs(space.vectors @ space.vectors.T), np.abs(again.vectors @ again.vectors.T), atol=1e-3)
+    import pyarrow as pa
+    import zlib
+
+    known = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    x = Q.weighted(Q.term_counts(pa.array(known)), space.weights)
+    _, _, v = np.linalg.svd(x.astype(np.float64), full_matrices=False)
+    assert np.allclose(np.abs(v[:6] @ space.directions), np.eye(6), atol=1e-3)
