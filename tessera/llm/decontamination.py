@@ -6,20 +6,21 @@ has a hit. Hashes of all benchmark windows are joined with those of all training
 each hit the two texts are laid over each other and the overlap is verified word by word, with
 substitutions tolerated up to a rate.
 
-The benchmark side goes to the tasks in blocks of at most `block_mb` of text, each broadcast and
-joined with all documents: its size is checked, however large the benchmark is.
+A benchmark of at most `block_mb` of text is broadcast, indexed, and joined in the tasks in one pass
+over the documents. A larger one is joined by Spark: both sides give their different seed hashes,
+documents only those that pass a filter of bounded size, equal hashes meet by a shuffle, and the
+pairs of texts that share one are verified.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, powers, ship, total_bytes, word_hashes, words_of
+from .common import SPACE, flat, mix, powers, ship, slices, stored, total_bytes, word_hashes, words_of
 
 #: Which of a window's words count, mask by mask: every stretch of 13 equal words with at most a fifth of the words changed, of any length, leaves one of them whole, and so do 12 of 15.
 MASKS = ("111011011", "111000100111", "11001001000111", "11010100001101", "110001110101", "101101110001", "111100001011")
@@ -104,10 +105,13 @@ class Index:
         self.tables = []
         for mask, of in by_mask.items():
             hashes = seed_hashes(self.words, mask)
-            at = np.flatnonzero(starts_inside(self.first, len(self.words), len(mask)) & np.repeat(np.isin(sizes, of), sizes)[: len(hashes)])
-            values = hashes[at]
-            order = np.argsort(values, kind="stable")
-            self.tables.append((mask, values[order], at[order], self.filter(values)))
+            valid = starts_inside(self.first, len(self.words), len(mask)) & np.repeat(np.isin(sizes, of), sizes)[: len(hashes)]
+            at = np.flatnonzero(valid)
+            values = np.unique(hashes[at])
+            before = np.where((at > 0) & valid[at - 1], np.searchsorted(values, hashes[at - 1]) + 1, 0) if len(at) else at  # of each window, the one before in its item
+            key = np.searchsorted(values, hashes[at]) << 32 | before
+            order = np.argsort(key, kind="stable")
+            self.tables.append((mask, values, key[order], at[order], self.filter(values)))
 
     @staticmethod
     def filter(values: np.ndarray) -> np.ndarray:
@@ -116,99 +120,218 @@ class Index:
         found[values >> np.uint64(64 - bits)] = True
         return found
 
-    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places, in the documents and in the benchmark, with equal hashes."""
-        here, there = [], []
-        for mask, values, at, sieve in self.tables:
+    def alignments(self, words: np.ndarray, first: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+        """(document, item, shift) of all different alignments with equal hashes, columns sorted.
+
+        Of hits that follow each other along an alignment only the first counts, so repeated words
+        give as many pairs as alignments, not as places times places; pairs are made block by block.
+        """
+        width, n_items = len(words) + len(self.words) + 1, max(1, len(self.ids))
+        codes = np.zeros(0, np.int64)
+        for mask, values, key, at, sieve in self.tables:
             hashes = seed_hashes(words, mask)
-            if not len(hashes):
+            if not len(hashes) or not len(values):
                 continue
-            found = np.flatnonzero(sieve[hashes >> np.uint64(65 - len(sieve).bit_length())])
-            found = found[starts_inside(first, len(words), len(mask))[found]]
-            lo, hi = np.searchsorted(values, hashes[found]), np.searchsorted(values, hashes[found], "right")
-            n = hi - lo
-            here.append(np.repeat(found, n))
-            there.append(at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.sum() else at[:0])
-        return (np.concatenate(here), np.concatenate(there)) if here else (np.zeros(0, np.int64),) * 2
+            inside = starts_inside(first, len(words), len(mask))
+            found = np.flatnonzero(sieve[hashes >> np.uint64(65 - len(sieve).bit_length())] & inside)
+            rank = np.minimum(np.searchsorted(values, hashes[found]), len(values) - 1)
+            real = values[rank] == hashes[found]
+            found, rank = found[real], rank[real]
+            before = hashes[np.maximum(found - 1, 0)]
+            rank_before = np.minimum(np.searchsorted(values, before), len(values) - 1)
+            follows = (found > 0) & inside[np.maximum(found - 1, 0)] & (values[rank_before] == before)
+            lo, hi = np.searchsorted(key, rank << 32), np.searchsorted(key, (rank + 1) << 32)
+            same = rank << 32 | (rank_before + 1)
+            a, z = (np.where(follows, np.searchsorted(key, same, side), lo) for side in ("left", "right"))
+            starts, n = np.concatenate([lo, z]), np.concatenate([a - lo, hi - z])
+            here = np.concatenate([found, found])
+            some = n > 0
+            starts, n, here = starts[some], n[some], here[some]
+            total = np.cumsum(n)
+            i = 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + block, "right")))
+                times = n[i:j]
+                there = at[np.repeat(starts[i:j] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                x = np.repeat(here[i:j], times)
+                doc, item = np.searchsorted(first, x, "right") - 1, np.searchsorted(self.first, there, "right") - 1
+                codes = np.unique(np.concatenate([codes, (doc * n_items + item) * width + (x - there + len(self.words))]))
+                i = j
+        pair = codes // width
+        return np.stack([pair // n_items, pair % n_items, codes % width - len(self.words)])
 
 
 def best_overlap(same: np.ndarray, penalty: float, need: int = 0) -> tuple[int, int, int]:
-    """Of the stretches [from, to) of an alignment with need matches, the one with the highest score, one a match and -penalty a substitution, and its matches; (0, 0, 0) if there is none."""
+    """Of the stretches [from, to) of an alignment with need matches, the one with the highest score, one a match and -penalty a substitution, and its matches; (0, 0, 0) if there is none. Of equal scores the longest."""
     score = np.concatenate([[0], np.cumsum(np.where(same, 1.0, -penalty))])
     matches = np.concatenate([[0], np.cumsum(same)])
     lowest = np.minimum.accumulate(score)
     last = np.minimum(np.searchsorted(matches, matches - need, "right") - 1, np.arange(len(score)))  # the last start with need matches up to each end
     if last[-1] < 0:
         return 0, 0, 0
-    to = int(np.where(last >= 0, score - lowest[last], -np.inf).argmax())
-    start = int(np.flatnonzero(score[: last[to] + 1] == lowest[last[to]])[-1])
+    gain = np.where(last >= 0, score - lowest[last], -np.inf)
+    to = len(gain) - 1 - int((gain >= gain.max() - 1e-9)[::-1].argmax())
+    start = int(np.flatnonzero(score[: last[to] + 1] <= lowest[last[to]] + 1e-9)[0])
     return start, to, int(matches[to] - matches[start])
 
 
-def overlaps_in(texts, index: Index, min_match: int, similarity: float) -> list[list[dict]]:
-    """Verified overlaps of each text with the items of a block."""
+def stretches_in(same: np.ndarray, need: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(from, to, matches) of an alignment: the best stretch, then the best of what lies before and behind it, and so on."""
+    out, left = [], [(0, len(same))]
+    while left:
+        lo, hi = left.pop()
+        if hi - lo < need:
+            continue
+        start, to, matched = best_overlap(same[lo:hi], similarity / (1 - similarity), need)
+        if matched >= max(need, similarity * (to - start) - 1e-6):
+            out.append((lo + start, lo + to, matched))
+            left += [(lo, lo + start), (lo + to, hi)]
+    return sorted(out)
+
+
+def overlaps_in(texts, index: Index, min_match: int, similarity: float, one: bool = False) -> list[list[dict]]:
+    """Verified overlaps of each text with the items of a block. one: no more than one a text."""
     words, first = hashed_words(texts)
-    here, there = index.hits(words, first)
     out = [[] for _ in range(len(texts))]
-    if len(here):
-        doc, item = np.searchsorted(first, here, "right") - 1, np.searchsorted(index.first, there, "right") - 1
-        for d, i, shift in np.unique(np.stack([doc, item, here - there]), axis=1).T:
-            a, z = max(index.first[i], first[d] - shift), min(index.first[i + 1], first[d + 1] - shift)
-            need = needed(int(index.first[i + 1] - index.first[i]), min_match, similarity)
-            start, to, matched = best_overlap(index.words[a:z] == words[a + shift : z + shift], similarity / (1 - similarity), need)
-            if matched >= max(need, similarity * (to - start) - 1e-6):
-                at = int(a + shift - first[d])
-                out[d].append({"item_id": index.ids[i], "word_from": at + start, "word_to": at + to, "matched": matched})
+    for d, i, shift in index.alignments(words, first).T:
+        if one and out[d]:
+            continue
+        a, z = max(index.first[i], first[d] - shift), min(index.first[i + 1], first[d + 1] - shift)
+        need = needed(int(index.first[i + 1] - index.first[i]), min_match, similarity)
+        for start, to, matched in stretches_in(index.words[a:z] == words[a + shift : z + shift], need, similarity):
+            at = int(a + shift - first[d])
+            out[d].append({"item_id": index.ids[i], "word_from": at + start, "word_to": at + to, "matched": matched})
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_mb: float, item_col: str, item_text: str):
-    """Broadcast blocks of (item_id, text), each about block_mb of text, one after the other."""
-    spark = benchmark.sparkSession
-    ship(spark)
-    blocks = int(total_bytes(benchmark, item_text) / (block_mb * 1e6)) + 1
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null and item_id is not null").distinct()
-    for block in range(blocks):
-        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()])
+def items_of(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null and item_id is not null").distinct()
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, overlaps) for each document and block of the benchmark with a verified overlap."""
+def sent_index(benchmark: DataFrame, item_col: str, item_text: str):
+    """The items, broadcast: at most block_mb of text, which the caller has checked."""
+    items = [(r[0], r[1]) for r in items_of(benchmark, item_col, item_text).orderBy("item_id", "text").collect()]
+    return benchmark.sparkSession.sparkContext.broadcast(items)
 
-    def one(sent) -> DataFrame:
-        def run(batches):
-            import pyarrow as pa
 
-            index = Index(sent.value, min_words, min_match, similarity)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("word_from", pa.int32()), ("word_to", pa.int32()), ("matched", pa.int32())]))
-            for b in batches:
-                for lo in range(0, b.num_rows, 512):
-                    part = b.slice(lo, 512)
-                    out = overlaps_in(part.column(1), index, min_match, similarity)
-                    hit = [k for k, x in enumerate(out) if x]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit, pa.int64())), pa.array([out[k] for k in hit], kind)], names=["doc_id", "overlaps"])
+OVERLAP = "array<struct<item_id:long,word_from:int,word_to:int,matched:int>>"
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "doc_id long, overlaps array<struct<item_id:long,word_from:int,word_to:int,matched:int>>")
 
-    return reduce(DataFrame.union, map(one, blocks_of(benchmark, block_mb, item_col, item_text)))
+def overlap_type():
+    import pyarrow as pa
 
+    return pa.list_(pa.struct([("item_id", pa.int64()), ("word_from", pa.int32()), ("word_to", pa.int32()), ("matched", pa.int32())]))
 
-def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have no verified overlap with the benchmark."""
-    place = docs.columns.index(text_col)
-    for sent in blocks_of(benchmark, block_mb, item_col, item_text):
 
-        def run(batches, sent=sent):
-            import pyarrow as pa
+def joined_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int, min_words: int, similarity: float, id_col: str, text_col: str, item_col: str, item_text: str, filter_bits: int = 29) -> DataFrame:
+    """(doc_id, text_hash, overlaps) by an equi-join on seed hashes, for a benchmark of any size."""
+    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
+    items = items_of(benchmark, item_col, item_text).withColumn("item_hash", F.xxhash64("text"))
+
+    def item_seeds(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in slices(batch, 1):
+                for k in range(b.num_rows):
+                    index = Index([(0, b.column(1)[k].as_py())], min_words, min_match, similarity)
+                    seeds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(mix(values ^ np.uint64(int(mask, 2))) for mask, values, *_ in index.tables)])).view(np.int64)
+                    masks = sorted({mask for mask, *_ in index.tables})
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array([b.column(0)[k].as_py()] * len(seeds), pa.int64()), pa.array([b.column(2)[k].as_py()] * len(seeds), pa.int64()), pa.array([masks] * len(seeds), pa.list_(pa.string()))], names=["seed", "item_id", "item_hash", "masks"])
+
+    asked = stored(items.select("item_id", "text", "item_hash").mapInArrow(item_seeds, "seed long, item_id long, item_hash long, masks array<string>"), "seeds")
+    masks = sorted(r[0] for r in asked.select(F.explode("masks")).distinct().collect())  # as many as there are masks
+    bits = min(filter_bits, max(10, asked.count().bit_length() + 6))
+
+    def bitmap(batches):
+        import pyarrow as pa
+
+        found = np.zeros(1 << bits >> 3, np.uint8)
+        for b in batches:
+            place = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(found, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bitmap"])
+
+    whole = np.zeros(1 << bits >> 3, np.uint8)
+    for r in asked.select("seed").mapInArrow(bitmap, "bitmap binary").toLocalIterator():
+        whole |= np.frombuffer(r[0], np.uint8)
+    sent = spark.sparkContext.broadcast(whole)  # 2**filter_bits bits at most
+
+    def doc_seeds(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in slices(batch, 2):
+                words, first = hashed_words(b.column(2))
+                for mask in masks:
+                    hashes = mix(seed_hashes(words, mask) ^ np.uint64(int(mask, 2)))
+                    place = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+                    at = np.flatnonzero((sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & starts_inside(first, len(words), len(mask)))
+                    doc = np.searchsorted(first, at, "right") - 1
+                    order = np.lexsort((hashes[at], doc))
+                    at, doc = at[order], doc[order]
+                    new = np.append(True, (doc[1:] != doc[:-1]) | (hashes[at[1:]] != hashes[at[:-1]])) if len(at) else np.zeros(0, bool)
+                    rows = pa.array(doc[new])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at[new]].view(np.int64)), b.column(0).take(rows), b.column(1).take(rows)], names=["seed", "doc_id", "text_hash"])
+
+    met = texts.mapInArrow(doc_seeds, "seed long, doc_id long, text_hash long").join(asked.select("seed", "item_id", "item_hash").hint("shuffle_merge"), "seed")
+    pairs = stored(met.select("doc_id", "text_hash", "item_id", "item_hash").distinct(), "pairs")
+
+    def verify(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in slices(batch, 2, 64):
+                out = [overlaps_in(b.column(2).slice(k, 1), Index([(b.column(3)[k].as_py(), b.column(4)[k].as_py())], min_words, min_match, similarity), min_match, similarity)[0] for k in range(b.num_rows)]
+                hit = [k for k, x in enumerate(out) if x]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(hit, pa.int64())) for c in (0, 1)), pa.array([out[k] for k in hit], overlap_type())], names=["doc_id", "text_hash", "overlaps"])
+
+    own = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.text_hash") == F.col("t.text_hash"))
+    both = pairs.alias("p").join(texts.distinct().alias("t").hint("shuffle_merge"), own).select("p.doc_id", "p.text_hash", "t.text", "item_id", "item_hash")
+    both = both.join(items.select("item_id", "item_hash", F.col("text").alias("item_text")).hint("shuffle_merge"), ["item_id", "item_hash"]).select("doc_id", "text_hash", "text", "item_id", "item_text")
+    return both.mapInArrow(verify, f"doc_id long, text_hash long, overlaps {OVERLAP}")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, overlaps) for each document, or pair of a document and an item, with a verified overlap."""
+    if total_bytes(benchmark, item_text) > block_mb * 1e6:
+        return joined_overlaps(docs, benchmark, min_match, min_words, similarity, id_col, text_col, item_col, item_text).select("doc_id", "overlaps")
+    ship(docs.sparkSession)
+    sent = sent_index(benchmark, item_col, item_text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        index = Index(sent.value, min_words, min_match, similarity)
+        for b in batches:
+            for part in slices(b, 1):
+                out = overlaps_in(part.column(1), index, min_match, similarity)
+                hit = [k for k, x in enumerate(out) if x]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit, pa.int64())), pa.array([out[k] for k in hit], overlap_type())], names=["doc_id", "overlaps"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, f"doc_id long, overlaps {OVERLAP}")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have no verified overlap with the benchmark."""
+    if total_bytes(benchmark, item_text) > block_mb * 1e6:
+        found = stored(joined_overlaps(docs, benchmark, min_match, min_words, similarity, id_col, text_col, item_col, item_text).select("doc_id", "text_hash").distinct(), "contaminated")
+        gone = F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(f"d.{text_col}") == F.col("g.text_hash"))
+        return docs.alias("d").join(found.alias("g"), gone, "left_anti")
+    ship(docs.sparkSession)
+    place, sent = docs.columns.index(text_col), sent_index(benchmark, item_col, item_text)
+
+    def run(batches):
+        import pyarrow as pa
 
-            index = Index(sent.value, min_words, min_match, similarity)
-            for b in batches:
-                for lo in range(0, b.num_rows, 512):
-                    part = b.slice(lo, 512)
-                    yield part.filter(pa.array([not x for x in overlaps_in(part.column(place), index, min_match, similarity)], pa.bool_()))
+        index = Index(sent.value, min_words, min_match, similarity)
+        for b in batches:
+            for part in slices(b, place):
+                yield part.filter(pa.array([not x for x in overlaps_in(part.column(place), index, min_match, similarity, one=True)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -36,10 +36,72 @@ def test_rows_that_stay_keep_all_columns(docs, items, words):
     assert {r["doc_id"] for r in kept.collect()} == {100, 101, 102, 103, 104, 105, 5, 8, 9, 40, None}
 
 
-def test_blocks_of_the_benchmark_give_the_same(docs, items, words):
-    rows = planted(words)
-    one, many = (sorted(tuple(r)[:4] for r in D.contaminated(docs(rows), items, block_mb=mb).collect()) for mb in (8, 0.0002))
-    assert one == many
+def test_the_join_of_large_benchmarks_gives_the_same(docs, items, words):
+    d = docs(planted(words) + [(None, words(40, 1003)), (40, None), (41, "")])
+    one, joined = (sorted((str(r["doc_id"]), r["n_overlaps"], r["item_ids"], r["longest"], r["overlaps"]) for r in D.contaminated(d, items, block_mb=mb).collect()) for mb in (8, 0.0002))
+    assert one == joined and len(one) == 6
+    kept = D.clean(d, items, block_mb=0.0002)
+    assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(map(str, D.clean(d, items).collect()))
+
+
+def defined(text, items, min_match=13, similarity=0.8):
+    """For each item whether any stretch of any alignment is an overlap, by trying them all."""
+    plain = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    w, out = plain(text), set()
+    for i, t in items:
+        v = plain(t)
+        need = D.needed(len(v), min_match, similarity)
+        for shift in range(-len(v) + 1, len(w)):
+            a, z = max(0, -shift), min(len(v), len(w) - shift)
+            same = np.array(w[a + shift : z + shift]) == np.array(v[a:z])
+            total = np.concatenate([[0], np.cumsum(same)])
+            if len(v) >= 8 and total[-1] >= need and any(total[y] - total[x] >= max(need, similarity * (y - x) - 1e-9) for x in range(len(same)) for y in range(x + need, len(same) + 1)):
+                out.add(i)
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contaminated_against_the_definition(docs, spark, words, seed):
+    """Random substitutions at all rates, in items of all lengths, against trying every stretch."""
+    r = random.Random(seed)
+    items = [(i, words(r.randrange(6, 34), 100 * seed + i).replace(",", " ")) for i in range(14)]
+    rows = []
+    for k in range(60):
+        w = r.choice(items)[1].split()
+        rate = r.choice((0, 0.05, 0.12, 0.2, 0.25))
+        w = [x if r.random() >= rate else f"other{k}" for x in w][r.randrange(3) : len(w) - r.randrange(3)]
+        rows.append((k, f"{words(5, 900 + k)} {' '.join(w)} {words(6, 950 + k)}"))
+    want = {k: defined(t, items) for k, t in rows}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for mb in (8, 0.0001):
+        got = {x["doc_id"]: set(x["item_ids"]) for x in D.contaminated(docs(rows), table, block_mb=mb).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+    assert 10 < len(got) < 60
+
+
+def test_all_stretches_of_an_alignment():
+    same = np.array([1] * 20 + [0] * 30 + [1] * 15 + [0] + [1] * 4 + [0] * 9 + [1] * 12, bool)
+    assert D.stretches_in(same, 13, 0.8) == [(0, 20, 20), (50, 70, 19)]
+
+
+def test_repeated_words_give_alignments_not_pairs():
+    """20,000 equal words against an item of 1,000: as many alignments as there are shifts."""
+    index = D.Index([(1, "w " * 1000)], 8)
+    found = index.alignments(*D.hashed_words(pa.array(["w " * 20000, "w " * 900])))
+    assert found.shape[1] == (20000 - 9 + 1 + 1000 - 9) + (900 - 9 + 1 + 1000 - 9)
+    assert D.overlaps_in(pa.array(["w " * 20000]), index, 13, 0.8, one=True)[0]
+
+
+def test_query_against_the_definition(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").where("length(text) < 3000").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {r["doc_id"]: set(r["item_ids"]) for r in D.op1_decontamination(spark, d).collect()}
+    known = {w for _, t in items for w in t.lower().split()}
+    some = [(i, t) for i, t in docs if i in got or len(known & set((t or "").lower().split())) > 12][:60]
+    for i, t in some:
+        assert defined(t or "", items) == got.get(i, set()), i
 
 
 def test_empty_tables(docs, items, words):
