@@ -1,35 +1,23 @@
 """Plain versions of operators, written down as they are defined."""
 
-import xxhash
 
-
-def slow_fingerprint(text):
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def hamming_groups(values, ids):
-    """For each value the smallest id that links of 3 bits at most lead to."""
-    parent = list(range(len(values)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(values)):
-        for j in range(i):
-            if (values[i] ^ values[j]).bit_count() <= 3:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    of = {}
-    for i, d in enumerate(ids):
-        if d is not None:
-            of[root(i)] = min(d, of.get(root(i), d))
-    return [of.get(root(i)) for i in range(len(ids))]
+def similar_groups(texts, shingle=5, similarity=0.8):
+    """For each text the number of the first one that links of at least that similarity lead to."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    first = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if first[i] != first[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    first[i] = first[j] = min(first[i], first[j])
+                    changed = True
+    return first
 
 
 def remove_seen(text, match):
