@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidKeyError, KeyTypeError
+from .shipping import ship
 
 
 def plain(value: Any) -> Any:
@@ -70,6 +71,7 @@ def _text_udf(convert):
     import pyarrow as pa
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    ship()
     return F.arrow_udf(run, T.StringType())
 
 

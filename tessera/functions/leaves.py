@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .canon import unified
+from .shipping import ship
 
 LEAF = "job_id string, ns string, path string, type string, num double, big decimal(38,0), str string, json string, same string, rest string"
 
@@ -46,7 +47,7 @@ def type_name(v: Any) -> str:
 
 
 def leaves(jobs: DataFrame, column: str, ns: str) -> DataFrame:
-    """One row per leaf of a JSON text column. same: JSON with equal numbers alike; rest: MD5 of the other leaves.
+    """One row per leaf of a JSON text column. same: JSON with equal numbers alike; rest: the sum of 128-bit hashes of the other leaves.
 
     Rows whose text is null or no JSON object have no leaves.
     """
@@ -68,14 +69,17 @@ def leaves(jobs: DataFrame, column: str, ns: str) -> DataFrame:
                     continue
                 flat = flatten(value)
                 same = {k: json.dumps(unified(v), sort_keys=True) for k, v in flat.items()}
+                marks = {k: int.from_bytes(hashlib.md5(json.dumps((k, s)).encode()).digest(), "big") for k, s in same.items()}
+                whole = sum(marks.values())
                 for k, v in flat.items():
                     number = isinstance(v, (bool, int, float))
-                    rest = hashlib.md5(json.dumps(sorted((p, s) for p, s in same.items() if p != k)).encode()).hexdigest()
+                    rest = f"{whole - marks[k] & (1 << 128) - 1:032x}"
                     row = (job, ns, k, type_name(v), float(v) if number and abs(v) < 1e308 else None, Decimal(v) if isinstance(v, int) and abs(v) < 10**38 else None, v if isinstance(v, str) else None, json.dumps(v, sort_keys=True), same[k], rest)
                     for c, x in zip(cols, row):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
+    ship(jobs.sparkSession)
     return jobs.select("job_id", column).mapInArrow(run, LEAF)
 
 
@@ -95,7 +99,14 @@ def nested_json(entries: Column) -> Column:
 
 def working_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-{os.getpid()}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = current.get() if current.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}/tessera-{os.getpid()}"
     return f"{at.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 

@@ -10,8 +10,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once, unless their path has it already."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Send the package to the executors of a session (default: the active one) once, unless their path has it already."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return

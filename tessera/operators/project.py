@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from ..errors import DestinationExistsError, JobsCorruptedError
 from ..functions import canon
 from ..functions.leaves import leaves
+from ..functions.shipping import ship
 from ..plans.fields import NUMBERS, TypedFields, VariantFields
 from ..plans.filters import compile_filter, read_filter
+from .neighbors import adjacent
 
 JOBS = "job_id string, sp_json string, doc_json string"
 
@@ -57,7 +60,7 @@ class Project:
         columns = {f"sp.{k}": c for k, c in named(sp).items()} | {f"doc.{k}": c for k, c in named(doc).items()}
         if job_id is not None:
             df = df.withColumn("job_id", F.col(job_id).cast("string") if isinstance(job_id, str) else job_id.cast("string"))
-        return cls(df, TypedFields(columns, df.schema))
+        return cls(df, TypedFields(columns, df.schema, job_id if isinstance(job_id, str) else None))
 
     @property
     def typed(self) -> bool:
@@ -107,10 +110,13 @@ class Project:
         return self.find_jobs()._repr_html_()
 
     def id_lengths(self) -> DataFrame:
-        """(n): length of the shortest beginning of ids that tells all apart, at most 31."""
-        k = self.jobs.select(F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k"), "job_id")
-        twice = k.groupBy("k", F.expr("left(job_id, k)").alias("head")).agg(F.count("*").alias("n")).where("n > 1")
-        return twice.agg((F.coalesce(F.max("k"), F.lit(-1)) + 1).cast("int").alias("n"))
+        """(n): length of the shortest beginning of ids that tells all apart, at most 31.
+
+        In sorted order the longest beginning that two ids share is one that neighbours share.
+        """
+        near = adjacent(self.jobs.select("job_id"), [], ["job_id"], ["job_id"])
+        same = F.expr("aggregate(sequence(1, 31), 0, (n, k) -> if(n = k - 1 and length(prev_job_id) >= k and substring(job_id, k, 1) = substring(prev_job_id, k, 1), k, n))")
+        return near.agg(F.coalesce(F.max(F.when(F.col("prev_job_id").isNotNull(), F.least(same, F.lit(30)) + 1)), F.lit(0)).cast("int").alias("n"))
 
     def min_len_unique_id(self) -> int:
         return self.id_lengths().first()[0]
@@ -195,6 +201,7 @@ def _changed(column: Column, change: Mapping) -> Column:
 
     import pyarrow as pa
 
+    ship()
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.StringType())(column)
 
@@ -218,15 +225,19 @@ class JobsCursor:
     def __contains__(self, job_id: str) -> bool:
         return bool(self.ids().where(F.col("job_id") == job_id).take(1))
 
+    def slice_ids(self, start: int | None = None, stop: int | None = None) -> DataFrame:
+        """(job_id) from place start up to place stop, in the order of ids; negative places count from the end."""
+        n = None if (start or 0) >= 0 and (stop is None or stop >= 0) else len(self)
+        start = (start or 0) if n is None or (start or 0) >= 0 else max(0, n + start)
+        stop = stop if n is None or stop is None or stop >= 0 else n + stop
+        out = self.ids().orderBy("job_id").offset(start)
+        return out if stop is None else out.limit(max(0, stop - start))
+
     def __getitem__(self, at: int | slice):
+        """An id, or for a slice the list of its ids (slice_ids gives them as a table)."""
         ordered = self.ids().orderBy("job_id")
         if isinstance(at, slice):
-            n = None if (at.start or 0) >= 0 and (at.stop is None or at.stop >= 0) else len(self)
-            start = (at.start or 0) if n is None or (at.start or 0) >= 0 else max(0, n + at.start)
-            stop = at.stop if n is None or at.stop is None or at.stop >= 0 else n + at.stop
-            out = ordered.offset(start)
-            out = out if stop is None else out.limit(max(0, stop - start))
-            return [r[0] for r in out.toLocalIterator()][:: at.step or 1]
+            return [r[0] for r in itertools.islice(self.slice_ids(at.start, at.stop).toLocalIterator(), None, None, at.step or 1)]
         found = ordered.offset(at).limit(1).collect() if at >= 0 else self.ids().orderBy(F.desc("job_id")).offset(-at - 1).limit(1).collect()
         if not found:
             raise IndexError(at)
@@ -305,10 +316,12 @@ class Groups:
         for k in names:
             f = project.fields.field(k)
             if project.typed:
-                value = F.col(project.fields.columns[k])
+                value = F.col(project.fields.columns[k]) if k in project.fields.columns else F.lit(None).cast("string" if k not in defaults or isinstance(defaults[k], str) else "double" if isinstance(defaults[k], float) else "bigint")
                 value = F.coalesce(value, F.lit(defaults[k])) if k in defaults else value
             else:
-                number = F.when(f.tag.isin(*NUMBERS), F.struct(F.lit("number").alias("kind"), f.number.alias("number"), F.lit(None).cast("string").alias("text")))
+                # doubles do not tell integers of 2**53 and more apart: their digits do
+                digits = F.when(F.abs(f.number) >= float(1 << 53), F.coalesce(f.exact, f.number.try_cast("decimal(38,0)")).cast("string"))
+                number = F.when(f.tag.isin(*NUMBERS), F.struct(F.lit("number").alias("kind"), f.number.alias("number"), digits.alias("text")))
                 value = number.when(f.exists, F.struct(f.tag.alias("kind"), F.lit(None).cast("double").alias("number"), F.coalesce(f.text, f.json).alias("text")))
                 if k in defaults:
                     d = defaults[k]
@@ -333,7 +346,7 @@ class Groups:
             for k, v in zip(self.keys, values):
                 want = v if not isinstance(v, tuple) else F.struct(F.lit(v[0]).alias("kind"), F.lit(v[1]).cast("double").alias("number"), F.lit(v[2]).cast("string").alias("text"))
                 hit = hit & F.col(f"`{k}`").eqNullSafe(want)
-            shown = [(v[1] if v[0] == "number" else None if v[0] == "NoneType" else v[2]) if isinstance(v, tuple) else v for v in values]
+            shown = [((int(v[2]) if v[2] is not None else v[1]) if v[0] == "number" else None if v[0] == "NoneType" else v[2]) if isinstance(v, tuple) else v for v in values]
             yield shown[0] if len(shown) == 1 else tuple(shown), self.df.where(hit)
 
 
@@ -347,5 +360,6 @@ def _key_of(function: Callable) -> Column:
 
     import pyarrow as pa
 
+    ship()
     run.__annotations__ = {"sps": pa.Array, "docs": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.StringType())("sp_json", "doc_json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Iterable
 from pprint import pformat
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.leaves import nest
+from ..functions.leaves import nest, written
 
 
 class ProjectSchema:
@@ -38,12 +39,36 @@ class ProjectSchema:
         return self.values.where("type <> 'dict'").groupBy("path", "type").agg(F.count_distinct("json").alias("n_values"))
 
     def ranges(self, most: int = 5) -> DataFrame:
-        """The first and last values of each (path, type), at most `most`, with their place and the number of all."""
+        """The first and last values of each (path, type), at most `most`, with their place and the number of all.
+
+        Values are sorted across partitions and numbered there; each partition's share of a (path,
+        type) is added up, so a key with a value of its own in every job is spread over the cluster.
+        """
         v = self.values.where("type <> 'dict'").select("path", "type", "num", "str", "json").distinct()
         flat = F.when(F.col("type") == "tuple", F.try_variant_get(F.try_parse_json("json"), "$", "array<double>"))
-        w = Window.partitionBy("path", "type").orderBy("num", "str", flat, "json")
-        v = v.withColumns({"place": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("path", "type"))})
-        return v.where((F.col("n") <= most) | (F.col("place") <= most - 2) | (F.col("place") > F.col("n") - 2)).select("path", "type", "json", "place", "n")
+        keys = ["path", "type", "num", "str", "flat", "json"]
+        n = v.sparkSession.sparkContext.defaultParallelism
+        laid = written(v.withColumn("flat", flat).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+        share = laid.groupBy("part", "path", "type").agg(F.count("*").alias("c"))
+        before = Window.partitionBy("path", "type").orderBy("part")  # one row per partition
+        every = Window.partitionBy("path", "type")
+        share = share.select("part", "path", "type", F.coalesce(F.sum("c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(every).alias("n"))
+        within = F.row_number().over(Window.partitionBy("part", "path", "type").orderBy(*keys[2:]))
+        out = laid.withColumn("within", within).join(share, ["part", "path", "type"]).withColumn("place", (F.col("within") + F.col("before")).cast("int"))
+        return out.where((F.col("n") <= most) | (F.col("place") <= most - 2) | (F.col("place") > F.col("n") - 2)).select("path", "type", "json", "place", "n")
+
+    def flat_schema(self) -> dict[str, tuple[str, ...]]:
+        """Keys in order, each with the names of its types in order."""
+        found: dict[str, tuple[str, ...]] = {}
+        for r in self.values.select("path", "type").distinct().orderBy("path", "type").toLocalIterator():  # one row per key and type
+            found[r[0]] = (*found.get(r[0], ()), r[1])
+        return found
+
+    def __repr__(self) -> str:
+        return f"{type(self).__name__}(<{len(self)} keys>)"
+
+    def _repr_html_(self) -> str:
+        return f"<pre>{html.escape(self.format())}</pre>"
 
     def __len__(self) -> int:
         return self.values.select("path").distinct().count()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import DocumentSyncConflict, FileSyncConflict, SchemaSyncConflict
 from ..functions.leaves import leaves, nested_json
+from ..functions.shipping import ship
 from .project import Project
 from .schema import ProjectSchema
 
@@ -58,6 +59,7 @@ class FileSync:
 
         import pyarrow as pa
 
+        ship()
         run.__annotations__ = {"jobs": pa.Array, "paths": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, T.BooleanType())("job_id", "path")
 
@@ -116,6 +118,7 @@ def _key_test(function: Callable[[str], bool]) -> Column:
 
     import pyarrow as pa
 
+    ship()
     run.__annotations__ = {"paths": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.BooleanType())("path")
 

@@ -18,7 +18,11 @@ NUMBERS = ("bool", "int", "float")
 
 @dataclass
 class Field:
-    """tag: bool, int, float, str, tuple, dict or NoneType, null if the key is missing; then its value as number, exact integer and text (null for other types) and JSON."""
+    """tag: bool, int, float, str, tuple, dict or NoneType, null if the key is missing; then its value as number, exact integer and text (null for other types) and JSON.
+
+    whole: a column of an integer type that is the value itself; spelled: one whose digits are the
+    text. Comparisons with them reach the source.
+    """
 
     exists: Column
     tag: Column
@@ -26,6 +30,8 @@ class Field:
     exact: Column
     text: Column
     json: Column
+    whole: Column | None = None
+    spelled: Column | None = None
 
 
 def missing() -> Field:
@@ -33,11 +39,24 @@ def missing() -> Field:
     return Field(F.lit(False), none.cast("string"), none.cast("double"), none.cast("decimal(38,0)"), none.cast("string"), none.cast("string"))
 
 
+def id_field() -> Field:
+    f = missing()
+    f.exists, f.tag, f.text = F.col("job_id").isNotNull(), F.lit("str"), F.col("job_id")
+    return f
+
+
 class TypedFields:
     """columns: dotted keys with their namespace ("sp.a", "doc.b.c") to Spark columns of the frame."""
 
-    def __init__(self, columns: Mapping[str, str], schema: T.StructType):
-        self.columns, self.schema = dict(columns), schema
+    def __init__(self, columns: Mapping[str, str], schema: T.StructType, id_column: str | None = None):
+        self.columns, self.schema, self.id_column = dict(columns), schema, id_column
+
+    def id_field(self) -> Field:
+        """The job's id; where it is the text of an integer column, that column too."""
+        f = id_field()
+        if self.id_column is not None and isinstance(self.schema[self.id_column].dataType, T.IntegralType):
+            f.spelled = F.col(self.id_column)
+        return f
 
     def keys(self) -> list[str]:
         return list(self.columns)
@@ -62,6 +81,7 @@ class TypedFields:
         if tag in NUMBERS:
             f.number = c.cast("int").cast("double") if tag == "bool" else c.cast("double")
             f.exact = c.cast("int").cast("decimal(38,0)") if tag == "bool" else c.cast("decimal(38,0)") if tag == "int" else f.exact
+            f.whole = c if tag == "int" else None
             f.json = F.to_json(F.struct(c.alias("x")))
         elif tag == "str":
             f.text = c.cast("string")
@@ -95,6 +115,9 @@ class VariantFields:
     def __init__(self, sp: str = "sp", doc: str = "doc"):
         self.roots = {"sp": sp, "doc": doc}
 
+    def id_field(self) -> Field:
+        return id_field()
+
     def field(self, key: str) -> Field:
         space, *parts = key.split(".")
         v = F.try_variant_get(F.col(self.roots[space]), variant_path(parts), "variant") if parts else F.col(self.roots[space])

@@ -9,7 +9,9 @@ that $not selects rows without the key.
 from __future__ import annotations
 
 import json
+import math
 import re
+import warnings
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 from typing import Any
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import plain, unified, unified_json
+from ..functions.shipping import ship
 from .fields import NUMBERS, Field
 
 OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$regex", "$type", "$where", "$near", "$exists")
@@ -33,6 +36,8 @@ def read_token(token: str) -> Any:
     words = {"true": True, "false": False, "null": None}
     if token in words:
         return words[token]
+    if token in ("True", "False", "None", "none"):
+        warnings.warn(f"{token} is read as text; JSON has true, false and null", stacklevel=2)
     for kind in (int, float):
         try:
             return kind(token)
@@ -46,25 +51,25 @@ def is_json(text: str) -> bool:
     return t[:1] + t[-1:] in ("{}", "[]")
 
 
+def token_condition(value: str | None) -> Any:
+    """What a word behind a key asks for: nothing or ! that the key exists, /x/ a match, JSON or a plain word that value."""
+    if value is None or value == "!":
+        return {"$exists": True}
+    if re.fullmatch(r"/.*/", value, re.DOTALL) and len(value) > 1:
+        return {"$regex": value[1:-1]}
+    return json.loads(value) if is_json(value) else read_token(value)
+
+
 def from_tokens(tokens: list[str]) -> dict | None:
-    """key value pairs as typed on a command line; a key alone or with ! must exist, /x/ is a regular expression."""
-    if not tokens:
-        return None
-    if len(tokens) == 1 and is_json(tokens[0]):
-        return json.loads(tokens[0])
-    out = {}
-    for key, value in zip(tokens[::2], [*tokens[1::2], None]):
-        if is_json(key):
-            raise ValueError(f"JSON cannot be a key: {key}")
-        if value is None or value == "!":
-            out[key] = {"$exists": True}
-        elif is_json(value):
-            out[key] = json.loads(value)
-        elif len(value) > 1 and value[0] == value[-1] == "/":
-            out[key] = {"$regex": value[1:-1]}
-        else:
-            out[key] = read_token(value)
-    return out
+    """A filter from words as typed on a command line: one JSON text, or keys each with its word."""
+    words = list(tokens)
+    if len(words) == 1 and is_json(words[0]):
+        return json.loads(words[0])
+    keys = words[::2]
+    wrong = next((k for k in keys if is_json(k)), None)
+    if wrong is not None:
+        raise ValueError(f"JSON cannot be a key: {wrong}")
+    return {k: token_condition(words[2 * i + 1] if 2 * i + 1 < len(words) else None) for i, k in enumerate(keys)} or None
 
 
 def read_filter(given: Any) -> dict:
@@ -129,16 +134,26 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _spelled(f: Field, value: str) -> Column:
+    """Equality with a text of digits, in the type of the column that is spelled out."""
+    return f.spelled == int(value) if re.fullmatch(r"0|-?[1-9][0-9]*", value) and abs(int(value)) < 1 << 63 else F.when(f.exists, False)
+
+
 def _equal(f: Field, value: Any) -> Column:
     if value is None:
         return f.tag == "NoneType"
-    if isinstance(value, (bool, int)) and abs(int(value)) > 1 << 53:
-        same = f.exact == F.lit(str(int(value))).cast("decimal(38,0)")
-        return same | ((f.tag == "float") & (f.number == float(value))) if float(value) == value else same
     if isinstance(value, (bool, int, float)):
-        return (f.number == float(value)) if value == value else F.lit(False)
+        if value != value:
+            return F.lit(False)
+        whole = not isinstance(value, float) or value.is_integer()
+        if f.whole is not None:
+            return f.whole == int(value) if whole and abs(value) < 1 << 63 else F.when(f.exists, False)
+        if whole and abs(value) >= 1 << 53:
+            same = f.exact == F.lit(str(int(value))).cast("decimal(38,0)") if abs(value) < 10**38 else F.lit(False)
+            return same | ((f.tag == "float") & (f.number == float(value))) if float(value) == value else same
+        return f.number == float(value)
     if isinstance(value, str):
-        return f.text == value
+        return _spelled(f, value) if f.spelled is not None else f.text == value
     if isinstance(value, list):
         return (f.tag == "tuple") & (unified_json(f.json) == json.dumps(unified(value), sort_keys=True))
     if value == {}:
@@ -146,14 +161,47 @@ def _equal(f: Field, value: Any) -> Column:
     raise ValueError(f"cannot compare with {value!r}")
 
 
+COMPARE: dict[str, Callable[[Any, Any], Any]] = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}
+
+
+def _integers(c: Column, op: str, value: float, least: int, most: int, literal: Callable[[int], Column]) -> Column:
+    """An integer column against a number, exactly: the bound is rounded to the integer that asks the same. least, most: of its type."""
+    if value != value:
+        return F.lit(False)
+    below = value == -math.inf or value < least
+    if below or value == math.inf or value > most:
+        return F.when(c.isNotNull(), F.lit(below == (op in ("$gt", "$gte"))))
+    return COMPARE[op](c, literal(math.floor(value) if op in ("$gt", "$lte") else math.ceil(value)))
+
+
+def _doubles(c: Column, op: str, value: float) -> Column:
+    """A double column against a number. NaN, which Spark sorts above all, is kept out by a bound that sources know."""
+    near = float(value)
+    if near > value:  # an integer that no double is: rounded up, or down
+        op = {"$gt": "$gte", "$lte": "$lt"}.get(op, op)
+    elif near < value:
+        op = {"$gte": "$gt", "$lt": "$lte"}.get(op, op)
+    return COMPARE[op](c, near) & (c <= math.inf) if op in ("$gt", "$gte") else COMPARE[op](c, near)
+
+
+def _numbers(f: Field, op: str, value: float) -> Column:
+    if value != value:
+        return F.lit(False)
+    if f.whole is not None:
+        return _integers(f.whole, op, value, -(1 << 63), (1 << 63) - 1, F.lit)
+    if abs(value) < 1 << 53:
+        return _doubles(f.number, op, value)
+    exact = _integers(f.exact, op, value, -(10**38) + 1, 10**38 - 1, lambda v: F.lit(str(v)).cast("decimal(38,0)"))
+    return F.when(f.exact.isNotNull(), exact).otherwise(_doubles(f.number, op, min(max(value, -(10**308)), 10**308)))
+
+
 def _ordered(f: Field, op: str, value: Any, strict: bool) -> Column:
-    compare: Callable[[Column, Any], Column] = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}[op]
     if isinstance(value, (bool, int, float)):
-        fits, test = f.number.isNotNull(), compare(f.number, float(value)) & ~F.isnan(f.number) if value == value else F.lit(False)
+        fits, test = f.number.isNotNull(), _numbers(f, op, value)
     elif isinstance(value, str):
-        fits, test = f.text.isNotNull(), compare(f.text, value)
+        fits, test = f.text.isNotNull(), COMPARE[op](f.text, value)
     elif isinstance(value, list):
-        fits, test = f.tag == "tuple", (f.tag == "tuple") & _call(lambda v, op=op, value=value: {"$gt": v > value, "$gte": v >= value, "$lt": v < value, "$lte": v <= value}[op], f)
+        fits, test = f.tag == "tuple", (f.tag == "tuple") & _call(lambda v, op=op, value=value: COMPARE[op](v, value), f)
     else:
         fits, test = F.lit(False), F.lit(False)
     if strict:
@@ -178,6 +226,7 @@ def _call(function: Callable[[Any], Any], f: Field) -> Column:
 
     import pyarrow as pa
 
+    ship()
     run.__annotations__ = {"texts": pa.Array, "tags": pa.Array, "return": pa.Array}
     text = F.when(f.tag == "str", F.get(F.split(F.to_json(F.struct(f.text.alias("x"))), r'^\{"x":|\}$'), F.lit(1))).when(f.tag.isin(*NUMBERS), F.regexp_replace(f.json, r'^\{"x":|\}$', "")).otherwise(f.json)
     return F.arrow_udf(run, T.BooleanType())(text, f.tag)
@@ -203,7 +252,7 @@ def _one(f: Field, op: str, arg: Any, strict: bool) -> Column:
             found = _member(f, list(arg))
         return found if op == "$in" else f.exists & ~_sure(found)
     if op == "$regex":
-        return F.rlike(f.text, F.lit(re.sub(r"\(\?P<", "(?<", arg)))
+        return _matches(f.text, arg)
     if op == "$type":
         if arg not in TYPES:
             raise ValueError(f"unknown type {arg!r}")
@@ -217,16 +266,48 @@ def _one(f: Field, op: str, arg: Any, strict: bool) -> Column:
     raise KeyError(op)
 
 
+#: Signs of patterns that Java and Python read alike: plain characters, ., ^, groups, alternatives, counts, ASCII sets and escapes of ASCII classes outside sets.
+ALIKE = re.compile(r"(?:[ \w\-,:;/<>=!@%&~'\"#.|^]|\\[.\-+*?()\[\]{}|^$/\\]|\((?:\?:)?|\)|[+*?]\??|\{\d+(?:,\d*)?\}|\[\^?[ \w\-.,:;/<>=!@%~'\"#]+\])*", re.ASCII)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Python's re.search. Patterns that Java reads the same way stay in the JVM, others go by Arrow batches."""
+    compiled = re.compile(pattern)
+    if ALIKE.fullmatch(pattern):
+        # Java's point leaves out more line ends than Python's
+        return F.rlike(text, F.lit(re.sub(r"(\\.|\[[^\]]*\])|\.", lambda m: m[1] or r"[^\n]", pattern)))
+
+    def run(texts):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else compiled.search(t) is not None for t in texts.to_pylist()], pa.bool_())
+
+    import pyarrow as pa
+
+    ship()
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.BooleanType())(text)
+
+
 def _member(f: Field, values: list) -> Column:
     """Numbers and texts in one test each, the rest one by one."""
-    numbers = [float(v) for v in values if isinstance(v, (bool, int, float)) and abs(v) <= 1 << 53]
+    number = lambda v: isinstance(v, (bool, int, float)) and v == v
+    if f.whole is not None:
+        small = [int(v) for v in values if number(v) and abs(v) < 1 << 63 and int(v) == v]
+        rest = [v for v in values if not isinstance(v, (bool, int, float, str))]
+    else:
+        small = [float(v) for v in values if number(v) and abs(v) < 1 << 53]
+        rest = [v for v in values if not isinstance(v, str) and not (number(v) and abs(v) < 1 << 53)]
     texts = [v for v in values if isinstance(v, str)]
-    tests = [_equal(f, v) for v in values if not isinstance(v, str) and not (isinstance(v, (bool, int, float)) and abs(v) <= 1 << 53)]
-    if numbers:
-        tests.append(f.number.isin(*numbers))
-    if texts:
+    tests = [_equal(f, v) for v in rest]
+    if small:
+        tests.append((f.whole if f.whole is not None else f.number).isin(*small))
+    if texts and f.spelled is not None:
+        digits = [int(t) for t in texts if re.fullmatch(r"0|-?[1-9][0-9]*", t) and abs(int(t)) < 1 << 63]
+        tests.append(f.spelled.isin(*digits) if digits else F.when(f.exists, False))
+    elif texts:
         tests.append(f.text.isin(*texts))
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    return reduce(lambda a, b: a | b, tests) if tests else F.when(f.exists, False)
 
 
 def compile_filter(given: Any, fields, strict: bool = False, sure: bool = True) -> Column:
@@ -241,11 +322,7 @@ def compile_filter(given: Any, fields, strict: bool = False, sure: bool = True)
     for key, op, arg in conditions(f):
         if op != "$where":
             arg = json.loads(json.dumps(plain(arg)))
-        if key == "sp._id":
-            none = F.lit(None)
-            field = Field(F.col("job_id").isNotNull(), F.lit("str"), none.cast("double"), none.cast("decimal(38,0)"), F.col("job_id"), none.cast("string"))
-        else:
-            field = fields.field(key)
+        field = fields.id_field() if key == "sp._id" else fields.field(key)
         tests.append(_one(field, op, arg, strict))
     for op, parts in branches(f):
         inner = [compile_filter(p, fields, strict, sure=op == "$not") for p in parts]
