@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import shutil
 import sys
 
 from . import __version__
@@ -50,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("neighbors", "nearest jobs along each key", True)
     c.add_argument("--ignore", nargs="*", default=[])
     command("rm", "remove jobs", True)
+    command("clear", "remove documents, stores and other files of jobs", True)
     for name in ("move", "clone"):
         c = command(name, f"{name} jobs to another project", True)
         c.add_argument("project")
@@ -61,17 +61,26 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-s", "--doc-sync", choices=["update", "copy", "no_sync", "by_key"], default="by_key")
     c.add_argument("-k", "--key")
     c.add_argument("--no-schema-check", action="store_true")
+    c.add_argument("--file-sync", choices=["always", "never", "update"], help="which of two differing files stays; without it they are a conflict")
+    c.add_argument("--exclude", nargs="*", default=[], help="patterns of files to leave out")
+    c.add_argument("-j", "--job-id", nargs="+", help="only these jobs")
+    c.add_argument("--not-recursive", action="store_true")
+    c.add_argument("--deep", action="store_true", help="compare what is in the files")
+    c.add_argument("--size-only", action="store_true")
+    c.add_argument("-n", "--dry-run", action="store_true")
+    c.add_argument("--stats", action="store_true", help="number and bytes of files")
     c = command("export", "write jobs to a folder or archive", True)
     c.add_argument("target")
     c.add_argument("path", nargs="?")
     c = command("import", "read jobs from a folder or archive")
     c.add_argument("origin")
     c.add_argument("schema", nargs="?")
+    c.add_argument("--sync", action="store_true", help="merge jobs that are there")
     command("update-index", "bring the index up to date")
     command("check", "look for damaged state points")
     command("migrate", "bring the folder to the present layout")
     c = command("config", "show or set configuration")
-    c.add_argument("action", choices=["show", "set"])
+    c.add_argument("action", choices=["show", "set", "verify"])
     c.add_argument("key", nargs="?")
     c.add_argument("value", nargs="?")
     return p
@@ -81,6 +90,7 @@ def run(a: argparse.Namespace) -> None:
     import os
 
     from .functions.canon import calc_id
+    from .functions.leaves import written
     from .plans.filters import from_tokens, read_token
     from .sources import folders
 
@@ -94,6 +104,9 @@ def run(a: argparse.Namespace) -> None:
     if a.command == "config":
         if a.action == "set":
             folders.write_config(root, a.key, read_token(a.value))
+        if a.action == "verify":
+            print("\n".join(folders.verify_config(root)) or "ok")
+            return
         print(json.dumps(folders.read_config(root), sort_keys=True))
         return
     from .operators import diff, neighbors, project, schema, sync, views
@@ -112,9 +125,7 @@ def run(a: argparse.Namespace) -> None:
         print("up to date" if n is None else n)
         return
     if a.command == "import":
-        new = archives.import_from(spark, a.origin, a.schema)
-        workspace.write_project(new, root)
-        print(len(new))
+        print(archives.import_into(spark, a.origin, root, a.schema, sync=a.sync))
         return
     p = workspace.read_project(spark, root, validate=False)
     if a.command == "check":
@@ -123,8 +134,13 @@ def run(a: argparse.Namespace) -> None:
         return
     if a.command == "sync":
         how = sync.DocSync.ByKey(a.key) if a.doc_sync == "by_key" else a.doc_sync
-        merged = sync.sync_projects(workspace.read_project(spark, folders.get_project(a.source, search=False), validate=False), p, how, check_schema=not a.no_schema_check)
-        workspace.write_project(merged, root)
+        files = None if a.file_sync is None else getattr(sync.FileSync, a.file_sync)()
+        done = sync.sync_workspaces(spark, folders.get_project(a.source, search=False), root, files, how, a.job_id, a.exclude, not a.not_recursive, a.deep, a.size_only, not a.no_schema_check, a.dry_run)
+        if a.dry_run:
+            for r in done.files.where("action = 'copy'").orderBy("job_id", "path").toLocalIterator():
+                print(f"{r['job_id']}/{r['path']}")
+        if a.stats or a.dry_run:
+            print(f"{done.num_files} files, {done.volume} bytes")
         return
     tokens = a.filter or []
     chosen = p.find_jobs({"_id.$in": a.job_id} if getattr(a, "job_id", None) else from_tokens(tokens))
@@ -145,17 +161,17 @@ def run(a: argparse.Namespace) -> None:
         found = neighbors.neighbors(p.leaves(), a.ignore).join(chosen.ids(), "job_id", "left_semi")
         for r in found.orderBy("job_id", "path").toLocalIterator():
             print(r["job_id"], r["path"], r["prev_json"], r["prev_job_id"], r["next_json"], r["next_job_id"])
-    elif a.command in ("rm", "move", "clone"):
-        if a.command != "rm":
-            to = folders.get_project(a.project, search=False)
-            workspace.write_project(workspace.read_project(spark, to, validate=False).clone(some), to)
-        if a.command != "clone":
-            for i in list(chosen):
-                shutil.rmtree(f"{root}/{layout.workspace}/{i}")
+    elif a.command == "rm":
+        workspace.remove_jobs(spark, written(chosen.ids()), root)
+    elif a.command in ("move", "clone"):
+        n, size = (workspace.move_jobs if a.command == "move" else workspace.copy_jobs)(spark, chosen.ids(), root, folders.get_project(a.project, search=False))
+        print(f"{n} files, {size} bytes")
+    elif a.command == "clear":
+        workspace.clear_jobs(spark, written(chosen.ids()), root)
     elif a.command == "view":
         views.create_linked_view(archives.export_paths(some, a.path), f"{root}/{layout.workspace}", a.prefix)
     elif a.command == "export":
-        archives.export_to(some, a.target, a.path)
+        archives.export_to(some, a.target, a.path, files=workspace.read_files(spark, root, ids=chosen.ids()))
 
 
 F_NAMES = {"statepoint": "sp_json", "document": "doc_json"}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DocumentSyncConflict, FileSyncConflict, SchemaSyncConflict
-from ..functions.leaves import leaves, nested_json
+from ..functions.leaves import leaves, nested_json, written
 from ..functions.shipping import ship
 from .project import Project
 from .schema import ProjectSchema
@@ -140,7 +142,7 @@ def file_plan(source: DataFrame, destination: DataFrame, strategy: Column | None
             df = df.where(~F.rlike("path", F.lit(f"^(?:{e})")))
         if not recursive:
             df = df.where(~F.col("path").contains("/"))
-        sign = F.sha2("content", 256) if deep else F.concat_ws(":", F.col("length").cast("string"), *([] if size_only else [F.col("mtime").cast("string")]))
+        sign = (F.coalesce("sha256", F.sha2("content", 256)) if "sha256" in df.columns else F.sha2("content", 256)) if deep else F.concat_ws(":", F.col("length").cast("string"), *([] if size_only else [F.col("mtime").cast("string")]))
         return df.select("job_id", "path", F.col("mtime").alias(f"{tag}_mtime"), F.col("length").alias(f"{tag}_length"), sign.alias(f"{tag}_sign"))
 
     both = side(source, "src").join(side(destination, "dst"), ["job_id", "path"], "full_outer")
@@ -186,11 +188,86 @@ def sync_files(source: DataFrame, destination: DataFrame, root: str, strategy: C
     """Copy what a file plan says into the workspace at root; returns the plan's (num_files, volume)."""
     from ..sources.workspace import write_files
 
-    plan = file_plan(source, destination, strategy, **kw)
+    plan = written(file_plan(source, destination, strategy, **kw))  # as it was before files change
     write_files(source.join(plan.where("action = 'copy'").select("job_id", "path"), ["job_id", "path"], "left_semi"), root)
     return transfer_stats(plan)
 
 
+@dataclass
+class Synced:
+    """What a synchronisation did or, on a dry run, would do. files: the plan (job_id, path, action, ...)."""
+
+    project: Project
+    files: DataFrame
+    num_files: int
+    volume: int
+
+
+def _copied(plan: DataFrame) -> DataFrame:
+    return plan.where("action = 'copy'").select("job_id", "path", F.col("src_length").alias("length"))
+
+
+def sync_workspaces(spark: SparkSession, source: str, destination: str, strategy: Column | None = None, doc_sync: Any = None, selection: Iterable[str] | DataFrame | None = None, exclude: Iterable[str] = (), recursive: bool = True, deep: bool = False, size_only: bool = False, check_schema: bool = True, dry_run: bool = False, layout: Any = None) -> Synced:
+    """Bring the jobs of one project folder into another: state points, documents and all other files.
+
+    Jobs that only the source has are cloned whole (excluded files aside), those of both merged:
+    documents by doc_sync, differing files by strategy (None: a difference raises FileSyncConflict).
+    Every conflict is raised before anything is written; dry_run stops there.
+    """
+    from ..sources.folders import read_document, write_document
+    from ..sources.workspace import Layout, copy_files, list_files, read_project, write_project
+
+    layout = layout or Layout()
+    if os.path.realpath(source.removeprefix("file://")) == os.path.realpath(destination.removeprefix("file://")):
+        raise ValueError("source and destination are one project")
+    s, d = (read_project(spark, root, layout, validate=False) for root in (source, destination))
+    if "://" not in source and "://" not in destination:
+        s.document, d.document = read_document(source, layout.document), read_document(destination, layout.document)
+    if selection is not None and not isinstance(selection, DataFrame):
+        selection = spark.createDataFrame([(i,) for i in selection], "job_id string")
+    ids = written(s.jobs.select("job_id") if selection is None else s.jobs.select("job_id").join(selection.select("job_id").distinct(), "job_id", "left_semi"))
+    merged = sync_projects(s, d, doc_sync, selection, check_schema)
+    plan = file_plan(list_files(spark, source, ids, layout, digest=deep), list_files(spark, destination, ids, layout, digest=deep), strategy, exclude, recursive, deep, size_only)
+    plan = written(plan)
+    n, volume = transfer_stats(plan).first()
+    if dry_run:
+        return Synced(merged, plan, n, volume)
+    rows = written(merged.jobs.join(ids, "job_id", "left_semi").select("job_id", "sp_json", "doc_json"))  # before folders change
+    copy_files(_copied(plan), source, destination, layout)
+    write_project(Project.of_canonical(rows), destination, layout)
+    if "://" not in destination and merged.document != d.document:
+        write_document(destination, merged.document, layout.document)
+    return Synced(read_project(spark, destination, layout, validate=False), plan, n, volume)
+
+
+def sync_jobs(spark: SparkSession, source: str, source_id: str, destination: str, destination_id: str, strategy: Column | None = None, doc_sync: Any = None, exclude: Iterable[str] = (), recursive: bool = True, deep: bool = False, size_only: bool = False, dry_run: bool = False, layout: Any = None) -> Synced:
+    """Bring the document and files of one job into another, whose id and state point may differ and stay."""
+    from ..sources.workspace import Layout, copy_files, list_files, read_project, write_project
+
+    layout, how = layout or Layout(), DocSync.ByKey() if doc_sync is None else doc_sync
+    if (os.path.realpath(source), source_id) == (os.path.realpath(destination), destination_id):
+        raise ValueError("source and destination are one job")
+    one = lambda root, i: read_project(spark, root, layout, validate=False).jobs.where(F.col("job_id") == i).select("job_id", "sp_json", "doc_json")
+    s, d = one(source, source_id).withColumn("job_id", F.lit(destination_id)), one(destination, destination_id)
+    for rows, i in ((s, source_id), (d, destination_id)):
+        if not rows.take(1):
+            raise KeyError(i)
+    docs = document_plan(s, d, how)
+    if isinstance(how, DocSync.ByKey) and how.keys is None:
+        found = sorted(r[0] for r in docs.where("conflict").select("path").distinct().take(100))
+        if found:
+            raise DocumentSyncConflict(found)
+    merged = written(d.join(merged_documents(docs).withColumnRenamed("doc_json", "merged"), "job_id", "left").select("job_id", "sp_json", F.coalesce("merged", "doc_json").alias("doc_json")))
+    ids = lambda i: spark.createDataFrame([(i,)], "job_id string")
+    theirs = list_files(spark, source, ids(source_id), layout, digest=deep).withColumn("job_id", F.lit(destination_id))
+    plan = written(file_plan(theirs, list_files(spark, destination, ids(destination_id), layout, digest=deep), strategy, exclude, recursive, deep, size_only))
+    n, volume = transfer_stats(plan).first()
+    if not dry_run:
+        copy_files(_copied(plan).withColumnsRenamed({"job_id": "target_id"}).withColumn("job_id", F.lit(source_id)), source, destination, layout)
+        write_project(Project.of_canonical(merged), destination, layout)
+    return Synced(Project.of_canonical(merged), plan, n, volume)
+
+
 def sync_projects(source: Project, destination: Project, doc_sync: Any = None, selection: Iterable[str] | DataFrame | None = None, check_schema: bool = True) -> Project:
     """destination with the source's jobs: missing ones cloned, documents of common ones merged. selection: ids to take.
 

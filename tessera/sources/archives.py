@@ -8,21 +8,25 @@ import os
 import tarfile
 import zipfile
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DestinationExistsError, StatepointParsingError
-from ..functions.canon import canonical_json
+from ..functions.canon import canonical, canonical_json
+from ..functions.leaves import working_folder, written
+from ..functions.shipping import ship
 from ..operators.project import Project
 from .paths import automatic_paths, check_paths, parse_columns, template_keys, template_path
-from .workspace import Layout
+from .workspace import Layout, _opened
 
 TAR_MODES = {".tar": "w", ".gz": "w:gz", ".bz2": "w:bz2", ".xz": "w:xz"}
 
 
 def export_paths(project: Project, path: str | bool | Callable | None = None) -> DataFrame:
-    """(job_id, path). None: from the keys that vary; False: the id; text: a template."""
+    """(job_id, path). None: from the keys that vary; False: the id; text: a template; a callable: of (job id, state point)."""
     if path is False:
         out = project.jobs.select("job_id", F.col("job_id").alias("path"))
     elif path is None:
@@ -36,8 +40,20 @@ def export_paths(project: Project, path: str | bool | Callable | None = None) ->
             wide = wide.join(automatic_paths(project.leaves(), exclude=keys).withColumnRenamed("path", "_auto"), "job_id")
             auto = F.col("_auto")
         out = wide.select("job_id", template_path(path, columns, auto).alias("path"))
+    elif callable(path):
+
+        def run(ids, sps):
+            import pyarrow as pa
+
+            return pa.array([str(path(i, json.loads(sp))) for i, sp in zip(ids.to_pylist(), sps.to_pylist())], pa.string())
+
+        import pyarrow as pa
+
+        run.__annotations__ = {"ids": pa.Array, "sps": pa.Array, "return": pa.Array}
+        ship(project.jobs.sparkSession)
+        out = written(project.jobs.select("job_id", F.arrow_udf(run, T.StringType())("job_id", "sp_json").alias("path")))
     else:
-        raise ValueError("path is None, False or text")
+        raise ValueError("path is None, False, text or a callable")
     check_paths(out)
     return out
 
@@ -84,6 +100,7 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    ship(project.jobs.sparkSession)
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
     return at
 
@@ -111,10 +128,22 @@ def members(spark: SparkSession, origin: str) -> DataFrame:
                                     yield pa.RecordBatch.from_arrays([pa.array([i.name]), pa.array([t.extractfile(i).read()], pa.binary())], names=["path", "content"])
 
         return files.select("path", "content").mapInArrow(run, "path string, content binary")
-    root = origin.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.removeprefix("file://")
-    return files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), f"^{base}/", "").alias("path"), "content")
+    from pyarrow import fs
+
+    store, base = _opened(origin)
+    names = [(f.path[len(base) + 1 :],) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]  # hidden ones too, which Spark's sources pass over
+
+    def read(batches):
+        import pyarrow as pa
+
+        store, base = _opened(origin)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    ship(spark)
+    return spark.createDataFrame(names, "path string").mapInArrow(read, "path string, content binary")
 
 
 def _ancestors(df: DataFrame, column: str) -> DataFrame:
@@ -122,13 +151,16 @@ def _ancestors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("above", F.explode(F.expr(f"transform(sequence(1, size(split({column}, '/'))), i -> array_join(slice(split({column}, '/'), 1, i), '/'))")))
 
 
-def job_folders(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> tuple[DataFrame, DataFrame]:
+def job_folders(spark: SparkSession, origin: str, schema: str | Callable[[str], dict | None] | None = None, layout: Layout = Layout()) -> tuple[DataFrame, DataFrame]:
     """((folder, job_id, sp_json, doc_json) of the jobs of an origin, its files)."""
     files = members(spark, origin).withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "name": F.regexp_extract("path", "([^/]*)$", 1)})
     text = F.decode("content", "UTF-8")
     sp = files.where(F.col("name") == layout.statepoint).select("folder", canonical_json(text).alias("sp_json"))
     doc = files.where(F.col("name") == layout.document).select("folder", canonical_json(text).alias("doc_json"))
-    if schema is not None:
+    if callable(schema):
+        folders = _ancestors(files.select("folder").distinct(), "folder").select(F.col("above").alias("folder")).distinct()
+        from_path = folders.select("folder", _called(schema).alias("path_json")).where("path_json is not null")
+    elif schema is not None:
         parsed = parse_columns(schema, F.col("folder"))
         folders = _ancestors(files.select("folder").distinct(), "folder").select(F.col("above").alias("folder")).distinct()
         folders = folders.withColumns({f"f{i}": c for i, c in enumerate(parsed.values())})
@@ -136,6 +168,7 @@ def job_folders(spark: SparkSession, origin: str, schema: str | None = None, lay
         for i in range(len(parsed)):
             fits = fits & F.col(f"f{i}").isNotNull()
         from_path = folders.where(fits).select("folder", _sp_json({k: f"f{i}" for i, k in enumerate(parsed)}).alias("path_json"))
+    if schema is not None:
         both = from_path.join(sp, "folder", "left")
         if both.where("sp_json is not null and sp_json <> path_json").take(1):
             raise StatepointParsingError("a path and a state point file disagree")
@@ -150,16 +183,57 @@ def job_folders(spark: SparkSession, origin: str, schema: str | None = None, lay
     return jobs, files
 
 
-def import_from(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> Project:
+def import_into(spark: SparkSession, origin: str, root: str, schema: Any = None, layout: Layout = Layout(), sync: bool = False, **kw) -> int:
+    """Jobs of an exported folder or archive, with their files, into a project folder; returns how many.
+
+    A job that the project has raises DestinationExistsError before anything is written; with sync
+    it is merged by the rules of sync_workspaces, which get the other arguments.
+    """
+    from ..operators.sync import sync_workspaces
+    from .workspace import copy_jobs, job_ids, write_files, write_project
+
+    new = Project.of_canonical(written(import_from(spark, origin, schema, layout)._plain()))
+    there = new.jobs.join(job_ids(spark, root, layout), "job_id", "left_semi").select("job_id").take(1)
+    if there and not sync:
+        raise DestinationExistsError(there[0][0])
+    # whole in a folder of its own first, so that a failure leaves the project as it was
+    staging = working_folder(spark)
+    write_project(new, staging, layout)
+    write_files(import_files(spark, origin, schema, layout), staging, layout)
+    if sync:
+        sync_workspaces(spark, staging, root, layout=layout, **kw)
+    else:
+        copy_jobs(spark, new.jobs, staging, root, layout)
+    return len(new)
+
+
+def _called(schema: Callable[[str], dict | None]):
+    """A callable of a folder as canonical JSON; null where it gives None."""
+
+    def run(folders):
+        import pyarrow as pa
+
+        found = [schema(f) for f in folders.to_pylist()]
+        return pa.array([None if sp is None else canonical(sp) for sp in found], pa.string())
+
+    import pyarrow as pa
+
+    run.__annotations__ = {"folders": pa.Array, "return": pa.Array}
+    ship()
+    return F.arrow_udf(run, T.StringType())("folder")
+
+
+def import_from(spark: SparkSession, origin: str, schema: Any = None, layout: Layout = Layout()) -> Project:
     """Jobs of an exported folder or archive.
 
-    State points come from their files; with schema (a path template) from paths, and where both
+    State points come from their files; with schema (a path template, or a callable of the folder that
+    gives a mapping or None) from paths, and where both
     exist they must agree. What lies inside another job's folder belongs to that job.
     """
     return Project.of_canonical(job_folders(spark, origin, schema, layout)[0].select("job_id", "sp_json", "doc_json"))
 
 
-def import_files(spark: SparkSession, origin: str, schema: str | None = None, layout: Layout = Layout()) -> DataFrame:
+def import_files(spark: SparkSession, origin: str, schema: Any = None, layout: Layout = Layout()) -> DataFrame:
     """(job_id, path, content) of the other files of an origin's jobs, paths inside the job's folder."""
     jobs, files = job_folders(spark, origin, schema, layout)
     placed = _ancestors(files, "folder").join(jobs.select(F.col("folder").alias("above"), "job_id"), "above")
@@ -169,8 +243,6 @@ def import_files(spark: SparkSession, origin: str, schema: str | None = None, la
 
 def _sp_json(columns: dict[str, str]):
     """Nested canonical JSON from columns named by dotted keys."""
-    from pyspark.sql import types as T
-
     from ..functions.leaves import nest
 
     keys = list(columns)

@@ -61,6 +61,22 @@ def read_config(root: str) -> dict:
     return out
 
 
+def verify_config(root: str) -> list[str]:
+    """What is wrong with the configuration: files that cannot be read, keys that mean nothing, values of a wrong type."""
+    known, wrong = {"schema_version": int, "workspace_dir": str}, []
+    for at in (Path.home() / ".tessera.json", Path(root) / CONFIG):
+        if not at.exists():
+            continue
+        try:
+            found = json.loads(at.read_text())
+        except ValueError as e:
+            wrong.append(f"{at}: {e}")
+            continue
+        wrong += [f"{at}: unknown key {k!r}" for k in found if k not in known]
+        wrong += [f"{at}: {k} must be {t.__name__}" for k, t in known.items() if k in found and type(found[k]) is not t]
+    return wrong
+
+
 def write_config(root: str, key: str, value) -> None:
     at = Path(root) / CONFIG
     now = json.loads(at.read_text()) if at.exists() else {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.canon import canonical_json
-from ..sources.workspace import JOB_ID, Layout
+from ..sources.workspace import JOB_ID, Layout, update_index
 
 
 def statepoint_stream(spark: SparkSession, root: str, layout: Layout = Layout()) -> DataFrame:
@@ -18,18 +18,18 @@ def statepoint_stream(spark: SparkSession, root: str, layout: Layout = Layout())
 
 
 def refresh(spark: SparkSession, root: str, index: str, checkpoint: str, layout: Layout = Layout(), once: bool = True) -> StreamingQuery:
-    """Append each batch's jobs that the index lacks. Replayed batches change nothing."""
+    """Bring the index up to date whenever state point or document files appear. Replayed batches change nothing.
+
+    Each batch goes by the times and lengths of all files, so documents that were only edited come
+    along with the next batch; update_index does the same at any time.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["job_id"])
-        try:
-            new = new.join(spark.read.parquet(index).select("job_id"), "job_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.select("job_id", "sp_json", F.lit(None).cast("string").alias("doc_json"), F.try_parse_json("sp_json").alias("sp"), F.try_parse_json(F.lit(None).cast("string")).alias("doc")).write.mode("append").parquet(index)
-
-    writer = statepoint_stream(spark, root, layout).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        update_index(spark, root, index, layout)
+
+    names = f"{{{layout.statepoint},{layout.document}}}"
+    files = spark.readStream.format("text").option("wholetext", "true").load(f"{root}/{layout.workspace}/*/{names}")
+    writer = files.select(F.col("_metadata.file_path")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
