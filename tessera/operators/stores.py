@@ -1,72 +1,125 @@
-"""Key-value and array stores of projects and jobs, as one table."""
+"""Key-value and array stores of projects and jobs: a log of Parquet rows in a folder of the project or job."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import json
+import os
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidKeyError, StoreAlreadyOpenError, StoreClosedError
+from ..functions.leaves import working_folder, written
 
-STORES = "owner string, store string, path string, kind string, dtype string, shape array<int>, values array<double>, text string, bin binary"
+#: kind mark: the key at path was set or deleted in this version, so older rows at or below it do not count.
+STORES = "owner string, store string, path string, kind string, dtype string, shape array<int>, text string, bin binary, version long"
+FIELDS = ("path", "kind", "dtype", "shape", "text", "bin")
+FOLDER = ".stores"
 
 
 def entries(value: Any, path: str = "") -> list[tuple]:
-    """(path, kind, dtype, shape, values, text, bin) of a value; mappings become one entry per leaf."""
+    """(path, kind, dtype, shape, text, bin) of a value; mappings become one entry per leaf. Arrays keep their bytes, frames their Arrow form."""
     if isinstance(value, Mapping):
         out = []
         for k, v in value.items():
             if "." in k:
                 raise InvalidKeyError(k)
             out += entries(v, f"{path}/{k}".lstrip("/"))
-        return out or [(path, "group", None, None, None, None, None)]
+        return out or [(path, "group", None, None, None, None)]
     if value is None:
-        return [(path, "none", None, None, None, None, None)]
-    if isinstance(value, bool):
-        return [(path, "bool", "bool", [], [float(value)], None, None)]
-    if isinstance(value, int):
-        return [(path, "int", "int", [], None, str(value), None)]
-    if isinstance(value, float):
-        return [(path, "float", "float64", [], [value], None, None)]
+        return [(path, "none", None, None, None, None)]
+    if isinstance(value, (bool, int, float)):
+        return [(path, type(value).__name__, None, None, repr(value), None)]
+    if isinstance(value, complex):
+        return [(path, "complex", None, None, repr(value), None)]
     if isinstance(value, str):
-        return [(path, "str", None, None, None, value, None)]
+        return [(path, "str", None, None, value, None)]
     if isinstance(value, (bytes, bytearray)):
-        return [(path, "bytes", None, None, None, None, bytes(value))]
+        return [(path, "bytes", None, None, None, bytes(value))]
     if hasattr(value, "to_dict") and hasattr(value, "columns"):
-        return [e for c in value.columns for e in entries(value[c].to_numpy(), f"{path}/{c}".lstrip("/"))]
+        import pyarrow as pa
+
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(value)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return [(path, "frame", None, list(value.shape), None, sink.getvalue().to_pybytes())]
     import numpy as np
 
     a = np.asarray(value)
-    return [(path, "array", str(a.dtype), list(a.shape), a.astype(float).ravel().tolist(), None, None)]
+    if a.dtype.hasobject:
+        raise TypeError(f"arrays of Python objects cannot be stored: {path}")
+    kind = "scalar" if isinstance(value, np.generic) else "array"
+    return [(path, kind, json.dumps(a.dtype.descr if a.dtype.names else a.dtype.str), list(a.shape), None, a.tobytes())]
 
 
 def value_of(row: Mapping) -> Any:
     import numpy as np
 
-    kind = row["kind"]
-    if kind == "bool":
-        return bool(row["values"][0])
-    if kind == "int":
-        return int(row["text"])
-    if kind == "float":
-        return row["values"][0]
-    if kind == "array":
-        return np.array(row["values"], dtype=row["dtype"]).reshape(row["shape"])
-    return {"str": row["text"], "bytes": None if row["bin"] is None else bytes(row["bin"])}.get(kind)
+    kind, text, data = row["kind"], row["text"], None if row["bin"] is None else bytes(row["bin"])
+    if kind in ("bool", "int", "float", "complex"):
+        return {"bool": lambda t: t == "True", "int": int, "float": float, "complex": complex}[kind](text)
+    if kind in ("array", "scalar"):
+        said = json.loads(row["dtype"])
+        a = np.frombuffer(data, np.dtype([tuple(x) for x in said] if isinstance(said, list) else said)).reshape(row["shape"])
+        return a[()] if kind == "scalar" else a.copy()
+    if kind == "frame":
+        import pyarrow as pa
+
+        return pa.ipc.open_stream(data).read_pandas()
+    return {"str": text, "bytes": data}.get(kind)
+
+
+def visible(rows: DataFrame) -> DataFrame:
+    """The rows of a log that no later mark at or above them replaces."""
+    marks = rows.where("kind = 'mark'").groupBy("owner", "store", F.col("path").alias("above")).agg(F.max("version").alias("since"))
+    own = rows.where("kind <> 'mark'")
+    above = F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))"))
+    gone = own.select("owner", "store", "path", "version", above.alias("above")).join(marks, ["owner", "store", "above"]).where("since > version")
+    return own.join(gone.select("owner", "store", "path", "version").distinct(), ["owner", "store", "path", "version"], "left_anti").select(rows.columns)
 
 
 class Store:
-    """One named store of an owner (a job id, or the project). Changes gather until flush or the end of a with block."""
+    """One named store of an owner (a job id, or the project).
+
+    Changes gather until flush or the end of a with block; each flush adds one version to the log in
+    the store's folder, so that the table's plan does not grow. table: rows of other stores to begin with.
+    """
 
-    def __init__(self, spark: SparkSession, table: DataFrame | None = None, owner: str = "", name: str = "data"):
-        self.spark, self.owner, self.name = spark, owner, name
-        self.table = table if table is not None else spark.createDataFrame([], STORES)
+    def __init__(self, spark: SparkSession, table: DataFrame | None = None, owner: str = "", name: str = "data", path: str | None = None):
+        self.spark, self.owner, self.name, self.base = spark, owner, name, table
+        self.path = path or working_folder(spark)
         self.puts: dict[str, list[tuple]] = {}
         self.gone: set[str] = set()
         self.opened = False
 
+    def _log(self) -> DataFrame:
+        try:
+            log = self.spark.read.schema(STORES).parquet(self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            log = self.spark.createDataFrame([], STORES)
+        return log if self.base is None else self.base.unionByName(log)
+
+    @property
+    def table(self) -> DataFrame:
+        """All rows that count, of this store and of those it began with."""
+        return visible(self._log())
+
+    def compact(self) -> None:
+        """Rewrite the log as the rows that count."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        now = written(visible(self.spark.read.schema(STORES).parquet(self.path)))
+        at = hadoop.Path(self.path)
+        store = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in store.listStatus(at)]
+        now.write.mode("append").parquet(self.path)  # a crash from here on leaves rows twice, which reading by key tells
+        for f in old:
+            store.delete(f, True)
+
     def open(self) -> Store:
         if self.opened:
             raise StoreAlreadyOpenError(self.name)
@@ -102,19 +155,19 @@ class Store:
         """Upsert what has gathered: rows of changed keys are replaced."""
         if not self.opened and (self.puts or self.gone):
             raise StoreClosedError(self.name)
-        out = self.table
-        for key in {*self.puts, *self.gone}:
-            out = out.where(~self._mine(key))
-        rows = [(self.owner, self.name, *e) for es in self.puts.values() for e in es]
-        if rows:
-            out = out.unionByName(self.spark.createDataFrame(rows, STORES))
-        self.table, self.puts, self.gone = out, {}, set()
-        return out
+        changed = sorted({*self.puts, *self.gone})
+        if changed:
+            version = (self._log().where(self._mine()).agg(F.max("version")).first()[0] or 0) + 1
+            rows = [(self.owner, self.name, k, "mark", None, None, None, None, version) for k in changed]
+            rows += [(self.owner, self.name, *e, version) for es in self.puts.values() for e in es]
+            self.spark.createDataFrame(rows, STORES).coalesce(1).write.mode("append").parquet(self.path)
+        self.puts, self.gone = {}, set()
+        return self.table
 
     def __getitem__(self, key: str) -> Any:
         if key in self.gone:
             raise KeyError(key)
-        rows = [dict(zip(("path", "kind", "dtype", "shape", "values", "text", "bin"), e)) for e in self.puts[key]] if key in self.puts else [r.asDict() for r in self.table.where(self._mine(key)).collect()]  # one key's leaves
+        rows = [dict(zip(FIELDS, e)) for e in self.puts[key]] if key in self.puts else list({r["path"]: r.asDict() for r in visible(self._log().where(self._mine())).where(self._mine(key)).collect()}.values())  # one key's leaves
         if not rows:
             raise KeyError(key)
         if len(rows) == 1 and rows[0]["path"] == key:
@@ -155,6 +208,52 @@ def store_names(table: DataFrame, owner: str) -> DataFrame:
     return table.where(F.col("owner") == owner).select("store").distinct()
 
 
+class StoreManager(Mapping):
+    """The stores of a project, or of one of its jobs, by name. They lie in the project's or job's folder and go where it goes."""
+
+    def __init__(self, spark: SparkSession, root: str, job_id: str = "", workspace: str = "workspace"):
+        from ..sources.workspace import _opened
+
+        self.spark, self.owner = spark, job_id
+        self.folder = f"{root}/{workspace}/{job_id}/{FOLDER}" if job_id else f"{root}/{FOLDER}"
+        self.store, self.base = _opened(self.folder)
+
+    def __getitem__(self, name: str) -> Store:
+        """A store; it comes to be with its first value."""
+        if "." in name or "/" in name:
+            raise InvalidKeyError(name)
+        return Store(self.spark, owner=self.owner, name=name, path=f"{self.folder}/{name}" if "://" in self.folder else f"file://{os.path.abspath(self.folder)}/{name}")
+
+    def __setitem__(self, name: str, values: Mapping) -> None:
+        """Replace a whole store."""
+        if name in self:
+            del self[name]
+        with self[name] as s:
+            for k, v in values.items():
+                s[k] = v
+
+    def __delitem__(self, name: str) -> None:
+        if name not in self:
+            raise KeyError(name)
+        self.store.delete_dir(f"{self.base}/{name}")
+
+    def __iter__(self) -> Iterator[str]:
+        from pyarrow import fs
+
+        return iter(sorted(f.base_name for f in self.store.get_file_info(fs.FileSelector(self.base, allow_not_found=True)) if f.type == fs.FileType.Directory))
+
+    def __len__(self) -> int:
+        return len(list(iter(self)))
+
+    def __contains__(self, name: object) -> bool:
+        return name in list(iter(self))
+
+
+def job_stores(spark: SparkSession, root: str, workspace: str = "workspace") -> DataFrame:
+    """The rows of all stores of all jobs of a project as one table, for work across jobs."""
+    return visible(spark.read.schema(STORES).parquet(f"{root}/{workspace}/*/{FOLDER}/*"))
+
+
 def array_stats(df: DataFrame, key: str, values: str) -> DataFrame:
     """(key, n, total, least, greatest) of array columns, with built-in higher-order functions."""
     v = F.col(values)

@@ -3,18 +3,19 @@ import pandas as pd
 import pytest
 
 from tessera.errors import InvalidKeyError, StoreAlreadyOpenError, StoreClosedError
-from tessera.operators.stores import Store, array_stats, store_names
+from tessera.operators.stores import Store, StoreManager, array_stats, job_stores, store_names
+from tessera.sources.workspace import clear_jobs, copy_jobs
 
 
 def test_values(spark):
     s = Store(spark, owner="job")
-    values = {"i": 7, "big": 10**30, "f": 1.5, "s": "é", "b": True, "n": None, "raw": b"\0x", "m": {"x": 1, "y": {"z": "q"}}, "e": {}, "a": np.arange(6, dtype="int32").reshape(2, 3)}
+    values = {"i": 7, "big": 10**30, "f": 1.5, "s": "é", "b": True, "n": None, "raw": b"\0x", "m": {"x": 1, "y": {"z": "q"}}, "e": {}, "z": 1 + 2j, "a": np.arange(6, dtype="int32").reshape(2, 3)}
     with s:
         for k, v in values.items():
             s[k] = v
         s["frame"] = pd.DataFrame({"c": [1.0, 2.0]})
         assert s["i"] == 7
-    assert s.keys() == sorted([*values, "frame"]) and len(s) == 11
+    assert s.keys() == sorted([*values, "frame"]) and len(s) == 12
     for k, v in values.items():
         if k == "a":
             assert (s[k] == v).all() and s[k].dtype == v.dtype
@@ -33,6 +34,48 @@ def test_values(spark):
     assert len(s) == 0
 
 
+@pytest.mark.parametrize("value", [np.array([2**60 + 1, -(2**63)]), np.array([1 + 2j, 3j]), np.array(["é", "longer text"]), np.array([b"a", b"\0b"]), np.zeros((0, 3)), np.array(5.5), np.array([True, False]), np.array([(1, 2.5)], dtype=[("x", "i8"), ("y", "f4")]), np.array(["2020-01-01"], dtype="datetime64[ns]"), np.array([np.nan, np.inf])], ids=str)
+def test_arrays_come_back_bit_by_bit(spark, value):
+    s = Store(spark)
+    with s:
+        s["a"] = value
+    got = s["a"]
+    assert got.dtype == value.dtype and got.shape == value.shape and got.tobytes() == value.tobytes()
+
+
+def test_stores_of_projects_and_jobs_last_and_go_along(spark, tmp_path):
+    a, b, job = str(tmp_path / "a"), str(tmp_path / "b"), "0" * 32
+    (tmp_path / f"a/workspace/{job}").mkdir(parents=True)
+    stores = StoreManager(spark, a, job)
+    assert list(stores) == [] and "first" not in stores
+    with stores["first"] as s:
+        s["x"], s["m"] = np.arange(3), {"p": 1, "q": {"r": "t"}}
+    with stores["first"] as s:
+        s["m/q"] = 9
+        del s["x"]
+    stores["second"] = {"frame": pd.DataFrame({"c": [1, 2], "t": ["u", None]}, index=[5, 6])}
+    StoreManager(spark, a)["data"].open()["p"] = 1  # never flushed
+    with StoreManager(spark, a)["data"] as s:
+        s["p"] = 2
+    again = StoreManager(spark, a, job)
+    assert list(again) == ["first", "second"] and again["first"]["m"] == {"p": 1, "q": 9} and again["first"].keys() == ["m"]
+    assert StoreManager(spark, a)["data"]["p"] == 2
+    pd.testing.assert_frame_equal(again["second"]["frame"], pd.DataFrame({"c": [1, 2], "t": ["u", None]}, index=[5, 6]))
+    assert sorted((r["store"], r["path"]) for r in job_stores(spark, a).collect()) == [("first", "m/p"), ("first", "m/q"), ("second", "frame")]
+    again["first"].compact()
+    assert StoreManager(spark, a, job)["first"]["m"] == {"p": 1, "q": 9}
+    ids = spark.createDataFrame([(job,)], "job_id string")
+    copy_jobs(spark, ids, a, b)
+    assert StoreManager(spark, b, job)["first"]["m"] == {"p": 1, "q": 9}
+    clear_jobs(spark, ids, a)
+    assert list(f for n in StoreManager(spark, a, job) for f in StoreManager(spark, a, job)[n]) == []
+    again["second"] = {"only": 1}
+    del again["second"]
+    assert "second" not in again
+    with pytest.raises(TypeError):
+        Store(spark)["o"] = np.array([object()])
+
+
 def test_errors_and_other_owners(spark):
     s = Store(spark, owner="a")
     with pytest.raises(InvalidKeyError):
