@@ -124,15 +124,3 @@ class ProjectSchema:
 
 def _shown(v):
     return tuple(_shown(x) for x in v) if isinstance(v, list) else v
-
-
-def schema_of_columns(df: DataFrame, columns: dict[str, str], n_rows: int | None = None, exclude_const: bool = False) -> DataFrame:
-    """(path, n_values, n_jobs) of typed columns; null: missing. One pass, two distinct counts a column.
-
-    exclude_const leaves out columns with one value and no null.
-    """
-    stacked = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("path"), F.col(c).cast("string").alias("value")) for k, c in columns.items()))).alias("x")).select("x.*").where("value is not null")
-    per = stacked.groupBy("path", "value").agg(F.count("*").alias("n")).groupBy("path").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_jobs"))
-    if exclude_const:
-        per = per.where((F.col("n_values") > 1) | (F.col("n_jobs") < (df.count() if n_rows is None else n_rows)))
-    return per

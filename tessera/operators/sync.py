@@ -291,7 +291,7 @@ def sync_projects(source: Project, destination: Project, doc_sync: Any = None, s
         if found:
             raise DocumentSyncConflict(sorted(found))
     docs = merged_documents(plan).withColumnRenamed("doc_json", "merged")
-    common = d.join(s.select("job_id"), "job_id", "left_semi").join(docs, "job_id", "left").select("job_id", "sp_json", F.coalesce("merged", "doc_json").alias("doc_json"))
-    own = d.join(s.select("job_id"), "job_id", "left_anti")
-    new = s.join(d.select("job_id"), "job_id", "left_anti")
+    of = lambda rows, action: rows.join(job_plan(s, d).where(F.col("action") == action).select("job_id"), "job_id", "left_semi")
+    common = of(d, "merge").join(docs, "job_id", "left").select("job_id", "sp_json", F.coalesce("merged", "doc_json").alias("doc_json"))
+    own, new = of(d, "keep"), of(s, "clone")
     return Project.of_canonical(common.union(own).union(new), merge_mapping(source.document, destination.document, how))

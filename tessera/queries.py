@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import canon
-from .operators.neighbors import adjacent
+from .operators.neighbors import neighbors as neighbors_of
 from .operators.project import Project
-from .operators.schema import schema_of_columns
+from .operators.schema import ProjectSchema
 from .operators.stores import array_stats
 from .operators.sync import job_plan
 from .plans.fields import TypedFields
@@ -218,93 +219,104 @@ def to_dataframe_flat(spark, d):
     return texts(spark, d).find_jobs({"n_chars.$gt": 1000}).to_dataframe(usecols=["sp.lang", "doc.quality"], flatten=True)
 
 
-SCHEMA = {"brand": "p_brand", "size": "p_size", "type": "p_type", "const": "const"}
-SCHEMA_SQL = " UNION ALL ".join(f"SELECT '{k}' AS path, count(DISTINCT {c}) AS n_values, CAST(count({c}) AS BIGINT) AS n_jobs FROM c" for k, c in SCHEMA.items())
+def pointed(spark, d, filter=None) -> Project:
+    """The different state points of parts, with a key that is the same in all, as a project."""
+    p = points(spark, d)
+    sp = canon.typed_json(const=F.lit(1), p_brand=F.col("p_brand"), p_size=F.col("p_size"), p_type=F.col("p_type"))
+    p = p.where(filter) if filter else p
+    return Project.of_canonical(p.select("job_id", sp.alias("sp_json"), F.lit(None).cast("string").alias("doc_json")))
+
+
+def per_key(schema: ProjectSchema) -> DataFrame:
+    return schema.values.groupBy("path").agg(F.count_distinct("same").alias("n_values"), F.sum("n_jobs").alias("n_jobs"))
+
+
+SCHEMA_SQL = " UNION ALL ".join(f"SELECT '{c}' AS path, count(DISTINCT {c}) AS n_values, CAST(count({c}) AS BIGINT) AS n_jobs FROM c" for c in ("p_brand", "p_size", "p_type", "const"))
 
 
 @registered(f"WITH {PS}, c AS (SELECT *, 1 AS const FROM ps) {SCHEMA_SQL}")
 def schema_detect(spark, d):
-    return schema_of_columns(points(spark, d).withColumn("const", F.lit(1)), SCHEMA)
+    return per_key(ProjectSchema.detect(pointed(spark, d).leaves()))
 
 
 @registered(f"WITH {PS}, c AS (SELECT *, 1 AS const FROM ps) SELECT * FROM ({SCHEMA_SQL}) WHERE path <> 'const'")
 def schema_exclude_const(spark, d):
-    return schema_of_columns(points(spark, d).withColumn("const", F.lit(1)), SCHEMA, exclude_const=True)
-
-
-def values_of(ps: DataFrame) -> DataFrame:
-    return ps.select(F.explode(F.array(*(F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value")) for c in ("p_brand", "p_size", "p_type")))).alias("x")).select("x.*").distinct()
+    return per_key(ProjectSchema.detect(pointed(spark, d).leaves(), exclude_const=True))
 
 
 @registered(f"""WITH {PS}, v AS (SELECT DISTINCT path, value, low FROM (SELECT 'p_brand' AS path, p_brand AS value, p_brand < 'Brand#13' AS low FROM ps UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), p_brand < 'Brand#13' FROM ps UNION ALL SELECT 'p_type', p_type, p_brand < 'Brand#13' FROM ps))
 SELECT DISTINCT path FROM (SELECT path, value FROM v EXCEPT SELECT path, value FROM v WHERE low)""")
 def schema_difference(spark, d):
-    every = points(spark, d)
-    return values_of(every).join(values_of(every.where("p_brand < 'Brand#13'")), ["path", "value"], "left_anti").select("path").distinct()
-
-
-def stacked(ps: DataFrame) -> DataFrame:
-    """One row per job and key with the value as text and what the other keys are."""
-    cols = ("p_brand", "p_size", "p_type")
-    value = lambda c: F.lpad(F.col(c).cast("string"), 4, "0") if c == "p_size" else F.col(c)
-    each = F.array(*(F.struct(F.lit(c).alias("path"), value(c).alias("value"), F.md5(F.concat_ws("|", *(F.col(o).cast("string") for o in cols if o != c))).alias("rest")) for c in cols))
-    return ps.select("job_id", F.explode(each).alias("x")).select("job_id", "x.*")
+    every, some = (ProjectSchema.detect(pointed(spark, d, f).leaves()) for f in (None, "p_brand < 'Brand#13'"))
+    return every.difference(some)
 
 
 STACKED = """st AS (SELECT job_id, 'p_brand' AS path, p_brand AS value, md5(p_size || '|' || p_type) AS rest FROM ps
  UNION ALL SELECT job_id, 'p_size', lpad(CAST(p_size AS VARCHAR), 4, '0'), md5(p_brand || '|' || p_type) FROM ps UNION ALL SELECT job_id, 'p_type', p_type, md5(p_brand || '|' || p_size) FROM ps)"""
 
 
-@registered(f"WITH {PS}, {STACKED}, t AS (SELECT job_id, path, value FROM st UNION ALL SELECT job_id, 'const', '1' FROM ps) SELECT job_id, path, value FROM t WHERE (path, value) NOT IN (SELECT path, value FROM t GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM ps))")
+@registered(f"""WITH {PS}, t AS (SELECT job_id, 'p_brand' AS path, '"' || p_brand || '"' AS value FROM ps UNION ALL SELECT job_id, 'p_size', CAST(p_size AS VARCHAR) FROM ps UNION ALL SELECT job_id, 'p_type', '"' || p_type || '"' FROM ps UNION ALL SELECT job_id, 'const', '1' FROM ps)
+SELECT job_id, path, value FROM t WHERE (path, value) NOT IN (SELECT path, value FROM t GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM ps))""")
 def diff_jobs(spark, d):
     from .operators.diff import diff_leaves
 
-    ps = points(spark, d)
-    t = stacked(ps).select("job_id", "path", "value").union(ps.select("job_id", F.lit("const"), F.lit("1")))
-    return diff_leaves(t.select("job_id", "path", F.col("value").alias("same"), F.col("value").alias("json"))).withColumnRenamed("json", "value")
+    return diff_leaves(pointed(spark, d).leaves()).withColumnRenamed("json", "value")
 
 
 @registered(f"WITH {PS}, {STACKED} SELECT job_id, path, lag(job_id) OVER w AS prev_job_id, lead(job_id) OVER w AS next_job_id FROM st WINDOW w AS (PARTITION BY path, rest ORDER BY value)")
 def neighbors(spark, d):
-    return adjacent(stacked(points(spark, d)), ["path", "rest"], ["value"], ["job_id"]).select("job_id", "path", "prev_job_id", "next_job_id")
+    return neighbors_of(pointed(spark, d).leaves()).select("job_id", "path", "prev_job_id", "next_job_id")
 
 
 @registered(f"WITH {PS}, {STACKED} SELECT path, count(lag_id) AS n_prev, count(lead_id) AS n_next FROM (SELECT path, lag(job_id) OVER w AS lag_id, lead(job_id) OVER w AS lead_id FROM st WINDOW w AS (PARTITION BY path, rest ORDER BY value)) GROUP BY 1")
 def neighbors_multi_key(spark, d):
-    n = adjacent(stacked(points(spark, d)), ["path", "rest"], ["value"], ["job_id"])
+    n = neighbors_of(pointed(spark, d).leaves())
     return n.groupBy("path").agg(F.count("prev_job_id").alias("n_prev"), F.count("next_job_id").alias("n_next"))
 
 
-@registered("WITH p AS (SELECT DISTINCT p_brand, p_type FROM part) SELECT p_brand, p_type, lag(p_type) OVER w AS prev_p_type, lead(p_type) OVER w AS next_p_type FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_type)")
+@registered("""WITH p AS (SELECT *, md5('{"brand": "' || p_brand || '", "both": "' || p_brand || p_type || '", "type": "' || p_type || '"}') AS job_id FROM (SELECT DISTINCT p_brand, p_type FROM part))
+SELECT job_id, 'brand' AS path, lag(job_id) OVER w AS prev_job_id, lead(job_id) OVER w AS next_job_id FROM p WINDOW w AS (PARTITION BY p_type ORDER BY p_brand)
+UNION ALL SELECT job_id, 'type', lag(job_id) OVER w, lead(job_id) OVER w FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_type)""")
 def neighbors_ignore(spark, d):
+    """One key depends on the two others; without it they have neighbours."""
     p = spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_type").distinct()
-    return adjacent(p, ["p_brand"], ["p_type"], ["p_type"])
+    # the id is taken of the keys in this order in the SQL too
+    sp = canon.typed_json(brand=F.col("p_brand"), both=F.concat("p_brand", "p_type"), type=F.col("p_type"))
+    jobs = Project.of_canonical(p.select(F.md5(F.concat(F.lit('{"brand": "'), "p_brand", F.lit('", "both": "'), "p_brand", "p_type", F.lit('", "type": "'), "p_type", F.lit('"}'))).alias("job_id"), sp.alias("sp_json"), F.lit(None).cast("string").alias("doc_json")))
+    return neighbors_of(jobs.leaves(), ignore=["both"]).select("job_id", "path", "prev_job_id", "next_job_id")
 
 
 def sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping projects of orders; finished ones cost more in the second."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("job_id"), "o_totalprice", "o_orderstatus", "o_orderpriority")
-    changed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    return o.where("o_orderstatus <> 'P'"), o.where("o_orderpriority <> '1-URGENT'").withColumn("o_totalprice", changed)
+    """Two overlapping projects of orders, the price in the document; finished orders cost more in the second."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    changed = F.when(F.col("o_orderstatus") == "F", F.col("cents") + 1).otherwise(F.col("cents"))
+    jobs = lambda x: x.select(F.col("o_orderkey").cast("string").alias("job_id"), canon.typed_json(key=F.col("o_orderkey")).alias("sp_json"), canon.typed_json(price=F.col("cents")).alias("doc_json"))
+    return jobs(o.where("o_orderstatus <> 'P'")), jobs(o.where("o_orderpriority <> '1-URGENT'").withColumn("cents", changed))
 
 
-SIDES = """a AS (SELECT o_orderkey AS job_id, o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
-b AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT')"""
+SIDES = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderstatus, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+a AS (SELECT job_id, cents FROM o WHERE o_orderstatus <> 'P'),
+b AS (SELECT job_id, CASE WHEN o_orderstatus = 'F' THEN cents + 1 ELSE cents END AS cents FROM o WHERE o_orderpriority <> '1-URGENT')"""
 
 
-@registered(f"WITH {SIDES} SELECT coalesce(a.job_id, b.job_id) AS job_id, CASE WHEN b.job_id IS NULL THEN 'clone' WHEN a.job_id IS NULL OR a.o_totalprice = b.o_totalprice THEN 'keep' ELSE 'merge' END AS action FROM a FULL JOIN b ON a.job_id = b.job_id")
+@registered(f"WITH {SIDES} SELECT coalesce(a.job_id, b.job_id) AS job_id, CASE WHEN b.job_id IS NULL THEN 'clone' WHEN a.job_id IS NULL THEN 'keep' ELSE 'merge' END AS action FROM a FULL JOIN b ON a.job_id = b.job_id")
 def sync_plan(spark, d):
-    return job_plan(*sides(spark, d), ["o_totalprice"]).select("job_id", "action")
+    return job_plan(*sides(spark, d)).select("job_id", "action")
 
 
-@registered(f"WITH {SIDES} SELECT coalesce(a.job_id, b.job_id) AS job_id, coalesce(a.o_totalprice, b.o_totalprice) AS price FROM a FULL JOIN b ON a.job_id = b.job_id")
+@registered(f"WITH {SIDES} SELECT coalesce(a.job_id, b.job_id) AS job_id, '{{\"price\": ' || coalesce(a.cents, b.cents) || '}}' AS doc_json FROM a FULL JOIN b ON a.job_id = b.job_id")
 def sync_merge_update(spark, d):
-    return job_plan(*sides(spark, d), ["o_totalprice"]).select("job_id", F.coalesce("src_o_totalprice", "dst_o_totalprice").alias("price"))
+    from .operators.sync import DocSync, sync_projects
 
+    a, b = (Project.of_canonical(x) for x in sides(spark, d))
+    return sync_projects(a, b, DocSync.UPDATE, check_schema=False).jobs.select("job_id", "doc_json")
 
-@registered(f"WITH {SIDES} SELECT a.job_id FROM a JOIN b ON a.job_id = b.job_id WHERE a.o_totalprice <> b.o_totalprice")
+
+@registered(f"WITH {SIDES} SELECT a.job_id FROM a JOIN b ON a.job_id = b.job_id WHERE a.cents <> b.cents")
 def sync_conflicts(spark, d):
-    return job_plan(*sides(spark, d), ["o_totalprice"]).where("action = 'merge'").select("job_id")
+    from .operators.sync import DocSync, document_plan
+
+    return document_plan(*sides(spark, d), DocSync.ByKey()).where("conflict").select("job_id")
 
 
 PATH = "brand/{brand}/size/{size}"
@@ -389,7 +401,7 @@ def find_variant_where(spark, d):
 
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders ORDER BY 1 LIMIT 20 OFFSET 30")
 def slice_jobs(spark, d):
-    return orders(spark, d).find_jobs().ids().orderBy("job_id").offset(30).limit(20)
+    return orders(spark, d).find_jobs().slice_ids(30, 50)
 
 
 @registered("SELECT job_id, distance FROM (SELECT CAST(p_partkey AS VARCHAR) AS job_id, CAST(levenshtein(CAST(p_partkey AS VARCHAR), '1234') AS INTEGER) AS distance FROM part) ORDER BY distance, job_id LIMIT 3")
@@ -412,31 +424,30 @@ def flatten_leaves(spark, d):
     return mixed(spark, d).leaves().select("job_id", "path", "type", "json")
 
 
-@registered("SELECT p_size AS v, n FROM (SELECT p_size, row_number() OVER (ORDER BY p_size) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT p_size FROM part)) WHERE place <= 3 OR place > n - 2")
+@registered("SELECT v, n FROM (SELECT o_orderkey AS v, row_number() OVER (ORDER BY o_orderkey) AS place, count(*) OVER () AS n FROM orders) WHERE place <= 3 OR place > n - 2")
 def schema_ranges(spark, d):
-    from .operators.schema import ProjectSchema
-
-    p = spark.read.parquet(f"{d}/part.parquet")
-    jobs = Project.of_canonical(p.select(F.col("p_partkey").cast("string").alias("job_id"), canon.typed_json(size=F.col("p_size")).alias("sp_json"), F.lit(None).cast("string").alias("doc_json")))
-    return ProjectSchema.detect(jobs.leaves()).ranges().select(F.col("json").cast("int").alias("v"), "n")
+    p = spark.read.parquet(f"{d}/orders.parquet")
+    jobs = Project.of_canonical(p.select(F.col("o_orderkey").cast("string").alias("job_id"), canon.typed_json(key=F.col("o_orderkey")).alias("sp_json"), F.lit(None).cast("string").alias("doc_json")))
+    return ProjectSchema.detect(jobs.leaves()).ranges().select(F.col("json").cast("bigint").alias("v"), "n")
 
 
-def small(spark, d) -> Project:
-    """Nations as jobs with exact JSON: the name only in some."""
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    sp = F.when(F.col("n_nationkey") < 20, canon.typed_json(key=F.col("n_nationkey"), region=F.col("n_regionkey"))).otherwise(canon.typed_json(key=F.col("n_nationkey"), name=F.col("n_name"), region=F.col("n_regionkey")))
-    return Project.of_canonical(n.select(F.md5(sp).alias("job_id"), sp.alias("sp_json"), F.when(F.col("n_nationkey") % 2 == 0, canon.typed_json(region=F.col("n_regionkey"))).alias("doc_json")))
+def tagged(spark, d) -> Project:
+    """Orders as jobs with exact JSON: the name only in some, a document in every other."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 5).alias("region"), F.col("o_orderpriority").alias("name"))
+    sp = F.when(F.col("key") % 10 != 0, canon.typed_json(key=F.col("key"), region=F.col("region"))).otherwise(canon.typed_json(key=F.col("key"), name=F.col("name"), region=F.col("region")))
+    return Project.of_canonical(o.select(F.md5(sp).alias("job_id"), sp.alias("sp_json"), F.when(F.col("key") % 2 == 0, canon.typed_json(region=F.col("region"))).alias("doc_json")))
 
 
-SMALL = """sm AS (SELECT *, md5(sp_json) AS job_id, CASE WHEN n_nationkey % 2 = 0 THEN '{"region": ' || n_regionkey || '}' END AS doc_json FROM (SELECT *, CASE WHEN n_nationkey < 20
- THEN '{"key": ' || n_nationkey || ', "region": ' || n_regionkey || '}' ELSE '{"key": ' || n_nationkey || ', "name": "' || n_name || '", "region": ' || n_regionkey || '}' END AS sp_json FROM nation))"""
+TAGGED = """sm AS (SELECT *, md5(sp_json) AS job_id, CASE WHEN key % 2 = 0 THEN '{"region": ' || region || '}' END AS doc_json FROM (SELECT *, CASE WHEN key % 10 <> 0
+ THEN '{"key": ' || key || ', "region": ' || region || '}' ELSE '{"key": ' || key || ', "name": "' || name || '", "region": ' || region || '}' END AS sp_json
+ FROM (SELECT o_orderkey AS key, o_orderkey % 5 AS region, o_orderpriority AS name FROM orders)))"""
 
 
-@registered(f"WITH {SMALL} SELECT job_id, CASE WHEN n_nationkey < 20 THEN '' ELSE 'name/' || n_name || '/' END || 'region/' || n_regionkey || '/key/' || n_nationkey AS path FROM sm")
+@registered(f"WITH {TAGGED} SELECT job_id, CASE WHEN key % 10 <> 0 THEN '' ELSE 'name/' || name || '/' END || 'region/' || region || '/key/' || key AS path FROM sm")
 def automatic_path(spark, d):
     from .sources.paths import automatic_paths
 
-    return automatic_paths(small(spark, d).leaves().withColumn("path", F.col("path"))).select("job_id", "path")
+    return automatic_paths(tagged(spark, d).leaves()).select("job_id", "path")
 
 
 @registered("SELECT 'a/' || p_brand || '/b/' || p_size AS path FROM part WHERE p_size > 25 GROUP BY 1")
@@ -455,35 +466,35 @@ def view_changes(spark, d):
     return view_plan(p.where("p_size < 40"), p.where("p_size > 10").withColumn("target", F.when(F.col("p_retailprice") > 1500, "z").otherwise(F.col("target")))).select("path", "action")
 
 
-@registered(f"WITH {SMALL} SELECT md5(replace(sp_json, '}}', ', \"tag\": 1}}')) AS job_id FROM sm WHERE n_regionkey = 1 UNION ALL SELECT job_id FROM sm WHERE n_regionkey <> 1")
+@registered(f"WITH {TAGGED} SELECT md5(replace(sp_json, '}}', ', \"tag\": 1}}')) AS job_id FROM sm WHERE region = 1 UNION ALL SELECT job_id FROM sm WHERE region <> 1")
 def update_statepoints(spark, d):
-    return small(spark, d).update_statepoints({"tag": 1}, {"region": 1}).jobs.select("job_id")
+    return tagged(spark, d).update_statepoints({"tag": 1}, {"region": 1}).jobs.select("job_id")
 
 
-@registered(f"WITH {SMALL} SELECT job_id, CASE WHEN n_regionkey = 1 AND doc_json IS NULL THEN '{{\"tag\": 1}}' WHEN n_regionkey = 1 THEN replace(doc_json, '}}', ', \"tag\": 1}}') ELSE doc_json END AS doc_json FROM sm")
+@registered(f"WITH {TAGGED} SELECT job_id, CASE WHEN region = 1 AND doc_json IS NULL THEN '{{\"tag\": 1}}' WHEN region = 1 THEN replace(doc_json, '}}', ', \"tag\": 1}}') ELSE doc_json END AS doc_json FROM sm")
 def update_documents(spark, d):
-    return small(spark, d).update_documents({"tag": 1}, {"region": 1}).jobs.select("job_id", "doc_json")
+    return tagged(spark, d).update_documents({"tag": 1}, {"region": 1}).jobs.select("job_id", "doc_json")
 
 
-@registered(f"WITH {SMALL} SELECT job_id FROM sm WHERE n_nationkey < 15")
+@registered(f"WITH {TAGGED} SELECT job_id FROM sm WHERE key < 15")
 def insert_missing(spark, d):
-    p = small(spark, d)
+    p = tagged(spark, d)
     a, b = (Project(p.find_jobs(f).df, p.fields) for f in ({"key.$lt": 10}, {"key": {"$gte": 5, "$lt": 15}}))
     return a.insert(b).jobs.select("job_id")
 
 
-@registered(f"WITH {SMALL} SELECT job_id, sp_json FROM sm")
+@registered(f"WITH {TAGGED} SELECT job_id, sp_json FROM sm")
 def repair_from_index(spark, d):
-    p = small(spark, d)
+    p = tagged(spark, d)
     broken = p._plain().withColumn("sp_json", F.when(F.try_variant_get(F.try_parse_json("sp_json"), "$.key", "int") % 3 == 0, "{").otherwise(F.col("sp_json")))
     return Project.of_canonical(broken).repair(p.jobs).jobs.select("job_id", "sp_json")
 
 
-@registered(f"WITH {SMALL} SELECT job_id, 'region' AS path, CASE WHEN n_nationkey % 4 = 0 THEN '9' ELSE CAST(n_regionkey AS VARCHAR) END AS json, n_nationkey % 4 = 0 AND n_regionkey <> 9 AS conflict FROM sm WHERE doc_json IS NOT NULL")
+@registered(f"WITH {TAGGED} SELECT job_id, 'region' AS path, CASE WHEN key % 4 = 0 THEN '9' ELSE CAST(region AS VARCHAR) END AS json, key % 4 = 0 AND region <> 9 AS conflict FROM sm WHERE doc_json IS NOT NULL")
 def sync_documents(spark, d):
     from .operators.sync import DocSync, document_plan
 
-    p = small(spark, d)._plain()
+    p = tagged(spark, d)._plain()
     key = F.try_variant_get(F.try_parse_json("sp_json"), "$.key", "int")
     other = p.withColumn("doc_json", F.when(key % 4 == 0, '{"region": 9}').otherwise(F.col("doc_json")))
     return document_plan(p, other, DocSync.ByKey()).select("job_id", "path", "json", "conflict")
@@ -498,6 +509,71 @@ def sync_files(spark, d):
     return file_plan(pages, old, FileSync.update(), deep=True).select("job_id", "action")
 
 
+@registered(f"WITH {TAGGED} SELECT job_id, CASE WHEN region = 1 THEN '{{}}' ELSE doc_json END AS doc_json FROM sm")
+def clear_documents(spark, d):
+    return tagged(spark, d).clear({"region": 1}).jobs.select("job_id", "doc_json")
+
+
+@registered(f"WITH {TAGGED} SELECT job_id, CASE WHEN region IN (1, 2) THEN 'other' ELSE 'here' END AS side FROM sm")
+def move_jobs(spark, d):
+    p = tagged(spark, d)
+    here, there = (Project(p.find_jobs(f).df, p.fields) for f in ({"region.$ne": 2}, {"region": 2}))
+    rest, other = here.move({"region": 1}, there)
+    return rest.jobs.select("job_id", F.lit("here").alias("side")).union(other.jobs.select("job_id", F.lit("other").alias("side")))
+
+
+@registered(f"WITH {TAGGED} SELECT job_id FROM sm WHERE region = 3 AND name IS NOT NULL AND key % 10 = 0")
+def find_tokens(spark, d):
+    """A filter as typed: a key and a value, a key that must exist."""
+    from .plans.filters import from_tokens
+
+    return ids(tagged(spark, d), from_tokens(["region", "3", "name"]))
+
+
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS job_id FROM part WHERE regexp_matches(p_name, '^\\w+\\s\\w+$')")
+def find_regex_python(spark, d):
+    """A pattern that Java may read in another way runs as Python's, Arrow batch by batch."""
+    return ids(parts(spark, d), {"name.$regex": r"^\w+\s\w+$"})
+
+
+def big(spark, d, typed: bool) -> Project:
+    """Integers that doubles do not tell apart: 2**53 to 2**53 + 2, and 2**60 and 2**60 + 1."""
+    v = F.when(F.col("event_id") % 5 < 3, F.lit(1 << 53) + F.col("event_id") % 5).otherwise(F.lit(1 << 60) + F.col("event_id") % 5 - 3)
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("job_id"), v.alias("v"))
+    return Project.of_table(e, ["v"]) if typed else Project.of_canonical(e.select("job_id", canon.typed_json(v=F.col("v")).alias("sp_json"), F.lit(None).cast("string").alias("doc_json")))
+
+
+BIG_CASES = {"eq": ({"v": 1 << 53}, "0"), "gt": ({"v.$gt": 1 << 53}, "1, 2, 3, 4"), "in": ({"v.$in": [1 << 53, (1 << 60) + 1]}, "0, 4"), "lte": ({"v.$lte": 1 << 60}, "0, 1, 2, 3"), "ne": ({"v.$ne": 1 << 60}, "0, 1, 2, 4")}
+BIG_SQL = " UNION ALL ".join(f"SELECT '{k}' AS filter, CAST(event_id AS VARCHAR) AS job_id FROM events WHERE event_id % 5 IN ({v})" for k, (_, v) in BIG_CASES.items())
+
+
+def every_big_case(p: Project) -> DataFrame:
+    found = [ids(p, f).select(F.lit(k).alias("filter"), "job_id") for k, (f, _) in BIG_CASES.items()]
+    return reduce(DataFrame.union, found)
+
+
+@registered(BIG_SQL)
+def find_big_integers(spark, d):
+    return every_big_case(big(spark, d, typed=True))
+
+
+@registered(BIG_SQL)
+def find_variant_big_integers(spark, d):
+    return every_big_case(big(spark, d, typed=False))
+
+
+@registered("SELECT CAST(CASE WHEN event_id % 5 < 3 THEN 9007199254740992 + event_id % 5 ELSE 1152921504606846976 + event_id % 5 - 3 END AS VARCHAR) AS v, count(*) AS n_jobs FROM events GROUP BY 1")
+def groupby_variant_big(spark, d):
+    return big(spark, d, typed=False).groupby("v").counts().select(F.col("`sp.v`.text").alias("v"), "n_jobs")
+
+
+@registered(f"WITH {TAGGED} SELECT p.path, CAST(p.job_id AS VARCHAR) AS job_id FROM (SELECT job_id, 'r' || region || '/k' || key AS path FROM sm) p")
+def export_paths_callable(spark, d):
+    from .sources.archives import export_paths
+
+    return export_paths(tagged(spark, d), lambda i, sp: f"r{sp['region']}/k{sp['key']}").select("path", "job_id")
+
+
 LINES = {c.removeprefix("l_"): c for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")}
 
 
