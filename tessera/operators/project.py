@@ -320,7 +320,7 @@ class Groups:
                 value = F.coalesce(value, F.lit(defaults[k])) if k in defaults else value
             else:
                 # doubles do not tell integers of 2**53 and more apart: their digits do
-                digits = F.when(F.abs(f.number) >= float(1 << 53), F.coalesce(f.exact, f.number.try_cast("decimal(38,0)")).cast("string"))
+                digits = F.when(F.abs(f.number) >= float(1 << 53), F.coalesce(f.exact.cast("string"), F.when(F.abs(f.number) < float(1 << 63), f.number.cast("bigint").cast("string")), f.number.cast("string")))
                 number = F.when(f.tag.isin(*NUMBERS), F.struct(F.lit("number").alias("kind"), f.number.alias("number"), digits.alias("text")))
                 value = number.when(f.exists, F.struct(f.tag.alias("kind"), F.lit(None).cast("double").alias("number"), F.coalesce(f.text, f.json).alias("text")))
                 if k in defaults:
@@ -346,7 +346,7 @@ class Groups:
             for k, v in zip(self.keys, values):
                 want = v if not isinstance(v, tuple) else F.struct(F.lit(v[0]).alias("kind"), F.lit(v[1]).cast("double").alias("number"), F.lit(v[2]).cast("string").alias("text"))
                 hit = hit & F.col(f"`{k}`").eqNullSafe(want)
-            shown = [((int(v[2]) if v[2] is not None else v[1]) if v[0] == "number" else None if v[0] == "NoneType" else v[2]) if isinstance(v, tuple) else v for v in values]
+            shown = [((int(v[2]) if v[2] is not None and v[2].lstrip("-").isdigit() else v[1]) if v[0] == "number" else None if v[0] == "NoneType" else v[2]) if isinstance(v, tuple) else v for v in values]
             yield shown[0] if len(shown) == 1 else tuple(shown), self.df.where(hit)
 
 

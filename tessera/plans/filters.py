@@ -267,7 +267,7 @@ def _one(f: Field, op: str, arg: Any, strict: bool) -> Column:
 
 
 #: Signs of patterns that Java and Python read alike: plain characters, ., ^, groups, alternatives, counts, ASCII sets and escapes of ASCII classes outside sets.
-ALIKE = re.compile(r"(?:[ \w\-,:;/<>=!@%&~'\"#.|^]|\\[.\-+*?()\[\]{}|^$/\\]|\((?:\?:)?|\)|[+*?]\??|\{\d+(?:,\d*)?\}|\[\^?[ \w\-.,:;/<>=!@%~'\"#]+\])*", re.ASCII)
+ALIKE = re.compile(r"(?:[ \w\-,:;/<>=!@%&~'\"#.|^]|\\[.\-+*?()\[\]{}|^$/\\]|\((?:\?:|(?!\?))|\)|[+*?]\??|\{\d+(?:,\d*)?\}|\[\^?[ \w\-.,:;/<>=!@%~'\"#]+\])*", re.ASCII)
 
 
 def _matches(text: Column, pattern: str) -> Column:

@@ -44,6 +44,63 @@ def test_workspace_round_trip_and_index(spark, project, tmp_path):
         read_project(spark, root)
 
 
+def test_an_edited_document_is_found_in_the_index(spark, project, tmp_path):
+    root, index = str(tmp_path / "p"), str(tmp_path / "index")
+    write_project(project, root)
+    assert update_index(spark, root, index) == 6
+    job = project.find_jobs({"doc.d": 1})[0]
+    with open(tmp_path / f"p/workspace/{job}/document.json", "w") as f:
+        f.write('{"d": 222}')
+    assert list(read_index(spark, index).find_jobs({"doc.d": 1})) == [job]  # as it was written
+    before = read_index(spark, index)
+    assert update_index(spark, root, index) == 6 and update_index(spark, root, index) is None
+    assert list(read_index(spark, index).find_jobs({"doc.d": 222})) == [job] and len(read_index(spark, index).find_jobs({"doc.d": 1})) == 0
+    assert len(before.find_jobs({"doc.d": 1})) == 1  # readers of the version before still have it
+    os.remove(tmp_path / f"p/workspace/{job}/document.json")
+    assert update_index(spark, root, index) == 6 and len(read_index(spark, index).find_jobs({"doc.d.$exists": True})) == 2
+    with pytest.raises(LookupError):
+        read_index(spark, str(tmp_path / "none"))
+
+
+def test_jobs_with_other_ids_are_synchronised(spark, tmp_path):
+    from tessera.errors import DocumentSyncConflict, FileSyncConflict
+    from tessera.operators.sync import DocSync, FileSync, sync_jobs
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    p, q = (Project.of_statepoints(spark, [sp], [doc]) for sp, doc in (({"x": 1}, {"k": 1, "m": 2}), ({"x": 2}, {"k": 5})))
+    write_project(p, a)
+    write_project(q, b)
+    i, j = p.find_jobs()[0], q.find_jobs()[0]
+    for root, job, text in ((a, i, "new"), (b, j, "old!")):
+        with open(f"{root}/workspace/{job}/f.txt", "w") as f:
+            f.write(text)
+    with pytest.raises(DocumentSyncConflict):
+        sync_jobs(spark, a, i, b, j)
+    with pytest.raises(FileSyncConflict):
+        sync_jobs(spark, a, i, b, j, doc_sync=DocSync.UPDATE)
+    done = sync_jobs(spark, a, i, b, j, FileSync.always(), DocSync.UPDATE, dry_run=True)
+    assert (done.num_files, done.volume) == (1, 3) and open(f"{b}/workspace/{j}/f.txt").read() == "old!"
+    sync_jobs(spark, a, i, b, j, FileSync.always(), DocSync.UPDATE)
+    assert open(f"{b}/workspace/{j}/f.txt").read() == "new" and table(read_project(spark, b)) == [(j, '{"x": 2}', '{"k": 1, "m": 2}')]
+    with pytest.raises(KeyError):
+        sync_jobs(spark, a, "0" * 32, b, j)
+    with pytest.raises(ValueError):
+        sync_jobs(spark, a, i, a, i)
+
+
+def test_paths_and_schemas_by_callables(spark, project, tmp_path):
+    target = str(tmp_path / "out")
+    export_to(project, target, lambda i, sp: f"n{sp['a']}/{sp['b']['c']}")
+    assert sorted(os.listdir(target)) == [f"n{i}" for i in range(6)]
+    for d, _, files in os.walk(target):
+        if "statepoint.json" in files:
+            os.rename(f"{d}/statepoint.json", f"{d}/kept.txt")
+    read = lambda folder: {"a": int(folder[1]), "b": {"c": folder.endswith("True")}, "k": 1} if "/" in folder else None
+    assert sorted(import_from(spark, target, read)) == sorted(project)
+    with pytest.raises(RuntimeError):
+        export_paths(project, lambda i, sp: "same")
+
+
 def test_streaming_refresh(spark, project, tmp_path):
     root, index, at = str(tmp_path / "p"), str(tmp_path / "index"), str(tmp_path / "cp")
     write_project(project, root)
