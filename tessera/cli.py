@@ -169,6 +169,8 @@ def run(a: argparse.Namespace) -> None:
     elif a.command == "clear":
         workspace.clear_jobs(spark, written(chosen.ids()), root)
     elif a.command == "view":
+        if a.path is None:
+            views.check_values(some.leaves())
         views.create_linked_view(archives.export_paths(some, a.path), f"{root}/{layout.workspace}", a.prefix)
     elif a.command == "export":
         archives.export_to(some, a.target, a.path, files=workspace.read_files(spark, root, ids=chosen.ids()))

@@ -23,8 +23,15 @@ def dead_branches(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     return heads(existing).join(heads(wanted), "folder", "left_anti")
 
 
+def check_values(leaves: DataFrame) -> None:
+    """Raise for keys or text values with a slash, which a view could not tell from folders."""
+    found = leaves.where(F.col("path").contains("/") | F.coalesce(F.col("str").contains("/"), F.lit(False))).select("path").take(1)
+    if found:
+        raise RuntimeError(f"a slash in key or value of {found[0]['path']!r}: a view needs a path of its own")
+
+
 def wanted_links(paths: DataFrame, workspace: str) -> DataFrame:
-    """(path, target) of a view of (job_id, path); keys or values with slashes cannot be told from folders and raise."""
+    """(path, target) of a view of (job_id, path); paths that several jobs have or that lie in one another raise."""
     check_paths(paths)
     return paths.select(F.when(F.col("path") == "", "job").otherwise(F.concat(F.col("path"), F.lit("/job"))).alias("path"), F.concat(F.lit(f"{workspace.rstrip('/')}/"), F.col("job_id")).alias("target"))
 
