@@ -522,12 +522,12 @@ def move_jobs(spark, d):
     return rest.jobs.select("job_id", F.lit("here").alias("side")).union(other.jobs.select("job_id", F.lit("other").alias("side")))
 
 
-@registered(f"WITH {TAGGED} SELECT job_id FROM sm WHERE region = 3 AND name IS NOT NULL AND key % 10 = 0")
+@registered(f"WITH {TAGGED} SELECT job_id FROM sm WHERE region = 0 AND key % 10 = 0")
 def find_tokens(spark, d):
     """A filter as typed: a key and a value, a key that must exist."""
     from .plans.filters import from_tokens
 
-    return ids(tagged(spark, d), from_tokens(["region", "3", "name"]))
+    return ids(tagged(spark, d), from_tokens(["region", "0", "name"]))
 
 
 @registered("SELECT CAST(p_partkey AS VARCHAR) AS job_id FROM part WHERE regexp_matches(p_name, '^\\w+\\s\\w+$')")

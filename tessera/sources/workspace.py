@@ -90,10 +90,12 @@ def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, lay
             for job in b.column(0).to_pylist():
                 rows = {c: [] for c in types}
                 at = f"{base}/{layout.workspace}/{job}"
+                links = (os.path.join(d, n) for d, below, names in os.walk(at) for n in (*below, *names)) if isinstance(store, fs.LocalFileSystem) else ()
+                lost = next((p for p in links if os.path.islink(p) and not os.path.exists(p)), None)  # listings pass over them
+                if lost:
+                    raise WorkspaceError(f"a link leads nowhere: {lost}")
                 for f in store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)):
                     name = f.path[len(at) + 1 :]
-                    if f.type == fs.FileType.NotFound:
-                        raise WorkspaceError(f"a link leads nowhere: {f.path}")
                     if f.type != fs.FileType.File or (name in own and not every):
                         continue
                     sha = hashlib.sha256() if digest else None

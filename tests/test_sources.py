@@ -62,6 +62,14 @@ def test_an_edited_document_is_found_in_the_index(spark, project, tmp_path):
         read_index(spark, str(tmp_path / "none"))
 
 
+def test_a_link_that_leads_nowhere_is_not_passed_over(spark, project, tmp_path):
+    root = str(tmp_path / "p")
+    write_project(project, root)
+    os.symlink(tmp_path / "gone", tmp_path / f"p/workspace/{project.find_jobs()[0]}/link")
+    with pytest.raises(Exception, match="leads nowhere"):
+        read_files(spark, root).collect()
+
+
 def test_jobs_with_other_ids_are_synchronised(spark, tmp_path):
     from tessera.errors import DocumentSyncConflict, FileSyncConflict
     from tessera.operators.sync import DocSync, FileSync, sync_jobs
