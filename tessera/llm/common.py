@@ -138,12 +138,12 @@ def flat(texts, order=None) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word [^\\x20\\x09-\\x0D]+ and, for each document, the number of its first word (one more entry at the end)."""
+def words_of(data: np.ndarray, ends: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word [^\\x20\\x09-\\x0D]+ (or other bytes `between` words) and, for each document, the number of its first word (one more entry at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
-    ink = ~SPACE[data]
+    ink = ~between[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     inner = ends[1:-1]
