@@ -56,11 +56,27 @@ def stretches(text: str, size: int = 1 << 19) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+@lru_cache(maxsize=2)
+def reference_bpe(path: str | None = None):
+    """The JSON vocabulary itself, which is slower but encodes every text."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or vocabulary("byte_bpe_50k.json"))
+
+
+def stretch_ids(encoder, text: str) -> np.ndarray:
+    """The fast encoder's pattern matcher gives up on about a million blanks in a row; the vocabulary's own encoder takes such a stretch."""
+    try:
+        return encoder.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(reference_bpe().encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def byte_ids(encoder, text: str) -> np.ndarray:
     """Ids of a text in the byte-level vocabulary, added token included."""
     if len(text) <= 1 << 19:
-        return np.array(encoder.encode(text, allowed_special="all"), np.uint32)
-    return np.concatenate([np.array(encoder.encode(s, allowed_special="all"), np.uint32) for s in stretches(text)])
+        return stretch_ids(encoder, text)
+    return np.concatenate([stretch_ids(encoder, s) for s in stretches(text)])
 
 
 def piece_ids(processor, text: str) -> np.ndarray:

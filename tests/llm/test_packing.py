@@ -99,3 +99,11 @@ def test_stretches_change_no_token(words, encode):
         assert [i for p in parts for i in encode(p)[:-1]] == encode(text)[:-1]
         p = tokens.piece_bpe()
         assert [i for k, s in enumerate(parts) for i in p.encode(s if k == 0 else s[1:])] == p.encode(text)
+
+
+def test_long_runs_are_encoded_as_by_the_vocabulary_itself():
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json")), tokens.byte_bpe()
+    for text in ("a" + " " * 1_500_000 + "b", "x" + "\n" * 1_000_000 + "y", " \t\n" * 400_000 + "<|endoftext|>z", "é" * 300_000, "-" * 700_000, ("word " * 150_000) + " " * 1_100_000 + "end"):
+        assert tokens.byte_ids(encoder, text).tolist() == t.encode(text, add_special_tokens=False).ids
