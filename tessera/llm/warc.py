@@ -150,7 +150,7 @@ def member(source: Window, at: int, most: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(z.unused_data)
 
 
-def salvage(source: Window | bytes, max_member_mb: float = 1024):
+def salvage(source: Window | bytes, max_member_mb: float = 2200):
     """Records and gaps of an archive that may mix gzip members and plain records, damaged or not.
 
     offset and length are places in the file. Of a member with several records or with damage
@@ -204,10 +204,10 @@ def plain_records(data: bytes):
 
 
 def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload a smaller page_id has too. pages: page_id, payload."""
-    thin = pages.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha2("payload", 256).alias("digest"))
+    """(page_id, digest, refers_to) of payloads that a smaller page_id has too. pages: page_id, payload, digest. A page_id may occur with several payloads."""
+    thin = pages.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return salted_left_join(thin, first, "digest").where("refers_to < page_id").select("page_id", "refers_to").distinct()
+    return salted_left_join(thin, first, "digest").where("refers_to < page_id").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, file_mb: float = 32, level: int = 4, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -215,16 +215,17 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, fil
 
     Null html: empty payload. Of equal payloads of at least least_bytes the smallest page_id is a
     response, other page_ids are revisits of it; rows that repeat that page_id are responses too,
-    and so are rows without an id. path: a folder that all executors reach (default: one in the
+    and so are rows without an id. That holds for each row: a page_id that comes with several
+    payloads is a revisit with one and a response with another. path: a folder that all executors reach (default: one in the
     shared folder). Files are closed at about file_mb of payload.
     """
     spark = pages.sparkSession
     ship(spark)
     folder = path or f"{shared_dir(spark)}/tessera/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else f"file://{folder}"
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     again = stored(revisits(p, least_bytes), "revisits")
-    p = p.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    p = p.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again.hint("shuffle_merge"), ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to", "digest")
 
     def run(batches):
         import pyarrow as pa
@@ -234,12 +235,12 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, fil
         store.create_dir(root, recursive=True)
         out, name, records, size, raw, made = None, "", 0, 0, 0, []
         for b in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns)):
+            for page_id, url, payload, refers_to, digest in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     name = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out, records, size, raw = store.open_output_stream(name, compression=None), 0, 0, 0
                 z = zlib.compressobj(level, wbits=31)
-                data = z.compress(record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to)) + z.flush()
+                data = z.compress(record(page_id, url, payload, digest, refers_to)) + z.flush()
                 out.write(data)
                 records, size, raw = records + 1, size + len(data), raw + len(payload)
                 if raw >= file_mb * 1e6:
@@ -255,7 +256,7 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, fil
     return stored(p.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
-def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
+def read(files: DataFrame, keep_payload: bool = False, max_member_mb: float = 2200) -> DataFrame:
     """Records and gaps of the archives named in column path of files, damaged files included.
 
     Columns: path, kind (record or gap), offset, length, inner_offset, inner_length (places inside a
@@ -263,7 +264,8 @@ def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
     payload_bytes, payload_digest (SHA-256; of revisits as stated), record_id and stated_digest as
     they are written and, with keep_payload, payload (null for revisits). Only places are set for
     gaps. The payload of an application/http record is what follows the HTTP header, of others the
-    whole block.
+    whole block. A gzip member that holds over max_member_mb is taken for damage; the default is
+    more than a record of the largest payload that Spark can hold.
     """
     ship(files.sparkSession)
 
@@ -283,7 +285,7 @@ def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
                 store, name = fs.FileSystem.from_uri(path)
                 rows, size = [], 0
                 with store.open_input_file(name) as f:
-                    for x in salvage(Window(f, f.size())):
+                    for x in salvage(Window(f, f.size()), max_member_mb):
                         if not keep_payload:
                             x.pop("payload", None)
                         rows.append(x | {"path": path})

@@ -129,3 +129,21 @@ def test_query_against_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     assert sorted(map(tuple, W.op4_warc(spark, d).collect()), key=repr) == sorted(con.sql(W.OP4_SQL).fetchall(), key=repr)
+
+
+def test_a_page_id_with_several_payloads_loses_none(spark):
+    a, b = "<p>" + "a" * 200, "<p>" + "b" * 200
+    for rows in ([(1, a), (2, a), (2, b)], [(1, a), (2, b), (2, a)], [(2, a), (1, b), (2, b), (1, a), (3, b), (3, b)]):
+        pages = spark.createDataFrame([(i, f"http://h/{i}", x, "z") for i, x in rows], "page_id long, url string, html string, digest string")
+        got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in W.read(W.write(pages)).collect())
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        first = {x: min(i for i, y in rows if y == x) for _, x in rows}
+        assert got == sorted((i, digest(x), "revisit" if i > first[x] else "response", first[x] if i > first[x] else None) for i, x in rows)
+        assert {x for _, _, kind, _ in got for x in [kind]} <= {"response", "revisit"} and {d for _, d, kind, _ in got if kind == "response"} == {digest(a), digest(b)}
+
+
+def test_the_bound_of_members_is_the_readers(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h", "x" * 3_000_000)], "page_id long, url string, html string")
+    manifest = W.write(pages, str(tmp_path / "w"))
+    assert [r["kind"] for r in W.read(manifest, max_member_mb=1).collect()] == ["gap"]
+    assert [(r["kind"], r["payload_bytes"]) for r in W.read(manifest).collect()] == [("record", 3_000_000)]
