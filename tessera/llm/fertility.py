@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from . import tokens
 from .batches import covered
-from .common import SPACE, flat, mix, ship, slices, stored, window_hash, word_hashes, words_of
+from .common import SPACE, flat, mix, salted_left_join, ship, slices, stored, window_hash, word_hashes, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -27,6 +27,8 @@ SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 SCRIPTS = ((0x0, "Latn"), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "Zyyy"), (0x590, "Hebr"), (0x600, "Arab"), (0x700, "Zyyy"), (0x900, "Deva"), (0x980, "Zyyy"), (0xE00, "Thai"), (0xE80, "Zyyy"), (0x1E00, "Latn"), (0x1F00, "Grek"), (0x2000, "Zyyy"), (0x3040, "Kana"), (0x3100, "Zyyy"), (0x3400, "Hani"), (0xA000, "Zyyy"), (0xAC00, "Hang"), (0xD7A4, "Zyyy"))
 
 METRICS = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_share")
+BROADCAST_BANDS = 20_000  # rows of bands that are broadcast; more are joined by a shuffle
+BROADCAST_BANDS = 20_000  # rows of bands that are broadcast; more are joined by a shuffle
 STEP = 1000  # bins a unit in the histograms of metrics
 
 
@@ -156,8 +158,9 @@ def judged(docs: DataFrame, min_tokens: int = 200, spread: float = 2.0, entropy_
 
     kept is false if base_failed, or if a text has too few characters per token in either
     vocabulary, too many byte-fallback tokens, or too low a token entropy for the usual of its
-    language and length class. A band of fewer than min_docs texts takes the script's figures, with margins
-    widened by the root of how many texts are missing, as one cannot know the usual from few.
+    language and length class. One cannot know the usual from few: the figures of a band of n texts count with
+    n / (n + min_docs), those of its script with the rest, and margins are widened by the root of
+    1 + min_docs / n, so no band's size switches from one rule to another.
     Null and empty texts have no words and fail the base rules. A null language falls to
     the script. Repeated rows get equal verdicts. An empty table gives an empty result; other
     columns are not carried.
@@ -166,10 +169,12 @@ def judged(docs: DataFrame, min_tokens: int = 200, spread: float = 2.0, entropy_
     b = stored(bands(m, min_tokens, spread, entropy_spread), "bands")
     figures = [f"{side}_{c}" for c in METRICS for side in ("low", "high", "wide")]
     own, wider = (b.where(F.col("level") == level).select(F.col("name").alias(level), "class", F.col("total").alias(f"{level}_total"), F.struct(*figures).alias(f"{level}_figures")) for level in ("band", "script"))
-    joined = m.join(F.broadcast(own), ["band", "class"], "left").join(F.broadcast(wider), ["script", "class"], "left")
-    few = F.col("band_total") < min_docs
-    joined = joined.withColumns({"figures": F.when(few, F.col("script_figures")).otherwise(F.col("band_figures")), "widen": F.when(few, F.sqrt(min_docs / F.col("band_total"))).otherwise(1.0)})
-    limit = lambda side, c: F.col(f"figures.{side}_{c}") + (-1 if side == "low" else 1) * F.col("widen") * F.col(f"figures.wide_{c}")
+    few = b.count() <= BROADCAST_BANDS  # languages are values of the data: there may be as many as rows
+    met = lambda left, right, key: left.join(F.broadcast(right), [key, "class"], "left") if few else salted_left_join(left, right, [key, "class"])
+    joined = met(met(m, own, "band"), wider, "script")
+    joined = joined.withColumns({"weight": F.col("band_total") / (F.col("band_total") + min_docs), "widen": F.sqrt(1 + min_docs / F.col("band_total"))})
+    figure = lambda name: F.col("weight") * F.coalesce(f"band_figures.{name}", f"script_figures.{name}") + (1 - F.col("weight")) * F.col(f"script_figures.{name}")
+    limit = lambda side, c: figure(f"{side}_{c}") + (-1 if side == "low" else 1) * F.col("widen") * figure(f"wide_{c}")
     low = lambda c: F.col(c) < limit("low", c)
     high = lambda c: F.col(c) > limit("high", c)
     wrong = reduce(lambda x, y: x | y, (F.coalesce(t, F.lit(False)) for t in (low("chars_per_piece"), low("chars_per_byte_token"), high("fallback_share"), low("entropy_share"))))

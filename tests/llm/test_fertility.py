@@ -52,7 +52,7 @@ def quartiles(values):
     return tuple(next(b for k, b in enumerate(bins) if k + 1 >= q * len(bins)) / T.STEP for q in (0.25, 0.75))
 
 
-def test_bands_and_verdicts_as_they_are_defined(docs, words):
+def test_bands_and_verdicts_as_they_are_defined(docs, words, monkeypatch):
     """Every verdict computed again from the measures: quartiles per language and length class, the script's for small bands."""
     rows = [(i, words(4 + i * 7 % 260, i) + (" ☃" * (i % 9 == 0) * 30), ("xx", "yy")[i % 2]) for i in range(220)] + [(900 + i, words(90, 900 + i), "zz") for i in range(7)] + [(990, "ἄνθρωπος " * 3 + words(12, 1), None), (991, None, "xx"), (992, "", None)]
     got = T.judged(docs(rows)).collect()
@@ -73,12 +73,15 @@ def test_bands_and_verdicts_as_they_are_defined(docs, words):
             wide = [x for x in judged if of[x["doc_id"]][1] == script and of[x["doc_id"]][2] == size]
             if r[c] is None or not own:
                 continue
-            few = len(own) < 50
-            low, high = quartiles([x[c] for x in (wide if few else own)])
-            margin = (math.sqrt(50 / len(own)) if few else 1) * (spread * (high - low) + 0.02)
-            wrong |= r[c] < low - margin if sign < 0 else r[c] > high + margin
+            share = len(own) / (len(own) + 50)
+            (low, high), (wide_low, wide_high) = quartiles([x[c] for x in own]), quartiles([x[c] for x in wide])
+            mixed = lambda a, b: share * a + (1 - share) * b  # noqa: B023, E731
+            margin = math.sqrt(1 + 50 / len(own)) * mixed(spread * (high - low) + 0.02, spread * (wide_high - wide_low) + 0.02)
+            wrong |= r[c] < mixed(low, wide_low) - margin if sign < 0 else r[c] > mixed(high, wide_high) + margin
         assert r["kept"] == (not r["base_failed"] and not wrong), r
     assert 0 < sum(r["kept"] for r in got) < len(got)
+    monkeypatch.setattr(T, "BROADCAST_BANDS", 0)
+    assert sorted(map(str, T.judged(docs(rows)).collect())) == sorted(map(str, got))
 
 
 def test_a_text_outside_its_band_goes(docs, words):
