@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, ship, slices
+from .common import flat, held_out, ship, slices, stored
 
 #: ASCII letters in lower case stay, other ASCII counts as a space, bytes of other characters stay.
 LETTERS = np.full(256, 0x20, np.uint8)
@@ -28,6 +28,7 @@ LETTERS[128:] = np.arange(128, 256)
 LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 ORDER = 3
+STATISTIC_BYTES = 24  # what one counted statistic takes at least while the model is made
 BLOCK = 1 << 20  # bytes whose costs are looked up at once
 
 
@@ -150,11 +151,19 @@ def train(docs: DataFrame, mb_per_language: float = 4, max_model_mb: float = 512
                     gram, n = np.unique(key.astype(np.int64) << 8 | data, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    got = d.where(pick).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = np.array(got.column("lang").to_pylist()), got.column("gram").to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(gram, kind="stable")
+    counted = d.where(pick).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "grams")
+    rows = counted.count()
+    if rows * STATISTIC_BYTES > max_model_mb * 1e6:  # before anything comes to the driver
+        raise ValueError(f"{rows} statistics of {len(share)} languages take over max_model_mb")
+    places = {k: i for i, k in enumerate(sorted(share))}
+    numbered = counted.select(F.create_map(*(F.lit(x) for k, i in places.items() for x in (k, i)))[F.col("lang")].alias("lang"), "gram", "n")
+    got = numbered.toArrow()
+    lang, gram, n = (got.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    order = np.lexsort((gram, lang))
     lang, gram, n = lang[order], gram[order], n[order]
-    model = freeze({k: (gram[lang == k], n[lang == k]) for k in share})
+    ends = np.searchsorted(lang, np.arange(len(places) + 1))
+    model = freeze({k: (gram[ends[places[k]] : ends[places[k] + 1]], n[ends[places[k]] : ends[places[k] + 1]]) for k in share})
     held = sum(t.bytes_held() for t in model.trees)
     if held > max_model_mb * 1e6:
         raise ValueError(f"the model of {len(share)} languages takes {held / 1e6:.0f} MB, over max_model_mb")
