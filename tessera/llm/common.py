@@ -59,6 +59,12 @@ def slices(batch, text: int, rows: int = 512, mb: float = 2):
         at = to
 
 
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) that keeps the columns, whatever their names: Spark finds none with a dot in it there."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
@@ -69,11 +75,14 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """left outer equi-join where one key may hold a third of left; right has one row a key and is repeated per salt. Both grow with the input: a shuffle."""
-    left = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+def salted_left_join(left: DataFrame, right: DataFrame, key: str | list[str], salts: int = 16) -> DataFrame:
+    """left outer equi-join where one key may hold a third of left; right has one row a key and is repeated per salt. Both grow with the input: a shuffle.
+
+    The salt is a hash of the row, so a task that runs again sends the same rows to the same places.
+    """
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("shuffle_merge")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
 
 
 # ---- numpy helpers that run inside tasks -------------------------------------------------------

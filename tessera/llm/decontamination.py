@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, mix, powers, ship, slices, stored, total_bytes, word_hashes, words_of
+from .common import SPACE, filtered, flat, mix, powers, salted_left_join, ship, slices, stored, total_bytes, word_hashes, words_of
 
 #: Which of a window's words count, mask by mask: every stretch of 13 equal words with at most a fifth of the words changed, of any length, leaves one of them whole, and so do 12 of 15.
 MASKS = ("111011011", "111000100111", "11001001000111", "11010100001101", "110001110101", "101101110001", "111100001011")
@@ -214,6 +214,7 @@ def sent_index(benchmark: DataFrame, item_col: str, item_text: str):
     return benchmark.sparkSession.sparkContext.broadcast(items)
 
 
+BROADCAST_HITS = 32_000_000  # bytes of hits with their items' texts that are broadcast; more are joined by a shuffle
 OVERLAP = "array<struct<item_id:long,word_from:int,word_to:int,matched:int>>"
 
 
@@ -223,6 +224,48 @@ def overlap_type():
     return pa.list_(pa.struct([("item_id", pa.int64()), ("word_from", pa.int32()), ("word_to", pa.int32()), ("matched", pa.int32())]))
 
 
+SEGMENT_BITS = 1 << 20  # of a bitmap that meet in one row
+
+
+def bitmap(keys: DataFrame, most_bits: int, n: int) -> np.ndarray:
+    """A bitmap of the leading bits of n 64-bit keys, at most 2**most_bits bits. Segments are joined in Spark, so the driver gets each once."""
+    bits = min(most_bits, max(10, n.bit_length() + 6))
+    size = min(SEGMENT_BITS, 1 << bits)
+
+    def rows(found):
+        import pyarrow as pa
+
+        some = [k for k in sorted(found) if found[k].any()]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([found[k].tobytes() for k in some], pa.binary())], names=["segment", "flags"])
+
+    def mark(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            place = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            for k in np.unique(place // size).tolist():
+                at = place[place // size == k] - k * size
+                np.bitwise_or.at(found.setdefault(k, np.zeros(size >> 3, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield rows(found)
+
+    def join(batches):
+        last, flags = None, None
+        for b in batches:
+            for k, more in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != last:
+                    if last is not None:
+                        yield rows({last: flags})
+                    last, flags = k, np.zeros(size >> 3, np.uint8)
+                flags |= np.frombuffer(more.as_buffer(), np.uint8)
+        if last is not None:
+            yield rows({last: flags})
+
+    schema = "segment int, flags binary"
+    whole = np.zeros(1 << bits >> 3, np.uint8)
+    for r in keys.mapInArrow(mark, schema).repartition("segment").sortWithinPartitions("segment").mapInArrow(join, schema).toLocalIterator():
+        whole[r["segment"] * (size >> 3) : (r["segment"] + 1) * (size >> 3)] |= np.frombuffer(r["flags"], np.uint8)
+    return whole
+
+
 def joined_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int, min_words: int, similarity: float, id_col: str, text_col: str, item_col: str, item_text: str, filter_bits: int = 29) -> DataFrame:
     """(doc_id, text_hash, overlaps) by an equi-join on seed hashes, for a benchmark of any size."""
     ship(docs.sparkSession)
@@ -243,21 +286,8 @@ def joined_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int, min_w
 
     asked = stored(items.select("item_id", "text", "item_hash").mapInArrow(item_seeds, "seed long, item_id long, item_hash long, masks array<string>"), "seeds")
     masks = sorted(r[0] for r in asked.select(F.explode("masks")).distinct().collect())  # as many as there are masks
-    bits = min(filter_bits, max(10, asked.count().bit_length() + 6))
-
-    def bitmap(batches):
-        import pyarrow as pa
-
-        found = np.zeros(1 << bits >> 3, np.uint8)
-        for b in batches:
-            place = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            np.bitwise_or.at(found, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bitmap"])
-
-    whole = np.zeros(1 << bits >> 3, np.uint8)
-    for r in asked.select("seed").mapInArrow(bitmap, "bitmap binary").toLocalIterator():
-        whole |= np.frombuffer(r[0], np.uint8)
-    sent = spark.sparkContext.broadcast(whole)  # 2**filter_bits bits at most
+    sent = spark.sparkContext.broadcast(bitmap(asked.select("seed"), filter_bits, asked.count()))
+    bits = (len(sent.value) << 3).bit_length() - 1
 
     def doc_seeds(batches):
         import pyarrow as pa
@@ -288,16 +318,38 @@ def joined_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int, min_w
                 hit = [k for k, x in enumerate(out) if x]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(hit, pa.int64())) for c in (0, 1)), pa.array([out[k] for k in hit], overlap_type())], names=["doc_id", "text_hash", "overlaps"])
 
-    own = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.text_hash") == F.col("t.text_hash"))
-    both = pairs.alias("p").join(texts.distinct().alias("t").hint("shuffle_merge"), own).select("p.doc_id", "p.text_hash", "t.text", "item_id", "item_hash")
-    both = both.join(items.select("item_id", "item_hash", F.col("text").alias("item_text")).hint("shuffle_merge"), ["item_id", "item_hash"]).select("doc_id", "text_hash", "text", "item_id", "item_text")
+    # texts of items go to the hits, not texts of documents; of the documents only those with a hit are moved
+    hits = salted_left_join(pairs, items.select("item_id", "item_hash", F.col("text").alias("item_text")).dropDuplicates(["item_id", "item_hash"]), ["item_id", "item_hash"])
+    hits = stored(hits.withColumn("key", F.xxhash64("doc_id", "text_hash")).select("key", "doc_id", "text_hash", "item_id", "item_text"), "hits")
+    n, size = hits.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text") + 32), F.lit(0))).first()
+    known = spark.sparkContext.broadcast(bitmap(hits.select("key"), filter_bits, n))
+    shift = 64 - ((len(known.value) << 3).bit_length() - 1)
+
+    def hit_texts(batches):
+        for batch in batches:
+            place = (batch.column(3).to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+            yield batch.filter(pa_bool((known.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+
+    some = texts.withColumn("key", F.xxhash64("doc_id", "text_hash")).mapInArrow(hit_texts, "doc_id long, text_hash long, text string, key long")
+    if size > BROADCAST_HITS:  # hits shuffle; rows that are all alike are one text
+        some, hits = some.dropDuplicates(["doc_id", "text_hash"]), hits.hint("shuffle_merge")
+    else:
+        hits = F.broadcast(hits)
+    own = F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("h.text_hash") == F.col("t.text_hash")) & (F.col("h.key") == F.col("t.key"))
+    both = some.alias("t").join(hits.alias("h"), own).select("t.doc_id", "t.text_hash", "t.text", "h.item_id", "h.item_text")
     return both.mapInArrow(verify, f"doc_id long, text_hash long, overlaps {OVERLAP}")
 
 
+def pa_bool(flags: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(flags, pa.bool_())
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, overlaps) for each document, or pair of a document and an item, with a verified overlap."""
+    """(doc_id, text_hash, overlaps) for each document, or pair of a document and an item, with a verified overlap."""
     if total_bytes(benchmark, item_text) > block_mb * 1e6:
-        return joined_overlaps(docs, benchmark, min_match, min_words, similarity, id_col, text_col, item_col, item_text).select("doc_id", "overlaps")
+        return joined_overlaps(docs, benchmark, min_match, min_words, similarity, id_col, text_col, item_col, item_text)
     ship(docs.sparkSession)
     sent = sent_index(benchmark, item_col, item_text)
 
@@ -309,9 +361,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_wor
             for part in slices(b, 1):
                 out = overlaps_in(part.column(1), index, min_match, similarity)
                 hit = [k for k, x in enumerate(out) if x]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit, pa.int64())), pa.array([out[k] for k in hit], overlap_type())], names=["doc_id", "overlaps"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(hit, pa.int64())) for c in (0, 2)), pa.array([out[k] for k in hit], overlap_type())], names=["doc_id", "text_hash", "overlaps"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, f"doc_id long, overlaps {OVERLAP}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).where("text is not null").mapInArrow(run, f"doc_id long, text_hash long, overlaps {OVERLAP}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words: int = 8, similarity: float = 0.8, block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -331,7 +383,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_words:
             for part in slices(b, place):
                 yield part.filter(pa.array([not x for x in overlaps_in(part.column(place), index, min_match, similarity, one=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -340,11 +392,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     An overlap is a stretch of a document and of an item, word by word with at least `similarity`
     equal, with `min_match` equal words or that share of a shorter item's; items of fewer than
     `min_words` words are too common to prove anything and are not searched for. Null and empty
-    texts overlap nothing. Repeated rows with one id give one row. Empty tables give an empty
+    texts overlap nothing. Repeated rows with one id give one row; rows without an id give one a text. Empty tables give an empty
     result. Other columns do not matter.
     """
     found = overlaps(docs, benchmark, **kw)
-    one = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("overlaps")))).alias("overlaps"))
+    one = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("unnamed")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("overlaps")))).alias("overlaps"))
     return one.select("doc_id", F.size("overlaps").cast("long").alias("n_overlaps"), F.array_sort(F.array_distinct("overlaps.item_id")).alias("item_ids"), F.array_max("overlaps.matched").cast("long").alias("longest"), "overlaps")
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, mix, ship, slices, window_hash, word_hashes, words_of
+from .common import filtered, flat, held_out, mix, ship, slices, window_hash, word_hashes, words_of
 
 WORDS, SHAPES, MARKS = 512, 256, 24
 TERMS = WORDS + SHAPES + MARKS
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, space: Space | None, k: int = 15, threshold: floa
             for b in slices(batch, place, 256):
                 yield b.filter(pa.array(s.score(term_counts(b.column(place)), k) >= threshold)) if s is not None else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

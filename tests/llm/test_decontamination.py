@@ -209,3 +209,28 @@ def test_neighbouring_changed_words_do_not_hide_an_overlap():
     for n, at in ((20, (9, 10)), (23, (10, 11)), (24, (5, 10, 11, 17))):
         item = [f"w{i}" for i in range(n)]
         assert held([w if i not in at else f"other{i}" for i, w in enumerate(item)], item) >= 13
+
+
+def test_many_rows_without_an_id_are_told_apart_by_text(docs, words, items, monkeypatch):
+    rows = [(None, f"{words(3, i)} {words(40, 1000)}") for i in range(30)] + [(None, words(40, 5000 + i)) for i in range(30)] + [(None, f"{words(3, 0)} {words(40, 1000)}")]
+    found = []
+    for mb, hits in ((8, None), (0, None), (0, 0)):
+        if hits is not None:
+            monkeypatch.setattr(D, "BROADCAST_HITS", hits)
+        got = D.contaminated(docs(rows), items, block_mb=mb).collect()
+        assert len(got) == 30 and all(r["doc_id"] is None and r["item_ids"] == [0] for r in got)
+        found.append(sorted(map(str, got)))
+    assert found[0] == found[1] == found[2]
+
+
+def test_bitmap_by_segments(spark, monkeypatch):
+    import numpy as np
+
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 3000)
+    df = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(5)
+    monkeypatch.setattr(D, "SEGMENT_BITS", 1 << 10)
+    found = D.bitmap(df, 14, 3000)
+    place = keys.view(np.uint64) >> np.uint64(64 - 14)
+    want = np.zeros(1 << 14, bool)
+    want[place.astype(np.int64)] = True
+    assert (np.unpackbits(found, bitorder="little").astype(bool) == want).all()
