@@ -29,6 +29,8 @@ from .perfect_hash import PerfectHash
 #: Where pieces end, and the bytes between words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 FAN = 16
+SLICE_MB = 2  # of text taken apart at once
+HELD_WORDS = 400_000  # different words of several slices that a task sums before it sends them
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -39,7 +41,7 @@ class Sizes(NamedTuple):
     pass_slots: int = 1 << 23  # slots that a mapper counts in one pass; more are counted in further passes
     pairs: int = 1 << 22  # hashed counts of pairs, a power of two
     chunk: int = 1 << 15  # slots summed in one row
-    run: int = 1 << 18  # places of a sequence in one row, but for runs without a break
+    run: int = 1 << 17  # places of a sequence in one row, but for runs without a break
 
 
 BREAK = np.zeros(256, bool)
@@ -55,8 +57,7 @@ def tokens(langs: list, texts) -> tuple[np.ndarray, ...]:
     data = data + (upper.astype(np.uint8) << 5)
     starts, stops, first = words_of(data, ends, APART)
     of = np.repeat(np.arange(len(ends) - 1), np.diff(first))
-    pieces = np.cumsum(BREAK[data])
-    piece = pieces[starts] if len(starts) else starts
+    piece = np.searchsorted(np.flatnonzero(BREAK[data]), starts)
     new = np.ones(len(starts), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (of[1:] != of[:-1])
     names = sorted(set(langs))
@@ -72,15 +73,17 @@ def tokens(langs: list, texts) -> tuple[np.ndarray, ...]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, a, key, other): every word with its count and its key."""
+    """(lang, key, other, a): every word's key with its count."""
 
-    def run(batches):
+    names = ["lang", "key", "other", "a"]
+
+    def counted(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for b in slices(whole, 1, 1 << 14, 4):
+            for b in slices(whole, 1, 1 << 14, SLICE_MB):
                 langs = b.column(0).to_pylist()
-                data, starts, stops, of, _, key, other = tokens(langs, b.column(1))
+                *_, of, _, key, other = tokens(langs, b.column(1))
                 if not len(key):
                     continue
                 order = np.argsort(key, kind="stable")
@@ -90,12 +93,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     new = np.append(True, (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]))
                 at = order[new]
                 count = np.diff(np.append(np.flatnonzero(new), len(order)))
-                text = data.tobytes()
-                words = [text[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), stops[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in of[at].tolist()], pa.string()), pa.array(words, pa.string()), pa.array(count, pa.int64()), pa.array(key[at].view(np.int64)), pa.array(other[at].view(np.int64))], names=["lang", "word", "a", "key", "other"])
+                yield pa.table([pa.array(langs, pa.string()).take(pa.array(of[at])), pa.array(key[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(count, pa.int64())], names=names)
+
+    def run(batches):
+        """The counts of several slices are summed before they are sent, as long as few words come of it."""
+        import pyarrow as pa
+
+        held = []
+        for t in counted(batches):
+            held.append(t)
+            if sum(len(x) for x in held) >= HELD_WORDS:
+                one = pa.concat_tables(held).group_by(names[:3], use_threads=False).aggregate([("a", "sum")]).rename_columns(names)
+                held = [one]
+                if len(one) >= HELD_WORDS / 2:
+                    yield from one.to_batches()
+                    held = []
+        for t in held:
+            yield from t.to_batches()
 
-    found = docs.mapInArrow(run, "lang string, word string, a long, key long, other long")
-    return found.groupBy("lang", "word").agg(F.sum("a").alias("a"), F.first("key").alias("key"), F.first("other").alias("other"))
+    return docs.mapInArrow(run, "lang string, key long, other long, a long").groupBy("lang", "key", "other").agg(F.sum("a").alias("a"))
 
 
 class Slots:
@@ -170,20 +186,32 @@ def look_up(loaded: dict, keys: np.ndarray, other: np.ndarray | None = None) ->
     return out
 
 
-def sequences(slot: np.ndarray, word: np.ndarray, run: int):
-    """Arrow rows of a sequence of slots and last words, -1 between runs. Cut at breaks, with none but one kept between runs."""
+def packed(values: np.ndarray) -> bytes:
+    """The length in 8 bytes, then the compressed numbers: the JVM holds many rows at once."""
     import pyarrow as pa
 
+    data = values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.int32)
+
+
+def sequences(slot: np.ndarray, word: np.ndarray | None, run: int):
+    """(slots, last words) of a sequence, packed, with -1 between runs. Cut at breaks, with none but one kept between runs. word: null if it is the slot."""
     good = slot >= 0
     keep = good.copy()
     keep[1:] |= good[:-1]
-    slot, word = slot[keep].astype(np.int32), word[keep].astype(np.int32)
+    slot, word = slot[keep].astype(np.int32), None if word is None else word[keep].astype(np.int32)
     ends = np.flatnonzero(slot < 0) + 1
     at = 0
     while at < len(slot):
         k = np.searchsorted(ends, at + run)
         to = int(ends[k]) if k < len(ends) else len(slot)
-        yield pa.RecordBatch.from_arrays([pa.array([slot[at:to].tobytes()], pa.binary()), pa.array([word[at:to].tobytes()], pa.binary())], names=["slot", "word"])
+        yield packed(slot[at:to]), None if word is None else packed(word[at:to])
         at = to
 
 
@@ -191,20 +219,32 @@ SEQUENCE = "slot binary, word binary"
 
 
 def encoded(docs: DataFrame, words: Slots, length: int) -> DataFrame:
-    """Texts as sequences of ids of frequent words; rare words and ends of pieces are breaks."""
+    """Texts as sequences of ids of frequent words; rare words and ends of pieces are breaks. Rows with an id name a word instead, once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(words.load(list(range(words.segments))))
 
+    n = words.n
+
     def run(batches):
-        loaded = shared.value
+        import pyarrow as pa
+
+        loaded, named = shared.value, np.zeros(n, bool)
         for whole in batches:
-            for b in slices(whole, 1, 1 << 14, 4):
-                *_, new, key, other = tokens(b.column(0).to_pylist(), b.column(1))
+            for b in slices(whole, 1, 1 << 14, SLICE_MB):
+                langs = b.column(0).to_pylist()
+                data, starts, stops, of, new, key, other = tokens(langs, b.column(1))
                 ids = look_up(loaded, key, other)
-                at = np.flatnonzero(new)
-                ids = np.insert(ids, at, -1)
-                yield from sequences(ids, ids, length)
+                seen, first = np.unique(ids, return_index=True)
+                seen, first = seen[seen >= 0], first[seen >= 0]
+                fresh = ~named[seen]
+                named[seen] = True
+                at = first[fresh]
+                text = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), stops[at].tolist())]
+                rows = list(sequences(np.insert(ids, np.flatnonzero(new), -1), None, length))
+                none = [None] * len(text)
+                columns = [s for s, _ in rows] + none, [None] * len(rows) + seen[fresh].tolist(), [None] * len(rows) + [langs[k] for k in of[at].tolist()], [None] * len(rows) + text
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.string(), pa.string()))], names=["slot", "id", "lang", "phrase"])
 
-    return docs.mapInArrow(run, SEQUENCE)
+    return docs.mapInArrow(run, "slot binary, id long, lang string, phrase string")
 
 
 def longer(slot: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +256,8 @@ def longer(slot: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def rows_in(batches):
     for b in batches:
         for slot, word in zip(b.column(0), b.column(1)):
-            yield np.frombuffer(slot.as_buffer(), np.int32), np.frombuffer(word.as_buffer(), np.int32)
+            slot = unpacked(slot.as_py())
+            yield slot, slot if not word.is_valid else unpacked(word.as_py())
 
 
 def summed(parts: DataFrame, top: int | None = None) -> DataFrame:
@@ -257,8 +298,25 @@ def counted(seq: DataFrame, size: int, chunk: int, slots_of, top: int | None = N
         from pyspark import TaskContext
 
         total = np.zeros(size, np.int64)
+        held, n = [], 0
+
+        def add():
+            if held:
+                at, times = np.unique(np.concatenate(held), return_counts=True)
+                total[at] += times
+                held.clear()
+
         for slot, word in rows_in(batches):
-            total += np.bincount(slots_of(slot, word), minlength=size)
+            at = slots_of(slot, word)
+            if len(at) >= size / 8:
+                total += np.bincount(at, minlength=size)
+                continue
+            held.append(at)
+            n += len(at)
+            if n >= HELD_WORDS:
+                add()
+                n = 0
+        add()
         if top is not None:
             np.minimum(total, top, out=total)
         part = TaskContext.get().partitionId()
@@ -357,12 +415,15 @@ def rewritten(seq: DataFrame, slots: Slots, length: int) -> DataFrame:
     shared = seq.sparkSession.sparkContext.broadcast(slots.load(list(range(slots.segments))))
 
     def run(batches):
+        import pyarrow as pa
+
         loaded = shared.value
         for slot, word in rows_in(batches):
             at, key = longer(slot, word)
             new = np.full(len(slot), -1, np.int64)
             new[at] = look_up(loaded, key)
-            yield from sequences(new[:-1], word[1:], length)
+            rows = list(sequences(new[:-1], word[1:], length))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["slot", "word"])
 
     return seq.mapInArrow(run, SEQUENCE)
 
@@ -388,9 +449,11 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, first: int
     totals = every.groupBy("lang").agg(F.sum("a").alias("n"))
     vocabulary = stored(every.where(F.col("a") >= least), "vocabulary")
     words = Slots(vocabulary, sizes)
-    level = stored(words.rows.join(vocabulary.select("key", "lang", F.col("word").alias("phrase")), "key").select("slot", "lang", "phrase", "a", F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
+    texts = stored(encoded(docs, words, sizes.run), "sequences")
+    names = texts.where("id is not null").select(F.col("id").alias("slot"), "lang", "phrase").dropDuplicates(["slot"])
+    level = stored(words.rows.join(names, "slot").select("slot", "lang", "phrase", "a", F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
     single = level
-    seq = stored(encoded(docs, words, sizes.run), "sequences")
+    seq = texts.where("slot is not null").select("slot", F.lit(None).cast("binary").alias("word"))
     levels = []
     for k in range(2, longest + 1):
         pairs = frequent_pairs(seq, least, sizes.pairs, sizes.chunk) if k == 2 else None
