@@ -31,6 +31,14 @@ class JobsCorruptedError(Error, RuntimeError):
         self.job_ids = list(job_ids)
 
 
+class DocumentsCorruptedError(Error, RuntimeError):
+    """Documents that cannot be read."""
+
+    def __init__(self, job_ids):
+        super().__init__(job_ids)
+        self.job_ids = list(job_ids)
+
+
 class StatepointParsingError(Error, RuntimeError):
     """A state point does not fit its source, or sources disagree."""
 

@@ -89,7 +89,7 @@ def nested_json(entries: Column) -> Column:
     def run(arrays):
         import pyarrow as pa
 
-        return pa.array([None if a is None else json.dumps(nest({e["path"]: json.loads(e["json"]) for e in a}), sort_keys=True) for a in arrays.to_pylist()], pa.string())
+        return pa.array([None if a is None else json.dumps(nest({e["path"]: json.loads(e["json"]) for e in a if e["json"] is not None}), sort_keys=True) for a in arrays.to_pylist()], pa.string())
 
     import pyarrow as pa
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..errors import DestinationExistsError, JobsCorruptedError
 from ..functions import canon
-from ..functions.leaves import leaves
+from ..functions.leaves import leaves, nested_json
 from ..functions.shipping import ship
 from ..plans.fields import NUMBERS, TypedFields, VariantFields
 from ..plans.filters import compile_filter, read_filter
@@ -142,8 +142,28 @@ class Project:
 
     # ---- changing -------------------------------------------------------------------------
 
+    def as_json(self) -> Project:
+        """A typed project as one of JSON: null columns are missing keys, ids are those of the state points. Equal state points are one job."""
+        if not self.typed:
+            return self
+
+        def side(ns: str) -> Column:
+            keys = {k.split(".", 1)[1]: F.col(c) for k, c in self.fields.columns.items() if k.startswith(f"{ns}.")}
+            text = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":|\}$", "")
+            return nested_json(F.array(*(F.struct(F.lit(k).alias("path"), F.when(c.isNotNull(), text(c)).alias("json")) for k, c in keys.items())).cast("array<struct<path:string,json:string>>"))
+
+        rows = self.jobs.select(side("sp").alias("sp_json"), (side("doc") if any(k.startswith("doc.") for k in self.fields.columns) else F.lit(None).cast("string")).alias("doc_json"))
+        rows = rows.groupBy("sp_json").agg(F.min("doc_json").alias("doc_json"))
+        return Project.of_canonical(rows.select(F.md5("sp_json").alias("job_id"), "sp_json", "doc_json"), self.document)
+
+    def _own_json(self) -> DataFrame:
+        """The jobs with sp_json and doc_json, which typed projects do not have."""
+        if self.typed:
+            raise TypeError("a project of typed columns is read only: change its table, or make a project of JSON from it (as_json)")
+        return self.jobs
+
     def _plain(self) -> DataFrame:
-        return self.jobs.select("job_id", "sp_json", "doc_json")
+        return self._own_json().select("job_id", "sp_json", "doc_json")
 
     def insert(self, other: Project) -> Project:
         """Add the jobs that are not there yet."""
@@ -165,26 +185,33 @@ class Project:
         chosen = Project(self.find_jobs(filter).df, self.fields)
         return self.remove(filter), other.clone(chosen)
 
-    def update_statepoints(self, change: Mapping, filter: Any = None, overwrite: bool = False) -> Project:
-        """Set keys of matching jobs' state points; they get new ids. A key with another value there needs overwrite."""
-        hit = compile_filter(filter, self.fields)
-        j = self.jobs.withColumn("_hit", hit)
+    def statepoint_changes(self, change: Mapping, filter: Any = None, overwrite: bool = False) -> DataFrame:
+        """(job_id, sp_json): the new state points of matching jobs. A key with another value there needs overwrite."""
+        chosen = self._own_json().where(compile_filter(filter, self.fields))
         if not overwrite:
             same = compile_filter({"$and": [{"$or": [{k: {"$exists": False}}, {k: v}]} for k, v in change.items()]} if change else {}, self.fields)
-            if j.where(F.col("_hit") & ~same).take(1):
+            if chosen.where(~same).take(1):
                 raise KeyError(f"other values are there: {sorted(change)}")
-        new = _changed(F.col("sp_json"), change)
-        j = j.withColumn("sp_json", F.when(F.col("_hit"), new).otherwise(F.col("sp_json"))).withColumn("job_id", F.when(F.col("_hit"), canon.job_id("sp_json")).otherwise(F.col("job_id")))
+        return chosen.select("job_id", _changed(F.col("sp_json"), change).alias("sp_json"))
+
+    def update_statepoints(self, change: Mapping, filter: Any = None, overwrite: bool = False) -> Project:
+        """Set keys of matching jobs' state points; they get new ids. A key with another value there needs overwrite.
+
+        Only the table changes; sources.changes.update_statepoints does the same to job folders.
+        """
+        new = self.statepoint_changes(change, filter, overwrite)
+        j = self._plain().join(new.select("job_id", F.col("sp_json").alias("new")), "job_id", "left")
+        j = j.select(F.coalesce(F.md5("new"), "job_id").alias("job_id"), F.coalesce("new", "sp_json").alias("sp_json"), "doc_json")
         clash = j.groupBy("job_id").agg(F.count("*").alias("n")).where("n > 1").take(1)
         if clash:
             raise DestinationExistsError(clash[0][0])
-        return Project.of_canonical(j.select("job_id", "sp_json", "doc_json"), self.document)
+        return Project.of_canonical(j, self.document)
 
     def update_documents(self, change: Mapping, filter: Any = None, replace: bool = False) -> Project:
         """Set keys of matching jobs' documents, or replace those documents."""
         hit = compile_filter(filter, self.fields)
         new = F.lit(canon.canonical(change)) if replace else _changed(F.coalesce("doc_json", F.lit("{}")), change)
-        return Project.of_canonical(self.jobs.select("job_id", "sp_json", F.when(hit, new).otherwise(F.col("doc_json")).alias("doc_json")), self.document)
+        return Project.of_canonical(self._own_json().select("job_id", "sp_json", F.when(hit, new).otherwise(F.col("doc_json")).alias("doc_json")), self.document)
 
     def clear(self, filter: Any = None) -> Project:
         """Empty the documents of matching jobs; state points stay."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DocumentSyncConflict, FileSyncConflict, SchemaSyncConflict
+from ..functions.canon import canonical
 from ..functions.leaves import leaves, nested_json, written
 from ..functions.shipping import ship
 from .project import Project
@@ -20,14 +21,15 @@ from .schema import ProjectSchema
 
 
 class DocSync:
-    """How documents are merged."""
+    """How documents are merged. NO_SYNC: not at all. COPY: the source's document, where it has one, replaces the destination's.
+    UPDATE: each key of the source's document, nested or not, replaces that of the destination as a whole."""
 
     NO_SYNC = "no_sync"
     COPY = "copy"
     UPDATE = "update"
 
     class ByKey:
-        """Key by key. keys: regular expression matched from the start, or a callable of the dotted key, for keys whose
+        """Key by key, mappings on both sides one within the other; equal values (1 and 1.0 too) are no difference. keys: regular expression matched from the start, or a callable of the dotted key, for keys whose
         differing value the source gives; other differences stay as they are, or raise if keys is None."""
 
         def __init__(self, keys: str | Callable[[str], bool] | None = None):
@@ -82,34 +84,44 @@ def job_plan(source: DataFrame, destination: DataFrame, value: list[str] | None
 def document_plan(source: DataFrame, destination: DataFrame, how: Any) -> DataFrame:
     """(job_id, path, src_json, dst_json, json, conflict) for leaves of jobs that both have. json: what is kept.
 
-    A leaf on one side that is a mapping on the other is a conflict too.
+    A leaf on one side that is a mapping on the other is a conflict too, but for empty mappings,
+    which give way to any other.
     """
     common = source.select("job_id").join(destination.select("job_id"), "job_id", "left_semi")
-    s = leaves(source.join(common, "job_id", "left_semi"), "doc_json", "doc").select("job_id", "path", F.col("json").alias("src_json"))
-    d = leaves(destination.join(common, "job_id", "left_semi"), "doc_json", "doc").select("job_id", "path", F.col("json").alias("dst_json"))
+    # a document that is there but empty has no leaves: COPY needs to know it
+    has = source.where("doc_json is not null").select("job_id", F.lit(True).alias("has_doc"))
+    s, d = (leaves(x.join(common, "job_id", "left_semi"), "doc_json", "doc").select("job_id", "path", F.col("json").alias(f"{side}_json"), F.col("same").alias(f"{side}_same")) for x, side in ((source, "src"), (destination, "dst")))
     both = s.join(d, ["job_id", "path"], "full_outer")
+    no = F.lit(False)
     if how == DocSync.NO_SYNC:
-        return both.withColumns({"json": F.col("dst_json"), "conflict": F.lit(False)})
+        return both.withColumns({"json": F.col("dst_json"), "conflict": no}).drop("src_same", "dst_same")
     if how == DocSync.COPY:
-        return both.withColumns({"json": F.col("src_json"), "conflict": F.lit(False)})
+        return both.join(has, "job_id", "left").withColumns({"json": F.when(F.col("has_doc"), F.col("src_json")).otherwise(F.col("dst_json")), "conflict": no}).drop("has_doc", "src_same", "dst_same")
+    if how == DocSync.UPDATE:
+        top = lambda x: x.withColumn("top", F.substring_index("path", ".", 1))
+        replaced = top(s).select("job_id", "top", F.lit(True).alias("replaced")).distinct()
+        return top(both).join(replaced, ["job_id", "top"], "left").withColumns({"json": F.when(F.col("replaced"), F.col("src_json")).otherwise(F.col("dst_json")), "conflict": no}).drop("top", "replaced", "src_same", "dst_same")
     above = lambda least: F.expr(f"transform(sequence(1, size(split(path, '[.]')) - {least}), i -> array_join(slice(split(path, '[.]'), 1, i), '.'))")
     inner = lambda x: x.where(F.col("path").contains(".")).select("job_id", F.explode(above(1)).alias("path")).distinct()
-    if how == DocSync.UPDATE:
-        wins = F.lit(True)
-    elif how.keys is None:
+    if how.keys is None:
         wins = F.lit(False)
     elif callable(how.keys):
         wins = _key_test(how.keys)
     else:
         wins = F.rlike("path", F.lit(f"^(?:{re.sub(r'[(][?]P<', '(?<', how.keys)})"))
     # a leaf on one side that is a mapping on the other decides for all that lies at or below it
-    shapes = s.join(inner(d), ["job_id", "path"], "left_semi").union(d.join(inner(s), ["job_id", "path"], "left_semi")).select("job_id", "path", wins.alias("root_wins")).distinct()
+    solid = lambda x, side: x.where(F.col(f"{side}_json") != "{}").select("job_id", "path")
+    empty = lambda x, side: x.where(F.col(f"{side}_json") == "{}").select("job_id", "path")
+    yields = empty(s, "src").join(inner(d), ["job_id", "path"], "left_semi").union(empty(d, "dst").join(inner(s), ["job_id", "path"], "left_semi")).withColumn("yields", F.lit(True))
+    shapes = solid(s, "src").join(inner(d), ["job_id", "path"], "left_semi").union(solid(d, "dst").join(inner(s), ["job_id", "path"], "left_semi")).select("job_id", "path", wins.alias("root_wins")).distinct()
     below = both.select("job_id", "path", F.explode(above(0)).alias("root")).join(shapes.withColumnRenamed("path", "root"), ["job_id", "root"]).groupBy("job_id", "path").agg(F.min("root_wins").alias("root_wins"))
-    both = both.join(below, ["job_id", "path"], "left")
-    differ = F.col("src_json").isNotNull() & F.col("dst_json").isNotNull() & (F.col("src_json") != F.col("dst_json"))
-    kept = F.when(F.col("root_wins").isNotNull(), F.when(F.col("root_wins"), F.col("src_json")).otherwise(F.col("dst_json"))).when(differ & ~wins, F.col("dst_json")).otherwise(F.coalesce("src_json", "dst_json"))
+    both = both.join(below, ["job_id", "path"], "left").join(yields, ["job_id", "path"], "left")
+    # an empty mapping of the source has nothing to say about what the destination holds there
+    differ = F.coalesce((F.col("src_same") != F.col("dst_same")) & (F.col("src_json") != "{}"), no)
+    kept_own = F.coalesce((F.col("src_same") == F.col("dst_same")) | (F.col("src_json") == "{}"), no) & F.col("dst_json").isNotNull()
+    kept = F.when(F.col("yields"), F.lit(None).cast("string")).when(F.col("root_wins").isNotNull(), F.when(F.col("root_wins"), F.col("src_json")).otherwise(F.col("dst_json"))).when(kept_own | (differ & ~wins), F.col("dst_json")).otherwise(F.coalesce("src_json", "dst_json"))
     conflict = F.coalesce(~F.col("root_wins"), differ & ~wins)
-    return both.withColumns({"json": kept, "conflict": conflict}).drop("root_wins")
+    return both.withColumns({"json": kept, "conflict": conflict}).drop("root_wins", "yields", "src_same", "dst_same")
 
 
 def _key_test(function: Callable[[str], bool]) -> Column:
@@ -125,8 +137,18 @@ def _key_test(function: Callable[[str], bool]) -> Column:
     return F.arrow_udf(run, T.BooleanType())("path")
 
 
-def merged_documents(plan: DataFrame) -> DataFrame:
-    """(job_id, doc_json) of a document plan; one job's leaves meet in one row."""
+def merged_documents(source: DataFrame, destination: DataFrame, plan: DataFrame, how: Any) -> DataFrame:
+    """(job_id, merged): the documents that jobs of both sides get by a document plan; one job's leaves meet in one row.
+
+    A job has no document afterwards only if neither side that counts has one.
+    """
+    s, d = source.select("job_id", F.col("doc_json").alias("src_doc")), destination.select("job_id", F.col("doc_json").alias("dst_doc"))
+    both = s.join(d, "job_id").join(_gathered(plan), "job_id", "left")
+    some = F.col("dst_doc") if how == DocSync.NO_SYNC else F.coalesce("src_doc", "dst_doc")
+    return both.select("job_id", F.when(some.isNotNull(), F.coalesce("doc_json", F.lit("{}"))).alias("merged"))
+
+
+def _gathered(plan: DataFrame) -> DataFrame:
     return plan.where("json is not null").groupBy("job_id").agg(F.collect_list(F.struct("path", "json")).alias("entries")).select("job_id", nested_json(F.col("entries")).alias("doc_json"))
 
 
@@ -164,7 +186,9 @@ def merge_mapping(source: dict, destination: dict, how: Any) -> dict:
     """One document merged into another by the rules of document_plan (the project's own document)."""
     if how in (DocSync.NO_SYNC, DocSync.COPY):
         return dict(destination)
-    wins = (lambda k: True) if how == DocSync.UPDATE else (lambda k: False) if how.keys is None else how.keys if callable(how.keys) else re.compile(how.keys).match
+    if how == DocSync.UPDATE:
+        return {**destination, **source}
+    wins = (lambda k: False) if how.keys is None else how.keys if callable(how.keys) else re.compile(how.keys).match
     conflicts: list[str] = []
 
     def merge(a: dict, b: dict, above: str) -> dict:
@@ -172,7 +196,9 @@ def merge_mapping(source: dict, destination: dict, how: Any) -> dict:
         for k, v in a.items():
             if isinstance(v, dict) and isinstance(b.get(k), dict):
                 out[k] = merge(v, b[k], f"{above}{k}.")
-            elif k not in b or b[k] == v or wins(above + k):
+            elif k in b and (b[k] == v or v == {}):
+                continue
+            elif k not in b or wins(above + k):
                 out[k] = v
             else:
                 conflicts.append(above + k)
@@ -212,15 +238,20 @@ def sync_workspaces(spark: SparkSession, source: str, destination: str, strategy
 
     Jobs that only the source has are cloned whole (excluded files aside), those of both merged:
     documents by doc_sync, differing files by strategy (None: a difference raises FileSyncConflict).
-    Every conflict is raised before anything is written; dry_run stops there.
+    Every conflict is raised before anything is written, and so are damaged state points and
+    documents of either side; dry_run stops there. What is written comes whole or not at all: after
+    a run that was broken off, sources.journal.recover() finishes it or undoes it.
     """
-    from ..sources.folders import read_document, write_document
-    from ..sources.workspace import Layout, copy_files, list_files, read_project, write_project
+    from ..sources.folders import read_document
+    from ..sources.journal import settled
+    from ..sources.workspace import Layout, list_files, read_project
 
     layout = layout or Layout()
     if os.path.realpath(source.removeprefix("file://")) == os.path.realpath(destination.removeprefix("file://")):
         raise ValueError("source and destination are one project")
-    s, d = (read_project(spark, root, layout, validate=False) for root in (source, destination))
+    for root in (source, destination):
+        settled(spark, root, layout)
+    s, d = (read_project(spark, root, layout) for root in (source, destination))
     if "://" not in source and "://" not in destination:
         s.document, d.document = read_document(source, layout.document), read_document(destination, layout.document)
     if selection is not None and not isinstance(selection, DataFrame):
@@ -232,22 +263,54 @@ def sync_workspaces(spark: SparkSession, source: str, destination: str, strategy
     n, volume = transfer_stats(plan).first()
     if dry_run:
         return Synced(merged, plan, n, volume)
-    rows = written(merged.jobs.join(ids, "job_id", "left_semi").select("job_id", "sp_json", "doc_json"))  # before folders change
-    copy_files(_copied(plan), source, destination, layout)
-    write_project(Project.of_canonical(rows), destination, layout)
-    if "://" not in destination and merged.document != d.document:
-        write_document(destination, merged.document, layout.document)
+    own = d.jobs.select("job_id", F.col("doc_json").alias("before"), F.lit(True).alias("own"))
+    rows = merged.jobs.join(ids, "job_id", "left_semi").join(own, "job_id", "left").select("job_id", F.when(F.col("own").isNull(), F.col("sp_json")).alias("sp_json"), "before", "doc_json")
+    document = canonical(merged.document) if "://" not in destination and merged.document != d.document else None
+    _apply(spark, written(rows), plan, source, destination, layout, document)
     return Synced(read_project(spark, destination, layout, validate=False), plan, n, volume)
 
 
+def _apply(spark: SparkSession, rows: DataFrame, plan: DataFrame, source: str, destination: str, layout: Any, document: str | None = None, source_id: str | None = None) -> None:
+    """Write what a synchronisation comes to, as one change. rows: (job_id, sp_json of new jobs, doc_json, the document `before`)."""
+    from ..sources import journal as journals
+    from ..sources.workspace import copy_files
+
+    no, nothing = F.lit(False), F.lit(None).cast("string")
+    step = lambda df, name, there, fresh: df.select(F.lit("file").alias("kind"), nothing.alias("job_id"), F.col("job_id").alias("target_id"), name.alias("path"), there.alias("there"), fresh.alias("fresh"))
+    text = lambda df, name, c: df.select(F.col("job_id").alias("target_id"), F.lit(name).alias("path"), F.col(c).alias("text"))
+    new, docs = rows.where("sp_json is not null"), rows.where("doc_json is not null and not (doc_json <=> before)")
+    copied = plan.where("action = 'copy'")
+    fresh = F.col("sp_json").isNotNull()
+    steps = step(new, F.lit(layout.statepoint), no, F.lit(True)).union(step(docs, F.lit(layout.document), F.col("before").isNotNull(), fresh)).union(step(copied, F.col("path"), F.col("dst_length").isNotNull(), no))
+    texts = text(new, layout.statepoint, "sp_json").union(text(docs, layout.document, "doc_json"))
+    if document is not None:
+        one = spark.createDataFrame([(layout.document, document)], "path string, text string").withColumn("target_id", nothing)
+        had = os.path.exists(f"{destination.removeprefix('file://')}/{layout.document}")
+        steps = steps.union(one.select(F.lit("file"), nothing, "target_id", "path", F.lit(had), no))
+        texts = texts.union(one.select("target_id", "path", "text"))
+    files = _copied(plan)
+    if source_id is not None:
+        files = files.withColumnsRenamed({"job_id": "target_id"}).withColumn("job_id", F.lit(source_id))
+
+    def stage(journal) -> None:
+        copy_files(files, source, destination, layout, into=f"{journal.inside}/new")
+        journals.write_texts(texts, journal)
+
+    if steps.take(1):
+        journals.changed(spark, destination, steps, stage, layout)
+
+
 def sync_jobs(spark: SparkSession, source: str, source_id: str, destination: str, destination_id: str, strategy: Column | None = None, doc_sync: Any = None, exclude: Iterable[str] = (), recursive: bool = True, deep: bool = False, size_only: bool = False, dry_run: bool = False, layout: Any = None) -> Synced:
     """Bring the document and files of one job into another, whose id and state point may differ and stay."""
-    from ..sources.workspace import Layout, copy_files, list_files, read_project, write_project
+    from ..sources.journal import settled
+    from ..sources.workspace import Layout, list_files, read_project
 
     layout, how = layout or Layout(), DocSync.ByKey() if doc_sync is None else doc_sync
     if (os.path.realpath(source), source_id) == (os.path.realpath(destination), destination_id):
         raise ValueError("source and destination are one job")
-    one = lambda root, i: read_project(spark, root, layout, validate=False).jobs.where(F.col("job_id") == i).select("job_id", "sp_json", "doc_json")
+    for root in (source, destination):
+        settled(spark, root, layout)
+    one = lambda root, i: read_project(spark, root, layout).jobs.where(F.col("job_id") == i).select("job_id", "sp_json", "doc_json")
     s, d = one(source, source_id).withColumn("job_id", F.lit(destination_id)), one(destination, destination_id)
     for rows, i in ((s, source_id), (d, destination_id)):
         if not rows.take(1):
@@ -257,15 +320,14 @@ def sync_jobs(spark: SparkSession, source: str, source_id: str, destination: str
         found = sorted(r[0] for r in docs.where("conflict").select("path").distinct().take(100))
         if found:
             raise DocumentSyncConflict(found)
-    merged = written(d.join(merged_documents(docs).withColumnRenamed("doc_json", "merged"), "job_id", "left").select("job_id", "sp_json", F.coalesce("merged", "doc_json").alias("doc_json")))
+    merged = written(d.join(merged_documents(s, d, docs, how), "job_id").select("job_id", "sp_json", F.col("doc_json").alias("before"), F.col("merged").alias("doc_json")))
     ids = lambda i: spark.createDataFrame([(i,)], "job_id string")
     theirs = list_files(spark, source, ids(source_id), layout, digest=deep).withColumn("job_id", F.lit(destination_id))
     plan = written(file_plan(theirs, list_files(spark, destination, ids(destination_id), layout, digest=deep), strategy, exclude, recursive, deep, size_only))
     n, volume = transfer_stats(plan).first()
     if not dry_run:
-        copy_files(_copied(plan).withColumnsRenamed({"job_id": "target_id"}).withColumn("job_id", F.lit(source_id)), source, destination, layout)
-        write_project(Project.of_canonical(merged), destination, layout)
-    return Synced(Project.of_canonical(merged), plan, n, volume)
+        _apply(spark, merged.select("job_id", F.lit(None).cast("string").alias("sp_json"), "before", "doc_json"), plan, source, destination, layout, source_id=source_id)
+    return Synced(Project.of_canonical(merged.select("job_id", "sp_json", "doc_json")), plan, n, volume)
 
 
 def sync_projects(source: Project, destination: Project, doc_sync: Any = None, selection: Iterable[str] | DataFrame | None = None, check_schema: bool = True) -> Project:
@@ -290,8 +352,8 @@ def sync_projects(source: Project, destination: Project, doc_sync: Any = None, s
         found = [r[0] for r in plan.where("conflict").select("path").distinct().take(100)]
         if found:
             raise DocumentSyncConflict(sorted(found))
-    docs = merged_documents(plan).withColumnRenamed("doc_json", "merged")
+    docs = merged_documents(s, d, plan, how)
     of = lambda rows, action: rows.join(job_plan(s, d).where(F.col("action") == action).select("job_id"), "job_id", "left_semi")
-    common = of(d, "merge").join(docs, "job_id", "left").select("job_id", "sp_json", F.coalesce("merged", "doc_json").alias("doc_json"))
+    common = of(d, "merge").join(docs, "job_id").select("job_id", "sp_json", F.col("merged").alias("doc_json"))
     own, new = of(d, "keep"), of(s, "clone")
     return Project.of_canonical(common.union(own).union(new), merge_mapping(source.document, destination.document, how))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DestinationExistsError, JobsCorruptedError, WorkspaceError
+from ..errors import DestinationExistsError, DocumentsCorruptedError, JobsCorruptedError, WorkspaceError
 from ..functions.canon import canonical_json
 from ..functions.leaves import written
 from ..functions.shipping import ship
@@ -42,15 +42,24 @@ def _texts(spark: SparkSession, root: str, layout: Layout, name: str) -> DataFra
 
 
 def read_project(spark: SparkSession, root: str, layout: Layout = Layout(), validate: bool = True) -> Project:
-    """Jobs of a workspace: state points left-joined with documents. validate: raise for damaged state points."""
-    sp = _texts(spark, root, layout, layout.statepoint).withColumnRenamed("text", "sp_json")
-    doc = _texts(spark, root, layout, layout.document).withColumnRenamed("text", "doc_json")
-    p = Project.of_json(sp.join(doc, "job_id", "left"))
-    if validate:
-        bad = [r[0] for r in sp.select("job_id", canonical_json("sp_json").alias("c")).where("c is null or md5(c) <> job_id").select("job_id").limit(1000).collect()]
+    """Jobs of a workspace: state points left-joined with documents.
+
+    validate: raise JobsCorruptedError for state points that are damaged or have another id,
+    DocumentsCorruptedError for damaged documents. The files are read once then: what was parsed is
+    kept as a table in the shared folder.
+    """
+    sp = _texts(spark, root, layout, layout.statepoint).select("job_id", canonical_json("text").alias("sp_json"))
+    doc = _texts(spark, root, layout, layout.document).select("job_id", canonical_json("text").alias("doc_json"), F.lit(True).alias("has_doc"))
+    both = sp.join(doc, "job_id", "left")
+    if not validate:
+        return Project.of_canonical(both.select("job_id", "sp_json", "doc_json"))
+    both = written(both)
+    wrong = both.select("job_id", (F.col("sp_json").isNull() | (F.md5("sp_json") != F.col("job_id"))).alias("sp"), (F.col("has_doc") & ~F.coalesce(F.col("doc_json").startswith("{"), F.lit(False))).alias("doc"))
+    for column, error in (("sp", JobsCorruptedError), ("doc", DocumentsCorruptedError)):
+        bad = [r[0] for r in wrong.where(column).select("job_id").limit(1000).collect()]  # as many as a message can name
         if bad:
-            raise JobsCorruptedError(bad)
-    return p
+            raise error(bad)
+    return Project.of_canonical(both.select("job_id", "sp_json", "doc_json"))
 
 
 def _opened(root: str):
@@ -122,9 +131,11 @@ def read_files(spark: SparkSession, root: str, layout: Layout = Layout(), ids: D
     return list_files(spark, root, ids, layout, content=True).drop("sha256")
 
 
-def copy_files(files: DataFrame, source: str, target: str, layout: Layout = Layout()) -> tuple[int, int]:
+def copy_files(files: DataFrame, source: str, target: str, layout: Layout = Layout(), into: str | None = None) -> tuple[int, int]:
     """Copy files (job_id, path, length and, where the target's job is another, target_id) between workspaces; (number, bytes).
 
+    into: another folder of the target than its workspace.
+
     Tasks stream from store to store. A file appears under its name once it is whole; one whose
     length is not the stated one raises WorkspaceError.
     """
@@ -138,7 +149,7 @@ def copy_files(files: DataFrame, source: str, target: str, layout: Layout = Layo
         n = size = 0
         for b in batches:
             for job, path, length, other in zip(*(c.to_pylist() for c in b.columns)):
-                at = f"{home}/{layout.workspace}/{other}/{path}"
+                at = f"{home}/{into or layout.workspace}/{other}/{path}".replace("//", "/")
                 to.create_dir(os.path.dirname(at), recursive=True)
                 done = 0
                 with store.open_input_stream(f"{base}/{layout.workspace}/{job}/{path}", compression=None) as i, to.open_output_stream(f"{at}.part", compression=None) as o:

@@ -37,10 +37,39 @@ def test_document_strategies(two, how, zero):
     got = docs(sync_projects(*two, doc_sync=how))
     assert set(got) == {ID[0], ID[2], ID[3], ID[4]}
     assert got[ID[0]] == zero and got[ID[3]] == {"a": 3} and got[ID[2]] == {"a": 2, "nested": {"a": 2, "x": 1}}
-    if how not in (DocSync.COPY, DocSync.NO_SYNC):
+    if how == DocSync.UPDATE:  # whole keys
+        assert got[ID[4]] == {"a": 4, "nested": {"a": 4, "x": 1}}
+    elif how not in (DocSync.COPY, DocSync.NO_SYNC):
         assert got[ID[4]] == {"a": 4, "nested": {"a": 4, "x": 1, "y": 2}}
 
 
+@pytest.mark.parametrize("source,destination,how,result", [
+    ({"n": {"a": 3}}, {"n": {"a": 1, "b": 2}, "k": 1}, DocSync.UPDATE, {"n": {"a": 3}, "k": 1}),
+    ({"n": 1}, {"n": {"a": {"b": 2}}}, DocSync.UPDATE, {"n": 1}),
+    ({"n": {}}, {"n": {"a": 1}, "k": 2}, DocSync.UPDATE, {"n": {}, "k": 2}),
+    ({}, {"k": 1}, DocSync.UPDATE, {"k": 1}),
+    ({"v": 1.0, "l": [1.0, True], "n": {"x": 2}}, {"v": 1, "l": [1, 1], "n": {"x": 2.0, "y": 3}}, DocSync.ByKey(), {"v": 1, "l": [1, 1], "n": {"x": 2.0, "y": 3}}),
+    ({"n": {}}, {"n": {"a": 1}}, DocSync.ByKey(), {"n": {"a": 1}}),
+    ({"n": {"a": 1}}, {"n": {}}, DocSync.ByKey(), {"n": {"a": 1}}),
+    ({"n": {}}, {"n": 5}, DocSync.ByKey(), {"n": 5}),
+    ({}, {"k": 1}, DocSync.COPY, {}),
+    (None, {"k": 1}, DocSync.COPY, {"k": 1}),
+    ({"k": {"z": 1}}, None, DocSync.COPY, {"k": {"z": 1}}),
+    ({}, None, DocSync.UPDATE, {}),
+    (None, None, DocSync.ByKey(), None),
+    ({"k": 1}, None, DocSync.NO_SYNC, None),
+])
+def test_documents_as_specified(spark, source, destination, how, result):
+    a, b = (Project.of_statepoints(spark, [{"a": 0}], [doc]) for doc in (source, destination))
+    assert docs(sync_projects(a, b, how)) == {ID[0]: result}
+
+
+@pytest.mark.parametrize("source,destination", [({"n": 5}, {"n": {}}), ({"n": {"a": 1}}, {"n": {"a": 2}}), ({"v": 1}, {"v": "1"}), ({"v": [1]}, {"v": [2]})])
+def test_differences_raise(spark, source, destination):
+    with pytest.raises(DocumentSyncConflict):
+        sync_projects(*(Project.of_statepoints(spark, [{"a": 0}], [doc]) for doc in (source, destination)))
+
+
 def test_mapping_against_scalar_is_a_conflict(spark):
     a = Project.of_statepoints(spark, [{"a": 0}], [{"k": {"x": 1}}])
     b = Project.of_statepoints(spark, [{"a": 0}], [{"k": 5}])
@@ -62,7 +91,8 @@ def test_selection_schema_and_self(spark, two):
 
 def test_project_documents():
     a, b = {"x": 1, "n": {"y": 2, "z": 3}}, {"x": 5, "n": {"y": 2, "w": 4}}
-    assert merge_mapping(a, b, DocSync.UPDATE) == {"x": 1, "n": {"y": 2, "z": 3, "w": 4}}
+    assert merge_mapping(a, b, DocSync.UPDATE) == {"x": 1, "n": {"y": 2, "z": 3}}
+    assert merge_mapping({"x": 1.0, "e": {}}, {"x": 1, "e": 5}, DocSync.ByKey()) == {"x": 1, "e": 5}
     assert merge_mapping(a, b, DocSync.ByKey("n")) == {"x": 5, "n": {"y": 2, "z": 3, "w": 4}} and merge_mapping(a, b, DocSync.NO_SYNC) == b
     with pytest.raises(DocumentSyncConflict):
         merge_mapping(a, b, DocSync.ByKey())
