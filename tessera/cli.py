@@ -173,7 +173,7 @@ def run(a: argparse.Namespace) -> None:
             views.check_values(some.leaves())
         views.create_linked_view(archives.export_paths(some, a.path), f"{root}/{layout.workspace}", a.prefix)
     elif a.command == "export":
-        archives.export_to(some, a.target, a.path, files=workspace.read_files(spark, root, ids=chosen.ids()))
+        archives.export_to(some, a.target, a.path, root=root)
 
 
 F_NAMES = {"statepoint": "sp_json", "document": "doc_json"}

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
-import tarfile
-import zipfile
 from collections.abc import Callable
 from typing import Any
 
@@ -14,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DestinationExistsError, StatepointParsingError
+from ..errors import DestinationExistsError, StatepointParsingError, WorkspaceError
 from ..functions.canon import canonical, canonical_json
 from ..functions.leaves import working_folder, written
 from ..functions.shipping import ship
 from ..operators.project import Project
+from .members import Member, members, pieces
+from .packing import KINDS, tasks_for, write_archive
 from .paths import automatic_paths, check_paths, parse_columns, template_keys, template_path
-from .workspace import Layout, _opened
-
-TAR_MODES = {".tar": "w", ".gz": "w:gz", ".bz2": "w:bz2", ".xz": "w:xz"}
+from .workspace import Layout, _opened, copy_files, list_files
 
 
 def export_paths(project: Project, path: str | bool | Callable | None = None) -> DataFrame:
@@ -58,34 +55,57 @@ def export_paths(project: Project, path: str | bool | Callable | None = None) ->
     return out
 
 
-def export_to(project: Project, target: str, path: str | bool | None = None, layout: Layout = Layout(), files: DataFrame | None = None) -> DataFrame:
-    """Write every job below its path; returns (job_id, path). files: (job_id, path, content) to go along.
+def export_to(project: Project, target: str, path: str | bool | None = None, layout: Layout = Layout(), files: DataFrame | None = None, root: str | None = None) -> DataFrame:
+    """Write every job below its path; returns (job_id, path). files: (job_id, path, content) to go along; root: a
+    project folder whose jobs' other files go along.
 
-    A folder is written by the executors. An archive is one file and so is written by one
-    writer, which streams jobs as they come and holds one file at a time.
+    A job's path that is there already raises DestinationExistsError before anything is written, as
+    does an archive. A folder is written by the executors, which stream files from root to their
+    places; each appears under its name once it is whole. An archive is packed in
+    parts by the executors, which one step joins.
     """
-    at = export_paths(project, path)
+    at = written(export_paths(project, path))
     jobs = project.jobs.select("job_id", F.explode(F.array(F.struct(F.lit(layout.statepoint).alias("name"), F.encode("sp_json", "UTF-8").alias("content")), F.struct(F.lit(layout.document).alias("name"), F.encode("doc_json", "UTF-8").alias("content")))).alias("f")).select("job_id", "f.*")
     every = jobs if files is None else jobs.union(files.select("job_id", F.col("path").alias("name"), "content"))
     rows = every.where("content is not null").join(at, "job_id").select(F.ltrim(F.concat_ws("/", F.nullif("path", F.lit("")), "name"), F.lit("/")).alias("member"), "content")
     kind = os.path.splitext(target)[1]
-    if kind == ".zip" or kind in TAR_MODES:
+    if kind in KINDS:
         local = target.removeprefix("file://")
         if os.path.exists(local):
             raise DestinationExistsError(local)
-        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) if kind == ".zip" else tarfile.open(local, TAR_MODES[kind]) as archive:
-            for r in rows.toLocalIterator():
-                if kind == ".zip":
-                    archive.writestr(r["member"], bytes(r["content"]))
-                else:
-                    info = tarfile.TarInfo(r["member"])
-                    info.size = len(r["content"])
-                    archive.addfile(info, io.BytesIO(r["content"]))
+        blank = rows.select("member", "content", *(F.lit(None).cast(t).alias(c) for c, t in (("job_id", "string"), ("path", "string"), ("length", "long"))))
+        if root is not None:
+            other = list_files(project.jobs.sparkSession, root, at.select("job_id"), layout).join(at.withColumnRenamed("path", "folder"), "job_id")
+            named = F.ltrim(F.concat_ws("/", F.nullif("folder", F.lit("")), "path"), F.lit("/"))
+            other = written(other.select(named.alias("member"), F.lit(None).cast("binary").alias("content"), "job_id", "path", "length"))
+            blank = blank.union(other.repartition(tasks_for(other)))
+        write_archive(blank, local, KINDS[kind], root, layout)
         return at
     if kind in (".7z", ".rar", ".Z", ".zst"):
         raise TypeError(f"unknown archive {target}")
     folder = target if "://" in target else f"file://{os.path.abspath(target)}"
 
+    spark = project.jobs.sparkSession
+    ship(spark)
+
+    def taken(batches):
+        """Paths at which there is something already; an empty folder is nothing."""
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            found = []
+            for path in b.column(0).to_pylist():
+                at = store.get_file_info(f"{base}/{path}".rstrip("/"))
+                if at.type == fs.FileType.File or at.type == fs.FileType.Directory and store.get_file_info(fs.FileSelector(at.path)):
+                    found.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    there = at.select("path").mapInArrow(taken, "path string").take(1)
+    if there:
+        raise DestinationExistsError(f"{target}/{there[0][0]}")
+
     def run(batches):
         import pyarrow as pa
         from pyarrow import fs
@@ -95,68 +115,32 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
         for b in batches:
             for member, content in zip(*(c.to_pylist() for c in b.columns)):
                 store.create_dir(os.path.dirname(f"{base}/{member}"), recursive=True)
-                with store.open_output_stream(f"{base}/{member}", compression=None) as f:
+                with store.open_output_stream(f"{base}/{member}.part", compression=None) as f:
                     f.write(content)
+                store.move(f"{base}/{member}.part", f"{base}/{member}")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    ship(project.jobs.sparkSession)
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    if root is not None:
+        other = list_files(spark, root, at.select("job_id"), layout).join(at.withColumnRenamed("path", "folder"), "job_id")
+        copy_files(other.select("job_id", "path", "length", F.col("folder").alias("target_id")), root, folder, layout, into="")
     return at
 
 
-def members(spark: SparkSession, origin: str) -> DataFrame:
-    """(path, content) of the files of a folder or of archives; archives are opened in the tasks."""
-    origin = origin if "://" in origin else os.path.abspath(origin)
-    if origin.endswith(".zip") or os.path.splitext(origin)[1] in TAR_MODES:
-        files = spark.read.format("binaryFile").load(origin)
-
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if path.endswith(".zip"):
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            for i in z.infolist():
-                                if not i.is_dir():
-                                    yield pa.RecordBatch.from_arrays([pa.array([i.filename]), pa.array([z.read(i)], pa.binary())], names=["path", "content"])
-                    else:
-                        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                            for i in t:
-                                if i.isfile():
-                                    yield pa.RecordBatch.from_arrays([pa.array([i.name]), pa.array([t.extractfile(i).read()], pa.binary())], names=["path", "content"])
-
-        return files.select("path", "content").mapInArrow(run, "path string, content binary")
-    from pyarrow import fs
-
-    store, base = _opened(origin)
-    names = [(f.path[len(base) + 1 :],) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]  # hidden ones too, which Spark's sources pass over
-
-    def read(batches):
-        import pyarrow as pa
-
-        store, base = _opened(origin)
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], names=["path", "content"])
-
-    ship(spark)
-    return spark.createDataFrame(names, "path string").mapInArrow(read, "path string, content binary")
-
-
 def _ancestors(df: DataFrame, column: str) -> DataFrame:
     """df with each folder above (and of) column as `above`."""
     return df.withColumn("above", F.explode(F.expr(f"transform(sequence(1, size(split({column}, '/'))), i -> array_join(slice(split({column}, '/'), 1, i), '/'))")))
 
 
 def job_folders(spark: SparkSession, origin: str, schema: str | Callable[[str], dict | None] | None = None, layout: Layout = Layout()) -> tuple[DataFrame, DataFrame]:
-    """((folder, job_id, sp_json, doc_json) of the jobs of an origin, its files)."""
-    files = members(spark, origin).withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "name": F.regexp_extract("path", "([^/]*)$", 1)})
-    text = F.decode("content", "UTF-8")
-    sp = files.where(F.col("name") == layout.statepoint).select("folder", canonical_json(text).alias("sp_json"))
-    doc = files.where(F.col("name") == layout.document).select("folder", canonical_json(text).alias("doc_json"))
+    """((folder, job_id, sp_json, doc_json) of the jobs of an origin, the places of its files). Of contents only state points and documents are read, once."""
+    ship(spark)
+    named = lambda df: df.withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "name": F.regexp_extract("path", "([^/]*)$", 1)})
+    files = named(written(members(spark, origin, content=False)))
+    texts = written(named(members(spark, origin, names=(layout.statepoint, layout.document))).select("folder", "name", canonical_json(F.decode("content", "UTF-8")).alias("json")))
+    sp = texts.where(F.col("name") == layout.statepoint).select("folder", F.col("json").alias("sp_json"))
+    doc = texts.where(F.col("name") == layout.document).select("folder", F.col("json").alias("doc_json"))
     if callable(schema):
         folders = _ancestors(files.select("folder").distinct(), "folder").select(F.col("above").alias("folder")).distinct()
         from_path = folders.select("folder", _called(schema).alias("path_json")).where("path_json is not null")
@@ -190,16 +174,18 @@ def import_into(spark: SparkSession, origin: str, root: str, schema: Any = None,
     it is merged by the rules of sync_workspaces, which get the other arguments.
     """
     from ..operators.sync import sync_workspaces
-    from .workspace import copy_jobs, job_ids, write_files, write_project
+    from .workspace import copy_jobs, job_ids, write_project
 
-    new = Project.of_canonical(written(import_from(spark, origin, schema, layout)._plain()))
+    jobs, files = job_folders(spark, origin, schema, layout)
+    jobs = written(jobs)
+    new = Project.of_canonical(jobs.select("job_id", "sp_json", "doc_json"))
     there = new.jobs.join(job_ids(spark, root, layout), "job_id", "left_semi").select("job_id").take(1)
     if there and not sync:
         raise DestinationExistsError(there[0][0])
     # whole in a folder of its own first, so that a failure leaves the project as it was
     staging = working_folder(spark)
     write_project(new, staging, layout)
-    write_files(import_files(spark, origin, schema, layout), staging, layout)
+    copy_members(placed_files(jobs, files, layout), staging, layout)
     if sync:
         sync_workspaces(spark, staging, root, layout=layout, **kw)
     else:
@@ -235,10 +221,58 @@ def import_from(spark: SparkSession, origin: str, schema: Any = None, layout: La
 
 def import_files(spark: SparkSession, origin: str, schema: Any = None, layout: Layout = Layout()) -> DataFrame:
     """(job_id, path, content) of the other files of an origin's jobs, paths inside the job's folder."""
-    jobs, files = job_folders(spark, origin, schema, layout)
+    places = placed_files(*job_folders(spark, origin, schema, layout), layout)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.to_pylist()
+            for r, (_, data) in zip(rows, pieces([Member(*(r[c] for c in Member._fields)) for r in rows])):
+                yield pa.RecordBatch.from_arrays([pa.array([r["job_id"]]), pa.array([r["inside"]]), pa.array([b"".join(data)], pa.binary())], names=["job_id", "path", "content"])
+
+    return _dealt(places).mapInArrow(run, "job_id string, path string, content binary")
+
+
+def _dealt(places: DataFrame) -> DataFrame:
+    """Places of files dealt to tasks: members of a compressed tar, which can only be read from the beginning, in order to one task."""
+    key = F.when(F.col("kind").isin("zip", "tar", "folder"), F.pmod(F.xxhash64("source", "path"), F.lit(1 << 16))).otherwise(-1)
+    return places.repartition("source", key).sortWithinPartitions("source", "offset")
+
+
+def copy_members(places: DataFrame, root: str, layout: Layout = Layout()) -> int:
+    """Stream files from where they are into job folders; returns how many. A file appears under its name once it is whole."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, base = _opened(root)
+        n = 0
+        for b in batches:
+            rows = b.to_pylist()
+            for r, (_, data) in zip(rows, pieces([Member(*(r[c] for c in Member._fields)) for r in rows])):
+                at = f"{base}/{layout.workspace}/{r['job_id']}/{r['inside']}"
+                store.create_dir(os.path.dirname(at), recursive=True)
+                size = 0
+                with store.open_output_stream(f"{at}.part", compression=None) as f:
+                    for piece in data:
+                        f.write(piece)
+                        size += len(piece)
+                if size != r["length"]:
+                    raise WorkspaceError(f"{r['path']} has {size} bytes instead of {r['length']}")
+                store.move(f"{at}.part", at)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    ship(places.sparkSession)
+    return _dealt(places).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def placed_files(jobs: DataFrame, files: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """The places of an origin's other files with the job each belongs to and its path inside that job's folder."""
     placed = _ancestors(files, "folder").join(jobs.select(F.col("folder").alias("above"), "job_id"), "above")
     inside = F.when(F.col("above") == "", F.col("path")).otherwise(F.expr("substring(path, length(above) + 2)"))
-    return placed.select("job_id", inside.alias("path"), "content").where(~F.col("path").isin(layout.statepoint, layout.document))
+    return placed.select("job_id", inside.alias("inside"), *Member._fields).where(~F.col("inside").isin(layout.statepoint, layout.document))
 
 
 def _sp_json(columns: dict[str, str]):

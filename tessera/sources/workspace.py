@@ -149,7 +149,7 @@ def copy_files(files: DataFrame, source: str, target: str, layout: Layout = Layo
         n = size = 0
         for b in batches:
             for job, path, length, other in zip(*(c.to_pylist() for c in b.columns)):
-                at = f"{home}/{into or layout.workspace}/{other}/{path}".replace("//", "/")
+                at = "/".join(x for x in (home, layout.workspace if into is None else into, other, path) if x)
                 to.create_dir(os.path.dirname(at), recursive=True)
                 done = 0
                 with store.open_input_stream(f"{base}/{layout.workspace}/{job}/{path}", compression=None) as i, to.open_output_stream(f"{at}.part", compression=None) as o:

@@ -210,3 +210,78 @@ def test_linked_view(spark, project, tmp_path):
     create_linked_view(less, workspace, view)
     assert not os.path.lexists(f"{view}/b.c/False/a/1") and os.path.lexists(f"{view}/b.c/False/a/3/job")
     assert [r[0] for r in dead_branches(paths.select("path"), less.select("path")).collect()] == []
+
+
+def test_an_existing_target_is_never_written_over(spark, project, tmp_path):
+    target = str(tmp_path / "out")
+    os.makedirs(target)
+    export_to(project, target, "{a}")
+    before = {d: sorted(n) for d, _, n in os.walk(target)}
+    with open(f"{target}/3/statepoint.json", "w") as f:
+        f.write("mine")
+    with pytest.raises(DestinationExistsError):
+        export_to(project.find_jobs({"a": 3}).project, target, "{a}")
+    assert open(f"{target}/3/statepoint.json").read() == "mine" and before == {d: sorted(n) for d, _, n in os.walk(target)}
+
+
+@pytest.mark.parametrize("kind", ["", ".zip", ".tar", ".tar.gz", ".tar.bz2", ".tar.xz"])
+def test_files_of_a_project_folder_are_streamed_both_ways(spark, project, tmp_path, kind):
+    import random
+    import tarfile
+    import zipfile
+
+    from tessera.sources.archives import import_into
+
+    root, target, back = (str(tmp_path / n) for n in ("p", f"out{kind}", "back"))
+    write_project(project, root)
+    r = random.Random(1)
+    for k, i in enumerate(project):
+        os.makedirs(f"{root}/workspace/{i}/deep/er")
+        for name, data in (("deep/er/.big", r.randbytes(300_000 * (k % 3))), ("empty", b""), ("é.txt", "é".encode() * 10)):
+            with open(f"{root}/workspace/{i}/{name}", "wb") as f:
+                f.write(data)
+    export_to(project, target, "x/{a}", root=root)
+    if kind == ".zip":
+        with zipfile.ZipFile(target) as z:
+            assert z.testzip() is None and len(z.namelist()) == 6 * 4 + 3
+    elif kind:
+        with tarfile.open(target) as t:
+            assert len(t.getnames()) == 6 * 4 + 3
+        os.rename(target, f"{target}.dat")  # what it is, its content says
+        target = f"{target}.dat"
+    assert import_into(spark, target, back) == 6
+    tree = lambda at: {os.path.relpath(f"{d}/{n}", at): open(f"{d}/{n}", "rb").read() for d, _, names in os.walk(f"{at}/workspace") for n in names}
+    assert tree(back) == tree(root)
+    with pytest.raises(DestinationExistsError):
+        import_into(spark, target, back)
+
+
+def test_members_are_read_by_many_tasks_and_chosen_before_they_are_read(spark, tmp_path):
+    import zipfile
+
+    from tessera.sources.members import members
+
+    at = str(tmp_path / "z")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(40):
+            z.writestr(f"d{i}/data", os.urandom(100_000))
+            z.writestr(f"d{i}/statepoint.json", '{"a": %d}' % i)
+            z.writestr(f"d{i}/", "")
+    every = members(spark, at, partition_mb=0.5)
+    assert every.rdd.getNumPartitions() >= 8 and every.count() == 80
+    assert every.where("path = 'd7/statepoint.json'").select(F.decode("content", "UTF-8")).collect() == [('{"a": 7}',)]
+    # with the data damaged the chosen ones can still be read: nothing else is
+    with zipfile.ZipFile(at) as z:
+        spoiled = [(i.header_offset + 40, 90_000) for i in z.infolist() if i.filename.endswith("data")]
+    with open(at, "r+b") as f:
+        for place, n in spoiled:
+            f.seek(place + 100)
+            f.write(bytes(n))
+    assert sorted(r[0] for r in every.where("path like '%/statepoint.json'").select("path").collect()) == sorted(f"d{i}/statepoint.json" for i in range(40))
+    assert members(spark, at, names=("statepoint.json",)).count() == 40 and members(spark, at, content=False).count() == 80
+    assert every.where(F.col("path").isin("d1/statepoint.json", "d2/statepoint.json")).count() == 2 and every.where("path like 'd3%' and path like '%json'").count() == 11
+    with pytest.raises(Exception, match="CRC|decompress"):
+        every.where("path = 'd7/data'").collect()
+    with pytest.raises(Exception, match="no known archive"):
+        (tmp_path / "odd").write_bytes(b"nothing of the kind")
+        members(spark, str(tmp_path / "odd")).count()
