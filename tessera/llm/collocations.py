@@ -5,7 +5,7 @@ its last word. Only phrases whose first and last k - 1 words are both frequent c
 level k looks at those alone (candidates), and all cuts of a frequent phrase are frequent phrases
 of lower levels. Each level runs over sequences of slots, which get shorter from level to level:
 
-1. pairs only: mappers count hashed pairs in one array; sums below the least count rule pairs out;
+1. mappers count hashes of phrases in one array; where the sum is below the least count, no phrase with that hash can be frequent;
 2. different candidates are collected by Spark;
 3. tasks build minimal perfect hashes over segments of bounded size; mappers find each place's slot
    (checked against the stored key), bincount, and the arrays are summed in two steps of a tree;
@@ -39,7 +39,7 @@ class Sizes(NamedTuple):
 
     segment: int = 1 << 22  # keys of one perfect hash
     pass_slots: int = 1 << 23  # slots that a mapper counts in one pass; more are counted in further passes
-    pairs: int = 1 << 22  # hashed counts of pairs, a power of two
+    hashes: int = 1 << 22  # hashed counts, a power of two
     chunk: int = 1 << 15  # slots summed in one row
     run: int = 1 << 17  # places of a sequence in one row, but for runs without a break
 
@@ -117,8 +117,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Slots:
     """Perfect hashes over a table of different keys, as segments of bounded size, each built in a task; slots count on from segment to segment."""
 
-    def __init__(self, rows: DataFrame, sizes: Sizes):
-        """rows: a stored table (key, other, a); other is kept along, for words as the second half of the key."""
+    def __init__(self, rows: DataFrame, sizes: Sizes, halves: bool = False):
+        """rows: a stored table (key, other, a). halves: other is the second half of the key, as it is for words, and goes into the hash."""
         self.n = rows.count()
         self.segments = segments = max(1, -(-self.n // sizes.segment))
         number = F.pmod(F.xxhash64("key"), F.lit(segments)).cast("int")
@@ -129,8 +129,9 @@ class Slots:
             keys = part.column("key").to_numpy().view(np.uint64)
             made = PerfectHash(keys)
             slot = made.slots(keys)
-            other = np.empty(len(keys), np.int64)
-            other[slot] = part.column("other").to_numpy()
+            other = np.empty(len(keys) if halves else 0, np.int64)
+            if halves:
+                other[slot] = part.column("other").to_numpy()
             rows = pa.table({"segment": part.column("segment"), "slot": pa.array(slot), "key": part.column("key"), "other": part.column("other"), "a": part.column("a"), "hash": pa.nulls(len(keys), pa.binary())})
             whole = pa.table({"segment": part.column("segment").slice(0, 1), "slot": pa.nulls(1, pa.int64()), "key": pa.nulls(1, pa.int64()), "other": pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int64()), "hash": pa.array([pickle.dumps((made, other))], pa.binary())})
             return pa.concat_tables([rows, whole])
@@ -153,7 +154,7 @@ class Slots:
         yield group
 
     def load(self, group: list[int]) -> dict:
-        """The segments' hashes: what a broadcast holds, 16 bytes and a few bits a key."""
+        """The segments' hashes: what a broadcast holds, 8 bytes (words: 16) and a few bits a key."""
         found = {r["segment"]: pickle.loads(r["hash"]) for r in self.table.where("hash is not null").where(F.col("segment").isin(group)).select("segment", "hash").collect()}
         return {"segments": self.segments, "hashes": {k: (*v, int(self.offset[k])) for k, v in found.items()}}
 
@@ -327,13 +328,13 @@ def counted(seq: DataFrame, size: int, chunk: int, slots_of, top: int | None = N
     return summed(seq.mapInArrow(run, "chunk int, part int, counts binary"), top)
 
 
-def pair_hash(key: np.ndarray, size: int) -> np.ndarray:
+def phrase_hash(key: np.ndarray, size: int) -> np.ndarray:
     return (mix(key.view(np.uint64).copy()) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def frequent_pairs(seq: DataFrame, least: int, size: int, chunk: int) -> np.ndarray:
-    """For each hash of a pair whether the pairs with it occur `least` times together: `size` hashes."""
-    parts = counted(seq, size, chunk, lambda slot, word: pair_hash(longer(slot, word)[1], size), least)
+def frequent_hashes(seq: DataFrame, least: int, size: int, chunk: int) -> np.ndarray:
+    """For each of `size` hashes whether the phrases one word longer that have it occur `least` times together."""
+    parts = counted(seq, size, chunk, lambda slot, word: phrase_hash(longer(slot, word)[1], size), least)
 
     def bits(batches):
         import pyarrow as pa
@@ -349,14 +350,14 @@ def frequent_pairs(seq: DataFrame, least: int, size: int, chunk: int) -> np.ndar
     return out
 
 
-def candidates(seq: DataFrame, pairs: np.ndarray | None) -> DataFrame:
+def candidates(seq: DataFrame, hashed: np.ndarray) -> DataFrame:
     """(key, other, a): different phrases one word longer than those of seq whose first and last words are frequent; other is the slot of the last words."""
-    shared = seq.sparkSession.sparkContext.broadcast(None if pairs is None else np.packbits(pairs))
+    shared = seq.sparkSession.sparkContext.broadcast(np.packbits(hashed))
 
     def run(batches):
         import pyarrow as pa
 
-        told = None if shared.value is None else np.unpackbits(shared.value).astype(bool)
+        told = np.unpackbits(shared.value).astype(bool)
         have: list[np.ndarray] = []
 
         def flush():
@@ -367,9 +368,8 @@ def candidates(seq: DataFrame, pairs: np.ndarray | None) -> DataFrame:
         held = 0
         for slot, word in rows_in(batches):
             at, key = longer(slot, word)
-            if told is not None:
-                sure = told[pair_hash(key, len(told))]
-                at, key = at[sure], key[sure]
+            sure = told[phrase_hash(key, len(told))]
+            at, key = at[sure], key[sure]
             key, first = np.unique(key, return_index=True)
             have.append(np.stack([key, slot[at[first] + 1].astype(np.int64)], 1))
             held += len(key)
@@ -448,7 +448,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, first: int
     every = stored(word_counts(docs), "words")
     totals = every.groupBy("lang").agg(F.sum("a").alias("n"))
     vocabulary = stored(every.where(F.col("a") >= least), "vocabulary")
-    words = Slots(vocabulary, sizes)
+    words = Slots(vocabulary, sizes, halves=True)
     texts = stored(encoded(docs, words, sizes.run), "sequences")
     names = texts.where("id is not null").select(F.col("id").alias("slot"), "lang", "phrase").dropDuplicates(["slot"])
     level = stored(words.rows.join(names, "slot").select("slot", "lang", "phrase", "a", F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
@@ -456,8 +456,8 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, first: int
     seq = texts.where("slot is not null").select("slot", F.lit(None).cast("binary").alias("word"))
     levels = []
     for k in range(2, longest + 1):
-        pairs = frequent_pairs(seq, least, sizes.pairs, sizes.chunk) if k == 2 else None
-        found = stored(frequent(seq, stored(candidates(seq, pairs), "candidates"), least, sizes), "frequent")
+        hashed = frequent_hashes(seq, least, sizes.hashes, sizes.chunk)
+        found = stored(frequent(seq, stored(candidates(seq, hashed), "candidates"), least, sizes), "frequent")
         slots = Slots(found, sizes)
         if not slots.n:
             break
