@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidKeyError, StoreAlreadyOpenError, StoreClosedError
-from ..functions.leaves import working_folder, written
+from ..functions.leaves import working_folder
+from ..functions.shipping import ship
+from .commits import Commits, committed
 
 #: kind mark: the key at path was set or deleted in this version, so older rows at or below it do not count.
 STORES = "owner string, store string, path string, kind string, dtype string, shape array<int>, text string, bin binary, version long"
@@ -84,24 +86,20 @@ def visible(rows: DataFrame) -> DataFrame:
 class Store:
     """One named store of an owner (a job id, or the project).
 
-    Changes gather until flush or the end of a with block; each flush adds one version to the log in
-    the store's folder, so that the table's plan does not grow. table: rows of other stores to begin with.
+    Changes gather until flush or the end of a with block; each flush is one commit to the log in the
+    store's folder. Several writers may flush at once: the later commit wins key by key, none is lost. table: rows of other stores to begin with.
     """
 
     def __init__(self, spark: SparkSession, table: DataFrame | None = None, owner: str = "", name: str = "data", path: str | None = None):
         self.spark, self.owner, self.name, self.base = spark, owner, name, table
         self.path = path or working_folder(spark)
+        self.commits = Commits(spark, self.path)
         self.puts: dict[str, list[tuple]] = {}
         self.gone: set[str] = set()
         self.opened = False
 
     def _log(self) -> DataFrame:
-        try:
-            log = self.spark.read.schema(STORES).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            log = self.spark.createDataFrame([], STORES)
+        log = self.commits.read(STORES)
         return log if self.base is None else self.base.unionByName(log)
 
     @property
@@ -110,15 +108,8 @@ class Store:
         return visible(self._log())
 
     def compact(self) -> None:
-        """Rewrite the log as the rows that count."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        now = written(visible(self.spark.read.schema(STORES).parquet(self.path)))
-        at = hadoop.Path(self.path)
-        store = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        old = [f.getPath() for f in store.listStatus(at)]
-        now.write.mode("append").parquet(self.path)  # a crash from here on leaves rows twice, which reading by key tells
-        for f in old:
-            store.delete(f, True)
+        """Rewrite the log as the rows that count. Readers that have begun, and other writers, are not disturbed."""
+        self.commits.compact(STORES, visible)
 
     def open(self) -> Store:
         if self.opened:
@@ -157,13 +148,64 @@ class Store:
             raise StoreClosedError(self.name)
         changed = sorted({*self.puts, *self.gone})
         if changed:
-            version = (self._log().where(self._mine()).agg(F.max("version")).first()[0] or 0) + 1
-            rows = [(self.owner, self.name, k, "mark", None, None, None, None, version) for k in changed]
-            rows += [(self.owner, self.name, *e, version) for es in self.puts.values() for e in es]
-            self.spark.createDataFrame(rows, STORES).coalesce(1).write.mode("append").parquet(self.path)
+            least = 0 if self.base is None else self.base.agg(F.max("version")).first()[0] or 0
+
+            def rows(number: int, _) -> DataFrame:
+                version = least + number
+                out = [(self.owner, self.name, k, "mark", None, None, None, None, version) for k in changed]
+                out += [(self.owner, self.name, *e, version) for es in self.puts.values() for e in es]
+                return self.spark.createDataFrame(out, STORES).coalesce(1)
+
+            self.commits.commit(rows)
         self.puts, self.gone = {}, set()
         return self.table
 
+    def write_arrays(self, arrays: DataFrame) -> int:
+        """Set many keys at once: (key, value), value an array of numbers. Tasks make the rows, the driver sees none; returns the commit."""
+        ship(self.spark)
+        owner, name = self.owner, self.name
+        kind = arrays.schema["value"].dataType.elementType.simpleString()
+        dtype = {"tinyint": "<i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}.get(kind)
+        if dtype is None:
+            raise TypeError(f"arrays of {kind} cannot be stored")
+        if arrays.where("key like '%.%' or key is null").take(1):
+            raise InvalidKeyError("a key holds a dot or is null")
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for b in batches:
+                values = [None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.dtype(dtype)) for v in b.column(1)]
+                n, text, kinds = b.num_rows, pa.string(), ["none" if v is None else "array" for v in values]
+                columns = [pa.array([owner] * n, text), pa.array([name] * n, text), b.column(0), pa.array(kinds, text), pa.array([None if v is None else json.dumps(v.dtype.str) for v in values], text)]
+                columns += [pa.array([None if v is None else [len(v)] for v in values], pa.list_(pa.int32())), pa.nulls(n, text), pa.array([None if v is None else v.tobytes() for v in values], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["owner", "store", *FIELDS])
+
+        made = arrays.select(F.col("key").cast("string"), "value").mapInArrow(run, STORES.removesuffix(", version long"))
+        least = 0 if self.base is None else self.base.agg(F.max("version")).first()[0] or 0
+
+        def rows(number: int, _) -> DataFrame:
+            own = made.withColumn("version", F.lit(least + number).cast("long"))
+            marks = own.select("owner", "store", "path", F.lit("mark").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("dtype", "string"), ("shape", "array<int>"), ("text", "string"), ("bin", "binary"))), "version")
+            return own.union(marks)
+
+        return self.commits.commit(rows)
+
+    def arrays(self) -> DataFrame:
+        """(key, value) of the arrays of numbers, as doubles, without going through the driver."""
+        ship(self.spark)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                rows = b.to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([value_of(r).ravel().astype("f8") for r in rows], pa.list_(pa.float64()))], names=["key", "value"])
+
+        found = visible(self._log().where(self._mine())).where("kind = 'array' and dtype not like '[%' and dtype not like '%U%' and dtype not like '%S%' and dtype not like '%M%'")
+        return found.select("path", "kind", "dtype", "shape", "text", "bin").mapInArrow(run, "key string, value array<double>")
+
     def __getitem__(self, key: str) -> Any:
         if key in self.gone:
             raise KeyError(key)
@@ -251,7 +293,7 @@ class StoreManager(Mapping):
 
 def job_stores(spark: SparkSession, root: str, workspace: str = "workspace") -> DataFrame:
     """The rows of all stores of all jobs of a project as one table, for work across jobs."""
-    return visible(spark.read.schema(STORES).parquet(f"{root}/{workspace}/*/{FOLDER}/*"))
+    return visible(committed(spark, f"{root}/{workspace}/*/{FOLDER}/*", STORES))
 
 
 def array_stats(df: DataFrame, key: str, values: str) -> DataFrame:

@@ -476,10 +476,11 @@ def update_documents(spark, d):
     return tagged(spark, d).update_documents({"tag": 1}, {"region": 1}).jobs.select("job_id", "doc_json")
 
 
-@registered(f"WITH {TAGGED} SELECT job_id FROM sm WHERE key < 15")
+@registered(f"WITH {TAGGED} SELECT job_id FROM sm WHERE region <> 4")
 def insert_missing(spark, d):
+    """Regions 2 and 3 into 0, 1 and 2: some jobs are there already, some are not."""
     p = tagged(spark, d)
-    a, b = (Project(p.find_jobs(f).df, p.fields) for f in ({"key.$lt": 10}, {"key": {"$gte": 5, "$lt": 15}}))
+    a, b = (Project(p.find_jobs(f).df, p.fields) for f in ({"region.$lt": 3}, {"region": {"$gte": 2, "$lt": 4}}))
     return a.insert(b).jobs.select("job_id")
 
 
@@ -500,6 +501,92 @@ def sync_documents(spark, d):
     return document_plan(p, other, DocSync.ByKey()).select("job_id", "path", "json", "conflict")
 
 
+#: For each remainder of the key: the source's document, the destination's, and what they come to key by key (dst stays for equal values) and by whole keys.
+MERGES = (
+    ('{"n": {"a": 3}}', '{"n": {"a": 1, "b": 2}, "k": 1}', None, '{"k": 1, "n": {"a": 3}}'),
+    ('{"v": 1.0, "l": [1.0]}', '{"v": 1, "l": [1]}', '{"l": [1], "v": 1}', '{"l": [1.0], "v": 1.0}'),
+    ("{}", '{"k": 1}', '{"k": 1}', '{"k": 1}'),
+    ('{"n": {"x": 1}, "m": {}}', '{"n": {}, "m": {"y": [2]}}', '{"m": {"y": [2]}, "n": {"x": 1}}', '{"m": {}, "n": {"x": 1}}'),
+    ('{"n": {"a": {"b": 1}}}', '{"n": {"a": {"c": null}}}', '{"n": {"a": {"b": 1, "c": null}}}', '{"n": {"a": {"b": 1}}}'),
+    ('{"a": "s"}', None, '{"a": "s"}', '{"a": "s"}'),
+    (None, '{"a": true}', '{"a": true}', '{"a": true}'),
+)
+
+
+def merge_sides(spark, d):
+    """Two projects over all orders with the documents of MERGES."""
+    key = F.col("o_orderkey") % len(MERGES)
+    text = lambda k: F.element_at(F.array(*(F.lit(m[k]).cast("string") for m in MERGES)), (key + 1).cast("int"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(canon.typed_json(key=F.col("o_orderkey")).alias("sp_json"), text(0).alias("src"), text(1).alias("dst"))
+    return (Project.of_canonical(o.select(F.md5("sp_json").alias("job_id"), "sp_json", F.col(c).alias("doc_json"))) for c in ("src", "dst"))
+
+
+def merge_sql(k: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN " + ("NULL" if m[k] is None else f"'{m[k]}'") for i, m in enumerate(MERGES))
+    return f"SELECT md5('{{\"key\": ' || o_orderkey || '}}') AS job_id, CASE o_orderkey % {len(MERGES)} {cases} END AS doc_json FROM orders"
+
+
+@registered(merge_sql(3))
+def sync_nested_update(spark, d):
+    """Keys of the source's documents replace those of the destination's as a whole."""
+    from .operators.sync import DocSync, sync_projects
+
+    return sync_projects(*merge_sides(spark, d), DocSync.UPDATE, check_schema=False).jobs.select("job_id", "doc_json")
+
+
+@registered(f"SELECT * FROM ({merge_sql(2)}) WHERE doc_json IS NOT NULL UNION ALL SELECT md5('{{\"key\": ' || o_orderkey || '}}'), '{{\"k\": 1, \"n\": {{\"a\": 1, \"b\": 2}}}}' FROM orders WHERE o_orderkey % {len(MERGES)} = 0")
+def sync_nested_by_key(spark, d):
+    """Mappings merge one within the other; equal numbers are no difference, differences keep the destination's value."""
+    from .operators.sync import DocSync, sync_projects
+
+    return sync_projects(*merge_sides(spark, d), DocSync.ByKey("none of them"), check_schema=False).jobs.select("job_id", "doc_json")
+
+
+REKEY = """WITH RECURSIVE o AS (SELECT DISTINCT o_orderkey AS k FROM orders),
+m AS (SELECT k AS j, CASE k % 10 WHEN 0 THEN k + 1 WHEN 1 THEN k - 1 WHEN 2 THEN k + 1 WHEN 3 THEN k + 1 WHEN 4 THEN -k WHEN 5 THEN k + 1 WHEN 7 THEN -(k // 20) - 1000000000 END AS t FROM o WHERE k % 10 IN (0, 1, 2, 3, 4, 5, 7)),
+c AS (SELECT m.j, m.t, count(*) OVER (PARTITION BY m.t) > 1 OR (h.k IS NOT NULL AND l.j IS NULL) AS clash, h.k IS NOT NULL AS held FROM m LEFT JOIN o h ON h.k = m.t LEFT JOIN m l ON l.j = m.t),
+g AS (SELECT j, t FROM c WHERE NOT clash),
+w AS (SELECT j, t AS e, 1 AS n FROM g UNION ALL SELECT w.j, g.t, n + 1 FROM w JOIN g ON g.j = w.e WHERE w.e <> w.j AND n < 20)
+SELECT CAST(j AS VARCHAR) AS job_id, CAST(t AS VARCHAR) AS new_id, CASE WHEN clash THEN 'clash' WHEN j IN (SELECT j FROM w WHERE e = j) THEN 'cycle' WHEN held THEN 'chain' ELSE 'free' END AS kind FROM c"""
+
+
+@registered(REKEY)
+def rekey_plan(spark, d):
+    """New ids for seven tenths of all orders: pairs that swap, chains of three, ids that others keep, ids that two want."""
+    from .operators.rekey import rekey_plan
+
+    k = F.col("k")
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
+    new = F.when(k % 10 == 0, k + 1).when(k % 10 == 1, k - 1).when((k % 10).isin(2, 3, 5), k + 1).when(k % 10 == 4, -k).when(k % 10 == 7, -F.floor(k / 20) - 1000000000)
+    text = o.select(k.cast("string").alias("job_id"), new.cast("string").alias("new_id"))
+    return rekey_plan(text, text.where("new_id is not null"))
+
+
+@registered("SELECT md5(sp) AS job_id, sp AS sp_json, doc AS doc_json FROM (SELECT '{\"key\": ' || c_custkey || ', \"nation\": ' || c_nationkey || '}' AS sp, CASE WHEN c_custkey % 3 = 0 THEN '{\"n\": ' || c_custkey || '}' END AS doc FROM customer)")
+def archive_round_trip(spark, d):
+    """All customers as jobs into a zip that tasks pack, and back from it."""
+    from .functions.leaves import working_folder
+    from .sources.archives import export_to, import_from
+
+    c = spark.read.parquet(f"{d}/customer.parquet").select(canon.typed_json(key=F.col("c_custkey"), nation=F.col("c_nationkey")).alias("sp_json"), F.when(F.col("c_custkey") % 3 == 0, canon.typed_json(n=F.col("c_custkey"))).alias("doc_json"))
+    target = f"{working_folder(spark)}.zip"
+    export_to(Project.of_canonical(c.select(F.md5("sp_json").alias("job_id"), "sp_json", "doc_json")), target, "nation/{nation}/{key}")
+    return import_from(spark, target).jobs.select("job_id", "sp_json", "doc_json")
+
+
+@registered("SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN label = 3 THEN [vec_id::DOUBLE, 0.5] ELSE embedding::DOUBLE[] END AS value FROM embeddings WHERE label <> 5 OR label IS NULL")
+def store_of_arrays(spark, d):
+    """All vectors into a store; those of one label are written anew by a second commit; the store, compacted, is read as a table."""
+    from .operators.stores import Store
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet").where("label <> 5 or label is null").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("value"), "label", "vec_id")
+    s = Store(spark)
+    s.write_arrays(e.select("key", "value"))
+    s.write_arrays(e.where("label = 3").select("key", F.array(F.col("vec_id").cast("double"), F.lit(0.5)).alias("value")))
+    s.compact()
+    return s.arrays()
+
+
 @registered("SELECT CAST(page_id AS VARCHAR) AS job_id, CASE WHEN NOT starts_with(url, 'https') OR length(html) > 3000 THEN 'copy' ELSE 'keep' END AS action FROM pages")
 def sync_files(spark, d):
     from .operators.sync import FileSync, file_plan

@@ -95,3 +95,80 @@ def test_errors_and_other_owners(spark):
 def test_array_stats(spark):
     df = spark.createDataFrame([(1, [1.0, -2.0, 4.0])], "k int, v array<float>")
     assert tuple(array_stats(df, "k", "v").first()) == (1, 3, 3.0, -2.0, 4.0)
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    import threading
+
+    at = f"file://{tmp_path}/s"
+    errors = []
+
+    def work(who):
+        try:
+            for i in range(4):
+                with Store(spark, path=at) as s:
+                    s[f"{who}{i}"] = i
+                    s["shared"] = f"{who}{i}"
+        except BaseException as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=work, args=(w,)) for w in "abc"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    s = Store(spark, path=at)
+    assert s.keys() == sorted([f"{w}{i}" for w in "abc" for i in range(4)] + ["shared"]) and s["shared"][1] == "3"
+    assert s.commits.numbers() == list(range(1, 13))
+    s.compact()
+    assert s.keys() == sorted([f"{w}{i}" for w in "abc" for i in range(4)] + ["shared"]) and len(s.commits.snapshot()[1]) == 1
+
+
+def test_a_writer_that_is_too_late_takes_the_next_number(spark, tmp_path, monkeypatch):
+    from tessera.operators.commits import Commits
+
+    at = f"file://{tmp_path}/s"
+    a, b = Store(spark, path=at).open(), Store(spark, path=at).open()
+    a["k"], b["k"], b["m"] = 1, 2, 3
+    create, raced = Commits._create, []
+
+    def slow(self, n, said):
+        if not raced:
+            raced.append(n)
+            b.flush()  # between a's look at the log and its commit
+        return create(self, n, said)
+
+    monkeypatch.setattr(Commits, "_create", slow)
+    a.flush()
+    assert raced == [1] and a.commits.numbers() == [1, 2] and a["k"] == 1 and a["m"] == 3  # a's commit came last
+    assert len([n for n in a.commits._list(a.path) if n.startswith("rows-")]) == 2  # what was given up is gone
+
+
+def test_readers_survive_compactions_and_what_is_not_committed_does_not_count(spark, tmp_path):
+    at = f"file://{tmp_path}/s"
+    s = Store(spark, path=at)
+    with s:
+        s["x"], s["y"] = 1, 2
+    before = s.table
+    s.compact()
+    with s:
+        s["x"] = 5
+    assert sorted(r["path"] for r in before.collect()) == ["x", "y"] and s["x"] == 5 and s["y"] == 2
+    s.compact()
+    with s:
+        del s["y"]
+    assert s.keys() == ["x"]
+    before.sparkSession.createDataFrame([("", "data", "z", "int", None, None, "1", None, 99)], before.schema).write.parquet(f"{at}/rows-lost")
+    assert s.keys() == ["x"]
+
+
+def test_many_arrays_at_once(spark, tmp_path):
+    s = Store(spark, path=f"file://{tmp_path}/s")
+    s.write_arrays(spark.createDataFrame([("a", [1.5, 2.5]), ("b", []), ("c", None)], "key string, value array<float>"))
+    assert s["a"].dtype == np.float32 and s["a"].tolist() == [1.5, 2.5] and s["b"].shape == (0,) and s["c"] is None
+    s.write_arrays(spark.createDataFrame([("a", [7])], "key string, value array<bigint>"))
+    assert sorted((r["key"], r["value"]) for r in s.arrays().collect()) == [("a", [7.0]), ("b", [])] and s["a"].dtype == np.int64
+    for rows, kind in (([("k.l", [1.0])], "float"), ([(None, [1.0])], "float"), ([("k", ["x"])], "string")):
+        with pytest.raises((ValueError, TypeError)):
+            s.write_arrays(spark.createDataFrame(rows, f"key string, value array<{kind}>"))
