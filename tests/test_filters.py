@@ -11,38 +11,55 @@ from tessera.operators.project import Project
 from tessera.plans.filters import conditions, from_tokens, read_filter, uses_documents
 
 
+OVENS = [{"temp": 2 * k if k % 3 else k / 2, "site": {"lab": "xyz"[k % 3]}} for k in range(61)]
+TEMPS = [sp["temp"] for sp in OVENS]
+
+
 @pytest.fixture(scope="module")
-def hundred(spark):
-    p = Project.of_statepoints(spark, [{"a": i} for i in range(100)])
+def ovens(spark):
+    p = Project.of_statepoints(spark, OVENS)
     p.jobs.cache()
     return p
 
 
-@pytest.mark.parametrize("expr,n", [
-    ({"$eq": 42}, 1), ({"$ne": 42}, 99), ({"$gt": 42}, 57), ({"$gte": 42}, 58), ({"$lt": 42}, 42), ({"$lte": 42}, 43), ({"$in": []}, 0), ({"$in": [42]}, 1), ({"$in": list(range(100))}, 100),
-    ({"$nin": []}, 100), ({"$nin": [42]}, 99), ({"$nin": list(range(100))}, 0), ({"$near": 42}, 1), ({"$near": [42]}, 1), ({"$near": [42, 0.1]}, 9), ({"$near": [42, 0.0, 2]}, 5), ({"$type": "int"}, 100),
-    ({"$type": "float"}, 0), ({"$exists": True}, 100), ({"$exists": False}, 0), ({"$where": lambda v: v < 10}, 10), ({"$gt": 10, "$lte": 20}, 10), ("x", 0), (None, 0), ({"$regex": "4"}, 0), ({"$lt": "z"}, 0),
-])
-def test_expressions(hundred, expr, n):
-    assert len(hundred.find_jobs({"a": expr})) == n
-    assert len(hundred.find_jobs({"$not": {"a": expr}})) == 100 - n
+EXPRESSIONS = [
+    ({"$eq": 14}, lambda t: t == 14), ({"$eq": 1.5}, lambda t: t == 1.5), ({"$ne": 14.0}, lambda t: t != 14), ({"$gt": 30}, lambda t: t > 30), ({"$gte": 28.5}, lambda t: t >= 28.5), ({"$lt": 7.5}, lambda t: t < 7.5), ({"$lte": 7.5}, lambda t: t <= 7.5),
+    ({"$in": []}, lambda t: False), ({"$in": [4, 6.0, "x"]}, lambda t: t in (4, 6)), ({"$in": TEMPS}, lambda t: True), ({"$nin": []}, lambda t: True), ({"$nin": [4, 4.5]}, lambda t: t not in (4, 4.5)), ({"$nin": TEMPS}, lambda t: False),
+    ({"$near": 50}, lambda t: math.isclose(t, 50)), ({"$near": [50, 0.2]}, lambda t: math.isclose(t, 50, rel_tol=0.2)), ({"$near": [20, 0.0, 3]}, lambda t: math.isclose(t, 20, rel_tol=0, abs_tol=3)), ({"$type": "int"}, lambda t: isinstance(t, int)),
+    ({"$type": "float"}, lambda t: isinstance(t, float)), ({"$exists": True}, lambda t: True), ({"$exists": False}, lambda t: False), ({"$where": lambda v: v % 8 == 0}, lambda t: t % 8 == 0), ({"$gt": 11, "$lte": 29}, lambda t: 11 < t <= 29),
+    ("warm", lambda t: False), (None, lambda t: False), ({"$regex": "1"}, lambda t: False), ({"$lt": "zz"}, lambda t: False),
+]
 
 
-@pytest.mark.parametrize("f,n", [
-    (None, 100), ({}, 100), ("a 42", 1), ([("a", 42)], 1), ({"sp.a": 42}, 1), ({"sp": {"a": 42}}, 1), ({"b": 1}, 0), ({"a.$lt": 42}, 42), ({"sp.a.$lt": 42}, 42), ({"a.b": 1}, 0),
-    ({"$and": [{"a.$gte": 10}, {"a.$lt": 20}]}, 10), ({"$or": [{"a": 1}, {"a": 2.0}]}, 2), ({"$not": {"$not": {"a": 1}}}, 1), ({"$not": {"doc.x": 1}}, 100), ({"a": 1, "$or": [{"a": 1}, {"a": 2}]}, 1), ({"_id": "x"}, 0),
-])
-def test_filters(hundred, f, n):
-    assert len(hundred.find_jobs(f)) == n
+@pytest.mark.parametrize("k", range(len(EXPRESSIONS)))
+def test_expressions(ovens, k):
+    expr, fits = EXPRESSIONS[k]
+    n = sum(map(fits, TEMPS))
+    assert len(ovens.find_jobs({"temp": expr})) == n
+    assert len(ovens.find_jobs({"$not": {"temp": expr}})) == len(OVENS) - n
+
+
+FILTERS = [
+    (None, lambda t, lab: True), ({}, lambda t, lab: True), ("temp 14", lambda t, lab: t == 14), ([("temp", 14)], lambda t, lab: t == 14), ({"sp.temp": 14}, lambda t, lab: t == 14), ({"sp": {"site": {"lab": "y"}}}, lambda t, lab: lab == "y"), ({"b": 1}, lambda t, lab: False),
+    ({"temp.$lt": 33}, lambda t, lab: t < 33), ({"sp.site.lab.$gte": "y"}, lambda t, lab: lab >= "y"), ({"temp.b": 1}, lambda t, lab: False), ({"$and": [{"temp.$gte": 10}, {"site.lab": "z"}]}, lambda t, lab: t >= 10 and lab == "z"),
+    ({"$or": [{"temp": 3}, {"temp": 4.0}, {"site.lab": "x"}]}, lambda t, lab: t in (3, 4) or lab == "x"), ({"$not": {"$not": {"site.lab": "x"}}}, lambda t, lab: lab == "x"), ({"$not": {"doc.x": 1}}, lambda t, lab: True),
+    ({"site.lab": "x", "$or": [{"temp.$lt": 9}, {"temp.$gt": 25}]}, lambda t, lab: lab == "x" and (t < 9 or t > 25)), ({"_id": "x"}, lambda t, lab: False),
+]
+
+
+@pytest.mark.parametrize("k", range(len(FILTERS)))
+def test_filters(ovens, k):
+    f, fits = FILTERS[k]
+    assert len(ovens.find_jobs(f)) == sum(fits(sp["temp"], sp["site"]["lab"]) for sp in OVENS)
 
 
 @pytest.mark.parametrize("f,error", [
     ({"a.$foo": 1}, KeyError), ({"a.$lt.b": 1}, KeyError), ({"a.$lt.$gt": 1}, KeyError), ({"$and": []}, ValueError), ({"$or": {"a": 1}}, ValueError), ({"a.$exists": 1}, ValueError), ({"a.$type": "dict"}, ValueError),
     ({"a.$near": [1, 2, 3, 4]}, ValueError), ({"a.$where": "lambda x: x"}, ValueError), (42, ValueError), ({"a": object()}, TypeError),
 ])
-def test_wrong_filters_raise_before_any_job(hundred, f, error):
+def test_wrong_filters_raise_before_any_job(ovens, f, error):
     with pytest.raises(error):
-        hundred.find_jobs(f)
+        ovens.find_jobs(f)
 
 
 def test_strict_ordering_raises(spark):

@@ -9,41 +9,44 @@ from tessera.operators.project import Project
 from tessera.operators.schema import ProjectSchema
 
 
+RODS = [{"len": 3 * i, "kind": i % 3, "grade": "abcde"[i % 5]} for i in range(15)]
+
+
 @pytest.fixture(scope="module")
-def twelve(spark):
-    sps = [{"a": i, "b": i % 2, "c": i % 3} for i in range(12)]
-    return Project.of_statepoints(spark, sps, [{"a": i + 1, "b": (i + 1) % 2, "n": {"c": i % 3}} for i in range(12)])
+def rods(spark):
+    return Project.of_statepoints(spark, RODS, [{"mass": i / 4, "run": {"oven": i % 2}} for i in range(15)])
 
 
-def test_cursor(twelve):
-    jobs = twelve.find_jobs({"b": 0})
-    ids = sorted(calc_id({"a": i, "b": 0, "c": i % 3}) for i in range(0, 12, 2))
-    assert len(jobs) == 6 and list(jobs) == ids and ids[0] in jobs and "0" * 32 not in jobs
+def test_cursor(rods):
+    jobs = rods.find_jobs({"kind": 1})
+    ids = sorted(calc_id(sp) for sp in RODS if sp["kind"] == 1)
+    assert len(jobs) == 5 and list(jobs) == ids and ids[0] in jobs and "0" * 32 not in jobs
     assert jobs[1] == ids[1] and jobs[-1] == ids[-1] and jobs[1:4] == ids[1:4] and jobs[-2:] == ids[-2:] and jobs[::2] == ids[::2]
     with pytest.raises(IndexError):
-        jobs[6]
-    assert jobs == twelve.find_jobs({"b": 0}) and jobs != twelve.find_jobs({"b": 1}) and len(twelve) == 12
+        jobs[5]
+    assert jobs == rods.find_jobs({"kind": 1}) and jobs != rods.find_jobs({"kind": 2}) and len(rods) == 15
 
 
-def test_open_job(twelve):
-    i = calc_id({"a": 3, "b": 1, "c": 0})
-    assert list(twelve.open_job({"c": 0, "b": 1, "a": 3})) == [i] and list(twelve.open_job(id=i[:8])) == [i] and i in twelve
-    assert len(twelve.open_job({"a": 99})) == 0
+def test_open_job(rods):
+    i = calc_id(RODS[4])
+    assert list(rods.open_job(dict(reversed(RODS[4].items())))) == [i] and list(rods.open_job(id=i[:8])) == [i] and i in rods
+    assert len(rods.open_job({"len": 99})) == 0
     with pytest.raises(KeyError):
-        twelve.open_job(id="zz")
+        rods.open_job(id="zz")
     with pytest.raises(LookupError):
-        twelve.open_job(id="")
+        rods.open_job(id="")
     with pytest.raises(ValueError):
-        twelve.open_job()
+        rods.open_job()
 
 
-def test_groupby(twelve):
-    assert [(k, g.count()) for k, g in twelve.groupby("c")] == [(0, 4), (1, 4), (2, 4)]
-    assert [(k, g.count()) for k, g in twelve.groupby(["doc.n.c", "b"])] == [((b, c), 2) for b in (0, 1) for c in (0, 1, 2)]  # state point keys come first
-    assert len(list(twelve.groupby())) == 12
-    assert [(k, g.count()) for k, g in twelve.groupby(lambda sp, doc: sp["a"] // 6)] == [("0", 6), ("1", 6)]
-    assert list(twelve.groupby("x")) == [] and [(k, g.count()) for k, g in twelve.groupby("x", default=-1)] == [(-1, 12)]
-    assert {tuple(r) for r in twelve.groupby("b").agg(F.max(F.try_variant_get("sp", "$.a", "int")).alias("m")).select("`sp.b`.number", "m").collect()} == {(0.0, 10), (1.0, 11)}
+def test_groupby(rods):
+    assert [(k, g.count()) for k, g in rods.groupby("grade")] == [(x, 3) for x in "abcde"]
+    count = {(x, o): sum(i % 5 == "abcde".index(x) and i % 2 == o for i in range(15)) for x in "abcde" for o in (0, 1)}
+    assert [(k, g.count()) for k, g in rods.groupby(["doc.run.oven", "grade"])] == sorted(count.items())  # state point keys come first
+    assert len(list(rods.groupby())) == 15
+    assert [(k, g.count()) for k, g in rods.groupby(lambda sp, doc: sp["len"] > 20)] == [("false", 7), ("true", 8)]
+    assert list(rods.groupby("x")) == [] and [(k, g.count()) for k, g in rods.groupby("x", default=-1)] == [(-1, 15)]
+    assert {tuple(r) for r in rods.groupby("kind").agg(F.max(F.try_variant_get("sp", "$.len", "int")).alias("m")).select("`sp.kind`.number", "m").collect()} == {(0.0, 36), (1.0, 39), (2.0, 42)}
 
 
 def test_groupby_merges_equal_numbers(spark):
@@ -61,43 +64,43 @@ def test_to_dataframe(spark):
     assert "s_a" in p.to_dataframe(sp_prefix="s_").columns
 
 
-def test_min_len_unique_id(spark, twelve):
+def test_min_len_unique_id(spark, rods):
     import os
 
-    ids = sorted(twelve)
+    ids = sorted(rods)
     want = max(len(os.path.commonprefix([a, b])) for a, b in zip(ids, ids[1:])) + 1
-    assert twelve.min_len_unique_id() == want
+    assert rods.min_len_unique_id() == want
     assert Project.of_statepoints(spark, [{"a": 1}]).min_len_unique_id() == 0
 
 
-def test_changes(spark, twelve):
+def test_changes(spark, rods):
     one = Project.of_statepoints(spark, [{"a": 100}])
-    assert len(twelve.insert(one)) == 13 and len(twelve.insert(twelve)) == 12
+    assert len(rods.insert(one)) == 16 and len(rods.insert(rods)) == 15
     with pytest.raises(DestinationExistsError):
-        twelve.clone(twelve)
-    rest, other = twelve.move({"b": 0}, one)
-    assert len(rest) == 6 and len(other) == 7
-    assert len(twelve.remove({"x": 1})) == 12 and len(twelve.remove({"b": 1})) == 6
-    changed = twelve.update_statepoints({"new": 7}, {"b": 1})
-    assert calc_id({"a": 3, "b": 1, "c": 0, "new": 7}) in changed and calc_id({"a": 3, "b": 1, "c": 0}) not in changed
+        rods.clone(rods)
+    rest, other = rods.move({"kind": 0}, one)
+    assert len(rest) == 10 and len(other) == 6
+    assert len(rods.remove({"x": 1})) == 15 and len(rods.remove({"kind": 1})) == 10
+    changed = rods.update_statepoints({"new": 7}, {"kind": 1})
+    assert calc_id({**RODS[4], "new": 7}) in changed and calc_id(RODS[4]) not in changed
     with pytest.raises(KeyError):
-        twelve.update_statepoints({"b": 5})
+        rods.update_statepoints({"kind": 5})
     with pytest.raises(DestinationExistsError):
         Project.of_statepoints(spark, [{"a": 1}, {"a": 2}]).update_statepoints({"a": 2}, overwrite=True)
-    assert len(twelve.update_documents({"y": 1}, {"b": 1}).find_jobs({"doc.y": 1, "doc.a.$exists": True})) == 6
-    assert len(twelve.clear({"b": 0}).find_jobs({"doc.a.$exists": True})) == 6
+    assert len(rods.update_documents({"y": 1}, {"kind": 1}).find_jobs({"doc.y": 1, "doc.mass.$exists": True})) == 5
+    assert len(rods.clear({"kind": 0}).find_jobs({"doc.mass.$exists": True})) == 10
 
 
-def test_check_and_repair(spark, twelve):
-    broken = twelve._plain().withColumn("sp_json", F.when(F.col("job_id") == calc_id({"a": 0, "b": 0, "c": 0}), "{").otherwise(F.col("sp_json")))
-    renamed = broken.withColumn("job_id", F.when(F.col("job_id") == calc_id({"a": 1, "b": 1, "c": 1}), "f" * 32).otherwise(F.col("job_id")))
+def test_check_and_repair(spark, rods):
+    broken = rods._plain().withColumn("sp_json", F.when(F.col("job_id") == calc_id(RODS[0]), "{").otherwise(F.col("sp_json")))
+    renamed = broken.withColumn("job_id", F.when(F.col("job_id") == calc_id(RODS[1]), "f" * 32).otherwise(F.col("job_id")))
     p = Project.of_canonical(renamed)
     with pytest.raises(JobsCorruptedError) as e:
         p.check()
-    assert set(e.value.job_ids) == {calc_id({"a": 0, "b": 0, "c": 0}), "f" * 32}
-    fixed = p.repair(twelve.jobs)
+    assert set(e.value.job_ids) == {calc_id(RODS[0]), "f" * 32}
+    fixed = p.repair(rods.jobs)
     fixed.check()
-    assert sorted(fixed) == sorted(twelve)
+    assert sorted(fixed) == sorted(rods)
 
 
 def tuples(v):
@@ -162,11 +165,14 @@ def pairs(found):
 
 
 def test_neighbors_on_a_grid(spark):
-    p = Project.of_statepoints(spark, [{"a": a, "b": b, "k": 0} for a in (1, 2) for b in (3, 4, 5)])
-    i = lambda a, b: calc_id({"a": a, "b": b, "k": 0}) if a in (1, 2) and b in (3, 4, 5) else None
-    got = pairs(neighbors(p.leaves()))
-    assert got == {(i(a, b), key): ((i(a - 1, b), i(a + 1, b)) if key == "a" else (i(a, b - 1), i(a, b + 1))) for a in (1, 2) for b in (3, 4, 5) for key in "ab"}
-    assert len(pairs(neighbors(p.leaves(), keep_constant=True))) == 18
+    rows, columns = [-2.5, 0, 40, 41], ["low", "mid", "top"]
+    sp = lambda r, c: {"site": {"row": rows[r], "column": columns[c]}, "year": 7}
+    i = lambda r, c: calc_id(sp(r, c)) if 0 <= r < 4 and 0 <= c < 3 else None
+    p = Project.of_statepoints(spark, [sp(r, c) for r in range(4) for c in range(3)])
+    want = {(i(r, c), "site.row"): (i(r - 1, c), i(r + 1, c)) for r in range(4) for c in range(3)}
+    want |= {(i(r, c), "site.column"): (i(r, c - 1), i(r, c + 1)) for r in range(4) for c in range(3)}
+    assert pairs(neighbors(p.leaves())) == want
+    assert len(pairs(neighbors(p.leaves(), keep_constant=True))) == 36
 
 
 def test_neighbors_ignoring_a_dependent_key(spark):
@@ -207,10 +213,10 @@ def test_patterns_are_pythons(spark):
 
 
 def test_neighbors_across_types(spark):
-    values = [None, False, True, 1.2, 1.3, 2, "1", "2", "x", "y", [3, 4], [5, 6]]
-    order = [None, False, True, 1.2, 1.3, 2, "1", "2", "x", "y", [3, 4], [5, 6]]
-    p = Project.of_statepoints(spark, [{"a": v} for v in values])
+    in_order = {"nothing": [None], "numbers": [-7, False, True, 1.5, 60, 61.25], "texts": ["", "-7", "Zug", "ab"], "lists": [[0], ["q", 1]]}
+    order = [v for group in in_order.values() for v in group]
+    p = Project.of_statepoints(spark, [{"setting": v} for v in reversed(order)])
     got = pairs(neighbors(p.leaves()))
-    ids = [calc_id({"a": v}) for v in order]
+    ids = [calc_id({"setting": v}) for v in order]
     for k, j in enumerate(ids):
-        assert got[(j, "a")] == (ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None)
+        assert got[(j, "setting")] == (ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None)
