@@ -213,7 +213,7 @@ def test_patterns_are_pythons(spark):
 
 
 def test_neighbors_across_types(spark):
-    in_order = {"nothing": [None], "numbers": [-7, False, True, 1.5, 60, 61.25], "texts": ["", "-7", "Zug", "ab"], "lists": [[0], ["q", 1]]}
+    in_order = {"NoneType": [None], "bool": [False, True], "float": [1.5, 61.25], "int": [-7, 60], "str": ["", "-7", "Zug", "ab"], "tuple": [[0, 5], [2]]}  # by the names of types
     order = [v for group in in_order.values() for v in group]
     p = Project.of_statepoints(spark, [{"setting": v} for v in reversed(order)])
     got = pairs(neighbors(p.leaves()))
