@@ -261,8 +261,14 @@ def rows_in(batches):
             yield slot, slot if not word.is_valid else unpacked(word.as_py())
 
 
+def narrow(top: int | None):
+    """The smallest type of numbers that holds counts cut to `top`."""
+    return np.int64 if top is None or top >= 1 << 16 else np.uint8 if top < 1 << 8 else np.uint16
+
+
 def summed(parts: DataFrame, top: int | None = None) -> DataFrame:
-    """(chunk, counts): arrays of int64 summed by chunk, in two steps; sums over `top` are cut to it. parts: (chunk, part, counts)."""
+    """(chunk, counts): arrays summed by chunk, in two steps; sums over `top` are cut to it. parts: (chunk, part, counts)."""
+    kind = narrow(top)
 
     def add(batches):
         import pyarrow as pa
@@ -270,15 +276,15 @@ def summed(parts: DataFrame, top: int | None = None) -> DataFrame:
         key, total = None, None
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "part", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype(kind).tobytes()], pa.binary())], names=["chunk", "part", "counts"])
 
         for b in batches:
             for chunk, part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                values = np.frombuffer(counts.as_buffer(), np.int64)
+                values = np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
                 if (chunk, part) != key:
                     if key is not None:
                         yield row()
-                    key, total = (chunk, part), values.copy()
+                    key, total = (chunk, part), values
                 else:
                     total += values
                 if top is not None:
@@ -299,7 +305,7 @@ def counted(seq: DataFrame, size: int, chunk: int, slots_of, top: int | None = N
         from pyspark import TaskContext
 
         total = np.zeros(size, np.int64)
-        held, n = [], 0
+        held, n, kind = [], 0, narrow(top)
 
         def add():
             if held:
@@ -323,7 +329,7 @@ def counted(seq: DataFrame, size: int, chunk: int, slots_of, top: int | None = N
         part = TaskContext.get().partitionId()
         for k in range(0, size, chunk):
             if total[k : k + chunk].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([total[k : k + chunk].tobytes()], pa.binary())], names=["chunk", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([total[k : k + chunk].astype(kind).tobytes()], pa.binary())], names=["chunk", "part", "counts"])
 
     return summed(seq.mapInArrow(run, "chunk int, part int, counts binary"), top)
 
@@ -340,7 +346,7 @@ def frequent_hashes(seq: DataFrame, least: int, size: int, chunk: int) -> np.nda
         import pyarrow as pa
 
         for b in batches:
-            flags = [np.packbits(np.frombuffer(c.as_buffer(), np.int64) >= least).tobytes() for c in b.column(1)]
+            flags = [np.packbits(np.frombuffer(c.as_buffer(), narrow(least)) >= least).tobytes() for c in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flags, pa.binary())], names=["chunk", "flags"])
 
     out = np.zeros(size, bool)
