@@ -73,9 +73,9 @@ def tokens(langs: list, texts) -> tuple[np.ndarray, ...]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, key, other, a): every word's key with its count."""
+    """(lang, key, other, a, place): every word's key with its count and the smallest place of a text that has it. docs: (lang, text, place)."""
 
-    names = ["lang", "key", "other", "a"]
+    names = ["lang", "key", "other", "a", "place"]
 
     def counted(batches):
         import pyarrow as pa
@@ -91,9 +91,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if (~new[1:] & (other[order][1:] != other[order][:-1])).any():  # two words with one half key
                     order = np.lexsort((other, key))
                     new = np.append(True, (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]))
-                at = order[new]
-                count = np.diff(np.append(np.flatnonzero(new), len(order)))
-                yield pa.table([pa.array(langs, pa.string()).take(pa.array(of[at])), pa.array(key[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(count, pa.int64())], names=names)
+                at, begin = order[new], np.flatnonzero(new)
+                count = np.diff(np.append(begin, len(order)))
+                place = np.minimum.reduceat(b.column(2).to_numpy()[of[order]], begin)
+                yield pa.table([pa.array(langs, pa.string()).take(pa.array(of[at])), pa.array(key[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(count, pa.int64()), pa.array(place)], names=names)
 
     def run(batches):
         """The counts of several slices are summed before they are sent, as long as few words come of it."""
@@ -103,7 +104,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for t in counted(batches):
             held.append(t)
             if sum(len(x) for x in held) >= HELD_WORDS:
-                one = pa.concat_tables(held).group_by(names[:3], use_threads=False).aggregate([("a", "sum")]).rename_columns(names)
+                one = pa.concat_tables(held).group_by(names[:3], use_threads=False).aggregate([("a", "sum"), ("place", "min")]).rename_columns(names)
                 held = [one]
                 if len(one) >= HELD_WORDS / 2:
                     yield from one.to_batches()
@@ -111,14 +112,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for t in held:
             yield from t.to_batches()
 
-    return docs.mapInArrow(run, "lang string, key long, other long, a long").groupBy("lang", "key", "other").agg(F.sum("a").alias("a"))
+    return docs.mapInArrow(run, "lang string, key long, other long, a long, place int").groupBy("lang", "key", "other").agg(F.sum("a").alias("a"), F.min("place").alias("place"))
 
 
 class Slots:
     """Perfect hashes over a table of different keys, as segments of bounded size, each built in a task; slots count on from segment to segment."""
 
     def __init__(self, rows: DataFrame, sizes: Sizes, halves: bool = False):
-        """rows: a stored table (key, other, a). halves: other is the second half of the key, as it is for words, and goes into the hash."""
+        """rows: a stored table (key, other, a). halves: other is the second half of the key, as it is for words, and goes into the hash; so does place."""
         self.n = rows.count()
         self.segments = segments = max(1, -(-self.n // sizes.segment))
         number = F.pmod(F.xxhash64("key"), F.lit(segments)).cast("int")
@@ -129,14 +130,14 @@ class Slots:
             keys = part.column("key").to_numpy().view(np.uint64)
             made = PerfectHash(keys)
             slot = made.slots(keys)
-            other = np.empty(len(keys) if halves else 0, np.int64)
+            other, place = (np.empty(len(keys) if halves else 0, kind) for kind in (np.int64, np.int32))
             if halves:
-                other[slot] = part.column("other").to_numpy()
+                other[slot], place[slot] = part.column("other").to_numpy(), part.column("place").to_numpy()
             rows = pa.table({"segment": part.column("segment"), "slot": pa.array(slot), "key": part.column("key"), "other": part.column("other"), "a": part.column("a"), "hash": pa.nulls(len(keys), pa.binary())})
-            whole = pa.table({"segment": part.column("segment").slice(0, 1), "slot": pa.nulls(1, pa.int64()), "key": pa.nulls(1, pa.int64()), "other": pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int64()), "hash": pa.array([pickle.dumps((made, other))], pa.binary())})
+            whole = pa.table({"segment": part.column("segment").slice(0, 1), "slot": pa.nulls(1, pa.int64()), "key": pa.nulls(1, pa.int64()), "other": pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int64()), "hash": pa.array([pickle.dumps((made, other, place))], pa.binary())})
             return pa.concat_tables([rows, whole])
 
-        table = stored(rows.select("key", "other", "a", number.alias("segment")).groupBy("segment").applyInArrow(build, "segment int, slot long, key long, other long, a long, hash binary"), "slots")
+        table = stored(rows.select("key", "other", "a", *(["place"] if halves else []), number.alias("segment")).groupBy("segment").applyInArrow(build, "segment int, slot long, key long, other long, a long, hash binary"), "slots")
         found = {r["segment"]: r["n"] for r in table.where("hash is null").groupBy("segment").agg(F.count("*").alias("n")).collect()}
         self.offset = np.concatenate([[0], np.cumsum([found.get(k, 0) for k in range(segments)])])
         self.table = table
@@ -154,7 +155,7 @@ class Slots:
         yield group
 
     def load(self, group: list[int]) -> dict:
-        """The segments' hashes: what a broadcast holds, 8 bytes (words: 16) and a few bits a key."""
+        """The segments' hashes: what a broadcast holds, 8 bytes (words: 20) and a few bits a key."""
         found = {r["segment"]: pickle.loads(r["hash"]) for r in self.table.where("hash is not null").where(F.col("segment").isin(group)).select("segment", "hash").collect()}
         return {"segments": self.segments, "hashes": {k: (*v, int(self.offset[k])) for k, v in found.items()}}
 
@@ -178,7 +179,7 @@ def look_up(loaded: dict, keys: np.ndarray, other: np.ndarray | None = None) ->
     keys = keys.view(np.uint64)
     out = np.full(len(keys), -1, np.int64)
     where = spread(keys, loaded["segments"])
-    for k, (made, halves, offset) in loaded["hashes"].items():
+    for k, (made, halves, _, offset) in loaded["hashes"].items():
         mine = np.flatnonzero(where == k) if loaded["segments"] > 1 else np.arange(len(keys))
         slot = made.slots(keys[mine])
         if other is not None and len(halves):
@@ -220,7 +221,7 @@ SEQUENCE = "slot binary, word binary"
 
 
 def encoded(docs: DataFrame, words: Slots, length: int) -> DataFrame:
-    """Texts as sequences of ids of frequent words; rare words and ends of pieces are breaks. Rows with an id name a word instead, once a task."""
+    """Texts as sequences of ids of frequent words; rare words and ends of pieces are breaks. Rows with an id name a word instead; that is done by the text whose place the word has, and copies of it."""
     shared = docs.sparkSession.sparkContext.broadcast(words.load(list(range(words.segments))))
 
     n = words.n
@@ -229,16 +230,20 @@ def encoded(docs: DataFrame, words: Slots, length: int) -> DataFrame:
         import pyarrow as pa
 
         loaded, named = shared.value, np.zeros(n, bool)
+        namer = np.zeros(n, np.int32)
+        for _, _, place, offset in loaded["hashes"].values():
+            namer[offset : offset + len(place)] = place
         for whole in batches:
             for b in slices(whole, 1, 1 << 14, SLICE_MB):
                 langs = b.column(0).to_pylist()
                 data, starts, stops, of, new, key, other = tokens(langs, b.column(1))
                 ids = look_up(loaded, key, other)
-                seen, first = np.unique(ids, return_index=True)
-                seen, first = seen[seen >= 0], first[seen >= 0]
+                own = np.flatnonzero(ids >= 0)
+                own = own[namer[ids[own]] == b.column(2).to_numpy()[of[own]]]
+                seen, first = np.unique(ids[own], return_index=True)
                 fresh = ~named[seen]
                 named[seen] = True
-                at = first[fresh]
+                at = own[first[fresh]]
                 text = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), stops[at].tolist())]
                 rows = list(sequences(np.insert(ids, np.flatnonzero(new), -1), None, length))
                 none = [None] * len(text)
@@ -450,6 +455,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, first: int
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.withColumn("place", F.shiftrightunsigned(F.xxhash64("lang", "text"), 33).cast("int"))  # by content, so that tasks that run again agree
     # numbers of a language come with its words, so that texts are read once for both
     every = stored(word_counts(docs), "words")
     totals = every.groupBy("lang").agg(F.sum("a").alias("n"))
