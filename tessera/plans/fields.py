@@ -125,3 +125,19 @@ class VariantFields:
         number = F.when(tag == "bool", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(tag.isin("int", "float"), F.try_variant_get(v, "$", "double"))
         exact = F.when(tag == "bool", F.try_variant_get(v, "$", "boolean").cast("int").cast("decimal(38,0)")).when(tag == "int", F.try_variant_get(v, "$", "decimal(38,0)"))
         return Field(v.isNotNull(), tag, number, exact, F.when(tag == "str", F.try_variant_get(v, "$", "string")), F.to_json(v))
+
+
+class IndexFields(VariantFields):
+    """VARIANT columns of an index beside which some keys' numbers or texts are columns of their own, which comparisons push to the scan."""
+
+    def __init__(self, typed: Mapping[tuple[str, str], str]):
+        super().__init__()
+        self.typed = dict(typed)
+
+    def field(self, key: str) -> Field:
+        f = super().field(key)
+        if (key, "number") in self.typed:
+            f.number = F.col(self.typed[key, "number"])
+        if (key, "text") in self.typed:
+            f.text = F.col(self.typed[key, "text"])
+        return f

@@ -151,7 +151,7 @@ def _equal(f: Field, value: Any) -> Column:
         if whole and abs(value) >= 1 << 53:
             same = f.exact == F.lit(str(int(value))).cast("decimal(38,0)") if abs(value) < 10**38 else F.lit(False)
             return same | ((f.tag == "float") & (f.number == float(value))) if float(value) == value else same
-        return f.number == float(value)
+        return f.number == float(value) + 0.0  # never -0.0
     if isinstance(value, str):
         return _spelled(f, value) if f.spelled is not None else f.text == value
     if isinstance(value, list):
@@ -296,7 +296,7 @@ def _member(f: Field, values: list) -> Column:
         small = [int(v) for v in values if number(v) and abs(v) < 1 << 63 and int(v) == v]
         rest = [v for v in values if not isinstance(v, (bool, int, float, str))]
     else:
-        small = [float(v) for v in values if number(v) and abs(v) < 1 << 53]
+        small = [float(v) + 0.0 for v in values if number(v) and abs(v) < 1 << 53]
         rest = [v for v in values if not isinstance(v, str) and not (number(v) and abs(v) < 1 << 53)]
     texts = [v for v in values if isinstance(v, str)]
     tests = [_equal(f, v) for v in rest]

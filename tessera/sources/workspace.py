@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..functions.canon import canonical_json
 from ..functions.leaves import written
 from ..functions.shipping import ship
 from ..operators.project import Project
+from .skipping import ROWS_PER_FILE, read_laid_out, write_laid_out
 
 JOB_ID = r"([0-9a-f]{32})/[^/]*$"
 CHUNK = 1 << 22
@@ -292,30 +294,32 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
 
 
-def _write_version(rows: DataFrame, path: str, keep: int = 2) -> None:
+def _write_version(rows: DataFrame, path: str, keep: int = 2, **layout) -> None:
     """Add a version. It counts once it is whole, so readers see the old or the new one; the last `keep` stay."""
     spark = rows.sparkSession
     known = _versions(spark, path)
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v{(known[-1] if known else 0) + 1:08d}")
+    write_laid_out(rows, f"{path.rstrip('/')}/v{(known[-1] if known else 0) + 1:08d}", **layout)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for old in known[: len(known) + 1 - keep]:
         at = hadoop.Path(f"{path.rstrip('/')}/v{old:08d}")
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def write_index(project: Project, path: str) -> None:
-    """Canonical state points, documents and their VARIANT forms as Parquet, so that filters reach the scan."""
-    stamps = [F.col(c) if c in project.jobs.columns else F.lit(None).cast("timestamp" if c.endswith("mtime") else "long").alias(c) for c in STAMPS]
-    _write_version(project.jobs.select("job_id", "sp_json", "doc_json", "sp", "doc", *stamps), path)
+def write_index(project: Project, path: str, most: int = 32, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Canonical state points, documents and their VARIANT forms as Parquet sorted by id, so that filters reach the scan.
 
+    The `most` keys that most jobs have get typed columns with statistics and Bloom filters.
+    """
+    stamps = [F.col(c) if c in project.jobs.columns else F.lit(None).cast("timestamp" if c.endswith("mtime") else "long").alias(c) for c in STAMPS]
+    _write_version(project.jobs.select("job_id", "sp_json", "doc_json", "sp", "doc", *stamps), path, most=most, rows_per_file=rows_per_file)
 
-def read_index(spark: SparkSession, path: str) -> Project:
-    from ..plans.fields import VariantFields
 
+def read_index(spark: SparkSession, path: str, ids: Iterable[str] | None = None) -> Project:
+    """The jobs of the last version. ids: only those with these ids or beginnings of ids, from the files that may hold them."""
     known = _versions(spark, path)
     if not known:
         raise LookupError(f"no index at {path}")
-    return Project(spark.read.parquet(f"{path.rstrip('/')}/v{known[-1]:08d}"), VariantFields())
+    return Project(*read_laid_out(spark, f"{path.rstrip('/')}/v{known[-1]:08d}", ids))
 
 
 def index_delta(now: DataFrame, index: DataFrame, compare: tuple[str, ...] = ()) -> DataFrame:
