@@ -29,7 +29,7 @@ from .perfect_hash import PerfectHash
 #: Where pieces end, and the bytes between words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 FAN = 16
-SLICE_MB = 2  # of text taken apart at once
+SLICE_MB = 0.5  # of text taken apart at once; a task holds some fifty times that
 HELD_WORDS = 400_000  # different words of several slices that a task sums before it sends them
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
