@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.leaves import written
+from ..functions.shipping import ship
 from ..sources.paths import check_paths
 
 
@@ -37,23 +40,48 @@ def wanted_links(paths: DataFrame, workspace: str) -> DataFrame:
 
 
 def create_linked_view(paths: DataFrame, workspace: str, prefix: str) -> DataFrame:
-    """Make the view below a local folder prefix, changing only what differs; returns the plan.
+    """Make the view below a folder prefix that executors reach too, changing only what differs; returns the plan.
 
-    Links belong to one machine's file system, so the driver makes them, one plan row at a time.
+    Tasks take shares of the plan: first they remove links that go, and folders that are empty then,
+    after that each new link is made under a temporary name and renamed. A task may run again.
     """
-    spark = paths.sparkSession
+    spark, prefix = paths.sparkSession, os.path.abspath(prefix)
+    ship(spark)
     found = [(os.path.relpath(p, prefix), os.path.realpath(p)) for d, dirs, files in os.walk(prefix) for p in (os.path.join(d, n) for n in dirs + files) if os.path.islink(p)]
-    plan = view_plan(spark.createDataFrame(found, "path string, target string"), wanted_links(paths, os.path.realpath(workspace))).where("action <> 'keep'")
-    for r in plan.toLocalIterator():
-        at = os.path.join(prefix, r["path"])
-        if r["action"] in ("obsolete", "update"):
+    plan = written(view_plan(spark.createDataFrame(found, "path string, target string"), wanted_links(paths, os.path.realpath(workspace))).where("action <> 'keep'"))
+
+    def remove(at: str, target: str) -> None:
+        if os.path.islink(at):
             os.unlink(at)
-        if r["action"] == "obsolete":
-            folder = os.path.dirname(at)
-            while folder != prefix and not os.listdir(folder):
+        folder = os.path.dirname(at)
+        while folder != prefix:
+            try:
                 os.rmdir(folder)
-                folder = os.path.dirname(folder)
-        else:
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            os.symlink(os.path.relpath(r["target"], os.path.realpath(os.path.dirname(at))), at)
+            except FileNotFoundError:
+                pass  # another task's
+            except OSError:
+                return  # something is in it
+            folder = os.path.dirname(folder)
+
+    def make(at: str, target: str) -> None:
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        new = f"{at}.{uuid.uuid4().hex}.part"
+        os.symlink(os.path.relpath(target, os.path.realpath(os.path.dirname(at))), new)
+        os.replace(new, at)
+
+    def each(rows: DataFrame, step) -> None:
+        def run(batches):
+            import pyarrow as pa
+
+            n = 0
+            for b in batches:
+                for path, target in zip(*(c.to_pylist() for c in b.columns)):
+                    step(os.path.join(prefix, path), target)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        rows.select("path", "target").repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+    each(plan.where("action = 'obsolete'"), remove)
+    each(plan.where("action <> 'obsolete'"), make)
     return plan
