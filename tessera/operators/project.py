@@ -135,10 +135,13 @@ class Project:
 
     def repair(self, index: DataFrame) -> Project:
         """State points that are damaged come from index (job_id, sp_json); jobs under a wrong id get their own."""
-        j = self.jobs.select("job_id", "sp_json", "doc_json").join(index.select("job_id", F.col("sp_json").alias("known")), "job_id", "left")
-        made = canon.job_id("sp_json")
-        j = j.withColumn("sp_json", F.when(made.isNull() | ((made != F.col("job_id")) & F.col("known").isNotNull()), F.col("known")).otherwise(F.col("sp_json")))
-        return Project.of_json(j.select(F.coalesce(canon.job_id("sp_json"), F.col("job_id")).alias("job_id"), "sp_json", "doc_json").dropDuplicates(["job_id"]), self.document)
+        j = self.jobs.select("job_id", "sp_json", canon.canonical_json("sp_json").alias("own"), canon.canonical_json("doc_json").alias("doc_json"))
+        j = j.join(index.select("job_id", F.col("sp_json").alias("known")), "job_id", "left")
+        damaged = F.col("own").isNull() | ((F.md5("own") != F.col("job_id")) & F.col("known").isNotNull())
+        # what is taken from the index is brought to canonical form, and only that
+        j = j.select("job_id", F.when(~damaged, F.col("own")).alias("own"), canon.canonical_json(F.when(damaged, F.col("known"))).alias("known"), "doc_json")
+        text = F.coalesce("own", "known")
+        return Project.of_canonical(j.select(F.coalesce(F.md5(text), F.col("job_id")).alias("job_id"), text.alias("sp_json"), "doc_json").dropDuplicates(["job_id"]), self.document)
 
     # ---- changing -------------------------------------------------------------------------
 
@@ -341,15 +344,18 @@ class Groups:
         defaults = dict(zip(names, [default] if self.single else default)) if default is not None and names else {}
         df, self.keys = cursor.df, names or ["job_id"]
         for k in names:
-            f = project.fields.field(k)
             if project.typed:
                 value = F.col(project.fields.columns[k]) if k in project.fields.columns else F.lit(None).cast("string" if k not in defaults or isinstance(defaults[k], str) else "double" if isinstance(defaults[k], float) else "bigint")
                 value = F.coalesce(value, F.lit(defaults[k])) if k in defaults else value
             else:
-                # doubles do not tell integers of 2**53 and more apart: their digits do
-                digits = F.when(F.abs(f.number) >= float(1 << 53), F.coalesce(f.exact.cast("string"), F.when(F.abs(f.number) < float(1 << 63), f.number.cast("bigint").cast("string")), f.number.cast("string")))
-                number = F.when(f.tag.isin(*NUMBERS), F.struct(F.lit("number").alias("kind"), f.number.alias("number"), digits.alias("text")))
-                value = number.when(f.exists, F.struct(f.tag.alias("kind"), F.lit(None).cast("double").alias("number"), F.coalesce(f.text, f.json).alias("text")))
+                def shown(fields, k=k):
+                    f = fields.field(k)
+                    # doubles do not tell integers of 2**53 and more apart: their digits do
+                    digits = F.when(F.abs(f.number) >= float(1 << 53), F.coalesce(f.exact.cast("string"), F.when(F.abs(f.number) < float(1 << 63), f.number.cast("bigint").cast("string")), f.number.cast("string")))
+                    number = F.when(f.tag.isin(*NUMBERS), F.struct(F.lit("number").alias("kind"), f.number.alias("number"), digits.alias("text")))
+                    return number.when(f.exists, F.struct(f.tag.alias("kind"), F.lit(None).cast("double").alias("number"), F.coalesce(f.text, f.json).alias("text")))
+
+                value = project.fields.once(shown, [k.split(".", 1)[0]])
                 if k in defaults:
                     d = defaults[k]
                     value = F.coalesce(value, F.struct(F.lit("number" if isinstance(d, (bool, int, float)) else "str" if isinstance(d, str) else "tuple").alias("kind"), F.lit(float(d) if isinstance(d, (bool, int, float)) else None).cast("double").alias("number"), F.lit(None if isinstance(d, (bool, int, float)) else d if isinstance(d, str) else json.dumps(d)).cast("string").alias("text")))

@@ -6,7 +6,7 @@ a value). Both give the same views of a key, so one filter compiles to either.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -112,21 +112,64 @@ def variant_tag(v: Column) -> Column:
 class VariantFields:
     """sp and doc are VARIANT columns parsed from canonical JSON."""
 
-    def __init__(self, sp: str = "sp", doc: str = "doc"):
+    def __init__(self, sp: str | Column = "sp", doc: str | Column = "doc"):
         self.roots = {"sp": sp, "doc": doc}
 
     def id_field(self) -> Field:
         return id_field()
 
+    def once(self, build: Callable[[VariantFields], Column], spaces: Iterable[str]) -> Column:
+        """build(fields) in which the columns of these spaces are named once.
+
+        A filter that Spark moves below the parsing of its columns parses them wherever it names
+        them, and a key's views name them a dozen times.
+        """
+        spaces = sorted(spaces)
+        if not spaces:
+            return build(self)
+        whole = F.array(F.struct(*(F.col(self.roots[s]).alias(s) for s in spaces)))
+        return F.get(F.transform(whole, lambda r: build(BoundFields(r, spaces))), F.lit(0))
+
+    def root(self, space: str) -> Column:
+        return F.col(self.roots[space])
+
     def field(self, key: str) -> Field:
         space, *parts = key.split(".")
-        v = F.try_variant_get(F.col(self.roots[space]), variant_path(parts), "variant") if parts else F.col(self.roots[space])
+        v = F.try_variant_get(self.root(space), variant_path(parts), "variant") if parts else self.root(space)
         tag = variant_tag(v)
         number = F.when(tag == "bool", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(tag.isin("int", "float"), F.try_variant_get(v, "$", "double"))
         exact = F.when(tag == "bool", F.try_variant_get(v, "$", "boolean").cast("int").cast("decimal(38,0)")).when(tag == "int", F.try_variant_get(v, "$", "decimal(38,0)"))
         return Field(v.isNotNull(), tag, number, exact, F.when(tag == "str", F.try_variant_get(v, "$", "string")), F.to_json(v))
 
 
+class BoundFields(VariantFields):
+    """The spaces of a struct that `once` has named. A value, and its type, are taken out once for each view."""
+
+    def __init__(self, row: Column, spaces: Iterable[str]):
+        self.row, self.spaces = row, spaces
+
+    def once(self, build: Callable[[VariantFields], Column], spaces: Iterable[str]) -> Column:
+        return build(self)
+
+    def root(self, space: str) -> Column:
+        return self.row[space]
+
+    def field(self, key: str) -> Field:
+        space, *parts = key.split(".")
+        v = F.try_variant_get(self.root(space), variant_path(parts), "variant") if parts else self.root(space)
+        name = F.schema_of_variant(v)
+
+        def view(make: Callable[[Column, Column], Column]) -> Column:
+            return F.get(F.transform(F.array(F.struct(v.alias("v"), name.alias("n"))), lambda x: make(x["v"], x["n"])), F.lit(0))
+
+        whole = lambda n: (n == "BIGINT") | n.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$")
+        some = lambda n: n.isin("BIGINT", "DOUBLE", "FLOAT") | n.startswith("DECIMAL")
+        truth = lambda x: F.try_variant_get(x, "$", "boolean").cast("int")
+        number = view(lambda x, n: F.when(some(n), F.try_variant_get(x, "$", "double")).when(n == "BOOLEAN", truth(x).cast("double")))
+        exact = view(lambda x, n: F.when(whole(n), F.try_variant_get(x, "$", "decimal(38,0)")).when(n == "BOOLEAN", truth(x).cast("decimal(38,0)")))
+        return Field(v.isNotNull(), variant_tag(v), number, exact, view(lambda x, n: F.when(n == "STRING", F.try_variant_get(x, "$", "string"))), F.to_json(v))
+
+
 class IndexFields(VariantFields):
     """VARIANT columns of an index beside which some keys' numbers or texts are columns of their own, which comparisons push to the scan."""
 
@@ -134,6 +177,9 @@ class IndexFields(VariantFields):
         super().__init__()
         self.typed = dict(typed)
 
+    def once(self, build: Callable[[VariantFields], Column], spaces: Iterable[str]) -> Column:
+        return build(self)  # conditions on typed columns reach the scan
+
     def field(self, key: str) -> Field:
         f = super().field(key)
         if (key, "number") in self.typed:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.canon import plain, unified, unified_json
 from ..functions.shipping import ship
-from .fields import NUMBERS, Field
+from .fields import NUMBERS, Field, VariantFields
 
 OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$regex", "$type", "$where", "$near", "$exists")
 LOGICAL = ("$and", "$or", "$not")
@@ -128,6 +128,22 @@ def uses_documents(given: Mapping) -> bool:
     return any(k.split(".", 1)[0] == "doc" for k, _, _ in conditions(given)) or any(uses_documents(f) for _, fs in branches(given) for f in fs)
 
 
+def spaces_of(given: Mapping) -> set[str]:
+    """sp and doc, as far as any part reads them."""
+    own = {k.split(".", 1)[0] for k, _, _ in conditions(given) if k != "sp._id"}
+    return own.union(*(spaces_of(read_filter(f)) for _, fs in branches(given) for f in fs))
+
+
+def calls_python(given: Mapping) -> bool:
+    """Whether any part needs Python in tasks: predicates, lists, some patterns."""
+    for _, op, arg in conditions(given):
+        if op == "$where" or op in ("$in", "$nin") and not isinstance(arg, str) and any(isinstance(v, (list, tuple)) or hasattr(v, "tolist") for v in arg):
+            return True
+        if op not in ("$in", "$nin", "$near") and (isinstance(arg, (list, tuple)) or hasattr(arg, "tolist")) or op == "$regex" and not (isinstance(arg, str) and ALIKE.fullmatch(arg)):
+            return True
+    return any(calls_python(read_filter(f)) for _, fs in branches(given) for f in fs)
+
+
 # ---- compiling -------------------------------------------------------------------------------
 
 def _sure(c: Column) -> Column:
@@ -318,14 +334,23 @@ def compile_filter(given: Any, fields, strict: bool = False, sure: bool = True)
     it, and without it simple tests reach the source's statistics.
     """
     f = read_filter(given)
-    tests = []
-    for key, op, arg in conditions(f):
-        if op != "$where":
-            arg = json.loads(json.dumps(plain(arg)))
+    once = isinstance(fields, VariantFields) and not calls_python(f)
+
+    def test(key: str, op: str, arg: Any, fields: Any) -> Column:
         field = fields.id_field() if key == "sp._id" else fields.field(key)
-        tests.append(_one(field, op, arg, strict))
-    for op, parts in branches(f):
+        return _one(field, op, arg if op == "$where" else json.loads(json.dumps(plain(arg))), strict)
+
+    def combined(op: str, parts: list, fields: Any) -> Column:
         inner = [compile_filter(p, fields, strict, sure=op == "$not") for p in parts]
-        tests.append(~inner[0] if op == "$not" else reduce((lambda a, b: a & b) if op == "$and" else (lambda a, b: a | b), inner))
+        return ~inner[0] if op == "$not" else reduce((lambda a, b: a & b) if op == "$and" else (lambda a, b: a | b), inner)
+
+    tests = [test(*c, fields) for c in conditions(f) if c[0] == "sp._id" or not once]
+    if once:
+        inner = [c for c in conditions(f) if c[0] != "sp._id"]
+        deep = list(branches(f))
+        if inner or deep:
+            tests.append(fields.once(lambda x: reduce(lambda a, b: a & b, [test(*c, x) for c in inner] + [combined(*b, x) for b in deep]), spaces_of(f)))
+    else:
+        tests += [combined(*b, fields) for b in branches(f)]
     out = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
     return _sure(out) if sure else out
