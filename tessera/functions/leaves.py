@@ -42,24 +42,36 @@ def nest(flat: dict[str, Any], delimiter: str = ".") -> dict:
     return out
 
 
+TYPES = {type(None): "NoneType", bool: "bool", int: "int", float: "float", str: "str", list: "tuple", dict: "dict"}
+
+
 def type_name(v: Any) -> str:
-    return {type(None): "NoneType", bool: "bool", int: "int", float: "float", str: "str", list: "tuple", dict: "dict"}[type(v)]
+    return TYPES[type(v)]
 
 
-def leaves(jobs: DataFrame, column: str, ns: str) -> DataFrame:
+def leaves(jobs: DataFrame, column: str, ns: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per leaf of a JSON text column. same: JSON with equal numbers alike; rest: the sum of 128-bit hashes of the other leaves.
 
-    Rows whose text is null or no JSON object have no leaves.
+    Rows whose text is null or no JSON object have no leaves. columns: only those are made (default: all).
     """
+    wanted = tuple(c.split()[0] for c in LEAF.split(", ")) if columns is None else columns
 
     def run(batches):
         from decimal import Decimal
 
         import pyarrow as pa
 
-        schema = pa.schema([(c, pa.float64() if c == "num" else pa.decimal128(38, 0) if c == "big" else pa.string()) for c in ("job_id", "ns", "path", "type", "num", "big", "str", "json", "same", "rest")])
+        schema = pa.schema([(c, pa.float64() if c == "num" else pa.decimal128(38, 0) if c == "big" else pa.string()) for c in wanted])
+        encode = json.JSONEncoder(sort_keys=True).encode
+        text_of = json.encoder.encode_basestring_ascii
+
+        def plain(v) -> str | None:
+            """JSON of a value that is alike in both forms; else null."""
+            kind = type(v)
+            return text_of(v) if kind is str else str(v) if kind is int else "null" if v is None else None
+
         for b in batches:
-            cols: list[list] = [[] for _ in schema]
+            cols: dict[str, list] = {c: [] for c in wanted}
             for job, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     value = json.loads(text) if text is not None else None
@@ -68,19 +80,36 @@ def leaves(jobs: DataFrame, column: str, ns: str) -> DataFrame:
                 if not isinstance(value, dict):
                     continue
                 flat = flatten(value)
-                same = {k: json.dumps(unified(v), sort_keys=True) for k, v in flat.items()}
-                marks = {k: int.from_bytes(hashlib.md5(json.dumps((k, s)).encode()).digest(), "big") for k, s in same.items()}
-                whole = sum(marks.values())
-                for k, v in flat.items():
-                    number = isinstance(v, (bool, int, float))
-                    rest = f"{whole - marks[k] & (1 << 128) - 1:032x}"
-                    row = (job, ns, k, type_name(v), float(v) if number and abs(v) < 1e308 else None, Decimal(v) if isinstance(v, int) and abs(v) < 10**38 else None, v if isinstance(v, str) else None, json.dumps(v, sort_keys=True), same[k], rest)
-                    for c, x in zip(cols, row):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                own = {k: plain(v) for k, v in flat.items()}
+                if "same" in cols or "rest" in cols:
+                    same = {k: encode(unified(v)) if own[k] is None else own[k] for k, v in flat.items()}
+                    if "same" in cols:
+                        cols["same"] += same.values()
+                if "rest" in cols:
+                    marks = {k: int.from_bytes(hashlib.md5(json.dumps((k, s)).encode()).digest(), "big") for k, s in same.items()}
+                    whole = sum(marks.values())
+                    cols["rest"] += [f"{whole - marks[k] & (1 << 128) - 1:032x}" for k in flat]
+                if "job_id" in cols:
+                    cols["job_id"] += [job] * len(flat)
+                if "ns" in cols:
+                    cols["ns"] += [ns] * len(flat)
+                if "path" in cols:
+                    cols["path"] += flat
+                if "type" in cols:
+                    cols["type"] += [type_name(v) for v in flat.values()]
+                if "num" in cols:
+                    cols["num"] += [float(v) if isinstance(v, (bool, int, float)) and abs(v) < 1e308 else None for v in flat.values()]
+                if "big" in cols:
+                    cols["big"] += [Decimal(v) if isinstance(v, int) and abs(v) < 10**38 else None for v in flat.values()]
+                if "str" in cols:
+                    cols["str"] += [v if isinstance(v, str) else None for v in flat.values()]
+                if "json" in cols:
+                    cols["json"] += [encode(v) if own[k] is None else own[k] for k, v in flat.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
     ship(jobs.sparkSession)
-    return jobs.select("job_id", column).mapInArrow(run, LEAF)
+    kinds = dict(c.split() for c in LEAF.split(", "))
+    return jobs.select("job_id", column).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in wanted))
 
 
 def nested_json(entries: Column) -> Column:

@@ -93,8 +93,8 @@ class Project:
             raise LookupError(f"{id} is the beginning of several ids")
         return JobsCursor(self, {"_id": found[0]})
 
-    def leaves(self, ns: str = "sp") -> DataFrame:
-        return leaves(self.jobs, f"{ns}_json", ns)
+    def leaves(self, ns: str = "sp", columns: tuple[str, ...] | None = None) -> DataFrame:
+        return leaves(self.jobs, f"{ns}_json", ns, columns)
 
     def groupby(self, key: Any = None, default: Any = None) -> Groups:
         return self.find_jobs().groupby(key, default)
@@ -295,7 +295,7 @@ class JobsCursor:
         else:
             names = {}
             for ns, prefix in (("sp", sp_prefix), ("doc", doc_prefix)):
-                kinds = leaves(self.df, f"{ns}_json", ns).groupBy("path").agg(F.collect_set("type").alias("types")).orderBy("path").collect()  # one row per key
+                kinds = leaves(self.df, f"{ns}_json", ns, ("path", "type")).groupBy("path").agg(F.collect_set("type").alias("types")).orderBy("path").collect()  # one row per key
                 if flatten:
                     for path, types in kinds:
                         names[prefix + path] = self._column(f"{ns}.{path}", set(types))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DocumentSyncConflict, FileSyncConflict, SchemaSyncConflict
-from ..functions.canon import canonical
-from ..functions.leaves import leaves, nested_json, written
+from ..functions.canon import canonical, unified
+from ..functions.leaves import flatten, nest, written
 from ..functions.shipping import ship
 from .project import Project
 from .schema import ProjectSchema
@@ -87,69 +88,84 @@ def document_plan(source: DataFrame, destination: DataFrame, how: Any) -> DataFr
     A leaf on one side that is a mapping on the other is a conflict too, but for empty mappings,
     which give way to any other.
     """
-    common = source.select("job_id").join(destination.select("job_id"), "job_id", "left_semi")
-    # a document that is there but empty has no leaves: COPY needs to know it
-    has = source.where("doc_json is not null").select("job_id", F.lit(True).alias("has_doc"))
-    s, d = (leaves(x.join(common, "job_id", "left_semi"), "doc_json", "doc").select("job_id", "path", F.col("json").alias(f"{side}_json"), F.col("same").alias(f"{side}_same")) for x, side in ((source, "src"), (destination, "dst")))
-    both = s.join(d, ["job_id", "path"], "full_outer")
-    no = F.lit(False)
-    if how == DocSync.NO_SYNC:
-        return both.withColumns({"json": F.col("dst_json"), "conflict": no}).drop("src_same", "dst_same")
-    if how == DocSync.COPY:
-        return both.join(has, "job_id", "left").withColumns({"json": F.when(F.col("has_doc"), F.col("src_json")).otherwise(F.col("dst_json")), "conflict": no}).drop("has_doc", "src_same", "dst_same")
-    if how == DocSync.UPDATE:
-        top = lambda x: x.withColumn("top", F.substring_index("path", ".", 1))
-        replaced = top(s).select("job_id", "top", F.lit(True).alias("replaced")).distinct()
-        return top(both).join(replaced, ["job_id", "top"], "left").withColumns({"json": F.when(F.col("replaced"), F.col("src_json")).otherwise(F.col("dst_json")), "conflict": no}).drop("top", "replaced", "src_same", "dst_same")
-    above = lambda least: F.expr(f"transform(sequence(1, size(split(path, '[.]')) - {least}), i -> array_join(slice(split(path, '[.]'), 1, i), '.'))")
-    inner = lambda x: x.where(F.col("path").contains(".")).select("job_id", F.explode(above(1)).alias("path")).distinct()
-    if how.keys is None:
-        wins = F.lit(False)
-    elif callable(how.keys):
-        wins = _key_test(how.keys)
-    else:
-        wins = F.rlike("path", F.lit(f"^(?:{re.sub(r'[(][?]P<', '(?<', how.keys)})"))
-    # a leaf on one side that is a mapping on the other decides for all that lies at or below it
-    solid = lambda x, side: x.where(F.col(f"{side}_json") != "{}").select("job_id", "path")
-    empty = lambda x, side: x.where(F.col(f"{side}_json") == "{}").select("job_id", "path")
-    yields = empty(s, "src").join(inner(d), ["job_id", "path"], "left_semi").union(empty(d, "dst").join(inner(s), ["job_id", "path"], "left_semi")).withColumn("yields", F.lit(True))
-    shapes = solid(s, "src").join(inner(d), ["job_id", "path"], "left_semi").union(solid(d, "dst").join(inner(s), ["job_id", "path"], "left_semi")).select("job_id", "path", wins.alias("root_wins")).distinct()
-    below = both.select("job_id", "path", F.explode(above(0)).alias("root")).join(shapes.withColumnRenamed("path", "root"), ["job_id", "root"]).groupBy("job_id", "path").agg(F.min("root_wins").alias("root_wins"))
-    both = both.join(below, ["job_id", "path"], "left").join(yields, ["job_id", "path"], "left")
-    # an empty mapping of the source has nothing to say about what the destination holds there
-    differ = F.coalesce((F.col("src_same") != F.col("dst_same")) & (F.col("src_json") != "{}"), no)
-    kept_own = F.coalesce((F.col("src_same") == F.col("dst_same")) | (F.col("src_json") == "{}"), no) & F.col("dst_json").isNotNull()
-    kept = F.when(F.col("yields"), F.lit(None).cast("string")).when(F.col("root_wins").isNotNull(), F.when(F.col("root_wins"), F.col("src_json")).otherwise(F.col("dst_json"))).when(kept_own | (differ & ~wins), F.col("dst_json")).otherwise(F.coalesce("src_json", "dst_json"))
-    conflict = F.coalesce(~F.col("root_wins"), differ & ~wins)
-    return both.withColumns({"json": kept, "conflict": conflict}).drop("root_wins", "yields", "src_same", "dst_same")
-
-
-def _key_test(function: Callable[[str], bool]) -> Column:
-    def run(paths):
+    both = source.select("job_id", F.col("doc_json").alias("src")).join(destination.select("job_id", F.col("doc_json").alias("dst")), "job_id")
+
+    def run(batches):
         import pyarrow as pa
 
-        return pa.array([bool(function(p)) for p in paths.to_pylist()], pa.bool_())
+        names = ("job_id", "path", "src_json", "dst_json", "json", "conflict")
+        decide = decisions(how)
+        for b in batches:
+            rows = [(job, *r) for job, src, dst in zip(*(c.to_pylist() for c in b.columns)) for r in decide(src, dst)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.bool_() if c == "conflict" else pa.string()) for k, c in enumerate(names)], names=list(names))
+
+    ship(source.sparkSession)
+    return both.mapInArrow(run, "job_id string, path string, src_json string, dst_json string, json string, conflict boolean")
+
+
+def _leaves_of(text: str | None) -> dict[str, Any]:
+    try:
+        value = json.loads(text) if text is not None else None
+    except ValueError:
+        value = None
+    return flatten(value) if isinstance(value, dict) else {}
+
+
+def decisions(how: Any) -> Callable[[str | None, str | None], list[tuple]]:
+    """A function of the two documents of a job that gives the rows (path, src_json, dst_json, json, conflict) of a document plan."""
+    encode = json.JSONEncoder(sort_keys=True).encode
+    by_key = isinstance(how, DocSync.ByKey)
+    wins = (lambda path: False) if not by_key or how.keys is None else how.keys if callable(how.keys) else re.compile(how.keys).match
+    above = lambda path: [path[:k] for k, c in enumerate(path) if c == "."]
+
+    def decide(src: str | None, dst: str | None) -> list[tuple]:
+        a, b = _leaves_of(src), _leaves_of(dst)
+        if how == DocSync.NO_SYNC or how == DocSync.COPY or how == DocSync.UPDATE:
+            tops = {p.split(".", 1)[0] for p in a}
+            theirs = lambda p: False if how == DocSync.NO_SYNC else src is not None if how == DocSync.COPY else p.split(".", 1)[0] in tops
+            return [(p, x := encode(a[p]) if p in a else None, y := encode(b[p]) if p in b else None, x if theirs(p) else y, False) for p in a | b]
+        inside_a, inside_b = ({x for p in side if "." in p for x in above(p)} for side in (a, b))
+        # a leaf on one side that is a mapping on the other decides for all that lies at or below it
+        shapes = {p: bool(wins(p)) for side, inside in ((a, inside_b), (b, inside_a)) for p, v in side.items() if v != {} and p in inside}
+        yields = {p for side, inside in ((a, inside_b), (b, inside_a)) for p, v in side.items() if v == {} and p in inside}
+        out = []
+        for p in a | b:
+            x, y = encode(a[p]) if p in a else None, encode(b[p]) if p in b else None
+            roots = [shapes[r] for r in (*above(p), p) if r in shapes] if shapes else []
+            same = x is not None and y is not None and (x == y or encode(unified(a[p])) == encode(unified(b[p])))
+            # an empty mapping of the source has nothing to say about what the destination holds there
+            apart = x is not None and y is not None and not same and x != "{}" and not wins(p)
+            if p in yields:
+                kept = None
+            elif roots:
+                kept = x if all(roots) else y
+            elif apart or y is not None and (same or x == "{}"):
+                kept = y
+            else:
+                kept = y if x is None else x
+            out.append((p, x, y, kept, not all(roots) if roots else apart))
+        return out
 
-    import pyarrow as pa
+    return decide
 
-    ship()
-    run.__annotations__ = {"paths": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, T.BooleanType())("path")
 
+def merged_json(source: Column, destination: Column, how: Any) -> Column:
+    """The document of a job of both sides from its two documents. It has none only if neither side that counts has one."""
 
-def merged_documents(source: DataFrame, destination: DataFrame, plan: DataFrame, how: Any) -> DataFrame:
-    """(job_id, merged): the documents that jobs of both sides get by a document plan; one job's leaves meet in one row.
+    def run(sources, destinations):
+        import pyarrow as pa
 
-    A job has no document afterwards only if neither side that counts has one.
-    """
-    s, d = source.select("job_id", F.col("doc_json").alias("src_doc")), destination.select("job_id", F.col("doc_json").alias("dst_doc"))
-    both = s.join(d, "job_id").join(_gathered(plan), "job_id", "left")
-    some = F.col("dst_doc") if how == DocSync.NO_SYNC else F.coalesce("src_doc", "dst_doc")
-    return both.select("job_id", F.when(some.isNotNull(), F.coalesce("doc_json", F.lit("{}"))).alias("merged"))
+        decide, out = decisions(how), []
+        for src, dst in zip(sources.to_pylist(), destinations.to_pylist()):
+            some = dst if how == DocSync.NO_SYNC or src is None else src
+            out.append(None if some is None else json.dumps(nest({p: json.loads(kept) for p, _, _, kept, _ in decide(src, dst) if kept is not None}), sort_keys=True))
+        return pa.array(out, pa.string())
 
+    import pyarrow as pa
 
-def _gathered(plan: DataFrame) -> DataFrame:
-    return plan.where("json is not null").groupBy("job_id").agg(F.collect_list(F.struct("path", "json")).alias("entries")).select("job_id", nested_json(F.col("entries")).alias("doc_json"))
+    ship()
+    run.__annotations__ = {"sources": pa.Array, "destinations": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.StringType())(source, destination)
 
 
 def file_plan(source: DataFrame, destination: DataFrame, strategy: Column | None = None, exclude: Iterable[str] = (), recursive: bool = True, deep: bool = False, size_only: bool = False) -> DataFrame:
@@ -320,7 +336,8 @@ def sync_jobs(spark: SparkSession, source: str, source_id: str, destination: str
         found = sorted(r[0] for r in docs.where("conflict").select("path").distinct().take(100))
         if found:
             raise DocumentSyncConflict(found)
-    merged = written(d.join(merged_documents(s, d, docs, how), "job_id").select("job_id", "sp_json", F.col("doc_json").alias("before"), F.col("merged").alias("doc_json")))
+    both = d.join(s.select("job_id", F.col("doc_json").alias("src_doc")), "job_id")
+    merged = written(both.select("job_id", "sp_json", F.col("doc_json").alias("before"), merged_json(F.col("src_doc"), F.col("doc_json"), how).alias("doc_json")))
     ids = lambda i: spark.createDataFrame([(i,)], "job_id string")
     theirs = list_files(spark, source, ids(source_id), layout, digest=deep).withColumn("job_id", F.lit(destination_id))
     plan = written(file_plan(theirs, list_files(spark, destination, ids(destination_id), layout, digest=deep), strategy, exclude, recursive, deep, size_only))
@@ -347,13 +364,14 @@ def sync_projects(source: Project, destination: Project, doc_sync: Any = None, s
     if selection is not None:
         ids = selection if isinstance(selection, DataFrame) else s.sparkSession.createDataFrame([(i,) for i in selection], "job_id string")
         s = s.join(ids.select("job_id").distinct(), "job_id", "left_semi")
-    plan = document_plan(s, d, how)
     if isinstance(how, DocSync.ByKey) and how.keys is None:
-        found = [r[0] for r in plan.where("conflict").select("path").distinct().take(100)]
+        found = [r[0] for r in document_plan(s, d, how).where("conflict").select("path").distinct().take(100)]
         if found:
             raise DocumentSyncConflict(sorted(found))
-    docs = merged_documents(s, d, plan, how)
-    of = lambda rows, action: rows.join(job_plan(s, d).where(F.col("action") == action).select("job_id"), "job_id", "left_semi")
-    common = of(d, "merge").join(docs, "job_id").select("job_id", "sp_json", F.col("merged").alias("doc_json"))
-    own, new = of(d, "keep"), of(s, "clone")
-    return Project.of_canonical(common.union(own).union(new), merge_mapping(source.document, destination.document, how))
+    sides = (x.select("job_id", F.struct("sp_json", "doc_json").alias(name)) for x, name in ((s, "src"), (d, "dst")))
+    both = next(sides).join(next(sides), "job_id", "full_outer")
+    common = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    asked = [F.when(common, F.col(f"{x}.doc_json")) for x in ("src", "dst")]
+    doc = F.when(common, merged_json(*asked, how)).otherwise(F.coalesce("src.doc_json", "dst.doc_json"))
+    jobs = both.select("job_id", F.when(F.col("dst").isNotNull(), F.col("dst.sp_json")).otherwise(F.col("src.sp_json")).alias("sp_json"), doc.alias("doc_json"))
+    return Project.of_canonical(jobs, merge_mapping(source.document, destination.document, how))

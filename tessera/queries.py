@@ -445,9 +445,9 @@ TAGGED = """sm AS (SELECT *, md5(sp_json) AS job_id, CASE WHEN key % 2 = 0 THEN
 
 @registered(f"WITH {TAGGED} SELECT job_id, CASE WHEN key % 10 <> 0 THEN '' ELSE 'name/' || name || '/' END || 'region/' || region || '/key/' || key AS path FROM sm")
 def automatic_path(spark, d):
-    from .sources.paths import automatic_paths
+    from .sources.paths import PATH_COLUMNS, automatic_paths
 
-    return automatic_paths(tagged(spark, d).leaves()).select("job_id", "path")
+    return automatic_paths(tagged(spark, d).leaves(columns=PATH_COLUMNS)).select("job_id", "path")
 
 
 @registered("SELECT 'a/' || p_brand || '/b/' || p_size AS path FROM part WHERE p_size > 25 GROUP BY 1")

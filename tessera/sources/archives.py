@@ -18,7 +18,7 @@ from ..functions.shipping import ship
 from ..operators.project import Project
 from .members import Member, members, pieces
 from .packing import KINDS, tasks_for, write_archive
-from .paths import automatic_paths, check_paths, parse_columns, template_keys, template_path
+from .paths import PATH_COLUMNS, automatic_paths, check_paths, parse_columns, template_keys, template_path
 from .workspace import Layout, _opened, copy_files, list_files
 
 
@@ -27,14 +27,14 @@ def export_paths(project: Project, path: str | bool | Callable | None = None) ->
     if path is False:
         out = project.jobs.select("job_id", F.col("job_id").alias("path"))
     elif path is None:
-        out = automatic_paths(project.leaves())
+        out = automatic_paths(project.leaves(columns=PATH_COLUMNS))
     elif isinstance(path, str):
         keys = template_keys(path)
         wide = project.to_dataframe(flatten=True, sp_prefix="", usecols=lambda c: not c.startswith("doc."))
         columns = {c: f"`{c}`" for c in wide.columns if c != "job_id"}
         auto = None
         if "{{auto" in path:
-            wide = wide.join(automatic_paths(project.leaves(), exclude=keys).withColumnRenamed("path", "_auto"), "job_id")
+            wide = wide.join(automatic_paths(project.leaves(columns=PATH_COLUMNS), exclude=keys).withColumnRenamed("path", "_auto"), "job_id")
             auto = F.col("_auto")
         out = wide.select("job_id", template_path(path, columns, auto).alias("path"))
     elif callable(path):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StatepointParsingError
+from ..functions.leaves import written
 
 #: What a field of each type looks like in a path.
 FIELD_TYPES = {
@@ -18,6 +19,10 @@ FIELD_TYPES = {
     "bool": r"\w+",
 }
 SPARK_TYPES = {"str": "string", "int": "bigint", "float": "double"}
+#: What automatic paths need of leaves.
+PATH_COLUMNS = ("job_id", "path", "type", "str", "json", "same")
+#: So many varying keys at most are looked up in each job's row; more are joined.
+MOST_KEYS = 256
 FIELD = re.compile(r"\{([.\w]+)(?::([a-z]+))?\}")
 
 
@@ -72,16 +77,27 @@ def automatic_paths(leaves: DataFrame, n_jobs: int | None = None, exclude: Itera
 
     A job that has none of those keys raises StatepointParsingError; values are shown as Python shows them.
     """
-    ids = leaves.select("job_id").distinct()
-    n = ids.count() if n_jobs is None else n_jobs
-    if n <= 1:
-        return ids.withColumn("path", F.lit(""))
-    per = leaves.groupBy("path").agg(F.count_distinct("same").alias("nv"), F.count_distinct("job_id").alias("nj")).where((F.col("nv") > 1) | (F.col("nj") < n))
-    per = per.where(~F.col("path").isin(*exclude)) if list(exclude) else per
     shown = F.when(F.col("type") == "str", F.col("str")).when(F.col("type") == "bool", F.initcap("json")).when(F.col("type") == "NoneType", "None").otherwise(F.col("json"))
-    entry = F.struct("nv", "path", F.concat_ws(sep, "path", shown).alias("piece"))
-    paths = leaves.where("type <> 'dict'").join(per, "path").groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.piece), sep).alias("path"))
-    lost = ids.join(paths, "job_id", "left_anti").take(1)
+    piece = F.when(F.col("type") != "dict", F.concat_ws(sep, "path", shown))
+    # one row a job, stored: leaves are made once, and what follows moves no row of a job again
+    jobs = written(leaves.select("job_id", F.struct("path", F.md5("same").alias("value"), piece.alias("piece")).alias("leaf")).groupBy("job_id").agg(F.collect_set("leaf").alias("leaves")))
+    n = jobs.count() if n_jobs is None else n_jobs
+    if n <= 1:
+        return jobs.select("job_id", F.lit("").alias("path"))
+    each = jobs.select(F.explode("leaves").alias("leaf")).groupBy("leaf.path", "leaf.value").agg(F.count("*").alias("n"))
+    per = each.groupBy("path").agg(F.count("*").alias("nv"), F.sum("n").alias("nj")).where((F.col("nv") > 1) | (F.col("nj") < n))
+    per = written(per.where(~F.col("path").isin(*exclude)) if list(exclude) else per)
+    if per.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        order = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("nv", "path"))), lambda k: k["path"]).alias("order"))
+        place = lambda leaf: F.array_position("order", leaf["path"])
+        chosen = F.filter("leaves", lambda leaf: leaf["piece"].isNotNull() & (place(leaf) > 0))
+        pieces = F.transform(F.array_sort(F.transform(chosen, lambda leaf: F.struct(place(leaf).alias("at"), leaf["piece"].alias("piece")))), lambda x: x["piece"])
+        paths = jobs.crossJoin(F.broadcast(order)).select("job_id", F.when(F.size(pieces) > 0, F.array_join(pieces, sep)).alias("path"))
+        lost = paths.where("path is null").select("job_id").take(1)
+    else:
+        rows = jobs.select("job_id", F.explode("leaves").alias("leaf")).where("leaf.piece is not null").select("job_id", "leaf.path", "leaf.piece")
+        paths = rows.join(per, "path").groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nv", "path", "piece"))), lambda e: e.piece), sep).alias("path"))
+        lost = jobs.select("job_id").join(paths, "job_id", "left_anti").take(1)
     if lost:
         raise StatepointParsingError(f"no path for job {lost[0][0]}: its keys are in no other job; give a path")
     return paths
