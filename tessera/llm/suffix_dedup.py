@@ -5,8 +5,10 @@ position whose `seed`-byte string has the smallest hash among those inside the s
 suffixes at anchors are sorted, each with the bytes that any match round the anchor can use: up
 to `match` bytes from the anchor on, then up to `match - seed` bytes before it, read backwards.
 
-1. Every batch of texts sends the hashes of its anchors' seeds (narrow ones: a false hit costs
-   time only); each gets one bit back, set if the seed occurs in another document too.
+1. A match holds, of an anchor's seed, also the next bytes on one side: half of what it has besides.
+   Every batch of texts sends the hashes of its anchors' seeds with these bytes before and with those
+   behind (narrow ones: a false hit costs time only); each gets one bit back, set if the string occurs
+   in another document too. An anchor none of whose two strings does has no match.
 2. The suffixes at those anchors are sorted in the batch, one run for each range of seed hashes,
    front-coded (length of the prefix shared with the entry before, then the rest) and exchanged.
 3. A range's runs are merged by a loser tree whose nodes carry the common prefix with the last
@@ -14,7 +16,7 @@ to `match` bytes from the anchor on, then up to `match - seed` bytes before it,
    common prefixes show which documents share each string; what a smaller doc_id has too goes
    back to the batch as byte ranges.
 
-A seed that more batches have than one merge takes (the edge of a passage in a third of all
+Seeds alone are sent in few bits, to be counted. A seed that more batches have than one merge takes (the edge of a passage in a third of all
 documents) has as many different surroundings as documents. Such seeds are known from step 1. Round
 them the suffixes are cut to whole strings of `match` bytes, so that they spread over ranges of
 strings, and go through the same runs and loser trees in two levels: groups of batches first, whose
@@ -215,6 +217,27 @@ def string_hashes(data: np.ndarray, at: np.ndarray, match: int, chunk: int = 1 <
     return np.concatenate(out)
 
 
+def sides_of(data: np.ndarray, ends: np.ndarray, at: np.ndarray, doc: np.ndarray, seed: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the seeds at sorted places with `more` bytes before (first half) and behind, and the number of the anchor; only strings inside one document."""
+    before, behind = np.flatnonzero(at - more >= ends[doc]), np.flatnonzero(at + seed + more <= ends[doc + 1])
+    hashes = [string_hashes(data, at[k] - less, seed + more) for k, less in ((before, more), (behind, 0))]
+    return np.concatenate([hashes[0], mix(hashes[1] + K1)]), np.concatenate([before, behind])
+
+
+def distinct(values: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different values, the number among them of each value, and whether several documents have them."""
+    order = np.argsort(values, kind="stable")
+    by = values[order]
+    new = np.ones(len(by), bool)
+    new[1:] = by[1:] != by[:-1]
+    first, of = np.flatnonzero(new), np.empty(len(by), np.int64)
+    of[order] = np.cumsum(new) - 1
+    if ids is None or not len(first):
+        return by[new], of, np.zeros(len(first), bool)
+    ids = ids[order]
+    return by[new], of, np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+
+
 def starts_of(at: np.ndarray, doc: np.ndarray, ends: np.ndarray, match: int, before: int) -> np.ndarray:
     """Sorted places of all strings of `match` bytes inside one document that hold one of the anchors."""
     first, last = np.maximum(at - before, ends[doc]), np.minimum(at, ends[doc + 1] - match)
@@ -245,53 +268,54 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
     deal, n_bytes = dealt(docs, batch_mb, id_col, text_col, carry)
     expected = max(1, n_bytes * 2 // (match - seed + 2))
     buckets = max(1, expected // bucket_anchors + 1)
-    drop = np.uint64(max(0, 64 - (math.ceil(math.log2(expected + 1)) + 12)))
+    bits = math.ceil(math.log2(expected + 1))
+    drop = np.uint64(max(0, 64 - (bits + 9)))  # of two strings an anchor
+    few = np.uint64(min(63, max(0, 64 - (bits + 5 - int(math.log2(fan_in))))))  # fan_in / 32 seeds share a value, about
+    more = (match - seed + 1) // 2
     before, width = match - seed, 2 * match - seed + 2
 
     def seeds(batch: Batch):
-        """Anchors, their hashes, and the batch's distinct narrow hashes with whether several documents have them."""
+        """Anchors, their hashes; strings round them: different narrow hashes, whether several documents have them, the number of each and its anchor; seeds: different values of few bits, the number of each."""
         at, hashes = anchors(batch.data, batch.ends, match, seed)
-        narrow = hashes >> drop << drop
-        order = np.argsort(narrow, kind="stable")
-        values = narrow[order]
-        new = np.ones(len(values), bool)
-        new[1:] = values[1:] != values[:-1]
-        first = np.flatnonzero(new)
-        ids = batch.ids[batch.doc_of(at)][order]
-        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
-        return at, hashes, order, new, values[first], several
+        doc = batch.doc_of(at)
+        wide, of_anchor = sides_of(batch.data, batch.ends, at, doc, seed, more)
+        values, number, several = distinct(wide >> drop << drop, batch.ids[doc[of_anchor]])
+        return at, hashes, values, several, number, of_anchor, *distinct(hashes >> few << few)[:2]
 
     def send(table):
         import pyarrow as pa
 
         number = table.column("batch")[0].as_py()
-        *_, values, several = seeds(Batch(table))
-        cuts = parts_of(values, buckets)
-        full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
+        _, _, values, several, _, _, hot, _ = seeds(Batch(table))
+        cuts, hot_cuts = parts_of(values, buckets), parts_of(hot, buckets)
+        full = [k for k in range(buckets) if cuts[k + 1] > cuts[k] or hot_cuts[k + 1] > hot_cuts[k]]
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "batch": pa.array([number] * len(full), pa.int32()),
             "hashes": pa.array([planes(values[cuts[k] : cuts[k + 1]] >> drop) for k in full], pa.binary()),
             "several": pa.array([pack_bits(several[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()),
+            "seeds": pa.array([planes(hot[hot_cuts[k] : hot_cuts[k + 1]] >> few) for k in full], pa.binary()),
         })
 
     def count(table):
         import pyarrow as pa
 
-        blocks = [unplanes(x.as_py()) for x in table.column("hashes")]
-        every = np.sort(np.concatenate(blocks))
-        new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        n = np.diff(np.append(new, len(every)))
-        twice, hot = every[new[n > 1]], every[new[n > fan_in]]
-        replies, hots = [], []
-        for block, several in zip(blocks, table.column("several")):
-            flags = unpack_bits(several.as_py(), len(block))
-            for values, mark in ((twice, flags), (hot, is_hot := np.zeros(len(block), bool))):
-                if len(values):
-                    k = np.searchsorted(values, block)
-                    mark |= values[np.minimum(k, len(values) - 1)] == block
-            replies.append(pack_bits(flags))
-            hots.append(pack_bits(is_hot) if is_hot.any() else b"")
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": pa.array([len(b) for b in blocks], pa.int32()), "flags": pa.array(replies, pa.binary()), "hot": pa.array(hots, pa.binary())})
+        def seen(blocks: list[np.ndarray], most: int) -> list[np.ndarray]:
+            """Which values of each block more than `most` blocks have."""
+            every = np.sort(np.concatenate(blocks))
+            new = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+            many = every[new[np.diff(np.append(new, len(every))) > most]]
+            if not len(many):
+                return [np.zeros(len(b), bool) for b in blocks]
+            return [many[np.minimum(np.searchsorted(many, b), len(many) - 1)] == b for b in blocks]
+
+        blocks, seed_blocks = ([unplanes(x.as_py()) for x in table.column(c)] for c in ("hashes", "seeds"))
+        flags = [f | unpack_bits(x.as_py(), len(f)) for f, x in zip(seen(blocks, 1), table.column("several"))]
+        hots = seen(seed_blocks, fan_in)
+        return pa.table({
+            "batch": table.column("batch"), "bucket": table.column("bucket"),
+            "n": pa.array([len(b) for b in blocks], pa.int32()), "flags": pa.array([pack_bits(f) for f in flags], pa.binary()),
+            "n_seeds": pa.array([len(b) for b in seed_blocks], pa.int32()), "hot": pa.array([pack_bits(h) if h.any() else b"" for h in hots], pa.binary()),
+        })
 
     def add_run(cols: dict, small, bucket: int, part: int, rows: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
         """A sorted, front-coded run of the different rows, with the documents and places of each."""
@@ -324,20 +348,23 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
         small = zstandard.ZstdCompressor(level=3)
         number = texts.column("batch")[0].as_py()
         batch = Batch(texts)
-        at, hashes, order, new, values, _ = seeds(batch)
-        told = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "n", "flags", "hot"))))
-        flags = np.concatenate([unpack_bits(f, n) for _, n, f, _ in told] or [np.zeros(0, bool)])
-        hot = np.concatenate([unpack_bits(h, n) if h else np.zeros(n, bool) for _, n, _, h in told] or [np.zeros(0, bool)])
-        if len(flags) != len(values):
-            raise ValueError(f"a batch has {len(values)} hashes and {len(flags)} replies")
-        of = np.cumsum(new) - 1
-        hot_at = np.sort(at[order[hot[of]]]) if hot.any() else at[:0]
-        keep = order[(flags & ~hot)[of]] if len(new) else order
-        at, narrow = at[keep], hashes[keep] >> drop << drop
+        at, hashes, values, _, number_of, of_anchor, few_bits, seed_of = seeds(batch)
+        told = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "n", "flags", "n_seeds", "hot"))))
+        flags = np.concatenate([unpack_bits(f, n) for _, n, f, _, _ in told] or [np.zeros(0, bool)])
+        hot = np.concatenate([unpack_bits(h, n) if h else np.zeros(n, bool) for _, _, _, n, h in told] or [np.zeros(0, bool)])
+        if len(flags) != len(values) or len(hot) != len(few_bits):
+            raise ValueError(f"a batch has {len(values)} hashes of {len(few_bits)} seeds and {len(flags)} of {len(hot)} replies")
+        shared = np.zeros(len(at), bool)
+        shared[of_anchor[flags[number_of]]] = True
+        is_hot = hot[seed_of]
+        hot_at = at[shared & is_hot]
+        order = np.argsort(hashes, kind="stable")
+        keep = order[(shared & ~is_hot)[order]]
+        at, narrow = at[keep], hashes[keep]
         cols = {c: [] for c in ("bucket", "part", "shared", "rests", "members", "docs", "places")}
         doc = batch.doc_of(at)
         every = contexts(batch.data, batch.ends, at, doc, match, seed)
-        cuts = parts_of(narrow, buckets)  # keep is in the order of narrow hashes
+        cuts = parts_of(narrow, buckets)  # keep is in the order of seed hashes
         for k in range(buckets):
             i, j = cuts[k], cuts[k + 1]
             if i == j:
@@ -462,8 +489,8 @@ def suffix_dedup(docs: DataFrame, match: int = 50, seed: int = 20, batch_mb: flo
             cols["text"] = pa.array(text, pa.string())
         return pa.table(cols | batch.carried())
 
-    sent = deal.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, several binary")
-    told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary, hot binary")
+    sent = deal.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, several binary, seeds binary")
+    told = sent.groupBy("bucket").applyInArrow(count, "batch int, bucket int, n int, flags binary, n_seeds int, hot binary")
     sorted_ = deal.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(runs, "bucket int, part int, batch int, shared binary, rests binary, members binary, docs binary, places binary")
     rows = "key long, kind int, batch int, x binary, y binary, z binary, w binary"
     met = sorted_.groupBy("bucket", "part").applyInArrow(merge, rows)
