@@ -6,7 +6,9 @@ level k looks at those alone (candidates), and all cuts of a frequent phrase are
 of lower levels. Each level runs over sequences of slots, which get shorter from level to level:
 
 1. mappers count hashes of phrases in one array; where the sum is below the least count, no phrase with that hash can be frequent;
-2. different candidates are collected by Spark;
+   phrases that pass are counted again under other hashes, as long as that rules many out;
+2. each hash that is left stands for the smallest phrase that has it, found by minima of arrays, so that tasks do not all send what
+   all of them have; Spark collects the few others;
 3. tasks build minimal perfect hashes over segments of bounded size; mappers find each place's slot
    (checked against the stored key), bincount, and the arrays are summed in two steps of a tree;
 4. frequent slots are hashed anew, and the sequences rewritten to them.
@@ -16,6 +18,7 @@ Prefix and suffix slots lead to the counts of the parts of each cut.
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 from typing import NamedTuple
 
@@ -30,8 +33,10 @@ from .perfect_hash import PerfectHash
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 FAN = 16
 SLICE_MB = 0.5  # of text taken apart at once; a task holds some fifty times that
-HELD_WORDS = 400_000  # different words of several slices that a task sums before it sends them
+BATCH_ROWS = 1024  # texts that Spark hands over at once; both sides hold them
+HELD_WORDS = 300_000  # different words of several slices that a task sums before it sends them
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
+FILTERS = 4  # of hashed counts at most, in a level
 
 
 class Sizes(NamedTuple):
@@ -271,35 +276,42 @@ def narrow(top: int | None):
     return np.int64 if top is None or top >= 1 << 16 else np.uint8 if top < 1 << 8 else np.uint16
 
 
-def summed(parts: DataFrame, top: int | None = None) -> DataFrame:
-    """(chunk, counts): arrays summed by chunk, in two steps; sums over `top` are cut to it. parts: (chunk, part, counts)."""
-    kind = narrow(top)
+def folded(parts: DataFrame, fold, done) -> DataFrame:
+    """(chunk, counts): what is left of all rows of a chunk, in two steps. parts: (chunk, part, counts); fold(total or None, bytes) gives a new total, done(total) its bytes."""
 
-    def add(batches):
+    def run(batches):
         import pyarrow as pa
 
         key, total = None, None
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype(kind).tobytes()], pa.binary())], names=["chunk", "part", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([done(total)], pa.binary())], names=["chunk", "part", "counts"])
 
         for b in batches:
             for chunk, part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                values = np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
                 if (chunk, part) != key:
                     if key is not None:
                         yield row()
-                    key, total = (chunk, part), values
-                else:
-                    total += values
-                if top is not None:
-                    np.minimum(total, top, out=total)
+                    key, total = (chunk, part), None
+                total = fold(total, counts.as_buffer())
         if key is not None:
             yield row()
 
     schema = "chunk int, part int, counts binary"
-    some = parts.withColumn("part", F.pmod("part", F.lit(FAN))).repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(add, schema)
-    return some.withColumn("part", F.lit(0)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, schema).select("chunk", "counts")
+    some = parts.withColumn("part", F.pmod("part", F.lit(FAN))).repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(run, schema)
+    return some.withColumn("part", F.lit(0)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema).select("chunk", "counts")
+
+
+def summed(parts: DataFrame, top: int | None = None) -> DataFrame:
+    """(chunk, counts): arrays summed by chunk; sums over `top` are cut to it."""
+    kind = narrow(top)
+
+    def add(total, data):
+        values = np.frombuffer(data, kind).astype(np.int64)
+        total = values if total is None else np.add(total, values, out=total)
+        return total if top is None else np.minimum(total, top, out=total)
+
+    return folded(parts, add, lambda total: total.astype(kind).tobytes())
 
 
 def counted(seq: DataFrame, size: int, chunk: int, slots_of, top: int | None = None) -> DataFrame:
@@ -339,13 +351,29 @@ def counted(seq: DataFrame, size: int, chunk: int, slots_of, top: int | None = N
     return summed(seq.mapInArrow(run, "chunk int, part int, counts binary"), top)
 
 
-def phrase_hash(key: np.ndarray, size: int) -> np.ndarray:
-    return (mix(key.view(np.uint64).copy()) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+def phrase_hash(key: np.ndarray, size: int, number: int = 0) -> np.ndarray:
+    """One of several independent hashes, below size."""
+    return (mix(key.view(np.uint64) ^ np.uint64(number * OTHER_BASE & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
 
+def passing(key: np.ndarray, told: list[np.ndarray]) -> np.ndarray:
+    """Which keys all filters let pass; filter k holds bits by hash k."""
+    good = np.arange(len(key))
+    for k, bits in enumerate(told):
+        h = phrase_hash(key[good], len(bits) * 8, k)
+        good = good[(bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 > 0]
+    return good
 
-def frequent_hashes(seq: DataFrame, least: int, size: int, chunk: int) -> np.ndarray:
-    """For each of `size` hashes whether the phrases one word longer that have it occur `least` times together."""
-    parts = counted(seq, size, chunk, lambda slot, word: phrase_hash(longer(slot, word)[1], size), least)
+
+def filters(seq: DataFrame, least: int, size: int, chunk: int) -> list[np.ndarray]:
+    """Bits by hash, one array for each filter in turn: whether the phrases one word longer that have the hash, and passed the filters before, occur `least` times together.
+
+    Rare phrases that share a hash with a frequent one are ruled out by the next filter, but for one
+    in many; where a filter still left many fewer hashes than the one before, another one follows.
+    """
+    size = max(size, 8)
+    told: list[np.ndarray] = []
+    left: list[int] = []
 
     def bits(batches):
         import pyarrow as pa
@@ -354,42 +382,104 @@ def frequent_hashes(seq: DataFrame, least: int, size: int, chunk: int) -> np.nda
             flags = [np.packbits(np.frombuffer(c.as_buffer(), narrow(least)) >= least).tobytes() for c in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flags, pa.binary())], names=["chunk", "flags"])
 
-    out = np.zeros(size, bool)
-    for r in parts.mapInArrow(bits, "chunk int, flags binary").collect():
-        part = out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk]
-        part[:] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(part))
-    return out
+    while len(told) < 2 or len(told) < FILTERS and left[-1] < 0.9 * left[-2]:
+        shared = seq.sparkSession.sparkContext.broadcast(told)
+
+        def hashes(slot, word, shared=shared, number=len(told)):
+            key = longer(slot, word)[1]
+            return phrase_hash(key[passing(key, shared.value)], size, number)
 
+        out = np.zeros(size, bool)
+        for r in counted(seq, size, chunk, hashes, least).mapInArrow(bits, "chunk int, flags binary").collect():
+            part = out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk]
+            part[:] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(part))
+        told.append(np.packbits(out))
+        left.append(int(out.sum()))
+        if not left[-1]:
+            break
+    return told
 
-def candidates(seq: DataFrame, hashed: np.ndarray) -> DataFrame:
-    """(key, other, a): different phrases one word longer than those of seq whose first and last words are frequent; other is the slot of the last words."""
-    shared = seq.sparkSession.sparkContext.broadcast(np.packbits(hashed))
 
-    def run(batches):
+#: A phrase that stands for a hash: its key, and the slot of its last words.
+STANDS = np.dtype([("key", "<i8"), ("other", "<i4")])
+NONE = np.iinfo(np.int64).max
+
+
+def candidates(seq: DataFrame, told: list[np.ndarray], chunk: int) -> DataFrame:
+    """(key, other, a): different phrases one word longer than those of seq that pass all filters; other is the slot of the last words.
+
+    For each hash of the last filter the smallest phrase is found by minima of arrays; only other
+    phrases with such a hash are sent as rows by each task that has them.
+    """
+    spark = seq.sparkSession
+    shared = spark.sparkContext.broadcast(told)
+    n = int(np.unpackbits(told[-1]).sum())
+
+    def passed(batches, told):
+        """Different phrases of each row that pass: hash of the last filter as a number among those left, key ascending, other."""
+        number = np.cumsum(np.unpackbits(told[-1]), dtype=np.int32) - 1
+        for slot, word in rows_in(batches):
+            at, key = longer(slot, word)
+            good = passing(key, told)
+            key, first = np.unique(key[good], return_index=True)
+            yield number[phrase_hash(key, len(number), len(told) - 1)], key, slot[at[good[first]] + 1]
+
+    def smallest(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        best = np.zeros(n, STANDS)
+        best["key"] = NONE
+        for hashed, key, other in passed(batches, shared.value):
+            own, first = np.unique(hashed, return_index=True)  # keys ascend: the first is the smallest
+            less = key[first] < best["key"][own]
+            own, first = own[less], first[less]
+            best["key"][own], best["other"][own] = key[first], other[first]
+        part = TaskContext.get().partitionId()
+        for k in range(0, n, chunk):
+            if (best["key"][k : k + chunk] != NONE).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([best[k : k + chunk].tobytes()], pa.binary())], names=["chunk", "part", "counts"])
+
+    def less(total, data):
+        values = np.frombuffer(data, STANDS)
+        return values if total is None else np.where(values["key"] < total["key"], values, total)
+
+    stand = stored(folded(seq.mapInArrow(smallest, "chunk int, part int, counts binary"), less, lambda total: total.tobytes()), "standing")
+    best = np.full(n, NONE, np.int64)
+    for r in stand.collect():  # 12 bytes a hash, as many as there are candidates, nearly
+        best[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], STANDS)["key"]
+    known = spark.sparkContext.broadcast(best)
+
+    def standing(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for counts in b.column(1):
+                one = np.frombuffer(counts.as_buffer(), STANDS)
+                one = one[one["key"] != NONE]
+                yield pa.RecordBatch.from_arrays([pa.array(one["key"].copy()), pa.array(one["other"].astype(np.int64))], names=["key", "other"])
+
+    def others(batches):
         import pyarrow as pa
 
-        told = np.unpackbits(shared.value).astype(bool)
-        have: list[np.ndarray] = []
+        best, have, held = known.value, [], 0
 
         def flush():
             both = np.unique(np.concatenate(have), axis=0) if have else np.zeros((0, 2), np.int64)
             have.clear()
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["key", "other"])
 
-        held = 0
-        for slot, word in rows_in(batches):
-            at, key = longer(slot, word)
-            sure = told[phrase_hash(key, len(told))]
-            at, key = at[sure], key[sure]
-            key, first = np.unique(key, return_index=True)
-            have.append(np.stack([key, slot[at[first] + 1].astype(np.int64)], 1))
-            held += len(key)
+        for hashed, key, other in passed(batches, shared.value):
+            more = key != best[hashed]
+            have.append(np.stack([key[more], other[more].astype(np.int64)], 1))
+            held += len(have[-1])
             if held > 1 << 21:
                 yield flush()
                 held = 0
         yield flush()
 
-    return seq.mapInArrow(run, "key long, other long").distinct().withColumn("a", F.lit(None).cast("long"))
+    pair = "key long, other long"
+    return stand.mapInArrow(standing, pair).union(seq.mapInArrow(others, pair).distinct()).withColumn("a", F.lit(None).cast("long"))
 
 
 def frequent(seq: DataFrame, found: DataFrame, least: int, sizes: Sizes) -> DataFrame:
@@ -439,6 +529,18 @@ def rewritten(seq: DataFrame, slots: Slots, length: int) -> DataFrame:
     return seq.mapInArrow(run, SEQUENCE)
 
 
+@contextlib.contextmanager
+def small_batches(spark, rows: int = BATCH_ROWS):
+    """Arrow batches of at most so many rows in what runs meanwhile; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, first: int = 2000, lang_col: str = "lang", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): for each language its phrases of 2 to `longest` words that hold together best.
 
@@ -457,19 +559,21 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, first: int
     docs = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     docs = docs.withColumn("place", F.shiftrightunsigned(F.xxhash64("lang", "text"), 33).cast("int"))  # by content, so that tasks that run again agree
     # numbers of a language come with its words, so that texts are read once for both
-    every = stored(word_counts(docs), "words")
+    with small_batches(spark):
+        every = stored(word_counts(docs), "words")
     totals = every.groupBy("lang").agg(F.sum("a").alias("n"))
     vocabulary = stored(every.where(F.col("a") >= least), "vocabulary")
     words = Slots(vocabulary, sizes, halves=True)
-    texts = stored(encoded(docs, words, sizes.run), "sequences")
+    with small_batches(spark):
+        texts = stored(encoded(docs, words, sizes.run), "sequences")
     names = texts.where("id is not null").select(F.col("id").alias("slot"), "lang", "phrase").dropDuplicates(["slot"])
     level = stored(words.rows.join(names, "slot").select("slot", "lang", "phrase", "a", F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
     single = level
     seq = texts.where("slot is not null").select("slot", F.lit(None).cast("binary").alias("word"))
     levels = []
     for k in range(2, longest + 1):
-        hashed = frequent_hashes(seq, least, sizes.hashes, sizes.chunk)
-        found = stored(frequent(seq, stored(candidates(seq, hashed), "candidates"), least, sizes), "frequent")
+        told = filters(seq, least, sizes.hashes, sizes.chunk)
+        found = stored(frequent(seq, stored(candidates(seq, told, sizes.chunk), "candidates"), least, sizes), "frequent")
         slots = Slots(found, sizes)
         if not slots.n:
             break

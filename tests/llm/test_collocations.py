@@ -62,6 +62,25 @@ def test_tables_without_phrases(docs):
     assert got(docs([(1, None, "en"), (2, "a b", "en")])) == []
 
 
+def test_candidates_are_sent_once(spark, docs):
+    """Rare phrases that share a hash with frequent ones are ruled out, and tasks do not all send what all of them have."""
+    r = random.Random(7)
+    rows = [(i, " ".join(f"p{r.randrange(30)} q{r.randrange(400)}" for _ in range(40)) + " a b c d. e f g h", "en") for i in range(400)]
+    frequent = [p for p, a in collections.Counter(w for _, t, _ in rows for s in t.split(".") for w in zip(s.split(), s.split()[1:])).items() if a >= 100]
+    every = c.stored(c.word_counts(docs(rows, 8).selectExpr("lang", "text", "cast(doc_id as int) as place")), "words")
+    words = c.Slots(every, c.Sizes(), halves=True)
+    seq = c.stored(c.encoded(docs(rows, 8).selectExpr("lang", "text", "cast(doc_id as int) as place"), words, 1 << 17), "sequences").where("slot is not null").selectExpr("slot", "cast(null as binary) as word").repartition(8)
+    found = c.candidates(seq, c.filters(seq, 100, 1 << 12, 1 << 8), 1 << 8)
+    assert len(frequent) == 6 and len(frequent) <= found.count() <= 40
+    assert found.count() == found.select("key").distinct().count()
+
+
+def test_phrases_of_one_hash_are_all_found(docs):
+    """With eight hashes all phrases share them with others."""
+    rows = some(3, 120)
+    assert got(docs(rows), longest=3, least=10, first=40, sizes=c.Sizes(60, 100, 8, 8, 50)) == brute(rows, 3, 10, 40)
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 50_000):
