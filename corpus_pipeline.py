@@ -20,8 +20,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents that links of five-word similarity 0.8 or more join, the one with the smallest id stays; of rows with its id and text, one. Rows without an id stay.
 
     Which of several rows with one id and text stays does not depend on where they lie. Candidates
-    come from bands of minimum hashes, not from fingerprints: within the few bits that signatures
-    with deletions can index, most pairs of that similarity are missed (README, known limits).
+    are texts that SimHash joins, by operator 8's signatures with deletions; as most pairs of that
+    similarity differ in more bits than these index (README, known limits), bands of minimum hashes
+    add to them. The exact similarity decides on both.
     """
     keep = near_copies.near_copies(docs)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -61,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: The second stage keeps its place and name; its candidates come from bands of minimum hashes (see near_duplicates).
+#: The second stage takes its candidates from SimHash, and more from bands of minimum hashes (see near_duplicates).
 #: SQL cannot express the stages; tests hold the run against brute force.
 ORACLE_SQL = None
 

@@ -1,7 +1,9 @@
-"""Near copies by verified similarity: bands of minimum hashes propose, exact sets of shingles decide.
+"""Near copies by verified similarity: SimHash links and bands of minimum hashes propose, exact sets of shingles decide.
 
-The similarity of two texts is that of their sets of word shingles (shared over all). Texts that
-share the minima of a band are candidates: 24 bands of 5 minima miss a pair at similarity 0.8 with
+The similarity of two texts is that of their sets of word shingles (shared over all). Texts whose
+SimHash fingerprints are joined by links of 3 bits or fewer (operator 8: deletion-variant
+signatures) are candidates, and so are texts that share the minima of a band, which finds the pairs
+whose fingerprints differ in more bits: 24 bands of 5 minima miss a pair at similarity 0.8 with
 probability 7e-5. Clusters of candidates are cut into blocks of bounded number and bytes, and every
 pair of blocks of a cluster meets in a group of its own, so that all pairs of a cluster are compared
 exactly, however many and however long its texts are.
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, flat, mix, salted_left_join, ship, slices, stored, window_hash, word_hashes, words_of
 from .components import components
+from .simhash import fingerprint, links as simhash_links
 
 BANDS, ROWS = 24, 5
 BASE = 0xD6E8FEB86659FD93
@@ -96,6 +99,14 @@ def linked(sets: list[np.ndarray], similarity: float, columns: int = 2048) -> li
     return [(int(label[k]), int(k)) for k in np.flatnonzero(label != np.arange(len(sets)))]
 
 
+def simhash_groups(made: DataFrame) -> DataFrame:
+    """(node, key): for each text the group of fingerprints that links of 3 bits or fewer join it to. made: a stored table with (node, fp)."""
+    own = stored(made.select("node", "fp").distinct(), "fingerprints")
+    joined = components(simhash_links(stored(own.select("fp").distinct(), "distinct-fingerprints")))
+    of = joined.select(F.col("node").alias("fp"), "component")
+    return salted_left_join(own, of, "fp", 4).select("node", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash) of the documents that stay: of all that links of at least `similarity` join, the one with the smallest id.
 
@@ -117,7 +128,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
                 nodes = [xxhash.xxh64_intdigest(x.tobytes()) for x in own]
                 sizes = np.where(np.diff(begin) > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(x) for x in own], pa.int64()), lists], names=["doc_id", "text_hash", "node", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(x) for x in own], pa.int64()), lists, pa.array([fingerprint(x.as_py()) for x in part.column(2)], pa.int64())], names=["doc_id", "text_hash", "node", "size", "keys", "fp"])
 
     def sets(batches):
         import pyarrow as pa
@@ -134,9 +145,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         found = linked([np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")], similarity) if len(nodes) > 1 else []
         return pa.table({"u": pa.array([nodes[a] for a, _ in found], pa.int64()), "v": pa.array([nodes[b] for _, b in found], pa.int64())})
 
-    made = stored(named.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, keys array<long>"), "sketches")
+    made = stored(named.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, keys array<long>, fp long"), "sketches")
     distinct = stored(made.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.max("size").alias("size"), F.first("keys").alias("keys")), "distinct")
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    keyed = distinct.select("node", F.explode("keys").alias("key")).union(simhash_groups(made))
     least = keyed.groupBy("key").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
     found = components(salted_left_join(keyed, least, "key", 4).where("m <> node").select(F.col("node").alias("u"), F.col("m").alias("v")))
     clusters = stored(found.join(distinct.select("node", "size").hint("shuffle_merge"), "node"), "clusters")

@@ -64,3 +64,24 @@ def test_blocks_of_a_cluster_and_empty_tables(docs, monkeypatch):
     assert {x["doc_id"] for x in near_copies(docs(rows)).collect()} == want
     assert sizes[0].agg({"size": "max"}).first()[0] <= 300 and sizes[0].count() == 40
     assert near_copies(docs([]).where("false")).collect() == []
+
+
+def test_simhash_alone_finds_its_pairs(docs, monkeypatch):
+    """Texts within 3 bits are candidates without any band, by deletion-variant links; exact similarity decides on them."""
+    import numpy as np
+
+    from tessera.llm import near_copies as N
+    from tessera.llm.simhash import fingerprint
+
+    names = iter(range(1 << 40))
+    monkeypatch.setattr(N, "band_keys", lambda hashes, begin: np.array([[next(names) for _ in range(N.BANDS)] for _ in np.flatnonzero(np.diff(begin))], np.uint64).reshape(-1, N.BANDS))
+    r = random.Random(11)
+    rows = []
+    for g in range(40):
+        base = " ".join(f"w{r.randrange(3000)}" for _ in range(400))
+        rows += [(10 * g, base), (10 * g + 1, changed(base, 0.005, g))]
+    bits = {g: (fingerprint(rows[2 * g][1]) ^ fingerprint(rows[2 * g + 1][1])) & (1 << 64) - 1 for g in range(40)}
+    near = {g for g in range(40) if bits[g].bit_count() <= 3}
+    assert 10 < len(near) < 40 and any(bits[g] for g in near)
+    got = {x["doc_id"] for x in near_copies(docs(rows, 1)).collect()}
+    assert got == {i for i, _ in rows} - {10 * g + 1 for g in near}
