@@ -21,6 +21,8 @@ from .packing import KINDS, tasks_for, write_archive
 from .paths import PATH_COLUMNS, automatic_paths, check_paths, parse_columns, template_keys, template_path
 from .workspace import Layout, _opened, copy_files, list_files
 
+JOBS_OF_A_PART = 10_000
+
 
 def export_paths(project: Project, path: str | bool | Callable | None = None) -> DataFrame:
     """(job_id, path). None: from the keys that vary; False: the id; text: a template; a callable: of (job id, state point)."""
@@ -79,6 +81,8 @@ def export_to(project: Project, target: str, path: str | bool | None = None, lay
             named = F.ltrim(F.concat_ws("/", F.nullif("folder", F.lit("")), "path"), F.lit("/"))
             other = written(other.select(named.alias("member"), F.lit(None).cast("binary").alias("content"), "job_id", "path", "length"))
             blank = blank.union(other.repartition(tasks_for(other)))
+        else:
+            blank = blank.repartition(max(1, at.count() // JOBS_OF_A_PART))  # small rows: Spark would leave them to few tasks
         write_archive(blank, local, KINDS[kind], root, layout)
         return at
     if kind in (".7z", ".rar", ".Z", ".zst"):

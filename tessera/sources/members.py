@@ -163,9 +163,80 @@ def unzipped(f, m: Member) -> Iterator[bytes]:
         yield rest
 
 
+ENTRY, ENTRY_BYTES = "<4sHHHHHHLLLHHHHHLL", 46  # of a zip's directory; name, extra and comment follow
+FULL = 0xFFFFFFFF  # the number is a longer one, in the extra
+
+
+def directory(f) -> tuple[int, int, int]:
+    """Where a zip's directory begins, its bytes, and what its offsets lack (bytes put before the archive)."""
+    size = f.size()
+    f.seek(max(0, size - (1 << 16) - 22))
+    tail = f.read()
+    end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (len(tail) - end < 22 or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] > len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)
+    if end < 0:
+        raise zipfile.BadZipFile("no end of a directory")
+    length, offset = struct.unpack_from("<LL", tail, end + 12)
+    at = size - len(tail) + end
+    if at >= 76:
+        f.seek(at - 76)
+        longer = f.read(76)
+        if longer[56:60] == b"PK\x06\x07" and longer[:4] == b"PK\x06\x06":
+            length, offset = struct.unpack_from("<QQ", longer, 40)
+            at -= 76
+    return at - length, length, at - length - offset
+
+
+def ranges(f, start: int, length: int, most: float, rows: int) -> Iterator[tuple[int, int]]:
+    """(begin, bytes) of stretches of whole entries of a directory, of at most `rows` entries or about `most` bytes of files. Only lengths are looked at."""
+    at = begin = start
+    n, size, held, base = 0, 0.0, b"", start
+    while at < start + length:
+        if at + ENTRY_BYTES > base + len(held):
+            f.seek(at)
+            held, base = f.read(min(1 << 24, start + length - at)), at
+        if held[at - base : at - base + 4] != b"PK\x01\x02" or at + ENTRY_BYTES > base + len(held):
+            raise zipfile.BadZipFile("a damaged directory")
+        packed, own, *more = struct.unpack_from("<LLHHH", held, at - base + 20)
+        if n and (n >= rows or size + max(packed, own) > most):
+            yield begin, at - begin
+            begin, n, size = at, 0, 0.0
+        n, size = n + 1, size + max(packed, own)
+        at += ENTRY_BYTES + sum(more)
+    if at > begin:
+        yield begin, at - begin
+
+
+def entries(uri: str, data: bytes, shift: int) -> Iterator[Member]:
+    """The files of a stretch of a directory."""
+    at = 0
+    while at < len(data):
+        _, _, _, flags, method, _, _, crc, packed, length, nl, el, cl, _, _, _, offset = struct.unpack_from(ENTRY, data, at)
+        at += ENTRY_BYTES
+        raw, extra = data[at : at + nl], data[at + nl : at + nl + el]
+        at += nl + el + cl
+        name = raw.decode("utf-8" if flags & 0x800 else "cp437")
+        while len(extra) >= 4:
+            kind, n = struct.unpack_from("<HH", extra)
+            own, extra = extra[4 : 4 + n], extra[4 + n :]
+            if kind == 1:
+                values = iter(struct.unpack(f"<{len(own) // 8}Q", own[: len(own) // 8 * 8]))
+                length = next(values) if length == FULL else length
+                packed = next(values) if packed == FULL else packed
+                offset = next(values) if offset == FULL else offset
+            elif kind == 0x7075 and len(own) > 5 and own[0] == 1 and struct.unpack_from("<L", own, 1)[0] == zlib.crc32(raw):
+                name = own[5:].decode()
+        name = name.split("\0", 1)[0]
+        if not name.endswith("/"):
+            yield Member(uri, "zip", name, length, offset + shift, packed, method, crc)
+
+
 class Range(InputPartition):
-    def __init__(self, members: list[Member]):
-        self.members = members
+    """Members, or a stretch of a zip's directory that the task reads: archive, where it begins, bytes, shift of its offsets."""
+
+    def __init__(self, members: list[Member], place: tuple[str, int, int, int] | None = None):
+        self.members, self.place = members, place
 
 
 class Reader(DataSourceReader):
@@ -200,9 +271,15 @@ class Reader(DataSourceReader):
         return (self.names is None or re.sub(".*/", "", path) in self.names) and all(t(path) for t in self.tests)
 
     def partitions(self) -> list[Range]:
-        """Ranges of neighbours in an archive, of at most partition_mb packed and unpacked; a compressed tar is one."""
+        """Ranges of neighbours in an archive, of at most partition_mb packed and unpacked; a compressed tar is one. Of a zip only lengths of entries are read here."""
         out = []
         for uri in self.sources:
+            store, base = opened(uri)
+            if kind_of(store, base) == "zip":
+                with store.open_input_file(base) as f:
+                    start, length, shift = directory(f)
+                    out += [Range([], (uri, begin, n, shift)) for begin, n in ranges(f, start, length, self.most if self.content else float("inf"), 4096 if self.content and self.names is None else 1 << 15)]
+                continue
             part, size = [], 0
             for m in listed(uri):
                 if not self._wanted(m.path):
@@ -217,10 +294,17 @@ class Reader(DataSourceReader):
         return out or [Range([])]
 
     def read(self, partition: Range):
+        found = partition.members
+        if partition.place is not None:
+            uri, begin, n, shift = partition.place
+            store, base = opened(uri)
+            with store.open_input_file(base) as f:
+                f.seek(begin)
+                found = [m for m in entries(uri, f.read(n), shift) if self._wanted(m.path)]
         if not self.content:
-            yield from (tuple(m) for m in partition.members)
+            yield from (tuple(m) for m in found)
             return
-        for m, data in pieces(partition.members):
+        for m, data in pieces(found):
             yield m.path, m.length, b"".join(data)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import lzma
+import struct
 import tarfile
 import uuid
 import zipfile
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..errors import WorkspaceError
 from ..functions.leaves import working_folder
 from ..functions.shipping import ship
+from .members import directory
 from .workspace import CHUNK, Layout, _opened
 
 KINDS = {".zip": "zip", ".tar": "tar", ".gz": "gz", ".bz2": "bz2", ".xz": "xz"}
@@ -120,13 +122,20 @@ def write_archive(rows: DataFrame, target: str, kind: str, root: str | None = No
                     with store.open_input_stream(f"{base}/{layout.workspace}/{job}/{path}", compression=None) as f:
                         part.add(member, length, iter(lambda: f.read(CHUNK), b""))  # noqa: B023
             part.close()
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
+        data = part.archive.start_dir if kind == "zip" else None
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([data], pa.int64())], names=["name", "n", "data"])
 
-    parts = [r for r in rows.select("member", "content", "job_id", "path", "length").mapInArrow(run, "name string, n long").collect() if r["n"]]  # one row a task
+    parts = [r for r in rows.select("member", "content", "job_id", "path", "length").mapInArrow(run, "name string, n long, data long").collect() if r["n"]]  # one row a task
+    if kind == "zip" and parts:
+        begins = [0]
+        for r in parts:
+            begins.append(begins[-1] + r["data"])
+        shifted = spark.createDataFrame([(r["name"], b) for r, b in zip(parts, begins)], "name string, begin long").repartition(len(parts))
+        shifted.mapInArrow(lambda batches: _directories(batches, folder), "n long").agg(F.sum("n")).collect()
     (store, _), (to, at) = _opened(folder), _opened(target)
     try:
         with to.open_output_stream(f"{at}.part", compression=None) as stream:
-            join(store, [r["name"] for r in parts], kind, Out(stream))
+            join(store, parts, kind, Out(stream))
         to.move(f"{at}.part", at)
     except BaseException:
         from pyarrow import fs
@@ -137,11 +146,38 @@ def write_archive(rows: DataFrame, target: str, kind: str, root: str | None = No
     finally:
         for r in parts:
             store.delete_file(r["name"])
+            if kind == "zip":
+                store.delete_file(f"{r['name']}.dir")
     return sum(r["n"] for r in parts)
 
 
-def join(store, names: list[str], kind: str, out: Out) -> None:
-    """One archive from its parts."""
+def _directories(batches, folder: str):
+    """Writes beside each part of a zip its directory, with the places that its members will have: (name, begin) rows."""
+    import pyarrow as pa
+
+    store, _ = _opened(folder)
+    for b in batches:
+        for name, begin in zip(*(c.to_pylist() for c in b.columns)):
+            with store.open_input_file(name) as f, zipfile.ZipFile(f) as part:
+                found = part.infolist()
+            with store.open_output_stream(f"{name}.dir.all", compression=None) as stream, zipfile.ZipFile(Out(stream), "w") as whole:
+                for m in found:
+                    m.header_offset += begin
+                    whole.filelist.append(m)
+                whole.start_dir, whole._didModify = 0, True
+            with store.open_input_file(f"{name}.dir.all") as f:
+                start, length, _ = directory(f)
+                f.seek(start)
+                with store.open_output_stream(f"{name}.dir", compression=None) as stream:
+                    while length and (piece := f.read(min(CHUNK, length))):
+                        stream.write(piece)
+                        length -= len(piece)
+            store.delete_file(f"{name}.dir.all")
+            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], names=["n"])
+
+
+def join(store, parts: list, kind: str, out: Out) -> None:
+    """One archive from its parts: rows (name, n, data), data the bytes before a zip's directory. Only bytes are copied."""
 
     def copy(f, n: int | None = None) -> None:
         while piece := f.read(CHUNK if n is None else min(CHUNK, n)):
@@ -149,27 +185,26 @@ def join(store, names: list[str], kind: str, out: Out) -> None:
             n = None if n is None else n - len(piece)
 
     if kind != "zip":
-        for name in names:
-            with store.open_input_stream(name, compression=None) as f:
+        for r in parts:
+            with store.open_input_stream(r["name"], compression=None) as f:
                 copy(f)
         end = out if kind == "tar" else compressed(kind, out)
         end.write(bytes(tarfile.RECORDSIZE))  # the end of a tar: blocks of zeros
         if end is not out:
             end.close()
         return
-    with zipfile.ZipFile(out, "w") as whole:
-        for name in names:
-            with store.open_input_file(name) as f:
-                with zipfile.ZipFile(f) as part:
-                    members, size = part.infolist(), part.start_dir
-                begin = out.tell()
-                f.seek(0)
-                copy(f, size)
-            for m in members:
-                m.header_offset += begin
-                whole.filelist.append(m)
-                whole.NameToInfo[m.filename] = m
-        whole.start_dir, whole._didModify = out.tell(), True
+    for r in parts:
+        with store.open_input_stream(r["name"], compression=None) as f:
+            copy(f, r["data"])
+    start, n = out.tell(), sum(r["n"] for r in parts)
+    for r in parts:
+        with store.open_input_stream(f"{r['name']}.dir", compression=None) as f:
+            copy(f)
+    end = out.tell()
+    if n >= 0xFFFF or end >= 0xFFFFFFFF:
+        out.write(struct.pack("<4sQHHLLQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, n, n, end - start, start))
+        out.write(struct.pack("<4sLQL", b"PK\x06\x07", 0, end, 1))
+    out.write(struct.pack("<4sHHHHLLH", b"PK\x05\x06", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(end - start, 0xFFFFFFFF), min(start, 0xFFFFFFFF), 0))
 
 
 def tasks_for(files: DataFrame, mb: float = 64) -> int:

@@ -285,3 +285,40 @@ def test_members_are_read_by_many_tasks_and_chosen_before_they_are_read(spark, t
     with pytest.raises(Exception, match="no known archive"):
         (tmp_path / "odd").write_bytes(b"nothing of the kind")
         members(spark, str(tmp_path / "odd")).count()
+
+
+def test_ranges_of_a_zip_directory(spark, tmp_path):
+    """The directory of a zip is dealt to tasks in stretches; names, places and more than 65535 members are those of zipfile."""
+    import io
+    import zipfile
+
+    from tessera.sources import members as M
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"a comment"
+        for i in range(66_000):
+            z.writestr(f"d{i % 7}/né{i}" if i % 5 else f"d/{i}.txt", str(i) * (i % 3))
+        z.writestr("folder/", "")
+    at = tmp_path / "many.zip"
+    at.write_bytes(raw.getvalue())
+    reader = M.Reader({"sources": f'["{at}"]', "content": "false"})
+    parts = reader.partitions()
+    assert len(parts) == 3 and not any(p.members for p in parts)
+    assert [m for p in parts for m in map(tuple, reader.read(p))] == list(map(tuple, M.listed(str(at))))
+    some = {r["path"]: r["content"] for r in M.members(spark, str(at)).where("path like 'd/%'").collect()}
+    assert len(some) == 13_200 and all(v == (k[2:-4] * (int(k[2:-4]) % 3)).encode() for k, v in some.items())
+
+
+def test_parts_of_a_zip_make_one_directory(spark, tmp_path):
+    """A zip of more than 65535 members from several parts is what zipfile expects."""
+    import zipfile
+
+    from tessera.sources.packing import write_archive
+
+    at = str(tmp_path / "all.zip")
+    rows = spark.range(0, 70_000, 1, 4).selectExpr("concat('a/', id) as member", "cast(cast(id as string) as binary) as content", "cast(null as string) as job_id", "cast(null as string) as path", "cast(null as long) as length")
+    assert write_archive(rows, at, "zip") == 70_000
+    with zipfile.ZipFile(at) as z:
+        assert sorted(z.namelist()) == sorted(f"a/{i}" for i in range(70_000)) and z.testzip() is None
+        assert z.read("a/69999") == b"69999" and z.read("a/0") == b"0"
