@@ -39,6 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """A table of few rows behind a shuffle, in no more partitions than there are cores.
+
+    Else each shuffle partition becomes a file, and on a local file system an executor starts
+    a process for each file and checksum that it makes, which shares the executor's memory at first.
+    """
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import ship, stored
+from .common import few_files, ship, stored
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def limits(histogram: DataFrame, bucket: int = 128) -> DataFrame:
         (F.coalesce(F.sum("n_docs").over(inside), F.lit(0)) + F.col("d_after")).alias("docs_over"),
         (F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("t_after")).alias("tokens_over"),
     )
-    out = out.withColumn("truncated_total", F.col("total_tokens") - F.col("tokens_over") + F.col("context") * F.col("docs_over"))
+    out = few_files(out).withColumn("truncated_total", F.col("total_tokens") - F.col("tokens_over") + F.col("context") * F.col("docs_over"))
     return out.select(
         "context", "n_docs", "n_tokens", "docs_over", "tokens_over", (F.col("total_docs") - F.col("docs_over")).alias("docs_within"), "truncated_total",
         (F.col("total_tokens") - F.col("truncated_total")).alias("lost_tokens"), ((F.col("total_docs") - F.col("docs_over")) / F.col("total_docs")).alias("quantile"), "total_docs", "total_tokens",
@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     other columns do not matter.
     """
     counted = lengths(docs, text_col, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs"))
-    return limits(stored(counted, "histogram"))  # else both steps of the suffix sums would encode all texts
+    return limits(stored(few_files(counted), "histogram"))  # else both steps of the suffix sums would encode all texts
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from tessera.llm import token_counts, tokens
+from tessera.llm import common, token_counts, tokens
 
 
 def test_every_limit(docs, words, odd):
@@ -37,3 +37,19 @@ def test_any_limit(spark, docs, words):
         kept = sum(min(x, max(c, 0)) for x in n)
         assert (r["docs_over"], r["docs_within"], r["truncated_total"], r["lost_tokens"]) == (sum(x > c for x in n), sum(x <= c for x in n), kept, sum(n) - kept)
     assert token_counts.at_limits(token_counts.token_counts(docs([]).where("false")), limits).collect() == []
+
+
+def test_files_do_not_follow_shuffle_partitions(spark, docs, words, monkeypatch):
+    """Both tables are small, so neither has a file for each of many shuffle partitions."""
+    kept, most = [], spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr(token_counts, "stored", lambda df, name: kept.append(common.stored(df, name)) or kept[-1])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8 * most)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        table = token_counts.token_counts(docs([(i, words(1 + i * 5, i)) for i in range(20 * most)]))
+        files, parts, got = len(kept[0].inputFiles()), table.rdd.getNumPartitions(), table.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got > 4 * most and 0 < files <= most and parts <= most
