@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, ship, slices, stored
+from .common import few_files, flat, held_out, ship, slices, stored
 
 #: ASCII letters in lower case stay, other ASCII counts as a space, bytes of other characters stay.
 LETTERS = np.full(256, 0x20, np.uint8)
@@ -152,7 +152,7 @@ def train(docs: DataFrame, mb_per_language: float = 4, max_model_mb: float = 512
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counted = d.where(pick).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = stored(counted, "grams")
+    counted = stored(few_files(counted), "grams")
     rows = counted.count()
     if rows * STATISTIC_BYTES > max_model_mb * 1e6:  # before anything comes to the driver
         raise ValueError(f"{rows} statistics of {len(share)} languages take over max_model_mb")
